@@ -21,8 +21,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digest
+
+    return media_digest(read(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts,)}
+    return {f.__name__: f for f in (op2_token_counts, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
