@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digest
+
+    return secret_digest(read(spark, sf_dir))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_digest
 
@@ -28,7 +34,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op9_media_columns)}
+    return {f.__name__: f for f in (op2_token_counts, op4_secret_scans, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
