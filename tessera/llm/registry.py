@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_sequences
+
+    return pack_sequences(read(spark, sf_dir), _tokenizer("word_bpe_49k.json"), length=2048, end_id=0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -34,7 +40,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_secret_scans, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_secret_scans, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
