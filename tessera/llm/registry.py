@@ -33,6 +33,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_digest
+
+    return simhash_digest(read(spark, sf_dir))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_digest
 
@@ -40,7 +46,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_secret_scans, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_secret_scans, op8_simhash_near_dedup, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
