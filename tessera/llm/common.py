@@ -161,3 +161,25 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     stops[lasts] |= inside[lasts]
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
+
+
+def row_blocks(offsets: np.ndarray, most: int = 2_000_000):
+    """Row ranges (a, b) whose bytes are at most ``most`` together, or a single longer row."""
+    n, a = len(offsets) - 1, 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, min(b, n)
+        a = min(b, n)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word, from its bytes alone."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + at_once, side="right")))
+        lo = starts[a]
+        r = Rolling(raw[lo : ends[b - 1]].astype(np.uint64) + _U(1))
+        out[a:b] = r.of(starts[a:b] - lo, ends[a:b] - lo)
+        a = b
+    return out

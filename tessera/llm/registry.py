@@ -27,6 +27,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir), window=50)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_digest
 
@@ -46,7 +52,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_secret_scans, op8_simhash_near_dedup, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op8_simhash_near_dedup, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
