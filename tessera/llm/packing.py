@@ -9,6 +9,7 @@ dealing, and any number of groups can be packed at once.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -24,6 +25,10 @@ GROUP = 4096
 # ---------------------------------------------------------------- tokens
 
 
+# Separators to Python only, and the letter whose small form depends on its place to Python only.
+_ODD = re.compile("[\x1c-\x1f\u03a3]").search
+
+
 class Words(dict):
     """Token ids of a text by a tokenizers file, word by word.
 
@@ -34,8 +39,6 @@ class Words(dict):
     """
 
     MEMORY, LONGEST = 400_000, 48
-    # Separators to Python only, and the letter whose small form depends on its place to Python only.
-    ODD = frozenset("\x1c\x1d\x1e\x1fΣ")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,26 +51,48 @@ class Words(dict):
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words of these texts that aren't known yet, in one call."""
-        new = {w for t in texts for w in t.split()}.difference(self)
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the words of these texts that aren't known yet.
+
+        A word that is letters and then full stops, commas and the like is two tokens' worth to the pre-tokenizer, and
+        small and capital letters are one to the normaliser; so only its letters, lower-cased, go to the library, in one
+        call for all.
+        """
+        new = set().union(*texts).difference(self)
         if len(self) + len(new) > self.MEMORY:
             self.clear()
-        new = [w for w in new if len(w) <= self.LONGEST]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+            new = set().union(*texts)
+        stems, tails = {}, set()
+        for w in new:
+            stem = w.rstrip(".,;:!?")
+            if stem.isalpha() and len(stem.lower()) == len(stem):
+                stems[w] = stem.lower()
+                tails.add(w[len(stem) :])
+        plain = {*stems.values(), *tails, *(w for w in new if w not in stems and len(w) <= self.LONGEST)}.difference(self, [""])
+        for w, e in zip(plain := list(plain), self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            self[w] = np.asarray(e.ids, "<u4").tobytes()
+        for w, stem in stems.items():
+            if len(w) <= self.LONGEST:
+                tail = w[len(stem) :]
+                self[w] = self[stem] + self[tail] if tail else self[stem]
 
     def __missing__(self, word: str) -> bytes:
         return self.whole(word)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.apart or not self.ODD.isdisjoint(text):
+        if not self.apart or _ODD(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of some texts."""
+        if not self.apart:
+            return [self.whole(t) for t in texts]
+        parts = [t.split() for t in texts]
+        self.learn(parts)
+        return [b"".join(map(self.__getitem__, p)) if not _ODD(t) else self.whole(t) for t, p in zip(texts, parts)]
+
 
 _words: dict[str, Words] = {}
 
@@ -88,11 +113,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, keep
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
                 texts = [t or "" for t in b.column(len(keep)).to_pylist()]
-                if at.apart:
-                    at.learn(texts)
                 rows, piece, start, size, ids = [], [], [], [], []
-                for i, t in enumerate(texts):
-                    got = at.ids(t) + close
+                for i, got in enumerate(at.all_ids(texts)):
+                    got += close
                     for p, s in enumerate(range(0, len(got), 4 * length)):
                         part = got[s : s + 4 * length]
                         rows.append(i)

@@ -39,6 +39,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_digest
 
@@ -52,8 +58,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op8_simhash_near_dedup, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op7_license_scans, op8_simhash_near_dedup, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .licenses import oracle
+
+    return {"op7_license_scans": oracle()}
