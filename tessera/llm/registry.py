@@ -57,8 +57,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(read(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op7_license_scans, op8_simhash_near_dedup, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
