@@ -10,6 +10,8 @@ dealing, and any number of groups can be packed at once.
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -29,6 +31,21 @@ GROUP = 4096
 _ODD = re.compile("[\x1c-\x1f\u03a3]").search
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that a byte-level vocabulary writes for bytes: printable Latin-1 as itself, the others, in order, as
+    the characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words(dict):
     """Token ids of a text by a tokenizers file, word by word.
 
@@ -38,43 +55,58 @@ class Words(dict):
     may treat unlike, the library encodes the whole text.
     """
 
-    MEMORY, LONGEST = 400_000, 48
+    MEMORY, LONGEST = 800_000, 48
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["The  quick", "brown\n\tfox's", "123 abc!?", "Ünïcode text <|endoftext|> x", "a b 　c"]
+        probe = ["The  quick", "brown\n\tfox's", "123 abc!?", "Ünïcode text <|endoftext|> x", "a b 　c"]
         self.apart = all(self.whole(t) == b"".join(self.whole(w) for w in t.split()) for t in probe)
+        stems = ["able", "unquestionably", "über", "straße", "日本語", "ciónadoes", "x", "éé"]
+        self.letters = self.apart and all(self._merged(w) == self.whole(w) for w in stems)
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _merged(self, letters: str) -> bytes:
+        """The ids of small letters alone, which the normaliser leaves and the pre-tokenizer keeps together."""
+        return _little([t.id for t in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(_BYTE_LETTERS))])
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the words of these texts that aren't known yet.
 
-        A word that is letters and then full stops, commas and the like is two tokens' worth to the pre-tokenizer, and
-        small and capital letters are one to the normaliser; so only its letters, lower-cased, go to the library, in one
-        call for all.
+        The pre-tokenizer parts letters from the full stops, commas and the like behind them, and the normaliser makes
+        letters small; so such a word is its letters, lower-cased, which the merges alone encode, and its tail.
         """
         new = set().union(*texts).difference(self)
         if len(self) + len(new) > self.MEMORY:
             self.clear()
             new = set().union(*texts)
-        stems, tails = {}, set()
+        rest = []
         for w in new:
-            stem = w.rstrip(".,;:!?")
-            if stem.isalpha() and len(stem.lower()) == len(stem):
-                stems[w] = stem.lower()
-                tails.add(w[len(stem) :])
-        plain = {*stems.values(), *tails, *(w for w in new if w not in stems and len(w) <= self.LONGEST)}.difference(self, [""])
-        for w, e in zip(plain := list(plain), self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w, stem in stems.items():
-            if len(w) <= self.LONGEST:
+            stem = w.rstrip(".,;:!?") if self.letters else ""
+            low = stem.lower()
+            got = self.get(low)
+            if got is None:
+                if len(w) > self.LONGEST:
+                    continue
+                if not (low.isalpha() and len(low) == len(stem) and (low.isascii() or unicodedata.is_normalized("NFC", low))):
+                    rest.append(w)
+                    continue
+                got = self[low] = self._merged(low)
+            elif not stem.isalpha() or len(low) != len(stem):
+                rest.append(w)
+                continue
+            if len(stem) < len(w):
                 tail = w[len(stem) :]
-                self[w] = self[stem] + self[tail] if tail else self[stem]
+                self[w] = got + (self[tail] if tail in self else self.setdefault(tail, self.whole(tail)))
+            else:
+                self[w] = got
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            if len(w) <= self.LONGEST:
+                self[w] = _little(e.ids)
 
     def __missing__(self, word: str) -> bytes:
         return self.whole(word)
@@ -108,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, keep
 
         if tokenizer not in _words:
             _words[tokenizer] = Words(tokenizer)
-        at, close = _words[tokenizer], np.asarray([end_id], "<u4").tobytes()
+        at, close = _words[tokenizer], _little([end_id])
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
