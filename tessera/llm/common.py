@@ -144,13 +144,13 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends in bytes of all words (runs of bytes that aren't white space, never across rows),
-    and the n + 1 offsets of the rows in words."""
+def words_of(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in bytes of all words (runs of bytes that aren't gaps, white space unless others are named, never
+    across rows), and the n + 1 offsets of the rows in words."""
     if len(raw) == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[raw]
+    inside = ~gaps[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < len(raw)]
