@@ -74,6 +74,12 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def with_column(keep, column: str) -> tuple[list[str], int]:
+    """The columns to hand to a worker so that it has keep, in order, and column, and where that one stands."""
+    names = list(keep) + ([column] if column not in keep else [])
+    return names, names.index(column)
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _U = np.uint64

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, map_arrow, row_blocks, text_bytes, word_hashes, words_of
+from .common import Rolling, map_arrow, row_blocks, text_bytes, with_column, word_hashes, words_of
 
 #: Words in a seed, neighbouring n-grams of which one is a seed, the least score, and what alignments count.
 GRAM, SPACING, LEAST = 3, 4, 0.5
@@ -148,8 +148,9 @@ def places_to_align(hit: np.ndarray, offset: np.ndarray, doc: np.ndarray, item:
     return d[which], i[which], lo2, np.minimum(hi[which], lo2 + 4 * n[which])
 
 
-def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, keep: list[str], item_kind: str) -> DataFrame:
-    """Per row of docs (the columns keep, _words, _found): the same, with this block's matches added to _found."""
+def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, keep: list[str], text_col: str, item_kind: str) -> DataFrame:
+    """Per row of docs (the columns keep, the text, _found): the same, with this block's matches added to _found."""
+    names, place = with_column(keep, text_col)
     seed_hash, seed_item = items.hashes[chosen], np.searchsorted(items.rows, items.at[chosen], side="right") - 1
     seed_offset = items.at[chosen] - items.rows[seed_item]
     order = np.argsort(seed_hash, kind="stable")
@@ -163,8 +164,8 @@ def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, ke
 
         lookup = Lookup(known)
         for b in batches:
-            raw, offsets = text_bytes(b.column(len(keep)))
-            found: list[list[dict]] = b.column(len(keep) + 1).to_pylist()
+            raw, offsets = text_bytes(b.column(place))
+            found: list[list[dict]] = b.column(len(names)).to_pylist()
             for lo, hi in row_blocks(offsets):
                 text, rows = _words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 at, hashes = _grams(text, rows, gram)
@@ -187,10 +188,10 @@ def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, ke
                     best[key] = max(best.get(key, 0), float(scores[x]))
                 for (x, y), score in sorted(best.items()):
                     found[lo + x].append({"item": ids[y], "score": round(score, 6)})
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.column(len(keep) + 1).type)], b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.column(len(names)).type)], b.schema.names)
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_arrow(docs.select(*keep, "_words", "_found"), run, f"{kinds}_words string, _found array<struct<item: {item_kind}, score: double>>")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    return map_arrow(docs.select(*names, "_found"), run, f"{kinds}_found array<struct<item: {item_kind}, score: double>>")
 
 
 def _counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
@@ -247,12 +248,12 @@ def find_contaminated(
     executors in blocks of bounded size; beyond one block, the corpus is read twice for each.
     """
     keep, kind = list(keep), items.schema[item_col].dataType.simpleString()
-    out = docs.select(*keep, F.col(text_col).alias("_words"), F.array().cast(f"array<struct<item: {kind}, score: double>>").alias("_found"))
+    out = docs.select(*with_column(keep, text_col)[0], F.array().cast(f"array<struct<item: {kind}, score: double>>").alias("_found"))
     for block in _blocks(items, item_col, item_text):
         rows = sorted(block.collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
         known = Items.of([r[0] for r in rows], [r[1] for r in rows], gram)
         chosen = known.seeds(_counts(docs, known, text_col), spacing)
-        out = _matches(out, known, chosen, least, keep, kind)
+        out = _matches(out, known, chosen, least, keep, text_col, kind)
     return out.select(*keep, F.col("_found").alias("found"))
 
 

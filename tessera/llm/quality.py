@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_bytes
+from .common import map_arrow, text_bytes, with_column
 
 CELL, WIDTH, FILTERS, HIDDEN = 128, 4, 16, 12
 LAGS = range(2, 49)
@@ -251,6 +251,7 @@ def score_texts(docs: DataFrame, net: Net, keep: Sequence[str], text_col: str =
     memory is bounded by one Arrow batch and the longest text.
     """
     keep = list(keep)
+    names, at = with_column(keep, text_col)
     tables: list = []
 
     def run(batches):
@@ -259,7 +260,7 @@ def score_texts(docs: DataFrame, net: Net, keep: Sequence[str], text_col: str =
         if net.weight is not None and not tables:
             tables.extend(net.tables())
         for b in batches:
-            raw, offsets = text_bytes(b.column(len(keep)))
+            raw, offsets = text_bytes(b.column(at))
             scores = np.empty(b.num_rows)
             a = 0
             while a < b.num_rows:
@@ -269,7 +270,7 @@ def score_texts(docs: DataFrame, net: Net, keep: Sequence[str], text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.round(scores, 6))], [*keep, out])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_arrow(docs.select(*keep, F.col(text_col).alias("_text")), run, f"{kinds}`{out}` double")
+    return map_arrow(docs.select(*names), run, f"{kinds}`{out}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

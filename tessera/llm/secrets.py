@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_bytes
+from .common import map_arrow, text_bytes, with_column
 
 # Fixed patterns; letters of the keywords count in either case, ASCII only.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -172,7 +172,8 @@ def scan_secrets(
     shuffle; memory is one Arrow batch.
     """
     samples = list(samples if samples is not None else labelled_samples())
-    keep = list(keep)
+    keep = [c for c in keep if redact is None or c != text_col]
+    names, place = with_column(keep, text_col)
     judges: list[Judge] = []
 
     def spans(text: str) -> list[Span]:
@@ -186,7 +187,7 @@ def scan_secrets(
         if not judges:
             judges.append(Judge(samples))
         for b in batches:
-            column = b.column(len(keep))
+            column = b.column(place)
             flags = may_hold(*text_bytes(column))
             found: list[list[Span]] = [[] for _ in flags]
             changed = {}
@@ -202,7 +203,7 @@ def scan_secrets(
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, found array<struct<start: long, end: long, kind: string>>" + (f", `{text_col}` string" if redact is not None else "")
-    return map_arrow(docs.select(*keep, F.col(text_col)), run, schema)
+    return map_arrow(docs.select(*names), run, schema)
 
 
 def replaced(text: str, spans: list[Span], by: str) -> str:

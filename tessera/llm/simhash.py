@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import map_arrow, stored, with_column
 from .components import components
 
 THRESHOLD = 3
@@ -52,16 +52,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, keep: Sequence[str], text_col: str = "text", words: int = 3) -> DataFrame:
     """The columns keep and fp (the fingerprint's 64 bits as a signed long) of each row; null texts count as empty."""
     keep = list(keep)
+    names, at = with_column(keep, text_col)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(len(keep)).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, words) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp)], [*keep, "fp"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_arrow(docs.select(*keep, F.col(text_col)), run, f"{kinds}fp long")
+    return map_arrow(docs.select(*names), run, f"{kinds}fp long")
 
 
 # ---------------------------------------------------------------- anchors
@@ -200,13 +201,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep = [c for c in keep if c != id_col]
     base = stored(fingerprints(docs, [id_col, *keep], text_col, words))
     own = stored(base.groupBy("fp").agg(F.min(id_col).alias("_least")))
-    parts = components(links(own.select("fp"), threshold))
-    by = own.join(parts, own["fp"] == parts["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
+    by = own.join(_roots(own.select("fp"), threshold), "fp")
     roots = by.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = by.select("fp", "_root").join(roots, "_root").select("fp", "component_id")
     return base.join(named, "fp").select(id_col, *keep, "fp", "component_id")
 
 
+def _roots(fps: DataFrame, threshold: int) -> DataFrame:
+    """(fp, _root) for distinct fingerprints: the least fingerprint linked with each."""
+    parts = components(links(fps, threshold))
+    return fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = 3) -> DataFrame:
+    """docs with one row of each group of linked fingerprints: that of the least id, the first of equal ones.
+
+    Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
+    Null and empty texts are one group. The rows are numbered and written to the shared folder with their fingerprints;
+    one join by number takes the rows that stay.
+    """
+    number, fp = "_tessera_row", "fp"
+    plain = [c for c in docs.columns]
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain)], F.monotonically_increasing_id().alias(number))
+    text, key = f"c{plain.index(text_col)}", f"c{plain.index(id_col)}"
+    base = stored(fingerprints(base, base.columns, text, words))
+    first = F.min(F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.col(number).alias("c"))).alias("_first")
+    own = stored(base.groupBy(fp).agg(first))
+    stay = own.join(_roots(own.select(fp), threshold), fp).groupBy("_root").agg(F.min("_first").alias("f")).select(F.col("f.c").alias(number))
+    return base.join(stay.hint("shuffle_hash"), number, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)])
+
+
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id; see ``near_duplicates``."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
