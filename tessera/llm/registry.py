@@ -39,6 +39,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytespans import remove_repeated_bytes
+
+    return remove_repeated_bytes(read(spark, sf_dir), window=100)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated_pairs
 
@@ -70,7 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
