@@ -23,6 +23,7 @@ MATCH, MISMATCH, GAP = 1, -1, -1
 #: Bytes of item text that are sent to every executor at once; more items are worked through in blocks of this size.
 ITEM_BYTES = 16_000_000
 
+_FOUND = "_tessera_found"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAPS = np.ones(256, bool)
@@ -191,7 +192,7 @@ def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, ke
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.column(len(names)).type)], b.schema.names)
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return map_arrow(docs.select(*names, "_found"), run, f"{kinds}_found array<struct<item: {item_kind}, score: double>>")
+    return map_arrow(docs.select(*names, _FOUND), run, f"{kinds}{_FOUND} array<struct<item: {item_kind}, score: double>>")
 
 
 def _counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
@@ -237,8 +238,9 @@ def find_contaminated(
     gram: int = GRAM,
     spacing: int = SPACING,
     least: float = LEAST,
+    out: str = "found",
 ) -> DataFrame:
-    """Per row of docs: the columns keep, and found, an array of (item, score), item being the id of a test item.
+    """Per row of docs: the columns keep, and out, an array of (item, score), item being the id of a test item.
 
     score is the best local alignment's score over the item's words (1 for each equal word, less 1 for each that differs
     or is missing), ``least`` or more. Items of fewer than ``gram`` words, and null or empty texts, match nothing. Items
@@ -248,13 +250,13 @@ def find_contaminated(
     executors in blocks of bounded size; beyond one block, the corpus is read twice for each.
     """
     keep, kind = list(keep), items.schema[item_col].dataType.simpleString()
-    out = docs.select(*with_column(keep, text_col)[0], F.array().cast(f"array<struct<item: {kind}, score: double>>").alias("_found"))
+    now = docs.select(*with_column(keep, text_col)[0], F.array().cast(f"array<struct<item: {kind}, score: double>>").alias(_FOUND))
     for block in _blocks(items, item_col, item_text):
         rows = sorted(block.collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
         known = Items.of([r[0] for r in rows], [r[1] for r in rows], gram)
         chosen = known.seeds(_counts(docs, known, text_col), spacing)
-        out = _matches(out, known, chosen, least, keep, text_col, kind)
-    return out.select(*keep, F.col("_found").alias("found"))
+        now = _matches(now, known, chosen, least, keep, text_col, kind)
+    return now.select(*keep, F.col(_FOUND).alias(out))
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -161,8 +161,9 @@ def scan_secrets(
     keep: Sequence[str] = ("doc_id",),
     text_col: str = "text",
     redact: str | None = None,
+    out: str = "found",
 ) -> DataFrame:
-    """Per row of docs: the columns keep, and found, an array of (start, end, kind) in code points, by start.
+    """Per row of docs: the columns keep, and out, an array of (start, end, kind) in code points, by start.
 
     kind is assign, access or hex for the fixed patterns, random for what the Markov models add. samples: labelled
     strings (1 random, 0 identifier) for the models; by default those of ``labelled_samples``. redact: also return the
@@ -196,13 +197,13 @@ def scan_secrets(
                 found[i] = spans(text)
                 if redact is not None and found[i]:
                     changed[i] = replaced(text, found[i], redact)
-            out = [*b.columns[: len(keep)], pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in found], kind)]
+            made = [*b.columns[: len(keep)], pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in found], kind)]
             if redact is not None:
-                out.append(pa.array([changed.get(i, t) for i, t in enumerate(column.to_pylist())], pa.string()) if changed else column)
-            yield pa.RecordBatch.from_arrays(out, [*keep, "found", *([text_col] if redact is not None else [])])
+                made.append(pa.array([changed.get(i, t) for i, t in enumerate(column.to_pylist())], pa.string()) if changed else column)
+            yield pa.RecordBatch.from_arrays(made, [*keep, out, *([text_col] if redact is not None else [])])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{kinds}, found array<struct<start: long, end: long, kind: string>>" + (f", `{text_col}` string" if redact is not None else "")
+    schema = f"{kinds}{', ' if kinds else ''}`{out}` array<struct<start: long, end: long, kind: string>>" + (f", `{text_col}` string" if redact is not None else "")
     return map_arrow(docs.select(*names), run, schema)
 
 
