@@ -16,12 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, with_column
+from .common import Rolling, map_arrow, mix, row_blocks, stored, text_bytes, with_column, word_hashes, words_of
 from .components import components
+from .packing import one_group_at_a_time
 
 THRESHOLD = 3
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOWER_TABLE = np.frombuffer(_LOWER, np.uint8)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -68,31 +70,35 @@ def fingerprints(docs: DataFrame, keep: Sequence[str], text_col: str = "text", w
 # ---------------------------------------------------------------- anchors
 
 
-def _syndromes(half: np.ndarray) -> np.ndarray:
-    """Of the lower 31 bits, bit p - 1 standing at position p: the exclusive or of the positions set; 0 for code words."""
-    out = np.zeros(len(half), np.uint64)
-    for position in range(1, 32):
-        out ^= ((half >> _U(position - 1)) & _U(1)) * _U(position)
+def _syndromes(block: np.ndarray, length: int) -> np.ndarray:
+    """Of the lower bits, bit p - 1 standing at position p: the exclusive or of the positions set; 0 for code words."""
+    out = np.zeros(len(block), np.uint64)
+    for position in range(1, length + 1):
+        out ^= ((block >> _U(position - 1)) & _U(1)) * _U(position)
     return out
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of n fingerprints: for each copy its row, the anchor as one integer for both halves, and whether it is at home."""
+def anchors(fp: np.ndarray, length: int = 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n fingerprints: for each copy its row, the anchor as one integer for all blocks, and whether it is at home.
+
+    Blocks are of length + 1 bits, anchors the words of the perfect Hamming code of that length, 31 or 15. Of two
+    fingerprints that differ in less than twice as many bits as there are blocks, some block differs in one at most.
+    """
     rows, keys, homes = [], [], []
-    for side in (0, 1):
-        half = (fp >> _U(32 * side)) & _U(0x7FFFFFFF)
-        s = _syndromes(half).astype(np.int64)
-        flip = np.concatenate([[0], 1 << np.arange(31)]).astype(np.uint64)
+    flip = np.concatenate([[0], 1 << np.arange(length)]).astype(np.uint64)
+    for side in range(64 // (length + 1)):
+        block = (fp >> _U((length + 1) * side)) & _U((1 << length) - 1)
+        s = _syndromes(block, length).astype(np.int64)
         tag = _U(side << 31)
         rows.append(np.arange(len(fp)))
-        keys.append((half ^ flip[s]) | tag)
+        keys.append((block ^ flip[s]) | tag)
         homes.append(np.ones(len(fp), bool))
         away = np.flatnonzero(s)
-        for i in range(1, 32):
+        for i in range(1, length + 1):
             j = s[away] ^ i
             at = away[j > i]  # each pair of positions once; j is 0 where i alone is the home
             rows.append(at)
-            keys.append((half[at] ^ flip[i] ^ flip[s[at] ^ i]) | tag)
+            keys.append((block[at] ^ flip[i] ^ flip[s[at] ^ i]) | tag)
             homes.append(np.zeros(len(at), bool))
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
@@ -213,21 +219,173 @@ def _roots(fps: DataFrame, threshold: int) -> DataFrame:
     return fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = 3) -> DataFrame:
-    """docs with one row of each group of linked fingerprints: that of the least id, the first of equal ones.
+# ---------------------------------------------------------------- texts of a given similarity
+
+#: Words in a shingle, differing bits, and the similarity that sketches have to show, for ``drop_near_duplicates``. It lies
+#: a little below the 0.8 that is meant, by half of what sketches err by, so that more of those at 0.8 are found.
+SHINGLE, DIFFERING, SHOWN = 5, 7, 0.75
+#: Minima in a sketch, each kept as four bits: unlike ones agree by chance once in 16 times.
+MINIMA = 64
+AGREEING = round(MINIMA * (SHOWN * 15 + 1) / 16)
+
+
+def sketches(column) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text (an Arrow column): a SimHash of its distinct words, and MINIMA half bytes of MinHash of its shingles.
+
+    Words are as in ``fingerprint``. Minima at one place of two sketches agree as often as shingles are shared.
+    A text of fewer than five words is one shingle; without words all is 0.
+    """
+    raw, offsets = text_bytes(column)
+    n = len(offsets) - 1
+    fps, out = np.zeros(n, np.uint64), np.zeros((n, MINIMA // 2), np.uint8)
+    for lo, hi in row_blocks(offsets, 500_000):
+        part = _LOWER_TABLE[raw[offsets[lo] : offsets[hi]]]
+        starts, ends, rows = words_of(part, offsets[lo : hi + 1] - offsets[lo])
+        if not len(starts):
+            continue
+        words, size = word_hashes(part, starts, ends), np.diff(rows)
+        doc = np.repeat(np.arange(hi - lo), size)
+        # distinct words of each text, their bits counted
+        order = np.lexsort((words, doc))
+        w, d = words[order], doc[order]
+        first = np.ones(len(w), bool)
+        first[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+        w, d = w[first], d[first]
+        begins = np.flatnonzero(np.diff(d, prepend=-1))
+        bits = np.unpackbits(mix(w ^ _U(42)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
+        total = np.diff(np.append(begins, len(w)))
+        fps[lo + d[begins]] = np.packbits(counts * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        # the least hash of each text's shingles in each of MINIMA parts of their range; an empty part takes the next one's
+        at = np.arange(len(words))
+        place = at - rows[doc]
+        use = np.flatnonzero((place == 0) | (place + SHINGLE <= size[doc]))
+        h = Rolling(words).of(use, np.minimum(use + SHINGLE, rows[doc[use] + 1]))
+        key = doc[use] * MINIMA + (h >> _U(58)).astype(np.int64)
+        order = np.lexsort((h, key))
+        h, key = h[order], key[order]
+        first = np.ones(len(h), bool)
+        first[1:] = key[1:] != key[:-1]
+        least, there = np.zeros((hi - lo, MINIMA), np.uint64), np.zeros((hi - lo, MINIMA), bool)
+        least.ravel()[key[first]], there.ravel()[key[first]] = h[first], True
+        while (there.any(axis=1, keepdims=True) & ~there).any():
+            empty = ~there & np.roll(there, -1, axis=1)
+            least, there = np.where(empty, np.roll(least, -1, axis=1), least), there | empty
+        half = np.where(there, mix(least) & _U(15), 0).astype(np.uint8)
+        out[lo:hi] = half[:, ::2] << 4 | half[:, 1::2]
+    return fps, out
+
+
+def _minima(sketch: np.ndarray) -> np.ndarray:
+    return np.concatenate([sketch >> 4, sketch & 15], axis=1)
+
+
+def _alike(fp: np.ndarray, sketch: np.ndarray, own: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in own, place in members) that differ in few bits and whose sketches agree."""
+    i, j = np.nonzero(np.bitwise_count(fp[own, None] ^ fp[members][None, :]) <= DIFFERING)
+    good = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 20):
+        a, b = own[i[k : k + (1 << 20)]], members[j[k : k + (1 << 20)]]
+        good[k : k + (1 << 20)] = (sketch[a] == sketch[b]).sum(axis=1) >= AGREEING
+    return i[good], j[good]
+
+
+def sketch_links(node: np.ndarray, fp: np.ndarray, sketch: np.ndarray, home: np.ndarray, block: int) -> list[tuple[int, int]]:
+    """Links between the texts at one anchor of a block of 16 bits: a forest of those that are alike.
+
+    Of many members only those are compared that agree in one of eight groups of six other bits, which two that differ in
+    at most seven do.
+    """
+    label, out = np.arange(len(fp)), []
+
+    def compare(members: np.ndarray) -> None:
+        own = members[home[members]]
+        step = max(1, BLOCK // max(1, len(members)))
+        for a in range(0, len(own), step):
+            i, j = _alike(fp, sketch, own[a : a + step], members)
+            cuts = np.flatnonzero(np.diff(i, prepend=-1))
+            for s, e in zip(cuts, [*cuts[1:], len(i)]):
+                roots = np.unique(label[members[j[s:e]]])
+                if len(roots) > 1:
+                    out.extend((int(node[roots[0]]), int(node[r])) for r in roots[1:])
+                    label[np.isin(label, roots)] = roots[0]
+
+    if len(fp) <= MANY:
+        compare(np.arange(len(fp)))
+        return out
+    low = fp & _U((1 << (16 * block)) - 1)
+    others = low | ((fp >> _U(16 * block + 16)) << _U(16 * block)) if block < 3 else low
+    for k in range(8):
+        bits = (others >> _U(6 * k)) & _U(63)
+        order = np.argsort(bits, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bits[order])) + 1):
+            if len(part) > 1 and home[part].any():
+                compare(part)
+    return out
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """nodes (node long, fp long, sketch binary; distinct) to (u, v): enough links to keep together what is alike."""
+
+    def copied(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(0, b.num_rows, 20_000):
+                part = b.slice(k, 20_000)
+                rows, keys, homes = anchors(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64), 15)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(c.take(take) for c in part.columns), pa.array(homes)], ["anchor", "node", "fp", "sketch", "home"])
+
+    def compared(batches):
+        import pyarrow as pa
+
+        def at(held):
+            t = pa.Table.from_batches(held)
+            home = t.column("home").to_numpy()
+            if len(home) < 2 or not home.any():
+                return
+            raw = b"".join(t.column("sketch").to_pylist())
+            pairs = sketch_links(t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), _minima(np.frombuffer(raw, np.uint8).reshape(len(home), -1)), home, t.column("anchor")[0].as_py() >> 31)
+            if pairs:
+                u, v = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        yield from one_group_at_a_time(batches, "anchor", at)
+
+    spread = map_arrow(nodes.select("node", "fp", "sketch"), copied, "anchor long, node long, fp long, sketch binary, home boolean")
+    return map_arrow(spread.repartition("anchor").sortWithinPartitions("anchor", "node"), compared, "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least id, the first of equal ones.
+
+    Texts are taken for near-duplicates that share about 0.8 or more of their five-word shingles. Candidates are found
+    by SimHash: fingerprints of their distinct words that differ in DIFFERING bits at most, all of which meet at anchors
+    of four blocks of 16 bits. Of these, texts link whose sketches say that they share the shingles.
 
     Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
-    Null and empty texts are one group. The rows are numbered and written to the shared folder with their fingerprints;
-    one join by number takes the rows that stay.
+    Null texts and those without words are one group. The rows are numbered and written to the shared folder with what
+    they are compared by; one join by number takes the rows that stay.
     """
-    number, fp = "_tessera_row", "fp"
-    plain = [c for c in docs.columns]
+    number, plain = "_tessera_row", list(docs.columns)
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain)], F.monotonically_increasing_id().alias(number))
-    text, key = f"c{plain.index(text_col)}", f"c{plain.index(id_col)}"
-    base = stored(fingerprints(base, base.columns, text, words))
+    text, key = plain.index(text_col), f"c{plain.index(id_col)}"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            fp, sketch = sketches(b.column(text))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary())], [*b.schema.names, "fp", "sketch"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in base.dtypes)
+    base = stored(map_arrow(base, run, f"{kinds}, fp long, sketch binary"))
     first = F.min(F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.col(number).alias("c"))).alias("_first")
-    own = stored(base.groupBy(fp).agg(first))
-    stay = own.join(_roots(own.select(fp), threshold), fp).groupBy("_root").agg(F.min("_first").alias("f")).select(F.col("f.c").alias(number))
+    own = stored(base.groupBy("fp", "sketch").agg(first).withColumn("node", F.xxhash64("fp", "sketch")))
+    parts = components(similar_links(own))
+    roots = own.join(parts, "node", "left").select(F.coalesce("root", "node").alias("_root"), "_first")
+    stay = roots.groupBy("_root").agg(F.min("_first").alias("f")).select(F.col("f.c").alias(number))
     return base.join(stay.hint("shuffle_hash"), number, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)])
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -94,13 +95,66 @@ def test_table(spark):
     assert X.simhash_digest(empty(spark)).count() == 0
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def prose(seed, n=300):
+    r = random.Random(seed)
+    return ["".join(r.choices(["th", "er", "on", "an", "re", "ed", "ti", "es", "ou", "in"], k=r.randint(1, 4))) for _ in range(n)]
+
+
+def test_sketches_tell_the_similarity():
+    import pyarrow as pa
+
+    for edits in (1, 4, 12, 40):
+        for seed in range(6):
+            w = prose(seed)
+            v = list(w)
+            for p in random.Random(seed).sample(range(300), edits):
+                v[p] = "edited"
+            a, b = " ".join(w), "\n".join(v).title()
+            _, s = X.sketches(pa.array([a, None, b, ""]))
+            share = (X._minima(s)[0] == X._minima(s)[2]).mean()
+            assert abs((share * 16 - 1) / 15 - jaccard(a, b)) < 0.2 and not s[1].any() and not s[3].any()
+
+
 def test_one_of_each_group_stays(spark):
     docs, rows = awkward(spark)
+    near = [" ".join(prose(s)) for s in range(5)]
+    more = [(400 + i, t) for i, t in enumerate(near)] + [(500 + i, t.replace(" ", " \n", 3).replace(t.split()[150], "other", 1)) for i, t in enumerate(near)]
+    rows += more
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     got = X.drop_near_duplicates(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
-    label, least = groups([fingerprint_brute(t) for _, t in rows]), {}
-    for (i, _), g in zip(rows, label):
-        key = (i is None, i or 0)
-        least[g] = min(key, least.get(g, key))
-    assert sorted(((r.doc_id is None, r.doc_id or 0) for r in got.collect())) == sorted(least.values())
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    plain = [" ".join((t or "").lower().split()) for _, t in kept]
+    assert len(set(plain)) == len(kept)
+    assert {400, 401, 402, 403, 404} <= {i for i, _ in kept} and not {500, 501, 502, 503, 504, 1005, 1006} & {i for i, _ in kept}
+    left = list(rows)
+    for r in kept:
+        left.remove(r)
+    for i, t in left:
+        better = [x for k, x in kept if (k is None, k or 0) <= (i is None, i or 0)]
+        assert max(jaccard(t, x) for x in better) >= 0.6
     assert X.drop_near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("many", [2048, 8])
+def test_forest_joins_what_is_alike(monkeypatch, many):
+    import pyarrow as pa
+
+    monkeypatch.setattr(X, "MANY", many)
+    texts = []
+    for i in range(60):
+        w = prose(i // 12)
+        w[(i * 7) % 300] = f"x{i}"
+        texts.append(" ".join(w))
+    fp, s = X.sketches(pa.array(texts))
+    pairs = X.sketch_links(np.arange(60), fp, X._minima(s), np.ones(60, bool), 0)
+    assert all(a // 12 == b // 12 for a, b in pairs) and 50 <= len(pairs) <= 55
