@@ -40,3 +40,20 @@ def render_env(config: DataFrame, templates: Mapping[str, str]) -> DataFrame:
 def env_lines(entries: DataFrame) -> DataFrame:
     """KEY=VALUE lines in insertion order, as one sorted partition for a text sink."""
     return entries.select("ord", F.concat_ws("=", "key", "value").alias("value")).repartition(1).sortWithinPartitions("ord").select("value")
+
+
+def load_config(spark, path: str) -> DataFrame:
+    """One row with the nested fields of a JSON file, or of a YAML file where a YAML library is installed; a missing
+    file is an error."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if not path.endswith(".json"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML files need a YAML library; give JSON") from e
+        text = json.dumps(yaml.safe_load(text))
+    schema = spark.range(1).select(F.schema_of_json(F.lit(text))).first()[0]
+    return spark.range(1).select(F.from_json(F.lit(text), schema).alias("c")).select("c.*")

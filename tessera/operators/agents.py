@@ -126,3 +126,33 @@ def agent_loop(start: DataFrame, step, pending: Column, limit: int = 3) -> DataF
             return done
         now = step(now)
     return now if done is None else done.unionByName(now)
+
+
+def chosen_tools(tools: DataFrame, names: Sequence[str], leave_out: bool = False) -> DataFrame:
+    """The tools named, or with leave_out all others."""
+    named = F.col("name").isin(*names)
+    return tools.where(~named if leave_out else named)
+
+
+def prompt(template: str, **values: Column) -> Column:
+    """A text with {name} replaced by the value of that name; null values are empty."""
+    import re
+
+    parts = [F.coalesce(values[x[1:-1]].cast("string"), F.lit("")) if x[0] == "{" else F.lit(x) for x in re.findall(r"\{\w+\}|[^{]+", template)]
+    return F.concat(*parts)
+
+
+def policy_match(requests: DataFrame, kinds: Sequence[str], namespaces: Sequence[str], operations: Sequence[str]) -> DataFrame:
+    """Requests that an admission policy applies to: of one of the kinds, namespaces and operations."""
+    return requests.where(F.col("kind").isin(*kinds) & F.col("namespace").isin(*namespaces) & F.col("operation").isin(*operations))
+
+
+def load_registries(loaders: Sequence) -> tuple[list[DataFrame], list[str]]:
+    """(tables, errors): what each loader, a function without arguments, gives; one that fails is noted and left out."""
+    out, errors = [], []
+    for load in loaders:
+        try:
+            out.append(load())
+        except Exception as e:  # noqa: BLE001  a server that can't be reached must not stop the others
+            errors.append(f"{getattr(load, '__name__', 'loader')}: {type(e).__name__}")
+    return out, errors

@@ -112,3 +112,22 @@ def predict(df: DataFrame, weights: Mapping[str, np.ndarray] | None, shape: tupl
     bad = F.col(px_col).isNull() | (F.size(px_col) != size)
     out = df.withColumn("_l", F.when(~bad, logits(F.col(px_col)))).withColumn("probabilities", softmax(F.col("_l")))
     return out.withColumns({"predicted_label": argmax(F.col("probabilities")), "error": F.when(bad, F.lit("Invalid image"))}).drop("_l")
+
+
+def first_samples(df: DataFrame, position: str, n: int) -> DataFrame:
+    """The rows at positions 0 to n - 1; asking for more than there are is an error."""
+    out = df.where(F.col(position) < n)
+    if out.count() < n:
+        raise IndexError(f"fewer than {n} samples")
+    return out
+
+
+def batched(df: DataFrame, position: str, size: int = 128, first_only: bool = False) -> DataFrame:
+    """df with batch_id of consecutive positions, the last batch smaller; first_only keeps batch 0, as in a demo run."""
+    out = df.withColumn("batch_id", F.floor(F.col(position) / size).cast("long"))
+    return out.where("batch_id = 0") if first_only else out
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df in an order that depends on key and seed alone, by a distributed sort, for training splits."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)

@@ -586,3 +586,58 @@ def sql_table_schema(spark, d):
 def sql_list_tables(spark, d):
     register(spark, d, ["nation", "region"])
     return sql.list_tables(spark).where("tableName in ('nation', 'region')").select(F.col("tableName").alias("name"))
+
+
+# ---------------------------------------------------------------- samples, batches, prompts, policies
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id < 25")
+def first_samples(spark, d):
+    return vectors.first_samples(table(spark, d, "embeddings"), "vec_id", 25).select("vec_id", "label")
+
+
+@query("SELECT vec_id // 128 AS batch_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS labels FROM embeddings GROUP BY 1")
+def batches_of_128(spark, d):
+    return vectors.batched(table(spark, d, "embeddings"), "vec_id").groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+
+
+@query("SELECT vec_id, list_max(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000, 0) AS INTEGER))) > 128 AS prepare FROM embeddings")
+def pixel_range(spark, d):
+    px = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000, 0).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", vectors.needs_preparing(px).alias("prepare"))
+
+
+@query("SELECT conv_id, turn, role || ' said in turn ' || turn || ': ' || substr(text, 1, 30) AS prompt FROM conversations")
+def prompt_text(spark, d):
+    c = table(spark, d, "conversations")
+    p = agents.prompt("{who} said in turn {n}: {what}", who=F.col("role"), n=F.col("turn"), what=F.substring("text", 1, 30))
+    return c.select("conv_id", "turn", p.alias("prompt"))
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 IN (0, 1) AND event_id % 2 = 0")
+def policy_match(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), (F.col("user_id") % 3).cast("string").alias("namespace"), F.when(F.col("event_id") % 2 == 0, "CREATE").otherwise("DELETE").alias("operation"))
+    return agents.policy_match(e, ["click", "view"], ["0", "1"], ["CREATE", "UPDATE"]).select("event_id")
+
+
+@query("SELECT p_partkey, p_name AS name FROM part WHERE p_name NOT IN ('small ring', 'red widget')")
+def tool_filter(spark, d):
+    return agents.chosen_tools(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), ["small ring", "red widget"], leave_out=True)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || o_orderpriority || '_bs' || o_custkey || '_lr0.001' AS run_name FROM orders")
+def run_names(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", S.run_name(F.col("o_orderdate"), F.col("o_orderpriority"), F.col("o_custkey"), F.lit("0.001")).alias("run_name"))
+
+
+@query("SELECT c_custkey, format('{:,}', c_custkey * 12345) AS grouped, round(c_custkey * 123456789 / 1073741824.0::DOUBLE, 2) AS gib, printf('%.4f', c_acctbal) AS fixed FROM customer")
+def format_numbers(spark, d):
+    n = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", S.thousands(n * 12345).alias("grouped"), S.gib(n * 123456789).alias("gib"), F.format_string("%.4f", "c_acctbal").alias("fixed"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'Error: code ' || user_id ELSE CAST(event_id AS VARCHAR) END AS result FROM events")
+def coerced_results(spark, d):
+    e = F.when(F.col("event_type") == "error", F.concat(F.lit("code "), F.col("user_id").cast("string")))
+    return table(spark, d, "events").select("event_id", S.coerced(F.col("event_id"), e).alias("result"))

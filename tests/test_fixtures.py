@@ -228,3 +228,22 @@ def test_tumbling_stream(spark, tmp_path):
     q = stream.tumbling(s).writeStream.outputMode("append").format("memory").queryName("tumbled").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["n"], r["total"]) for r in spark.table("tumbled").collect()] == [(2, 3.0)]
+
+
+def test_samples_and_sources(spark, tmp_path):
+    df = spark.range(5).withColumnRenamed("id", "pos")
+    with pytest.raises(IndexError):
+        vectors.first_samples(df, "pos", 6)
+    assert vectors.batched(df, "pos", 2, first_only=True).count() == 2
+    order = [r.pos for r in vectors.shuffled(df, "pos", 3).collect()]
+    assert sorted(order) == [0, 1, 2, 3, 4] and order == [r.pos for r in vectors.shuffled(df.repartition(3), "pos", 3).collect()]
+
+    def broken():
+        raise ConnectionError
+
+    tables, errors = agents.load_registries([lambda: df, broken])
+    assert len(tables) == 1 and errors == ["broken: ConnectionError"]
+    (tmp_path / "c.json").write_text('{"domain": "d", "model": {"id": "m"}}')
+    assert C.load_config(spark, str(tmp_path / "c.json")).select("model.id").first()[0] == "m"
+    with pytest.raises(FileNotFoundError):
+        C.load_config(spark, str(tmp_path / "none.json"))
