@@ -81,5 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .licenses import oracle
+    from .substrings import ORACLE_SQL
 
-    return {"op7_license_scans": oracle()}
+    return {"op3_substring_dedup": ORACLE_SQL, "op7_license_scans": oracle()}

@@ -155,3 +155,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(out + [pa.array(texts, pa.string())] * with_text, [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
     return map_arrow(both, run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+
+
+#: DuckDB SQL for the rows of ``remove_repeats`` over documents; equal windows are told by their MD5.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first_id FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h JOIN f USING (k) WHERE first_id < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
