@@ -324,67 +324,263 @@ def sketch_links(node: np.ndarray, fp: np.ndarray, sketch: np.ndarray, home: np.
     return out
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """nodes (node long, fp long, sketch binary; distinct) to (u, v): enough links to keep together what is alike."""
+# ---------------------------------------------------------------- texts of a given similarity, exactly
+
+#: Texts are near-duplicates from OVER / UNDER of their shingles on. Bits of a parity sketch; shingles from which a text has
+#: minima instead; how many of MINIMA must agree there: 52 do on average at 0.8, fewer than LOOSE once in 1e9.
+OVER, UNDER = 4, 5
+PARITY, LONG, LOOSE = 256, 450, 33
+#: Texts that are looked at for common shingles, and in how many of them a shingle has to be. Buckets of so many members are
+#: compared all at once.
+SAMPLE, COMMON, FEW = 20_000, 20, 16
+
+
+def shingle_sets(column):
+    """Blocks (first row, row after the last, hashes, offsets) of an Arrow column: each text's distinct five-word
+    shingles, rising. Words are as in ``fingerprint``; fewer than five make one shingle, none make no shingle."""
+    raw, offsets = text_bytes(column)
+    for lo, hi in row_blocks(offsets, 500_000):
+        part = _LOWER_TABLE[raw[offsets[lo] : offsets[hi]]]
+        starts, ends, rows = words_of(part, offsets[lo : hi + 1] - offsets[lo])
+        size = np.diff(rows)
+        doc = np.repeat(np.arange(hi - lo), size)
+        place = np.arange(len(starts)) - rows[doc]
+        use = np.flatnonzero((place == 0) | (place + SHINGLE <= size[doc]))
+        h = Rolling(word_hashes(part, starts, ends)).of(use, np.minimum(use + SHINGLE, rows[doc[use] + 1]))
+        doc = doc[use]
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc = h[first], doc[first]
+        yield lo, hi, h, np.searchsorted(doc, np.arange(hi - lo + 1))
+
+
+def _marks(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """32 bytes of each text: of fewer than LONG shingles, whether an even or odd number of them falls to each of PARITY
+    bits, so two texts differ in no more bits than shingles; of others, MINIMA half bytes of MinHash."""
+    n = len(size)
+    odd = np.bincount(doc * PARITY + (h & _U(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
+    out = np.packbits(odd.reshape(n, PARITY).astype(np.uint8), axis=1)
+    of = np.flatnonzero(size[doc] >= LONG)
+    key = doc[of] * MINIMA + (h[of] >> _U(58)).astype(np.int64)
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # hashes rise in each text, so the first of a part is its least
+    half = np.zeros(n * MINIMA, np.uint8)
+    half[key[first]] = (mix(h[of][first]) & _U(15)).astype(np.uint8)
+    half = half.reshape(n, MINIMA)
+    return np.where((size >= LONG)[:, None], half[:, ::2] << 4 | half[:, 1::2], out)
+
+
+def prefixes(column, common: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Of each text: the number of its shingles, a digest of the set, its marks, and the hashes of its prefix.
+
+    In the order of rarity first, common shingles last, then by hash, the prefix is all but the last OVER / UNDER of the
+    shingles, and one more. Of two sets that share so much of the larger one, the prefixes share a shingle.
+    """
+    out = []
+    for lo, hi, h, rows in shingle_sets(column):
+        size = np.diff(rows)
+        doc = np.repeat(np.arange(hi - lo), size)
+        marks = _marks(h, doc, size)
+        digest = np.zeros((hi - lo, 2), np.uint64)
+        there = np.flatnonzero(size)
+        if len(there):
+            for k in range(2):
+                digest[there, k] = np.add.reduceat(mix(h ^ _U(k + 1)), rows[:-1][there])
+        often = np.zeros(len(h), bool)
+        if len(common):
+            often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = h[np.lexsort((h, often, doc))]
+        length = np.where(size > 0, size - -(-OVER * size // UNDER) + 1, 0)
+        out += [(int(n), digest[i].tobytes(), marks[i].tobytes(), h[a : a + k].tobytes()) for i, (n, a, k) in enumerate(zip(size, rows, length))]
+    return out
+
+
+def maybe_alike(size: np.ndarray, marks: np.ndarray, i, j) -> np.ndarray:
+    """Whether texts i and j may share OVER / UNDER of their shingles: never false for texts of fewer than LONG that do."""
+    a, b = size[i], size[j]
+    near = (UNDER * np.minimum(a, b) >= OVER * np.maximum(a, b))
+    differ = marks[i] ^ marks[j]
+    bits = np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
+    agree = (differ >> 4 == 0).sum(axis=-1) + (differ & 15 == 0).sum(axis=-1)
+    short, long = (a < LONG) & (b < LONG), (a >= LONG) & (b >= LONG)
+    return near & np.where(short, bits * (UNDER + OVER) <= (a + b) * (UNDER - OVER), ~long | (agree >= LOOSE))
+
+
+def forest(n: int, near) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links and labels of the components of n members, near(i) telling which ones i links with.
+
+    Members outside the largest component are asked until none is left there unasked, so all pairs across components
+    have been looked at, and a group that hangs together is settled by few of its members.
+    """
+    label, asked, out = np.arange(n), np.zeros(n, bool), []
+    while True:
+        counts = np.bincount(label, minlength=n)
+        left = np.flatnonzero(~asked & (label != counts.argmax())) if asked.any() else np.arange(n)
+        if not len(left):
+            return out, label
+        # any pair across components has a member outside the largest one; that one was or will be asked
+        for i in left[:1].tolist() if n > 64 and len(left) == n else left.tolist():
+            asked[i] = True
+            roots = np.unique(np.append(label[near(i)], label[i]))
+            if len(roots) > 1:
+                out += [(int(roots[0]), int(r)) for r in roots[1:]]
+                label[np.isin(label, roots)] = roots[0]
+
+
+def bucket_links(nodes: DataFrame) -> DataFrame:
+    """nodes (node long, n int, marks binary, prefix binary; distinct sets) to (u, v): enough links between texts that
+    share a shingle of their prefixes and may be alike to keep them together."""
 
     def copied(batches):
         import pyarrow as pa
 
         for b in batches:
-            for k in range(0, b.num_rows, 20_000):
-                part = b.slice(k, 20_000)
-                rows, keys, homes = anchors(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64), 15)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(c.take(take) for c in part.columns), pa.array(homes)], ["anchor", "node", "fp", "sketch", "home"])
+            for k in range(0, b.num_rows, 2_000):
+                part = b.slice(k, 2_000)
+                held = part.column(3).to_pylist()
+                take = pa.array(np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), *(part.column(i).take(take) for i in range(3))], ["shingle", "node", "n", "marks"])
 
     def compared(batches):
         import pyarrow as pa
 
-        def at(held):
-            t = pa.Table.from_batches(held)
-            home = t.column("home").to_numpy()
-            if len(home) < 2 or not home.any():
+        rest = None
+        for b in _with_end(batches):
+            if b is not None and not b.num_rows:
+                continue
+            if b is not None:
+                raw = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                now = [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)), raw]
+                now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            elif rest is None:
                 return
-            raw = b"".join(t.column("sketch").to_pylist())
-            pairs = sketch_links(t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), _minima(np.frombuffer(raw, np.uint8).reshape(len(home), -1)), home, t.column("anchor")[0].as_py() >> 31)
-            if pairs:
-                u, v = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            else:
+                now = rest
+            key = now[0]
+            new = np.append(True, key[1:] != key[:-1])
+            starts = np.flatnonzero(new)
+            last = len(key) if b is None else int(starts[-1])
+            rest = [x[last:] for x in now]
+            ends = np.append(starts[1:], len(key))
+            starts, ends = starts[ends <= last], ends[ends <= last]
+            _, node, size, marks = now
+            size = size.astype(np.int64)
+            few = ends - starts <= FEW
+            until = np.zeros(len(key), np.int64)  # of members of small buckets: where the bucket ends
+            until[:last] = np.repeat(np.where(few, ends, 0), ends - starts)
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, FEW):
+                i = np.flatnonzero(np.arange(len(key)) + d < until)
+                for k in range(0, len(i), 1 << 18):
+                    x = i[k : k + (1 << 18)]
+                    x = x[maybe_alike(size, marks, x, x + d)]
+                    us.append(node[x])
+                    vs.append(node[x + d])
+            for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
+                sz, mk, own = size[s:e], marks[s:e], node[s:e]
+                for a, c in forest(e - s, lambda i: maybe_alike(sz, mk, i, slice(None)))[0]:
+                    us.append(own[[a]])
+                    vs.append(own[[c]])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            pair = pair[pair[:, 0] != pair[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
+
+    spread = map_arrow(nodes.select("node", "n", "marks", "prefix"), copied, "shingle long, node long, n int, marks binary")
+    return map_arrow(spread.repartition("shingle").sortWithinPartitions("shingle", "node"), compared, "u long, v long")
+
+
+def exact_roots(texts: list[str | None]) -> np.ndarray:
+    """Of texts: the least place in their component, links being OVER / UNDER shared shingles, counted exactly."""
+    import pyarrow as pa
+
+    hashes, sizes = [], []
+    for _, _, h, rows in shingle_sets(pa.array(texts, pa.large_string())):
+        hashes.append(h)
+        sizes.append(np.diff(rows))
+    h, size = np.concatenate(hashes), np.concatenate(sizes)
+    rows = np.append(0, np.cumsum(size))
+    doc = np.repeat(np.arange(len(size)), size)
+    # postings: where each shingle of the group stands
+    order = np.argsort(h, kind="stable")
+    sorted_h, sorted_doc = h[order], doc[order]
+
+    def near(i: int) -> np.ndarray:
+        own = h[rows[i] : rows[i + 1]]
+        a, b = np.searchsorted(sorted_h, own), np.searchsorted(sorted_h, own, side="right")
+        n = b - a
+        met = sorted_doc[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        shared = np.bincount(met, minlength=len(size))
+        return np.flatnonzero(shared * (UNDER + OVER) >= OVER * (size + size[i]))
+
+    return forest(len(size), near)[1]
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Shingles that COMMON or more of about SAMPLE texts hold, rising. Only the order of prefixes depends on them, never
+    what is found."""
+
+    def run(batches):
+        import pyarrow as pa
 
-        yield from one_group_at_a_time(batches, "anchor", at)
+        for b in batches:
+            for _, _, h, _ in shingle_sets(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    spread = map_arrow(nodes.select("node", "fp", "sketch"), copied, "anchor long, node long, fp long, sketch binary, home boolean")
-    return map_arrow(spread.repartition("anchor").sortWithinPartitions("anchor", "node"), compared, "u long, v long")
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    texts = docs.select(F.col(f"`{text_col}`"))
+    found = map_arrow(texts.sample(share, 1) if share < 1 else texts, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    return np.sort(np.array([r[0] for r in found.orderBy(F.desc("count"), "h").limit(200_000).collect()], np.int64).view(np.uint64))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least id, the first of equal ones.
 
-    Texts are taken for near-duplicates that share about 0.8 or more of their five-word shingles. Candidates are found
-    by SimHash: fingerprints of their distinct words that differ in DIFFERING bits at most, all of which meet at anchors
-    of four blocks of 16 bits. Of these, texts link whose sketches say that they share the shingles.
+    Near-duplicates share 0.8 or more (Jaccard) of their distinct five-word shingles, or are linked by texts that do.
+    Texts of one shingle set are combined. Candidates share a shingle of their prefixes, as all pairs at 0.8 do, and pass
+    a comparison of sizes and marks that no such pair fails (those of LONG or more shingles once in 1e9). The texts of what
+    hangs together by candidates then meet once, and only exactly counted shingles link them.
 
     Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
     Null texts and those without words are one group. The rows are numbered and written to the shared folder with what
-    they are compared by; one join by number takes the rows that stay.
+    they are compared by; one join by number takes the rows that stay. The texts of one group of candidates, copies
+    combined, have to fit into one task's memory.
     """
     number, plain = "_tessera_row", list(docs.columns)
-    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain)], F.monotonically_increasing_id().alias(number))
     text, key = plain.index(text_col), f"c{plain.index(id_col)}"
+    common = common_shingles(docs, text_col)
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain)], F.monotonically_increasing_id().alias(number))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            fp, sketch = sketches(b.column(text))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary())], [*b.schema.names, "fp", "sketch"])
+            n, digest, marks, prefix = zip(*prefixes(b.column(text), common)) if b.num_rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (digest, marks, prefix))], [*b.schema.names, "n", "digest", "marks", "prefix"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in base.dtypes)
-    base = stored(map_arrow(base, run, f"{kinds}, fp long, sketch binary"))
+    base = stored(map_arrow(base, run, f"{kinds}, n int, digest binary, marks binary, prefix binary"))
     first = F.min(F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.col(number).alias("c"))).alias("_first")
-    own = stored(base.groupBy("fp", "sketch").agg(first).withColumn("node", F.xxhash64("fp", "sketch")))
-    parts = components(similar_links(own))
-    roots = own.join(parts, "node", "left").select(F.coalesce("root", "node").alias("_root"), "_first")
+    rest = [F.first(c).alias(c) for c in ("marks", "prefix")]
+    own = stored(base.groupBy("digest", "n").agg(first, *rest).withColumn("node", F.xxhash64("digest", "n")))
+    loose = components(bucket_links(own))
+    members = own.join(loose, "node").select("node", "root", F.col("_first.c").alias(number))
+    texts = base.select(number, F.col(f"c{text}").alias("text")).join(members, number).select("root", "node", "text")
+
+    def linked(batches):
+        import pyarrow as pa
+
+        def at(held):
+            t = pa.Table.from_batches(held)
+            node = t.column("node").to_numpy()
+            roots = node[exact_roots(t.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(roots)], ["node", "_root"])
+
+        yield from one_group_at_a_time(batches, "root", at)
+
+    parts = map_arrow(texts.repartition("root").sortWithinPartitions("root", "node"), linked, "node long, _root long")
+    roots = own.join(parts, "node", "left").select(F.coalesce("_root", "node").alias("_root"), "_first")
     stay = roots.groupBy("_root").agg(F.min("_first").alias("f")).select(F.col("f.c").alias(number))
     return base.join(stay.hint("shuffle_hash"), number, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)])
 

@@ -158,3 +158,31 @@ def test_forest_joins_what_is_alike(monkeypatch, many):
     fp, s = X.sketches(pa.array(texts))
     pairs = X.sketch_links(np.arange(60), fp, X._minima(s), np.ones(60, bool), 0)
     assert all(a // 12 == b // 12 for a, b in pairs) and 50 <= len(pairs) <= 55
+
+
+def remaining(texts):
+    """Places that stay by brute force: the first of each component of texts at a Jaccard of 0.8 or more."""
+    label = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return set(label)
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r.doc_id for r in X.drop_near_duplicates(docs).collect()}
+
+
+def test_truncated_and_appended_copies_go(spark, monkeypatch):
+    monkeypatch.setattr(X, "COMMON", 3, raising=False)
+    texts = []
+    for seed, (n, cut) in enumerate((n, cut) for n in (12, 40, 90, 150, 300, 440, 470, 560, 900, 1500, 3000) for cut in (-0.19, -0.1, 0.12, 0.24, 0.4)):
+        w = [f"{x}{seed}" for x in prose(seed, n)]
+        new = [f"{x}new" for x in prose(1000 + seed, n)]
+        texts += [" ".join(w), " ".join(w[: int(n * (1 + cut))] if cut < 0 else w + new[: int(n * cut)])]
+    texts = random.Random(1).sample(texts, len(texts))
+    want = remaining(texts)
+    assert len(texts) * 0.5 < len(want) < len(texts) * 0.75 and kept(spark, texts) == want
