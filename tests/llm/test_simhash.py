@@ -186,3 +186,9 @@ def test_truncated_and_appended_copies_go(spark, monkeypatch):
     texts = random.Random(1).sample(texts, len(texts))
     want = remaining(texts)
     assert len(texts) * 0.5 < len(want) < len(texts) * 0.75 and kept(spark, texts) == want
+
+
+@pytest.mark.parametrize("pattern", ["order {} has shipped", "order {} has been shipped", "your order {} has been shipped today"])
+def test_short_texts_of_one_pattern_stay(spark, pattern):
+    texts = [pattern.format(i) for i in range(600)] + [pattern.format(7).title()]
+    assert kept(spark, texts) == set(range(600))
