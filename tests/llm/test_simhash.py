@@ -192,3 +192,14 @@ def test_truncated_and_appended_copies_go(spark, monkeypatch):
 def test_short_texts_of_one_pattern_stay(spark, pattern):
     texts = [pattern.format(i) for i in range(600)] + [pattern.format(7).title()]
     assert kept(spark, texts) == set(range(600))
+
+
+def test_only_texts_of_the_similarity_go(spark):
+    texts = []
+    for seed in range(120):
+        n = (60, 200, 500, 900)[seed % 4]
+        w = [f"{x}{seed}" for x in prose(seed, n)]
+        shared = int(n * (0.8, 0.84, 0.87, 0.9)[seed // 4 % 4])  # Jaccard of about 0.67, 0.72, 0.77, 0.82
+        texts += [" ".join(w), " ".join(w[:shared] + [f"other{seed}x{i}" for i in range(n - shared)])]
+    want = remaining(texts)
+    assert len(texts) * 0.75 < len(want) < len(texts) and kept(spark, texts) == want
