@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment over words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment over words.
 
-All n-grams of the test items are counted over the whole corpus. Of every few neighbouring n-grams of an item the rarest
-becomes a seed, so seeds lie all along the item however often it was copied, and common phrases are avoided where they
-can be. A document that holds a seed is aligned, around it, with the seed's item; the score of the best local alignment
-over the item's length tells verbatim copies (1), edited and paraphrased ones, and chance.
+All n-grams of the test items are looked up in the whole corpus, and each that occurs is a seed. A document that holds a
+seed is aligned, around it, with the seed's item; the score of the best local alignment over the item's length tells
+verbatim copies (1), edited and paraphrased ones, and chance. Where no three words in a row are left, a score of a half
+still needs about half of the item's pairs of words, so documents that hold that many of them are aligned as well.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, map_arrow, row_blocks, text_bytes, with_column, word_hashes, words_of
 
-#: Words in a seed, neighbouring n-grams of which one is a seed, the least score, and what alignments count.
-GRAM, SPACING, LEAST = 3, 4, 0.5
+#: Words in a seed, neighbouring n-grams of which one is a seed (1: all), the least score, and what alignments count.
+GRAM, SPACING, LEAST = 3, 1, 0.5
 MATCH, MISMATCH, GAP = 1, -1, -1
 #: Bytes of item text that are sent to every executor at once; more items are worked through in blocks of this size.
 ITEM_BYTES = 16_000_000
@@ -86,11 +86,12 @@ class Items:
         return cls(ids, *_words(raw, np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)), gram)
 
     def seeds(self, counts: dict[int, int], spacing: int) -> np.ndarray:
-        """Places in ``at`` of the seeds: the rarest n-gram of each run of ``spacing``, the first of equals."""
+        """Places in ``at`` of the seeds: of each run of ``spacing`` the rarest n-gram that occurs, the first of equals."""
         item = np.searchsorted(self.rows, self.at, side="right") - 1
         block = (self.at - self.rows[item]) // spacing
         seen = np.array([counts.get(int(h), 0) for h in self.hashes], np.int64)
         order = np.lexsort((self.at, seen, block, item))
+        order = order[seen[order] > 0]
         first = np.ones(len(order), bool)
         first[1:] = (item[order][1:] != item[order][:-1]) | (block[order][1:] != block[order][:-1])
         return order[first]
@@ -127,12 +128,13 @@ def places_to_align(hit: np.ndarray, offset: np.ndarray, doc: np.ndarray, item:
     """(doc, item, first word, word after the last) of the regions around seeds. hit: word at which a seed was found;
     offset: its place in the item; size: words of each hit's item.
 
-    Seeds of an item in a document that point to about the same start share a region. A region of many starts, as in
+    Seeds of an item in a document that point to about the same start share a region, which leaves room for as many gaps
+    as a score of a half allows. A region of many starts, as in
     text that repeats itself, is cut into pieces of four times the item's length that overlap by half, so that any
     alignment of up to twice the item's length lies within one.
     """
     start = hit - offset
-    slack = np.maximum(8, size // 4)
+    slack = np.maximum(8, size // 2)
     order = np.lexsort((start, item, doc))
     start, doc, item, size, slack = (x[order] for x in (start, doc, item, size, slack))
     new = np.ones(len(start), bool)
@@ -159,11 +161,33 @@ def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, ke
     until = np.append(from_[1:], len(order))
     by_item, by_offset = seed_item[order], seed_offset[order]
     words, item_rows, gram, ids = items.words, items.rows, items.gram, items.ids
+    pairs = Items(ids, words, item_rows, 2)
+    pair_order = np.argsort(pairs.hashes, kind="stable")
+    pair_known, pair_from = np.unique(pairs.hashes[pair_order], return_index=True)
+    pair_until = np.append(pair_from[1:], len(pair_order))
+    pair_item = (np.searchsorted(item_rows, pairs.at, side="right") - 1)[pair_order]
+    pair_offset = pairs.at[pair_order] - item_rows[pair_item]
+    item_size = np.diff(item_rows)
+    # With runs of at most two equal words, M - P >= n / 2 (matches, penalties) leaves n / 2 - 1 pairs at least.
+    enough = np.where(item_size >= gram, np.maximum(1, -(-item_size // 2) - 1), 1 << 40)
+
+    def paired(text: np.ndarray, rows: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hits, items and offsets of pairs of words, where a document holds enough different ones of an item."""
+        at, hashes = _grams(text, rows, 2)
+        where, which = lookup.find(hashes)
+        n = pair_until[which] - pair_from[which]
+        spread = np.repeat(pair_from[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        hit = np.repeat(at[where], n)
+        doc, item = np.searchsorted(rows, hit, side="right") - 1, pair_item[spread]
+        pair, back = np.unique(doc * len(item_size) + item, return_inverse=True)
+        different = np.unique(back * len(pair_item) + spread) // max(1, len(pair_item))
+        use = (np.bincount(different, minlength=len(pair)) >= enough[pair % max(1, len(item_size))])[back]
+        return hit[use], item[use], pair_offset[spread][use]
 
     def run(batches):
         import pyarrow as pa
 
-        lookup = Lookup(known)
+        lookup, lookup2 = Lookup(known), Lookup(pair_known)
         for b in batches:
             raw, offsets = text_bytes(b.column(place))
             found: list[list[dict]] = b.column(len(names)).to_pylist()
@@ -173,11 +197,12 @@ def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, ke
                 where, which = lookup.find(hashes)
                 n = until[which] - from_[which]
                 spread = np.repeat(from_[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hit, item = np.repeat(at[where], n), by_item[spread]
+                hit, item, offset = np.repeat(at[where], n), by_item[spread], by_offset[spread]
+                hit, item, offset = (np.concatenate(x) for x in zip((hit, item, offset), paired(text, rows, lookup2)))
                 if not len(hit):
                     continue
                 doc = np.searchsorted(rows, hit, side="right") - 1
-                d, i, s, e = places_to_align(hit, by_offset[spread], doc, item, np.diff(item_rows)[item], rows)
+                d, i, s, e = places_to_align(hit, offset, doc, item, np.diff(item_rows)[item], rows)
                 scores = np.zeros(len(d))
                 for k in range(0, len(d), 20_000):
                     part = slice(k, k + 20_000)

@@ -65,3 +65,30 @@ def test_empty(spark):
     assert X.contaminated_pairs(docs, none).count() == 0
     assert X.find_contaminated(docs, none).count() == len(rows)
     assert X.contaminated_pairs(empty(spark), spark.createDataFrame([(1, "a b c d e")], none.schema)).count() == 0
+
+
+def test_edited_copies_down_to_the_least_score(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefghij", k=4)) for _ in range(3000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice([3, 4, 7, 24, 41, 60])))) for i in range(60)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for k in (4, 5, 6, 9):
+            rows.append([x if p % k != k - 1 else "edit" for p, x in enumerate(w)])
+        rows += [[x if r.random() > share else "edit" for x in w] for share in (0.1, 0.15, 0.2, 0.25)]
+        rows += [[x for x in w if r.random() > 0.2], [y for p, x in enumerate(w) for y in ([x, "new"] if p % 2 else [x])]]
+        rows += [w[: len(w) // 2] + ["new"] * (len(w) // 3) + w[len(w) // 2 :]]
+        rows[-1:] = [rows[-1], rows[-1][::-1]]
+    docs = [(i, " ".join(["before"] * 9 + x + ["after"] * 9)) for i, x in enumerate(rows)] + [(10_000 + i, t) for i, t in items[::2]]
+    of_item = {i: words(t) for i, t in items}
+    want = {}
+    for d, t in docs:
+        for i, x in of_item.items():
+            if len(set(x.tolist()) & set(words(t).tolist())) >= len(x) / 2:
+                score = float(smith_waterman(x, words(t))) / len(x)
+                if score >= X.LEAST:
+                    want[d, i] = round(score, 6)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(p.doc_id, p.item_id): p.score for p in X.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert len(want) > 400 and got == want
