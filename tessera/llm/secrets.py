@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and two character Markov models weighed against each other.
 
-The patterns give the base spans. Other candidates are tokens of 16 or more characters that mix letters and digits; a
-token is a secret when a Markov model of random strings explains its characters better, by a margin per character, than
-one of ordinary identifiers. Both models are trained from labelled samples.
+The patterns give the base spans. Other candidates are tokens of 16 or more characters with a letter among them; a token
+that mixes letters and digits is a secret when a Markov model of random strings explains its characters better, by a
+margin per character, than one of ordinary identifiers. Of other tokens the stretches of 16 or more characters are secrets
+for which it does so by enough in sum, whatever stands beside them. Both models are trained from labelled samples.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: What may be a secret by the models: runs of these characters, the shortest of them, and the margin in nats a character.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MARGIN = 0.35
+#: Of stretches of a token: the shortest, and the nats in sum from which one is a secret.
+SHORTEST, EVIDENCE = 16, 10.0
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(256, len(ALPHABET), np.uint8)
@@ -102,6 +105,32 @@ class Judge:
         codes = _CODE[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
         return float(self.ratio[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
+    def stretches(self, token: str, margin: float) -> list[tuple[int, int]]:
+        """Stretches of SHORTEST or more characters, a letter among them, whose ratios reach EVIDENCE in sum: that with
+        the greatest sum above the margin first, then those of what is left beside it. Each goes on to the next of
+        ``/=_-`` on both sides."""
+        codes = _CODE[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
+        total = np.concatenate([[0.0], np.cumsum(self.ratio[codes[:-1], codes[1:]])])
+        out, left = [], [(0, len(token))]
+        while left:
+            lo, hi = left.pop()
+            if hi - lo < SHORTEST:
+                continue
+            above = total[lo:hi] - margin * np.arange(hi - lo)
+            least = np.minimum.accumulate(above[: len(above) - SHORTEST + 1])
+            e = int((above[SHORTEST - 1 :] - least).argmax())
+            a, b = lo + int(above[: e + 1].argmin()), lo + e + SHORTEST
+            if total[b - 1] - total[a] < EVIDENCE:
+                continue
+            while a > lo and token[a - 1] not in "/=_-":
+                a -= 1
+            while b < hi and token[b] not in "/=_-":
+                b += 1
+            if re.search("[A-Za-z]", token[a:b]):
+                out.append((a, b))
+            left += [(lo, a), (b, hi)]
+        return sorted(out)
+
 
 Span = tuple[int, int, str]
 
@@ -123,20 +152,27 @@ def ordered(spans: Iterable[Span]) -> list[Span]:
 
 
 def random_spans(text: str, base: list[Span], judge: Judge, margin: float) -> list[Span]:
-    """What the models add: candidates that overlap no base span."""
+    """What the models add: candidates, or stretches of them, without what base spans cover."""
     out = []
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+        token, at = m[0], m.start()
+        if not re.search("[A-Za-z]", token):
+            continue
+        covered = sorted((a, b) for a, b, _ in base if a < m.end() and at < b)
+        if not covered and re.search("[0-9]", token) and judge.score(token) >= margin:
+            out.append((at, m.end(), "random"))
             continue
-        if all(m.end() <= a or b <= m.start() for a, b, _ in base) and judge.score(token) >= margin:
-            out.append((m.start(), m.end(), "random"))
+        for start, end in judge.stretches(token, margin):
+            start, end = at + start, at + end
+            for a, b in [*covered, (end, end)]:
+                if start < min(a, end) and re.search("[A-Za-z0-9]", text[start : min(a, end)]):
+                    out.append((start, min(a, end), "random"))
+                start = max(start, b)
     return out
 
 
 def may_hold(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which rows can hold any span: a run of 16 or more candidate characters with a digit or AKIA in it or
-    32 of any, or an assignment sign. A necessary condition, read off the bytes of a whole batch at once."""
+    """Which rows can hold any span: a run of 16 or more candidate characters, or an assignment sign. A necessary condition, read off the bytes of a whole batch at once."""
     n = len(offsets) - 1
     if not len(raw):
         return np.zeros(n, bool)
@@ -147,9 +183,8 @@ def may_hold(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     long = ends - starts >= 16
     starts, ends = starts[long], ends[long]
     # A run may go on over the end of a row into the next; all rows that it touches are looked at.
-    for a, b, i, j in zip(starts, ends, row(starts), row(ends - 1)):
-        if b - a >= 32 or ((raw[a:b] >= 48) & (raw[a:b] <= 57)).any() or b"AKIA" in raw[a:b].tobytes():
-            flag[i : j + 1] = True
+    for i, j in zip(row(starts), row(ends - 1)):
+        flag[i : j + 1] = True
     flag[row(np.flatnonzero((raw == 61) | (raw == 58)))] = True
     return flag
 

@@ -60,3 +60,25 @@ def test_table(spark):
     clean = X.scan_secrets(docs, keep=docs.columns, redact="[S]", out="_spans").where("doc_id = 77").first()
     assert clean.text == 'é [S]" and [S] here'
     assert X.secret_digest(empty(spark)).count() == 0
+
+
+def test_keys_beside_ordinary_characters():
+    import random
+
+    judge, r = X.Judge(X.labelled_samples()), random.Random(3)
+    letters, plain = X.ALPHABET[:52], X.ALPHABET[:62]
+    cases = [("service_account_access_key=", 24, plain), ("com/services/project/config/access/", 24, plain), ("STRIPE_LIVE_KEY=", 24, plain)]
+    cases += [("client_credentials=", 32, plain), ("AWS_SECRET_ACCESS_KEY=", 40, plain), ("", 24, letters)]
+    for before, n, alphabet in cases:
+        whole = 0
+        for _ in range(200):
+            text = f"see {before}{''.join(r.choices(alphabet, k=n))}, then"
+            spans = X.random_spans(text, X.base_spans(text), judge, X.MARGIN)
+            whole += any(a <= 4 + len(before) and b == len(text) - 6 for a, b, _ in spans)
+        assert whole >= 190, before
+    for _ in range(200):
+        text = "AKIA" + "".join(r.choices(X.ALPHABET[:26], k=14)) + "q" + "".join(r.choices(plain, k=30))
+        base = X.base_spans(text)
+        assert len(X.replaced(text, X.ordered([*base, *X.random_spans(text, base, judge, X.MARGIN)]), "")) == 0
+    names = [s for s, y in X.labelled_samples(2000, seed=11) if not y] + ["das_Einheitsverarbeitung", "internationalization", "https/example/documents/library"]
+    assert sum(bool(X.random_spans(s, [], judge, X.MARGIN)) for s in names) <= len(names) // 200
