@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, map_arrow, mix, row_blocks, stored, text_bytes
+from .common import digests, eights, map_arrow, mix, row_blocks, stored, text_bytes
 from .induced import suffixes
 
 GRAM = 20
@@ -26,17 +26,24 @@ _LEN_BITS = 20
 TWICE = 1 << (_LEN_BITS - 1)
 
 
-def _stretches(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, seed, content, start in the row, bytes) of all stretches of some texts; bytes has TWICE added where the
-    seed stands more than once in the stretch."""
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM = 20 bytes from each place on; it only chooses seeds."""
+    view, n = eights(raw), len(raw) - GRAM + 1
+    with np.errstate(over="ignore"):
+        h = view[:n] * np.uint64(0xD6E8FEB86659FD93)
+        h ^= mix(view[8 : n + 8] + h)
+        return mix(h + (view[12 : n + 12] >> np.uint64(32)))
+
+
+def _stretches(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(row, seed, 96 bits of content in two, start in the row, bytes) of all stretches of some texts; bytes has TWICE
+    added where the seed stands more than once in the stretch."""
     n = len(raw) - window + 1
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
-    r = Rolling(raw.astype(np.uint64) + np.uint64(1))
-    at = np.arange(len(raw) - GRAM + 1)
-    least = grams = r.of(at, at + GRAM)
+        return z, z, z, z.astype(np.int32), z, z
+    least = grams = _grams(raw)
     width, reach = window - GRAM + 1, 1
     while reach * 2 <= width:
         least = np.minimum(least[: len(least) - reach], least[reach:])
@@ -62,7 +69,8 @@ def _stretches(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
     begins = np.cumsum(held) - held
     inside = np.arange(held.sum()) + np.repeat(first - begins, held)
     times = np.add.reduceat((grams[inside] == np.repeat(seed, held)).astype(np.int32), begins) if len(first) else held
-    return row[first], seed.view(np.int64), r.of(first, end).view(np.int64), first - offsets[row[first]], end - first + TWICE * (times > 1)
+    s, t = digests(raw.tobytes(), first, end)
+    return row[first], seed.view(np.int64), s, t, first - offsets[row[first]], end - first + TWICE * (times > 1)
 
 
 def _segments(raw: np.ndarray, offsets: np.ndarray, window: int):
@@ -77,7 +85,8 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, window: int):
                 yield i, raw[offsets[i] + a : offsets[i] + e], np.array([0, e - a]), a
 
 
-_SCHEMA = "k long, s long, d long, place long, done boolean"
+_SCHEMA = "k long, s long, t int, d long, place long, done boolean"
+_NAMES = ["k", "s", "t", "d", "place", "done"]
 
 
 def _pack(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -85,17 +94,17 @@ def _pack(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (start << _LEN_BITS) | size
 
 
-def _collapse(k: np.ndarray, s: np.ndarray, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _collapse(k: np.ndarray, s: np.ndarray, t: np.ndarray, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """The first of equal stretches stays with its seed; the others are done, and dealt by document."""
-    order = np.lexsort((place, d, s, k))
-    k, s, d, place = k[order], s[order], d[order], place[order]
+    order = np.lexsort((place, d, t, s, k))
+    k, s, t, d, place = (x[order] for x in (k, s, t, d, place))
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
     same = ~new & (d == d[first]) & (place == place[first])
     done = ~new & ~same
     k = np.where(done, mix(d.view(np.uint64)).view(np.int64), k)
-    return k[~same], s[~same], d[~same], place[~same], done[~same]
+    return *(x[~same] for x in (k, s, t, d, place)), done[~same]
 
 
 def _settle(rows: DataFrame) -> DataFrame:
@@ -105,20 +114,20 @@ def _settle(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int32 if i == 2 else np.int64) for i in range(5)]
         for b in batches:
-            done = b.column(4).to_numpy(zero_copy_only=False)
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            out = [(cols[2][done], cols[3][done], cols[0][done])]
+            done = b.column(5).to_numpy(zero_copy_only=False)
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            out = [(cols[3][done], cols[4][done], cols[0][done])]
             own = len(held[0])
-            k, s, d, place = (np.concatenate([h, c[~done]]) for h, c in zip(held, cols))
+            k, s, t, d, place = now = [np.concatenate([h, c[~done]]) for h, c in zip(held, cols)]
             flags = int(done.sum())
             if len(k):
                 at = np.arange(len(k))
                 new_k = np.ones(len(k), bool)
                 new_k[1:] = k[1:] != k[:-1]
                 new_s = new_k.copy()
-                new_s[1:] |= s[1:] != s[:-1]
+                new_s[1:] |= (s[1:] != s[:-1]) | (t[1:] != t[:-1])
                 run_first, class_first = (np.maximum.accumulate(np.where(x, at, 0)) for x in (new_k, new_s))
                 number = np.cumsum(new_s)
                 number -= number[run_first]
@@ -131,12 +140,12 @@ def _settle(rows: DataFrame) -> DataFrame:
                 out += [(d[x], place[x], k[x]) for x in (again, look)]
                 flags += len(again)
                 last = [run_first[-1]] if number[-1] == 0 else [run_first[-1], class_first[-1]]
-                held = [x[last] for x in (k, s, d, place)]
+                held = [x[last] for x in now]
             d2, p2, k2 = (np.concatenate(x) for x in zip(*out))
             if len(d2):
                 yield pa.RecordBatch.from_arrays([pa.array(d2), pa.array(p2), pa.array(k2), pa.array(np.arange(len(d2)) >= flags)], ["d", "place", "k", "examine"])
 
-    return map_arrow(rows.repartition("k").sortWithinPartitions("k", "s", "d", "place"), run, "d long, place long, k long, examine boolean")
+    return map_arrow(rows.repartition("k").sortWithinPartitions("k", "s", "t", "d", "place"), run, "d long, place long, k long, examine boolean")
 
 
 def repeated_in(pieces: list[bytes], window: int) -> list[np.ndarray]:
@@ -179,12 +188,12 @@ def repeated_ranges(docs: DataFrame, window: int = 100) -> DataFrame:
             raw, offsets = text_bytes(b.column(1))
             parts = []
             for i, part, off, a in _segments(raw, offsets, window):
-                row, k, s, start, size = _stretches(part, off, window)
-                parts.append((k, s, d[i + row], _pack(start + a, size)))
+                row, k, s, t, start, size = _stretches(part, off, window)
+                parts.append((k, s, t, d[i + row], _pack(start + a, size)))
             if parts:
                 out = _collapse(*(np.concatenate(x) for x in zip(*parts)))
                 for m in range(0, len(out[0]), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[m : m + 200_000]) for x in out], ["k", "s", "d", "place", "done"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[m : m + 200_000]) for x in out], _NAMES)
 
     def written(batches):
         import pyarrow as pa
@@ -238,7 +247,7 @@ def repeated_ranges(docs: DataFrame, window: int = 100) -> DataFrame:
 
     settled = stored(_settle(map_arrow(docs.where(F.octet_length("text") >= window), parted, _SCHEMA)))
     close = settled.where("examine").groupBy("d").agg(F.collect_list(F.struct("k", "place")).alias("wanted"))
-    texts = docs.join(close.hint("shuffle_hash"), "d").select("d", "text", "wanted")
+    texts = docs.join(close, "d").select("d", "text", "wanted")
     pieces = map_arrow(texts, written, "k long, d long, place long, body binary")
     near = map_arrow(pieces.repartition("k").sortWithinPartitions("k"), searched, "d long, start long, size long")
     far = settled.where("not examine").select("d", F.shiftright("place", _LEN_BITS).alias("start"), F.col("place").bitwiseAND(TWICE - 1).alias("size"))
@@ -259,7 +268,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, id_col: str = "doc
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"))
     ranges = repeated_ranges(base.where("d is not null and text is not null").select("d", "text"), window)
-    both = base.join(ranges.hint("shuffle_hash"), "d", "left").select("_id", "text", "ranges")
+    both = base.join(ranges, "d", "left").select("_id", "text", "ranges")
 
     def run(batches):
         import pyarrow as pa

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,13 +37,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one is set in local mode,
+    whose only process reads and writes it; on a cluster it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(sc, "_tessera_shared", None)
-        if not found:
-            found = sc._tessera_shared = tempfile.mkdtemp(prefix="tessera-shared-")
+    if not found:
+        if re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = sc._tessera_shared = tempfile.mkdtemp(prefix="tessera-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
@@ -83,9 +87,10 @@ def with_column(keep, column: str) -> tuple[list[str], int]:
 # ---------------------------------------------------------------- hashing in numpy
 
 _U = np.uint64
-#: Odd, so invertible modulo 2^64; any odd number with well mixed bits will do.
-BASE = _U(0x9E3779B97F4A7C15 | 1)
-BASE_INV = _U(pow(int(BASE), -1, 1 << 64))
+#: What chains of mixed values start from; any number with well mixed bits will do.
+_START = _U(0x9E3779B97F4A7C15)
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,36 +104,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, by doubling."""
-    out = np.ones(max(n, 1), dtype=np.uint64)
-    done, top = 1, base
-    with np.errstate(over="ignore"):
-        while done < n:
-            more = min(done, n - done)
-            out[done : done + more] = out[:more] * top
-            done += more
-            top = top * top
-    return out[:n]
-
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian integer; zeros stand behind the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
-class Rolling:
-    """Hashes of any ranges of a sequence of 64-bit values, from one cumulative sum modulo 2^64.
-
-    Equal ranges get equal hashes wherever they stand; the result is mixed with the range's length.
-    """
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.back = powers(BASE_INV, n + 1)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * powers(BASE, n), out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            raw = (self.sums[end] - self.sums[start]) * self.back[start]
-            return mix(raw + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+def runs(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of n values in a row from each of some places, in their order; each step is mixed."""
+    h = np.full(len(at), _START + _U(n))
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            h = mix(h + values[at + j])
+    return h
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each range of bytes, as a long and an int: XXH3 of the bytes themselves, so ranges that are equal there
+    are taken to be equal. Among 10^12 different ranges any two agree with a chance of 6e-6."""
+    from xxhash import xxh3_128_digest
+
+    found = b"".join([xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(found, np.dtype([("s", "<i8"), ("t", "<i4"), ("rest", "<i4")]))
+    return both["s"].copy(), both["t"].copy()
+
+
+def among(s: np.ndarray, t: np.ndarray, of_s: np.ndarray, of_t: np.ndarray) -> np.ndarray:
+    """Which pairs (s, t) are among others."""
+    every_s, every_t = np.concatenate([s, of_s]), np.concatenate([t, of_t])
+    order = np.lexsort((every_t, every_s))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(every_s[order]) != 0) | (np.diff(every_t[order]) != 0)
+    group = np.cumsum(new) - 1
+    there = np.zeros(len(order), bool)
+    there[group[order >= len(s)]] = True
+    out = np.zeros(len(s), bool)
+    own = order < len(s)
+    out[order[own]] = there[group[own]]
+    return out
 
 
 #: The bytes that part words: space, and tab to carriage return.
@@ -178,14 +191,31 @@ def row_blocks(offsets: np.ndarray, most: int = 2_000_000):
         a = min(b, n)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word, from its bytes alone."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + at_once, side="right")))
-        lo = starts[a]
-        r = Rolling(raw[lo : ends[b - 1]].astype(np.uint64) + _U(1))
-        out[a:b] = r.of(starts[a:b] - lo, ends[a:b] - lo)
-        a = b
-    return out
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from its bytes alone: eight bytes at a time, each step mixed, or XXH3 of long ones."""
+    from xxhash import xxh3_64_intdigest
+
+    size, view = ends - starts, eights(raw)
+    h = mix(_START + size.astype(np.uint64))
+    going = np.flatnonzero(size <= LONG_WORD)
+    at, left = starts[going], size[going]
+    while len(going):
+        chunk = view[at] & (_U(2**64 - 1) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64))
+        h[going] = mix(h[going] ^ chunk)
+        more = left > 8
+        going, at, left = going[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def one_space(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words, each followed by one space, and where they start and end there. Ranges of words are equal where their
+    bytes are, whatever parted them in the text."""
+    size = ends - starts
+    new_ends = np.cumsum(size + 1) - 1
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    letters = np.ones(len(out), bool)
+    letters[new_ends] = False
+    out[letters] = raw[~IS_SPACE[raw]]
+    return out.tobytes(), new_ends - size, new_ends

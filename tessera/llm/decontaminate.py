@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, map_arrow, row_blocks, text_bytes, with_column, word_hashes, words_of
+from .common import map_arrow, row_blocks, runs, text_bytes, with_column, word_hashes, words_of
 
 #: Words in a seed, neighbouring n-grams of which one is a seed (1: all), the least score, and what alignments count.
 GRAM, SPACING, LEAST = 3, 1, 0.5
@@ -43,7 +43,7 @@ def _grams(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.
     whole = np.arange(max(0, len(words) - n + 1))
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[: len(whole)]
     at = whole[whole + n <= rows[row + 1]]
-    return at, Rolling(words).of(at, at + n)
+    return at, runs(words, at, n)
 
 
 class Lookup:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, map_arrow, mix, row_blocks, stored, text_bytes, with_column, word_hashes, words_of
+from .common import map_arrow, mix, row_blocks, runs, stored, text_bytes, with_column, word_hashes, words_of
 from .components import components
 from .packing import one_group_at_a_time
 
@@ -219,113 +219,10 @@ def _roots(fps: DataFrame, threshold: int) -> DataFrame:
     return fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"))
 
 
-# ---------------------------------------------------------------- texts of a given similarity
-
-#: Words in a shingle, differing bits, and the similarity that sketches have to show, for ``drop_near_duplicates``. It lies
-#: a little below the 0.8 that is meant, by half of what sketches err by, so that more of those at 0.8 are found.
-SHINGLE, DIFFERING, SHOWN = 5, 7, 0.75
-#: Minima in a sketch, each kept as four bits: unlike ones agree by chance once in 16 times.
-MINIMA = 64
-AGREEING = round(MINIMA * (SHOWN * 15 + 1) / 16)
-
-
-def sketches(column) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text (an Arrow column): a SimHash of its distinct words, and MINIMA half bytes of MinHash of its shingles.
-
-    Words are as in ``fingerprint``. Minima at one place of two sketches agree as often as shingles are shared.
-    A text of fewer than five words is one shingle; without words all is 0.
-    """
-    raw, offsets = text_bytes(column)
-    n = len(offsets) - 1
-    fps, out = np.zeros(n, np.uint64), np.zeros((n, MINIMA // 2), np.uint8)
-    for lo, hi in row_blocks(offsets, 500_000):
-        part = _LOWER_TABLE[raw[offsets[lo] : offsets[hi]]]
-        starts, ends, rows = words_of(part, offsets[lo : hi + 1] - offsets[lo])
-        if not len(starts):
-            continue
-        words, size = word_hashes(part, starts, ends), np.diff(rows)
-        doc = np.repeat(np.arange(hi - lo), size)
-        # distinct words of each text, their bits counted
-        order = np.lexsort((words, doc))
-        w, d = words[order], doc[order]
-        first = np.ones(len(w), bool)
-        first[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-        w, d = w[first], d[first]
-        begins = np.flatnonzero(np.diff(d, prepend=-1))
-        bits = np.unpackbits(mix(w ^ _U(42)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
-        total = np.diff(np.append(begins, len(w)))
-        fps[lo + d[begins]] = np.packbits(counts * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        # the least hash of each text's shingles in each of MINIMA parts of their range; an empty part takes the next one's
-        at = np.arange(len(words))
-        place = at - rows[doc]
-        use = np.flatnonzero((place == 0) | (place + SHINGLE <= size[doc]))
-        h = Rolling(words).of(use, np.minimum(use + SHINGLE, rows[doc[use] + 1]))
-        key = doc[use] * MINIMA + (h >> _U(58)).astype(np.int64)
-        order = np.lexsort((h, key))
-        h, key = h[order], key[order]
-        first = np.ones(len(h), bool)
-        first[1:] = key[1:] != key[:-1]
-        least, there = np.zeros((hi - lo, MINIMA), np.uint64), np.zeros((hi - lo, MINIMA), bool)
-        least.ravel()[key[first]], there.ravel()[key[first]] = h[first], True
-        while (there.any(axis=1, keepdims=True) & ~there).any():
-            empty = ~there & np.roll(there, -1, axis=1)
-            least, there = np.where(empty, np.roll(least, -1, axis=1), least), there | empty
-        half = np.where(there, mix(least) & _U(15), 0).astype(np.uint8)
-        out[lo:hi] = half[:, ::2] << 4 | half[:, 1::2]
-    return fps, out
-
-
-def _minima(sketch: np.ndarray) -> np.ndarray:
-    return np.concatenate([sketch >> 4, sketch & 15], axis=1)
-
-
-def _alike(fp: np.ndarray, sketch: np.ndarray, own: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place in own, place in members) that differ in few bits and whose sketches agree."""
-    i, j = np.nonzero(np.bitwise_count(fp[own, None] ^ fp[members][None, :]) <= DIFFERING)
-    good = np.zeros(len(i), bool)
-    for k in range(0, len(i), 1 << 20):
-        a, b = own[i[k : k + (1 << 20)]], members[j[k : k + (1 << 20)]]
-        good[k : k + (1 << 20)] = (sketch[a] == sketch[b]).sum(axis=1) >= AGREEING
-    return i[good], j[good]
-
-
-def sketch_links(node: np.ndarray, fp: np.ndarray, sketch: np.ndarray, home: np.ndarray, block: int) -> list[tuple[int, int]]:
-    """Links between the texts at one anchor of a block of 16 bits: a forest of those that are alike.
-
-    Of many members only those are compared that agree in one of eight groups of six other bits, which two that differ in
-    at most seven do.
-    """
-    label, out = np.arange(len(fp)), []
-
-    def compare(members: np.ndarray) -> None:
-        own = members[home[members]]
-        step = max(1, BLOCK // max(1, len(members)))
-        for a in range(0, len(own), step):
-            i, j = _alike(fp, sketch, own[a : a + step], members)
-            cuts = np.flatnonzero(np.diff(i, prepend=-1))
-            for s, e in zip(cuts, [*cuts[1:], len(i)]):
-                roots = np.unique(label[members[j[s:e]]])
-                if len(roots) > 1:
-                    out.extend((int(node[roots[0]]), int(node[r])) for r in roots[1:])
-                    label[np.isin(label, roots)] = roots[0]
-
-    if len(fp) <= MANY:
-        compare(np.arange(len(fp)))
-        return out
-    low = fp & _U((1 << (16 * block)) - 1)
-    others = low | ((fp >> _U(16 * block + 16)) << _U(16 * block)) if block < 3 else low
-    for k in range(8):
-        bits = (others >> _U(6 * k)) & _U(63)
-        order = np.argsort(bits, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bits[order])) + 1):
-            if len(part) > 1 and home[part].any():
-                compare(part)
-    return out
-
-
 # ---------------------------------------------------------------- texts of a given similarity, exactly
 
+#: Words in a shingle, and half bytes of MinHash in the marks of long texts.
+SHINGLE, MINIMA = 5, 64
 #: Texts are near-duplicates from OVER / UNDER of their shingles on. Bits of a parity sketch; shingles from which a text has
 #: minima instead; how many of MINIMA must agree there: 52 do on average at 0.8, fewer than LOOSE once in 1e9.
 OVER, UNDER = 4, 5
@@ -345,9 +242,12 @@ def shingle_sets(column):
         size = np.diff(rows)
         doc = np.repeat(np.arange(hi - lo), size)
         place = np.arange(len(starts)) - rows[doc]
-        use = np.flatnonzero((place == 0) | (place + SHINGLE <= size[doc]))
-        h = Rolling(word_hashes(part, starts, ends)).of(use, np.minimum(use + SHINGLE, rows[doc[use] + 1]))
-        doc = doc[use]
+        words, whole = word_hashes(part, starts, ends), np.flatnonzero(place + SHINGLE <= size[doc])
+        found, where = [runs(words, whole, SHINGLE)], [doc[whole]]
+        for n in range(1, SHINGLE):
+            where.append(np.flatnonzero(size == n))
+            found.append(runs(words, rows[where[-1]], n))
+        h, doc = np.concatenate(found), np.concatenate(where)
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         first = np.ones(len(h), bool)

@@ -4,7 +4,7 @@ Word positions of a document whose remainder by PERIOD lies in COVER are anchors
 for any two positions there is a shift below PERIOD that brings both onto anchors. Two equal windows of 50 words
 therefore hold a pair of anchors at the same place within the first 31 words, and the 20 words from there on, which end
 inside the window, are equal. Only these 20 words are hashed and compared; a match is then extended to all windows
-through the anchor.
+through the anchor. Words are compared by 96-bit digests of their own bytes (``common.digests``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classes import SCHEMA, collapse, settle
-from .common import Rolling, map_arrow, row_blocks, stored, text_bytes, word_hashes, words_of
+from .classes import NAMES, SCHEMA, collapse, settle
+from .common import among, digests, map_arrow, one_space, row_blocks, stored, text_bytes, words_of
 
 # A perfect difference set modulo 31. Each remainder but 0 is the difference of exactly one pair.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -29,7 +29,7 @@ class Anchors:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int):
         self.window, self.length = window, window - PERIOD + 1
         starts, ends, self.rows = words_of(raw, offsets)
-        self.hashes = Rolling(word_hashes(raw, starts, ends))
+        self.data, self.begins, self.stops = one_space(raw, starts, ends)
         size = np.diff(self.rows)
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(starts)) - self.rows[row]
@@ -39,21 +39,24 @@ class Anchors:
         self.start = np.maximum(self.at - (PERIOD - 1), self.rows[self.row])
         self.end = np.minimum(self.at + window, self.rows[self.row + 1])
 
+    def _of(self, first: np.ndarray, n) -> tuple[np.ndarray, np.ndarray]:
+        return digests(self.data, self.begins[first], self.stops[first + n - 1])
+
     def seeds(self) -> np.ndarray:
-        return self.hashes.of(self.at, self.at + self.length).view(np.int64)
+        return self._of(self.at, self.length)[0]
 
-    def around(self) -> np.ndarray:
-        """A hash of all the words that windows through the anchor cover; equal ones hold the same windows."""
-        return self.hashes.of(self.start, self.end).view(np.int64)
+    def around(self) -> tuple[np.ndarray, np.ndarray]:
+        """A digest of all the words that windows through the anchor cover; equal ones hold the same windows."""
+        return self._of(self.start, self.end - self.start)
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of all windows through the anchors named, each once."""
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words and digests of all windows through the anchors named, each once."""
         if not len(which):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         n = self.end[which] - self.window - self.start[which] + 1
         first = np.repeat(self.start[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         first = np.unique(first)
-        return first, self.hashes.of(first, first + self.window).view(np.int64)
+        return first, *self._of(first, self.window)
 
 
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -65,8 +68,8 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """docs (d long, text) to (d, marks array<long>): the hashes of what of a document also starts in one of a smaller
-    number: whole surroundings of anchors, and single windows. Documents without any are left out.
+    """docs (d long, text) to (d, marks array<struct<s, t, single>>): the digests of what of a document also starts in one
+    of a smaller number: whole surroundings of anchors, and single windows. Documents without any are left out.
 
     Three shuffles carry numbers only; the texts of documents that have to be examined are shuffled once. Equal rows
     are combined before each shuffle, and what many documents share is settled in sorted streams, so neither copies nor
@@ -84,11 +87,11 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
             parts = []
             for i, j in row_blocks(offsets):
                 a = Anchors(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)
-                parts.append((a.seeds(), a.around(), d[i + a.row]))
+                parts.append((a.seeds(), *a.around(), d[i + a.row]))
             if parts:
                 out = collapse(*(np.concatenate(x) for x in zip(*parts)))
                 for m in range(0, len(out[0]), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[m : m + 200_000]) for x in out], ["k", "s", "d", "done"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[m : m + 200_000]) for x in out], NAMES)
 
     def examined(batches):
         import pyarrow as pa
@@ -99,19 +102,20 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
             parts = []
             for i in range(b.num_rows):
                 a = Anchors(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), window)
-                w = np.unique(a.windows(np.flatnonzero(np.isin(a.around(), np.asarray(b.column(2)[i].values))))[1])
-                parts.append((w, w, np.full(len(w), d[i])))
+                wanted = b.column(2)[i].values
+                _, s, t = a.windows(np.flatnonzero(among(*a.around(), np.asarray(wanted.field(0)), np.asarray(wanted.field(1)))))
+                parts.append((s, s, t, np.full(len(s), d[i])))
             if parts:
                 out = collapse(*(np.concatenate(x) for x in zip(*parts)))
                 for m in range(0, len(out[0]), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[m : m + 200_000]) for x in out], ["k", "s", "d", "done"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[m : m + 200_000]) for x in out], NAMES)
 
     found = stored(settle(map_arrow(docs, anchored, SCHEMA)))
-    close = found.where("examine").groupBy("d").agg(F.collect_set("s").alias("s"))
-    texts = docs.join(close.hint("shuffle_hash"), "d").select("d", "text", "s")
+    close = found.where("examine").groupBy("d").agg(F.collect_set(F.struct("s", "t")).alias("wanted"))
+    texts = docs.join(close, "d").select("d", "text", "wanted")
     single = settle(map_arrow(texts, examined, SCHEMA))
-    marks = found.where("not examine").select("d", "s").unionByName(single.select("d", "s"))
-    return marks.groupBy("d").agg(F.collect_set("s").alias("marks"))
+    both = found.where("not examine").withColumn("single", F.lit(False)).unionByName(single.withColumn("single", F.lit(True)))
+    return both.groupBy("d").agg(F.collect_set(F.struct("s", "t", "single")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -127,7 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"))
     marks = repeated_windows(base.where("d is not null").select("d", "text"), window)
-    both = base.join(marks.hint("shuffle_hash"), "d", "left").select("_id", "text", "marks")
+    both = base.join(marks, "d", "left").select("_id", "text", "marks")
 
     def run(batches):
         import pyarrow as pa
@@ -139,11 +143,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 words = data.split()
                 kept = words
                 if found.is_valid:
-                    raw, wanted = np.frombuffer(data, np.uint8), np.asarray(found.values)
+                    raw, (s, t, single) = np.frombuffer(data, np.uint8), (found.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))
                     a = Anchors(raw, np.array([0, len(raw)]), window)
-                    whole = np.isin(a.around(), wanted)
-                    first, hashes = a.windows(np.arange(len(a.at)))
-                    first = first[np.isin(hashes, wanted)]
+                    whole = among(*a.around(), s[~single], t[~single])
+                    first, ws, wt = a.windows(np.flatnonzero(~whole) if single.any() else np.zeros(0, np.int64))
+                    first = first[among(ws, wt, s[single], t[single])]
                     gone = _covered(len(words), np.concatenate([a.start[whole], first]), np.concatenate([a.end[whole], first + window]))
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 joined = b" ".join(kept)

@@ -41,6 +41,23 @@ def test_words(spark, seed, window):
     assert sorted([tuple(r) for r in got], key=str) == words_brute(rows, window)
 
 
+def twins(n):
+    """Two texts of n letters that differ at every place, in the order that polynomials modulo a power of two can't tell."""
+    one = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[x ^ k] for x in one) for k in (0, 1)]
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = twins(4096)
+    rest = [f"w{i}" for i in range(60)]
+    orders = [" ".join({"a": "one", "b": "two"}[c] for c in t) for t in (a, b)]
+    rows = [(0, " ".join([a, *rest[:49]])), (1, " ".join([b, *rest[:49]])), (2, " ".join([a, *rest[:49]])), (3, orders[0]), (4, orders[1]), (5, "long " * 400_000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    want = {r[0]: r[2] for r in words_brute(rows, 50)}
+    assert got == want and (got[0], got[1], got[2]) == (0, 0, 50)
+
+
 def test_words_empty(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
     with pytest.raises(ValueError, match="window"):
@@ -53,7 +70,7 @@ def test_settle_over_batches(spark):
     rows = [(k, k * 10 + r.randint(0, 2), d) for k, _, d in rows]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        df = spark.createDataFrame([(*x, False) for x in rows], classes.SCHEMA)
+        df = spark.createDataFrame([(k, s, -s, d, False) for k, s, d in rows], classes.SCHEMA)
         got = {tuple(x) for x in classes.settle(df).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -61,7 +78,7 @@ def test_settle_over_batches(spark):
     for k, s, d in rows:
         first[k, s] = min(d, first.get((k, s), d))
     several = {k for k, _ in first if len([1 for x in first if x[0] == k]) > 1}
-    want = {(d, s, False) for k, s, d in rows if d > first[k, s]} | {(d, s, True) for (k, s), d in first.items() if k in several}
+    want = {(d, s, -s, False) for k, s, d in rows if d > first[k, s]} | {(d, s, -s, True) for (k, s), d in first.items() if k in several}
     assert got == want
 
 

@@ -109,21 +109,6 @@ def prose(seed, n=300):
     return ["".join(r.choices(["th", "er", "on", "an", "re", "ed", "ti", "es", "ou", "in"], k=r.randint(1, 4))) for _ in range(n)]
 
 
-def test_sketches_tell_the_similarity():
-    import pyarrow as pa
-
-    for edits in (1, 4, 12, 40):
-        for seed in range(6):
-            w = prose(seed)
-            v = list(w)
-            for p in random.Random(seed).sample(range(300), edits):
-                v[p] = "edited"
-            a, b = " ".join(w), "\n".join(v).title()
-            _, s = X.sketches(pa.array([a, None, b, ""]))
-            share = (X._minima(s)[0] == X._minima(s)[2]).mean()
-            assert abs((share * 16 - 1) / 15 - jaccard(a, b)) < 0.2 and not s[1].any() and not s[3].any()
-
-
 def test_one_of_each_group_stays(spark):
     docs, rows = awkward(spark)
     near = [" ".join(prose(s)) for s in range(5)]
@@ -140,26 +125,12 @@ def test_one_of_each_group_stays(spark):
     for r in kept:
         left.remove(r)
     for i, t in left:
-        better = [x for k, x in kept if (k is None, k or 0) <= (i is None, i or 0)]
-        assert max(jaccard(t, x) for x in better) >= 0.6
+        others = [x for _, x in rows]
+        others.remove(t)
+        assert max(jaccard(t, x) for x in others) >= 0.8
     assert X.drop_near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("many", [2048, 8])
-def test_forest_joins_what_is_alike(monkeypatch, many):
-    import pyarrow as pa
-
-    monkeypatch.setattr(X, "MANY", many)
-    texts = []
-    for i in range(60):
-        w = prose(i // 12)
-        w[(i * 7) % 300] = f"x{i}"
-        texts.append(" ".join(w))
-    fp, s = X.sketches(pa.array(texts))
-    pairs = X.sketch_links(np.arange(60), fp, X._minima(s), np.ones(60, bool), 0)
-    assert all(a // 12 == b // 12 for a, b in pairs) and 50 <= len(pairs) <= 55
-
-
 def remaining(texts):
     """Places that stay by brute force: the first of each component of texts at a Jaccard of 0.8 or more."""
     label = list(range(len(texts)))
