@@ -42,6 +42,11 @@ def env_lines(entries: DataFrame) -> DataFrame:
     return entries.select("ord", F.concat_ws("=", "key", "value").alias("value")).repartition(1).sortWithinPartitions("ord").select("value")
 
 
+def write_env(entries: DataFrame, path: str) -> None:
+    """A folder with one text file of KEY=VALUE lines, in the entries' order."""
+    env_lines(entries).write.mode("overwrite").text(path)
+
+
 def load_config(spark, path: str) -> DataFrame:
     """One row with the nested fields of a JSON file, or of a YAML file where a YAML library is installed; a missing
     file is an error."""

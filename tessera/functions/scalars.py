@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,6 +86,19 @@ def host_of(address: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(address, "^[a-z]+://", ""), "[/?].*", "")
 
 
+def token_of(address: Column, name: str) -> Column:
+    """The value of a parameter in an address, up to the next &; an address without it stays as it is."""
+    return F.regexp_replace(address, f"(?s).*{re.escape(name)}=([^&]+).*", "$1")
+
+
+def indented(items: Column, fields: Sequence[str]) -> Column:
+    """An array of structs as JSON with an indent of two, as tools show it: only these fields, nulls as null."""
+    quoted = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+    line = lambda x, f: F.concat(F.lit(f'    "{f}": '), F.when(x[f].isNull(), F.lit("null")).otherwise(quoted(x[f])))
+    one = lambda x: F.concat(F.lit("  {\n"), F.concat_ws(",\n", *[line(x, f) for f in fields]), F.lit("\n  }"))
+    return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(items, one), ",\n"), F.lit("\n]")))
+
+
 def allowed_hosts(given: Column, default: Column, *more: Column) -> Column:
     """A comma-joined list: given or the default, and what is appended; nulls are left out."""
     return F.concat_ws(",", F.coalesce(given, default), *more)

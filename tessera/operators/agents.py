@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written
+
 CALL = r"(?s)(?U)TOOL_CALL:\s*(\w+)\((.*?)\)"
 
 
@@ -115,17 +117,14 @@ def schema_text(tools: DataFrame) -> DataFrame:
 
 
 def agent_loop(start: DataFrame, step, pending: Column, limit: int = 3) -> DataFrame:
-    """Apply step to the rows that are pending, limit times at most; others stay as they are. A driver loop over plans:
-    it ends early where nothing is pending."""
-    done, now = None, start
+    """Apply step to the rows that are pending, limit times at most; others stay as they are. Each pass is written to the
+    shared folder, so none is worked out twice; the loop ends early where nothing is pending."""
+    now = start
     for _ in range(limit):
-        rest = now.where(~pending)
-        done = rest if done is None else done.unionByName(rest)
-        now = now.where(pending)
-        if now.isEmpty():
-            return done
-        now = step(now)
-    return now if done is None else done.unionByName(now)
+        if now.where(pending).isEmpty():
+            return now
+        now = written(now.where(F.coalesce(~pending, F.lit(True))).unionByName(step(now.where(pending))))
+    return now
 
 
 def chosen_tools(tools: DataFrame, names: Sequence[str], leave_out: bool = False) -> DataFrame:

@@ -11,6 +11,21 @@ from ..functions.scalars import canonical_json, env_name_safe, short_hash
 NAME = "^deploymentconfig-(.+)$"
 
 
+def selected(configs: DataFrame, selector: str | None, labels: str = "labels") -> DataFrame:
+    """Rows whose labels meet a selector: name=value, name!=value, name or !name, joined by commas; none selects all.
+    A name that is missing meets name!=value."""
+    for part in (selector or "").split(","):
+        name, sign, value = part.partition("!=") if "!=" in part else part.partition("=")
+        name, value = name.strip(), value.lstrip("=").strip()
+        at = F.try_element_at(labels, F.lit(name.lstrip("!")))
+        if sign:
+            met = at == value
+            configs = configs.where(F.coalesce(met, F.lit(False)) if sign == "=" else ~F.coalesce(met, F.lit(False)))
+        elif name:
+            configs = configs.where(at.isNull() if name.startswith("!") else at.isNotNull())
+    return configs
+
+
 def extracted(configs: DataFrame, name_pattern: str = NAME) -> DataFrame:
     """Rows whose name matches, with namespace, model, api_key, env_name and problem ("bad JSON" or "missing")."""
     body = F.col("deploymentConfig")

@@ -45,8 +45,33 @@ def delete_runs(runs: DataFrame, ids: DataFrame) -> DataFrame:
     return runs.join(ids.select("run_id"), "run_id", "left_anti")
 
 
+def delete_runs_checked(runs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the runs left, a status row for each id): an id without a run is an error of its own row and stops nothing."""
+    here = runs.select("run_id", F.lit(True).alias("_here")).distinct()
+    judged = ids.select("run_id").join(here, "run_id", "left")
+    status = judged.select("run_id", F.when(F.col("_here"), "deleted").otherwise("error").alias("status"), F.when(F.col("_here").isNull(), F.concat(F.lit("no run "), "run_id")).alias("error"))
+    return delete_runs(runs, ids), status
+
+
 def log_metrics(metrics: DataFrame, new: DataFrame) -> DataFrame:
-    return metrics.unionByName(new)
+    """The long table (run_id, key, value, step) with new entries; a metric of one step may be logged again."""
+    return metrics.unionByName(new.select(*metrics.columns))
+
+
+def log_params(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """The runs with new parameters (run_id, key, value) in their maps. A parameter keeps its first value; that of an
+    unknown run is ignored."""
+    added = new.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_new"))
+    j = runs.join(added, "run_id", "left")
+    nothing = F.create_map().cast("map<string,string>")
+    old, extra = F.coalesce("params", nothing), F.coalesce("_new", nothing)
+    both = F.map_concat(old, F.map_filter(extra, lambda k, _: ~F.map_contains_key(old, k)))
+    return j.withColumn("params", both).drop("_new").select(*runs.columns)
+
+
+def log_artifacts(artifacts: DataFrame, new: DataFrame) -> DataFrame:
+    """The table (run_id, path, content) with new files; one of the same run and path is replaced."""
+    return artifacts.join(new.select("run_id", "path"), ["run_id", "path"], "left_anti").select(*artifacts.columns).unionByName(new.select(*artifacts.columns))
 
 
 def running_best(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:

@@ -39,17 +39,20 @@ def edited(text: Column, edits: Sequence[tuple[str, str]]) -> Column:
 
 
 def edit_log(df: DataFrame, edits: Sequence[tuple[str, str]], key: str, text_col: str = "text") -> DataFrame:
-    """(key, edit, line, before, after): the lines that each edit, in turn, changes; line numbers from 1."""
-    out, now = None, F.col(text_col)
-    for i, (old, new) in enumerate(edits):
-        step = (
-            df.select(key, F.posexplode(lines(now)).alias("pos", "before"))
-            .where(F.contains("before", F.lit(old)))
-            .select(key, F.lit(i + 1).alias("edit"), (F.col("pos") + 1).alias("line"), "before", F.replace("before", F.lit(old), F.lit(new)).alias("after"))
-        )
-        out = step if out is None else out.unionByName(step)
-        now = edited(now, [(old, new)])
-    return out
+    """(key, edit, line, before, after): the lines that each edit, in turn, changes; line numbers from 1. The lines are
+    taken apart once; all edits are folded over each of them."""
+    steps = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(old).alias("old"), F.lit(new).alias("new")) for i, (old, new) in enumerate(edits, 1)])
+    nothing = F.array().cast("array<struct<edit: int, before: string, after: string>>")
+
+    def fold(so_far, e):
+        now = so_far["now"]
+        after = F.replace(now, e["old"], e["new"])
+        entry = F.array(F.struct(e["n"].alias("edit"), now.alias("before"), after.alias("after")))
+        return F.struct(after.alias("now"), F.when(F.contains(now, e["old"]), F.concat(so_far["log"], entry)).otherwise(so_far["log"]).alias("log"))
+
+    log = F.aggregate(steps, F.struct(F.col("line").alias("now"), nothing.alias("log")), fold, lambda x: x["log"])
+    each = df.select(key, F.posexplode(lines(F.col(text_col))).alias("pos", "line"))
+    return each.select(key, (F.col("pos") + 1).alias("line"), F.explode(log).alias("e")).select(key, "e.edit", "line", "e.before", "e.after")
 
 
 def without_reasoning(text: Column) -> Column:
@@ -74,3 +77,21 @@ def rail(df: DataFrame, flagged: DataFrame, key: str, flag: str, max_length: int
     j = df.join(flagged.select(key, flag), key, "left")
     reason = F.when(F.length(text_col) > max_length, "length").when(F.coalesce(F.col(flag), F.lit(0)) == 1, "self check")
     return j.withColumn("reason", reason).withColumn("blocked", F.col("reason").isNotNull()).drop(flag)
+
+
+def rails(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:
+    """df with blocked and reason: the first check, in order, whose condition holds stops the row; a null doesn't."""
+    reason = F.lit(None).cast("string")
+    for name, condition in reversed(checks):
+        reason = F.when(condition, F.lit(name)).otherwise(reason)
+    return df.withColumn("reason", reason).withColumn("blocked", F.col("reason").isNotNull())
+
+
+def any_of(values: Column, condition) -> Column:
+    """Whether any element of an array meets the condition; false for empty and null arrays."""
+    return F.coalesce(F.exists(values, condition), F.lit(False))
+
+
+def any_by(df: DataFrame, by: Sequence[str], condition: Column) -> DataFrame:
+    """(by, found): whether any row of the group meets the condition; combined before the shuffle."""
+    return df.groupBy(*by).agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("found"))

@@ -6,10 +6,13 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import png
+from ..session import written
+
 
 def normalized(px: Column, mean: float = 0.5, std: float = 0.5, scale: float = 255.0) -> Column:
     """(x / scale - mean) / std of each element, as double."""
@@ -49,14 +52,30 @@ def cross_entropy(probabilities: Column, target: Column) -> Column:
     return -F.ln(F.get(probabilities, target))
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with the place, from 0, of each row in an order over the whole table: rows are dealt by ranges, sorted and
+    written, and each range starts after the rows of those before it. Only a count for each range reaches the driver."""
+    at = F.struct(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    counts, before, starts = {r[0]: r[1] for r in dealt.groupBy("_at.part").count().collect()}, 0, []
+    for part in sorted(counts):
+        starts += [F.lit(part), F.lit(before).cast("long")]
+        before += counts[part]
+    first = F.try_element_at(F.create_map(*starts), F.col("_at.part")) if starts else F.lit(0).cast("long")
+    return dealt.withColumn(out, first + F.col("_at.row")).drop("_at")
+
+
 def mean_of_batch_means(df: DataFrame, value: str, order: list[str], batch: int = 128, group: str | None = None) -> DataFrame:
     """(group,) n_batches, mean: the unweighted mean of the means of consecutive batches; the last may be smaller.
 
-    Rows are numbered within the group. A group is one sorted partition, so give one where the table is large.
+    Rows are numbered within the group, which is one sorted partition; without a group over the whole table, by ranges.
     """
     keys = [group] if group else []
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-    per = df.withColumn("_b", F.floor(place / batch)).groupBy(*keys, "_b").agg(F.avg(value).alias("_m"))
+    if group:
+        placed = df.withColumn("_place", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)
+    else:
+        placed = numbered(df, order, "_place")
+    per = placed.withColumn("_b", F.floor(F.col("_place") / batch)).groupBy(*keys, "_b").agg(F.avg(value).alias("_m"))
     return per.groupBy(*keys).agg(F.count("*").alias("n_batches"), F.avg("_m").alias("mean"))
 
 
@@ -114,6 +133,86 @@ def predict(df: DataFrame, weights: Mapping[str, np.ndarray] | None, shape: tupl
     return out.withColumns({"predicted_label": argmax(F.col("probabilities")), "error": F.when(bad, F.lit("Invalid image"))}).drop("_l")
 
 
+def save_model(weights: Mapping[str, np.ndarray], path: str) -> None:
+    np.savez(path if path.endswith(".npz") else f"{path}.npz", **weights)
+
+
+def load_model(path: str) -> dict[str, np.ndarray] | None:
+    """The weights of a file; None where they can't be loaded, so that predictions say so instead of failing."""
+    try:
+        with np.load(path if path.endswith(".npz") else f"{path}.npz") as f:
+            return {k: f[k] for k in f.files}
+    except (OSError, ValueError):
+        return None
+
+
+def pixels_of(df: DataFrame, content: str, size: int, channels: int) -> DataFrame:
+    """df with px, the picture in a column of PNG bytes as channel-major doubles, and error where it can't be read.
+
+    Pictures are brought to so many channels. Those of 8-bit values (any above 128) are resized to size x size, scaled and
+    normalised; others stay as they are.
+    """
+
+    @F.pandas_udf("struct<px: array<double>, error: string>")
+    def read(data: pd.Series) -> pd.DataFrame:
+        out, errors = [], []
+        for d in data:
+            try:
+                p = png.in_mode(png.decode(bytes(d) if d is not None else b""), channels)
+                p = (resized(p, size) / 255 - 0.5) / 0.5 if p.max(initial=0) > 128 else p.astype(np.float64)
+                out.append(np.moveaxis(p, 2, 0).ravel())
+                errors.append(None)
+            except ValueError as e:
+                out.append(None)
+                errors.append(f"Failed to process image: {e}")
+        return pd.DataFrame({"px": out, "error": errors})
+
+    return df.withColumn("_p", read(F.col(content))).withColumns({"px": F.col("_p.px"), "error": F.col("_p.error")}).drop("_p")
+
+
+def predict_files(spark: SparkSession, path: str, weights: Mapping[str, np.ndarray] | None, size: int, channels: int) -> DataFrame:
+    """(path, predicted_label, probabilities, error) for the pictures of a folder, or one file."""
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    ready = pixels_of(found, "content", size, channels).select("path", "px", F.col("error").alias("_e"))
+    out = predict(ready, weights, (channels, size, size))
+    return out.select("path", "predicted_label", "probabilities", F.coalesce("_e", "error").alias("error"))
+
+
+def predict_ids(wanted: DataFrame, rows: DataFrame, weights: Mapping[str, np.ndarray] | None, shape: tuple[int, int, int], id_col: str, px_col: str = "px", target_col: str = "label") -> DataFrame:
+    """For each id asked for: the prediction and target_label of the row of that id, or error and code 400 where no row
+    has it."""
+    j = wanted.select(id_col).join(rows.select(id_col, F.col(px_col).alias("px"), F.col(target_col).alias("target_label"), F.lit(True).alias("_there")), id_col, "left")
+    out = predict(j, weights, shape)
+    missing = F.col("_there").isNull()
+    error = F.when(missing, F.concat(F.lit("file_id "), F.col(id_col).cast("string"), F.lit(" out of range"))).otherwise(F.col("error"))
+    return out.select(id_col, "predicted_label", "probabilities", "target_label", error.alias("error"), F.when(missing, F.lit(400)).alias("code"))
+
+
+def fetched(df: DataFrame, url: str, seconds: float = 30.0, most: int = 50 << 20) -> DataFrame:
+    """df with content and error: what stands at each address, or why it can't be fetched. A row that fails stops no other;
+    more than ``most`` bytes are an error. Any scheme that Python opens will do."""
+
+    @F.pandas_udf("struct<content: binary, error: string>")
+    def get(urls: pd.Series) -> pd.DataFrame:
+        import urllib.request
+
+        body, errors = [], []
+        for u in urls:
+            try:
+                with urllib.request.urlopen(u or "", timeout=seconds) as r:
+                    data = r.read(most + 1)
+                if len(data) > most:
+                    raise OSError("too large")
+                body.append(data)
+                errors.append(None)
+            except (OSError, ValueError) as e:
+                body.append(None)
+                errors.append(f"Failed to fetch image from URL: {e}")
+        return pd.DataFrame({"content": body, "error": errors})
+
+    return df.withColumn("_g", get(F.col(url))).withColumns({"content": F.col("_g.content"), "error": F.col("_g.error")}).drop("_g")
+
+
 def first_samples(df: DataFrame, position: str, n: int) -> DataFrame:
     """The rows at positions 0 to n - 1; asking for more than there are is an error."""
     out = df.where(F.col(position) < n)

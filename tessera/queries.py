@@ -312,13 +312,13 @@ def pixel_transpose(spark, d):
 
 
 _P = """
-WITH e AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings),
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings),
 x AS (SELECT vec_id, label, z, list_transform(z, lambda x: exp(x - list_max(z))) AS q FROM e),
 p AS (SELECT vec_id, label, list_position(z, list_max(z)) - 1 AS predicted, list_transform(q, lambda x: x / list_sum(q)) AS p FROM x)"""
 
 
 def _predictions(spark, d):
-    z = F.transform(F.slice("embedding", 1, 10).cast("array<double>"), lambda x: x * 10)
+    z = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 10)
     e = table(spark, d, "embeddings").select("vec_id", "label", z.alias("z"))
     return e.select("vec_id", "label", vectors.softmax(F.col("z")).alias("p"), vectors.argmax(F.col("z")).alias("predicted"))
 
@@ -471,9 +471,9 @@ def merge_messages(spark, d):
     return agents.merged_messages(table(spark, d, "conversations"), ["conv_id", "role"], ["turn"])
 
 
-@query("SELECT conv_id, count(*) AS n, string_agg(role || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS listing FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS listing FROM conversations GROUP BY conv_id")
 def role_listing(spark, d):
-    c = table(spark, d, "conversations").withColumn("line", F.concat("role", F.lit(": "), F.substring("text", 1, 20)))
+    c = table(spark, d, "conversations").withColumn("line", F.concat("role", F.lit(": "), "text"))
     return agents.listing(c, ["conv_id"], "line", ["turn"])
 
 
@@ -607,10 +607,10 @@ def pixel_range(spark, d):
     return table(spark, d, "embeddings").select("vec_id", vectors.needs_preparing(px).alias("prepare"))
 
 
-@query("SELECT conv_id, turn, role || ' said in turn ' || turn || ': ' || substr(text, 1, 30) AS prompt FROM conversations")
+@query("SELECT conv_id, turn, role || ' said in turn ' || turn || ': ' || text AS prompt FROM conversations")
 def prompt_text(spark, d):
     c = table(spark, d, "conversations")
-    p = agents.prompt("{who} said in turn {n}: {what}", who=F.col("role"), n=F.col("turn"), what=F.substring("text", 1, 30))
+    p = agents.prompt("{who} said in turn {n}: {what}", who=F.col("role"), n=F.col("turn"), what=F.col("text"))
     return c.select("conv_id", "turn", p.alias("prompt"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,8 +30,30 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
 
 
 def read_or(spark: SparkSession, first: str, fallback: str) -> DataFrame:
-    """The table at first, or the one at fallback where first can't be read (a cache and what it was filled from)."""
+    """The table at first, or the one at fallback where first can't be read (a cache and what it was filled from): the
+    path is missing, the files are no Parquet, or a first row can't be had."""
     try:
-        return spark.read.parquet(first)
-    except AnalysisException:
+        found = spark.read.parquet(first)
+        found.limit(1).collect()
+    except Exception:  # noqa: BLE001  whatever keeps a cache from being read, the source is there
         return spark.read.parquet(fallback)
+    return found
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of the machine's own in
+    local mode, where only one process reads it."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.removeprefix('file://').rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read back: what comes after doesn't work it out again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import stat
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.scalars import base64_plain, is_media, mime_type, permissions, within
+from ..functions.scalars import MIME_TYPES, OCTET_STREAM, base64_plain, is_media, mime_type, permissions, within
 from ..operators.text import head_lines, tail_lines
 from ..schemas import FILES
 
 
+_ARROW = {"string": pa.string, "int": pa.int32, "long": pa.int64, "double": pa.float64, "boolean": pa.bool_}
+
+
 class _Tree(InputPartition):
     def __init__(self, path: str, depth: int, whole: bool):
         self.path, self.depth, self.whole = path, depth, whole
@@ -31,11 +36,14 @@ def _entry(path: str, depth: int) -> tuple | None:
     except OSError:
         return None
     folder = stat.S_ISDIR(s.st_mode)
-    return path, os.path.dirname(path), os.path.basename(path), depth, "directory" if folder else "file", None if folder else s.st_size, s.st_ctime, s.st_mtime, s.st_atime, s.st_mode
+    return path, os.path.dirname(path), os.path.basename(path), depth, "directory" if folder else "file", None if folder else s.st_size, s.st_ctime, s.st_mtime, s.st_atime, s.st_mode, os.path.islink(path)
 
 
 class _Reader(DataSourceReader):
-    """One partition for the top level and one for each directory in it; excluded names and depth prune the walk."""
+    """The driver lists level by level until there are enough directories to share out; each of the last level is a
+    partition with all below it, those above are partitions of their own. Excluded names and depth prune the walk."""
+
+    ENOUGH, MOST_LISTED, ROWS = 64, 1024, 4096
 
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
@@ -50,21 +58,30 @@ class _Reader(DataSourceReader):
             return []
 
     def partitions(self) -> list[InputPartition]:
-        top = [_Tree(self.root, 0, False)]
-        if self.most >= 1:
-            top += [_Tree(e.path, 1, True) for e in self._inside(self.root) if e.is_dir(follow_symlinks=False)]
-        return top
+        done, level, depth = [], [self.root], 0
+        while level and depth < self.most and len(level) < self.ENOUGH and len(done) + len(level) <= self.MOST_LISTED:
+            done += [_Tree(p, depth, False) for p in level]
+            level = [e.path for p in level for e in self._inside(p) if e.is_dir(follow_symlinks=False)]
+            depth += 1
+        return done + [_Tree(p, depth, depth < self.most) for p in level]
 
     def read(self, partition: _Tree):
-        pending = [(partition.path, partition.depth)]
+        pending, rows = [(partition.path, partition.depth)], []
+        kinds = pa.schema([(n, _ARROW[k]()) for n, k in (f.split() for f in FILES.split(", "))])
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
         while pending:
             path, depth = pending.pop()
             for e in self._inside(path):
                 row = _entry(e.path, depth)
                 if row is not None:
-                    yield row
+                    rows.append(row)
                 if partition.whole and depth < self.most and e.is_dir(follow_symlinks=False):
                     pending.append((e.path, depth + 1))
+            if len(rows) >= self.ROWS:
+                yield batch()
+                rows = []
+        if rows:
+            yield batch()
 
 
 class FilesSource(DataSource):
@@ -95,8 +112,9 @@ def list_directory(spark: SparkSession, path: str, sizes: bool = False) -> DataF
 
 
 def directory_tree(spark: SparkSession, path: str, exclude: Sequence[str] = (), max_depth: int = 2) -> DataFrame:
-    """Flat rows (path, depth, name, type) down to max_depth, the root's children being depth 0."""
-    return files(spark, path, max_depth, exclude).select("path", "depth", "name", "type")
+    """Flat rows (path, depth, name, type) down to max_depth, the root's children being depth 0. Links count as files,
+    also those to directories."""
+    return files(spark, path, max_depth, exclude).select("path", "depth", "name", F.when(F.col("link"), "file").otherwise(F.col("type")).alias("type"))
 
 
 def tree_from_paths(paths: DataFrame, path_col: str, max_depth: int) -> DataFrame:
@@ -132,9 +150,11 @@ def matching(df: DataFrame, path_col: str, pattern: str, exclude: Sequence[str]
 
 
 def search_files(spark: SparkSession, path: str, pattern: str, exclude: Sequence[str] = ()) -> DataFrame:
+    """(path, type): what matches a glob at any depth below path, paths relative to it; exclude are regular expressions
+    that are searched in names."""
     root = os.path.abspath(path).rstrip("/") + "/"
     rel = files(spark, path).withColumn("rel", F.substr("path", F.lit(len(root) + 1)))
-    return matching(rel, "rel", pattern, exclude).select("path")
+    return matching(rel, "rel", pattern, exclude).select(F.col("rel").alias("path"), "type")
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
@@ -161,8 +181,11 @@ def read_text_file(spark: SparkSession, path: str, head: int = 0, tail: int = 0)
 
 
 def read_media_file(spark: SparkSession, path: str) -> DataFrame:
-    """(path, mime, data): pictures and sounds as Base64; the type is judged before any content is read."""
-    b = spark.read.format("binaryFile").load(path).withColumn("mime", mime_type(F.col("path")))
+    """(path, mime, data): pictures and sounds of a folder, or one of them, as Base64. The names are judged by the
+    reader's own filter, so nothing else is opened."""
+    names = [k for k, v in MIME_TYPES.items() if v.startswith(("image/", "audio/"))]
+    either = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in names)
+    b = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{either}}}").load(path).withColumn("mime", mime_type(F.col("path")))
     return b.where(is_media(F.col("mime"))).select("path", "mime", base64_plain(F.col("content")).alias("data"))
 
 
@@ -218,6 +241,40 @@ def create_directory(path: str) -> None:
 
 
 def move_file(source: str, destination: str) -> None:
-    if os.path.exists(destination):
-        raise FileExistsError(destination)
-    os.rename(source, destination)
+    """Rename a file or directory, with the directories above the new place; a file that is there is replaced."""
+    os.makedirs(os.path.dirname(os.path.abspath(destination)), exist_ok=True)
+    os.replace(source, destination)
+
+
+def edit_file(path: str, edits: Sequence[tuple[str, str]], dry_run: bool = False) -> str:
+    """Make literal replacements line by line, each on what the one before left, and say what changed, line numbers from
+    1. With dry_run the file stays as it is."""
+    with open(path, encoding="utf-8", newline="") as f:
+        now = f.read().split("\n")
+    log = []
+    for old, new in edits:
+        after = [line.replace(old, new) for line in now]
+        log += [f"Line {i}: {a} -> {b}" for i, (a, b) in enumerate(zip(now, after), 1) if old in a]
+        now = after
+    if not dry_run:
+        write_file(path, "\n".join(now))
+    return ("[DRY RUN] " if dry_run else "") + "Changes:\n" + "\n".join(log)
+
+
+def create_bucket(root: str, name: str) -> None:
+    """A bucket is a folder below root; one that is there already is no error."""
+    os.makedirs(os.path.join(root, name), exist_ok=True)
+
+
+def upload_file(root: str, bucket: str, path: str, prefix: str = "model/") -> dict:
+    """Copy a file to the key prefix + base name of a bucket. What fails is said in error, not raised."""
+    key = prefix + os.path.basename(path)
+    try:
+        if not os.path.isdir(os.path.join(root, bucket)):
+            raise FileNotFoundError(f"no bucket {bucket}")
+        target = os.path.join(root, bucket, key)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        shutil.copyfile(path, target)
+    except OSError as e:
+        return {"bucket": bucket, "key": key, "error": str(e)}
+    return {"bucket": bucket, "key": key, "error": None}

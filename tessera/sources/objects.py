@@ -29,20 +29,16 @@ def list_buckets(objects: DataFrame) -> DataFrame:
 
 def get_objects(objects: DataFrame, cap: int = CAP) -> DataFrame:
     """(key, content, content_type, encoding, etag, error, code): text and JSON as UTF-8 where they are, else Base64.
-    Objects above the cap have an error and no content."""
+    Objects above the cap have an error and no content; theirs is never read, as the size is a filter of the scan."""
     kind = F.coalesce("content_type", F.lit(OCTET_STREAM))
     is_text = kind.like("text/%") | (kind == "application/json")
     content, encoding = text_or_base64(F.col("content"), is_text)
-    large = F.col("size") > cap
-    return objects.select(
-        "key",
-        F.when(~large, content).alias("content"),
-        kind.alias("content_type"),
-        F.when(~large, encoding).alias("encoding"),
-        "etag",
-        F.when(large, F.concat(F.lit("Object larger than "), F.lit(str(cap)), F.lit(" bytes"))).alias("error"),
-        F.when(large, F.lit("OBJECT_TOO_LARGE")).alias("code"),
-    )
+    fits = (F.col("size") <= cap) | F.col("size").isNull()
+    none = F.lit(None).cast("string")
+    said = F.concat(F.lit("Object larger than "), F.lit(str(cap)), F.lit(" bytes"))
+    small = objects.where(fits).select("key", content.alias("content"), kind.alias("content_type"), encoding.alias("encoding"), "etag", none.alias("error"), none.alias("code"))
+    large = objects.where(F.col("size") > cap)
+    return small.unionByName(large.select("key", none.alias("content"), kind.alias("content_type"), none.alias("encoding"), "etag", said.alias("error"), F.lit("OBJECT_TOO_LARGE").alias("code")))
 
 
 def put_objects(objects: DataFrame, new: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:

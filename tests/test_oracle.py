@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tessera.queries_files  # noqa: F401  registers its queries
 from tessera.queries import QUERIES, SQL
 from tessera.session import TABLES
 
