@@ -1,10 +1,11 @@
 """A quality classifier: a convolutional network over bytes, trained and applied in numpy.
 
 A text's UTF-8 bytes are laid out in cells of 128; a chunk is two neighbouring cells, so chunks overlap by half and
-cover the whole text. Learned filters of four bytes slide over every position; their rectified responses are averaged
-over the chunk. Beside them stand the chunk's echoes, the shares of its bytes that start four or six bytes which also
-stand a short distance before. A hidden layer weighs both for each chunk, its outputs are max-pooled over all chunks of the text, and
-a logistic unit makes one probability of them.
+cover the whole text. Learned filters of WIDTH bytes slide over every position. Of each filter's rectified responses in a
+chunk two things are kept: the greatest (max-pooling, which tells whether a pattern occurs at all; in text that repeats
+itself most never do) and the average. A hidden layer weighs both for each chunk, its outputs are max-pooled over all
+chunks of the text, and a logistic unit makes one probability of them. All that it knows of a text comes through the
+filters.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, text_bytes, with_column
 
-CELL, WIDTH, FILTERS, HIDDEN = 128, 4, 16, 12
-LAGS = range(2, 49)
-GRAMS = (4, 6)
+CELL, WIDTH, FILTERS, HIDDEN = 128, 4, 24, 16
 #: Bytes without any response that every chunk's average counts besides its own, so that a few bytes say little.
 FEW = 64
-#: Bytes that no UTF-8 text has: between texts, and in the copy that echoes are looked up in.
-PAD, OTHER_PAD = 0xFF, 0xFE
+#: A byte that no UTF-8 text has: between texts.
+PAD = 0xFF
 
 #: Bounds of the training sample: labelled texts of each class, bytes of one text, chunks of one text.
 PER_CLASS, LONGEST, CHUNKS = 600, 65536, 24
@@ -41,7 +40,7 @@ def _codes() -> np.ndarray:
     bits = (b[:, None] >> np.arange(8)) & 1
     sorts = [(b >= 65) & (b <= 90), (b >= 97) & (b <= 122), (b >= 48) & (b <= 57), (b == 32) | ((b >= 9) & (b <= 13)), b >= 128, (b > 32) & (b < 127) & ~np.isin(b, np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8))]
     out = np.concatenate([2 * bits - 1, np.stack(sorts, 1)], axis=1).astype(np.float32)
-    out[[PAD, OTHER_PAD]] = 0
+    out[PAD] = 0
     return out
 
 
@@ -73,29 +72,6 @@ def lay_out(raw: np.ndarray, offsets: np.ndarray) -> Layout:
     return Layout(flat, first, cells, held)
 
 
-def _per_cell(flags: np.ndarray) -> np.ndarray:
-    """How many flags are set in each cell: eight counters of a byte each in a 64-bit word, below 17 in all 16 words."""
-    words = flags.view(np.uint64).reshape(-1, CELL // 8).sum(axis=1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        return ((words * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
-
-
-def echoes(x: Layout) -> np.ndarray:
-    """For each cell and each of GRAMS, how many of its bytes start so many bytes that also stand, in the same text, at
-    one of the fixed distances before."""
-    other = np.where(x.flat == PAD, OTHER_PAD, x.flat).astype(np.uint8)
-    n = len(x.flat)
-    seen = np.zeros((2, n), bool)
-    for lag in LAGS:
-        one = x.flat[lag:] == other[:-lag]
-        two = one[:-1] & one[1:]
-        four = two[:-2] & two[2:]
-        six = four[:-2] & two[4:]
-        seen[0, lag : lag + len(four)] |= four
-        seen[1, lag : lag + len(six)] |= six
-    return np.stack([_per_cell(s) for s in seen], 1)
-
-
 def chunk_cells(x: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First cell of each chunk, its second one (an empty one in texts of one cell), and the text it belongs to."""
     n = np.maximum(1, x.cells - 1)
@@ -111,7 +87,7 @@ class Net:
     prior: float
     filters: np.ndarray | None = None  # (WIDTH * codes, FILTERS)
     bias: np.ndarray | None = None
-    hidden: np.ndarray | None = None  # (FILTERS + len(GRAMS), HIDDEN)
+    hidden: np.ndarray | None = None  # (2 * FILTERS, HIDDEN): for the averages, then for the greatest
     hidden_bias: np.ndarray | None = None
     weight: np.ndarray | None = None
     weight_bias: float = 0.0
@@ -124,9 +100,9 @@ class Net:
         out[0][PAD] = -1e9  # places without a byte of text have no response
         return [t.reshape(65536, FILTERS) for t in out]
 
-    def responses(self, x: Layout, tables: list[np.ndarray], at_once: int = 2048) -> np.ndarray:
-        """Sums of the rectified responses over each cell's bytes of text."""
-        out = np.empty((len(x.held), FILTERS), np.float32)
+    def responses(self, x: Layout, tables: list[np.ndarray], at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and greatest of the rectified responses over each cell's bytes of text."""
+        out, top = (np.empty((len(x.held), FILTERS), np.float32) for _ in range(2))
         flat = np.concatenate([x.flat, np.full(WIDTH, PAD, np.uint8)])
         for i in range(0, len(x.held), at_once):
             j = min(len(x.held), i + at_once)
@@ -137,8 +113,10 @@ class Net:
             r += tables[1].take(pair[2 : n + 2], axis=0)
             r += self.bias
             np.maximum(r, 0, out=r)
-            out[i:j] = r.reshape(j - i, CELL, FILTERS).sum(axis=1)
-        return out
+            r = r.reshape(j - i, CELL, FILTERS)
+            r.sum(axis=1, out=out[i:j])
+            r.max(axis=1, out=top[i:j])
+        return out, top
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """One probability a text."""
@@ -146,9 +124,8 @@ class Net:
             return np.full(len(offsets) - 1, self.prior)
         x = lay_out(raw, offsets)
         a, b, text = chunk_cells(x)
-        sums = self.responses(x, tables)
-        e = echoes(x)
-        inputs = np.concatenate([sums[a] + sums[b], e[a] + e[b]], 1) / (FEW + x.held[a] + x.held[b])[:, None]
+        sums, most = self.responses(x, tables)
+        inputs = np.concatenate([(sums[a] + sums[b]) / (FEW + x.held[a] + x.held[b])[:, None], np.maximum(most[a], most[b])], 1)
         # Column by column, so that a text's score doesn't depend on what it is scored with.
         h = np.tanh(sum(inputs[:, k, None] * self.hidden[k] for k in range(inputs.shape[1])) + self.hidden_bias)
         top = np.maximum.reduceat(h, np.searchsorted(text, np.arange(len(offsets) - 1)), axis=0)
@@ -170,8 +147,6 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = SEED, chunks:
     data = [t.encode() for t in texts]
     x = lay_out(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
     a, b, text = chunk_cells(x)
-    e = echoes(x)
-    echo = ((e[a] + e[b]) / (FEW + x.held[a] + x.held[b])[:, None]).astype(np.float32)
     flat = np.concatenate([x.flat, np.full(WIDTH, PAD, np.uint8)])
     own: list[np.ndarray] = []
     for i in range(len(data)):
@@ -179,7 +154,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = SEED, chunks:
         own.append(at if len(at) <= chunks else at[np.unique(np.linspace(0, len(at) - 1, chunks).astype(int))])
     p = {
         "w": rng.normal(0, 0.12, (WIDTH * c, FILTERS)), "wb": np.zeros(FILTERS),
-        "h": rng.normal(0, 0.4, (FILTERS + len(GRAMS), HIDDEN)), "hb": np.zeros(HIDDEN),
+        "h": rng.normal(0, 0.3, (2 * FILTERS, HIDDEN)), "hb": np.zeros(HIDDEN),
         "o": rng.normal(0, 0.3, HIDDEN), "ob": np.zeros(1),
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
@@ -196,10 +171,10 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = SEED, chunks:
             place = (a[at, None] * CELL + np.arange(2 * CELL)).ravel()
             use = flat[place] != PAD
             cols = np.concatenate([CODES[flat[place + j]] for j in range(WIDTH)], axis=1)
-            r = np.maximum(cols @ p["w"] + p["wb"], 0) * use[:, None]
+            r = (np.maximum(cols @ p["w"] + p["wb"], 0) * use[:, None]).reshape(len(at), 2 * CELL, FILTERS)
             n = (FEW + use.reshape(-1, 2 * CELL).sum(1)).astype(np.float32)
-            mean = r.reshape(len(at), 2 * CELL, FILTERS).sum(1) / n[:, None]
-            inputs = np.concatenate([mean, echo[at]], 1)
+            peak = r.argmax(axis=1)
+            inputs = np.concatenate([r.sum(1) / n[:, None], np.take_along_axis(r, peak[:, None], 1)[:, 0]], 1)
             h = np.tanh(inputs @ p["h"] + p["hb"])
             top = np.maximum.reduceat(h, starts[:-1], axis=0)
             z = top @ p["o"] + p["ob"]
@@ -212,7 +187,10 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = SEED, chunks:
                 dh[win, np.arange(HIDDEN)] = dz[k] * p["o"]
             dh *= 1 - h * h
             g |= {"h": inputs.T @ dh, "hb": dh.sum(0)}
-            dr = np.repeat((dh @ p["h"].T)[:, :FILTERS] / n[:, None], 2 * CELL, axis=0) * (r > 0)
+            back = dh @ p["h"].T
+            dr = np.repeat((back[:, :FILTERS] / n[:, None])[:, None], 2 * CELL, axis=1)
+            dr[np.arange(len(at))[:, None], peak, np.arange(FILTERS)] += back[:, FILTERS:]
+            dr = (dr * (r > 0)).reshape(-1, FILTERS)
             g |= {"w": cols.T @ dr, "wb": dr.sum(0)}
             step += 1
             for k in p:
@@ -249,8 +227,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 def score_texts(docs: DataFrame, net: Net, keep: Sequence[str], text_col: str = "text", out: str = "score") -> DataFrame:
     """The columns keep of each row and the network's probability, 0 to 1, rounded to 6 decimals.
 
-    Null texts count as empty; empty texts have a score too, that of a chunk without bytes. There is no shuffle, and
-    memory is bounded by one Arrow batch and the longest text.
+    Null texts count as empty; empty texts have a score too, that of a chunk without bytes. Repeated rows are scored each,
+    and equal texts have equal scores; ids, null ones too, are only passed on. There is no shuffle, and memory is bounded
+    by one Arrow batch and the longest text.
     """
     keep = list(keep)
     names, at = with_column(keep, text_col)

@@ -30,27 +30,29 @@ def score(net, texts):
     return net.scores(*text_bytes(pa.array(texts, pa.string())), net.tables() if net.weight is not None else [])
 
 
-def test_responses_by_hand(net):
-    text = "A text of more than one cell, é, " * 9
-    raw, off = text_bytes(pa.array([text]))
-    x = X.lay_out(raw, off)
-    got = net.responses(x, net.tables())[x.first[0] : x.first[0] + x.cells[0]]
-    codes = np.concatenate([X.CODES[raw], np.zeros((X.WIDTH, X.CODES.shape[1]))])
-    r = np.array([np.maximum(np.concatenate(codes[t : t + X.WIDTH]) @ net.filters + net.bias, 0) for t in range(len(raw))])
-    want = np.array([r[k : k + X.CELL].sum(0) for k in range(0, len(raw), X.CELL)])
-    assert np.allclose(got, want, atol=1e-2)
-
-
-def test_echoes_by_hand():
-    texts = ["abcdefabcdef" * 30, "no echo here", "", "xyxyxyxyxy"]
-    raw, off = text_bytes(pa.array(texts))
-    x = X.lay_out(raw, off)
-    e = X.echoes(x)
-    for i, t in enumerate(texts):
-        for k, g in enumerate(X.GRAMS):
-            want = np.array([any(t[p : p + g] == t[p - lag : p - lag + g] and p >= lag for lag in X.LAGS) and p + g <= len(t) for p in range(len(t))], int)
-            cells = [want[c : c + X.CELL].sum() for c in range(0, max(1, len(t)), X.CELL)]
-            assert e[x.first[i] : x.first[i] + x.cells[i], k].tolist() == cells
+def forward(net, text):
+    """The whole network by hand: every position, chunk by chunk."""
+    raw = text.encode()
+    codes = np.concatenate([X.CODES[np.frombuffer(raw, np.uint8)], np.zeros((X.WIDTH, X.CODES.shape[1]))]).astype(float)
+    r = np.array([np.maximum(np.concatenate(codes[t : t + X.WIDTH]) @ net.filters + net.bias, 0) for t in range(len(raw))]).reshape(-1, X.FILTERS)
+    cells = max(1, -(-len(raw) // X.CELL))
+    hidden = []
+    for c in range(max(1, cells - 1)):
+        part = r[c * X.CELL : (c + 2) * X.CELL]
+        both = np.concatenate([part.sum(0) / (X.FEW + len(part)), part.max(0, initial=0)])
+        hidden.append(np.tanh(both @ net.hidden + net.hidden_bias))
+    return 1 / (1 + np.exp(-(np.max(hidden, 0) @ net.weight + net.weight_bias)))
+
+
+def test_network_by_hand(net):
+    texts = ["A text of more than one cell, é, " * 9, "", "x", "y" * 128, "z" * 129, plain(7, 90), "buy*** now!!! " * 40, plain(8, 20) + " same same same" * 40]
+    assert np.allclose(score(net, texts), [forward(net, t) for t in texts], atol=1e-5)
+
+
+def test_long_text(net):
+    text = plain(3, 200) * 2000
+    got = score(net, [text, plain(3, 200)])
+    assert len(text) > 1_500_000 and abs(got[0] - got[1]) < 0.2
 
 
 def test_scores_stand_alone_and_cover_the_end(net):
