@@ -24,10 +24,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 
-#: What may be a secret by the models: runs of these characters, the shortest of them, and the margin in nats a character.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The margin in nats a character from which a whole candidate, a run of the characters of ALPHABET, is a secret.
 MARGIN = 0.35
-#: Of stretches of a token: the shortest, and the nats in sum from which one is a secret.
+#: The shortest candidate or stretch of one, and the nats in sum from which a stretch is a secret.
 SHORTEST, EVIDENCE = 16, 10.0
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -68,11 +67,13 @@ WORDS = (
 
 
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """2n labelled strings: 1 for random ones (hex, base 36, base 62, base 64), 0 for identifiers joined from words in
-    the usual styles, with counters, dates and version numbers among them. The same seed gives the same samples."""
+    """Labelled strings: n that are 1, random ones (hex, base 36, base 62, base 64); n that are 0, identifiers joined from
+    words in the usual styles, with counters, dates and version numbers among them; and fillers, 0 too: each character
+    of the alphabet, and each of its rows, again and again. The same seed gives the same samples."""
     r = random.Random(seed)
     alphabets = ("0123456789abcdef", ALPHABET[26:62], ALPHABET[:62], ALPHABET[:64])
     out = [("".join(r.choices(r.choice(alphabets), k=r.randint(16, 48))), 1) for _ in range(n)]
+    out += [(c * 200, 0) for c in ALPHABET] + [(row * 8, 0) for row in (ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62], "0123456789abcdef")]
     for _ in range(n):
         parts = r.choices(WORDS, k=r.randint(2, 5))
         if r.random() < 0.6:
@@ -101,35 +102,60 @@ class Judge:
     def __init__(self, samples: Sequence[tuple[str, int]]):
         self.ratio = Markov(s for s, y in samples if y).log - Markov(s for s, y in samples if not y).log
 
+    def steps(self, codes: np.ndarray) -> np.ndarray:
+        """The ratio of each character after the one before."""
+        return self.ratio[codes[:-1], codes[1:]]
+
     def score(self, token: str) -> float:
-        codes = _CODE[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
-        return float(self.ratio[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
-
-    def stretches(self, token: str, margin: float) -> list[tuple[int, int]]:
-        """Stretches of SHORTEST or more characters, a letter among them, whose ratios reach EVIDENCE in sum: that with
-        the greatest sum above the margin first, then those of what is left beside it. Each goes on to the next of
-        ``/=_-`` on both sides."""
-        codes = _CODE[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
-        total = np.concatenate([[0.0], np.cumsum(self.ratio[codes[:-1], codes[1:]])])
-        out, left = [], [(0, len(token))]
-        while left:
-            lo, hi = left.pop()
-            if hi - lo < SHORTEST:
-                continue
-            above = total[lo:hi] - margin * np.arange(hi - lo)
-            least = np.minimum.accumulate(above[: len(above) - SHORTEST + 1])
-            e = int((above[SHORTEST - 1 :] - least).argmax())
-            a, b = lo + int(above[: e + 1].argmin()), lo + e + SHORTEST
-            if total[b - 1] - total[a] < EVIDENCE:
-                continue
-            while a > lo and token[a - 1] not in "/=_-":
-                a -= 1
-            while b < hi and token[b] not in "/=_-":
-                b += 1
-            if re.search("[A-Za-z]", token[a:b]):
-                out.append((a, b))
-            left += [(lo, a), (b, hi)]
-        return sorted(out)
+        codes = _codes(token)
+        return float(self.steps(codes).mean()) if len(codes) > 1 else 0.0
+
+
+def _codes(text: str) -> np.ndarray:
+    """The number of each character in ALPHABET; all others share one number."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 256, _CODE[np.minimum(points, 255)], len(ALPHABET)).astype(np.uint8)
+
+
+def stretches(text: str, lo: int, hi: int, steps: np.ndarray, margin: float) -> list[tuple[int, int]]:
+    """Stretches of text[lo:hi], a token, of SHORTEST or more characters, a letter among them, whose ratios (steps, of the
+    token alone) reach EVIDENCE in sum: that with the greatest sum above the margin first, then those of what is left
+    beside it. Each goes on to the next of ``/=_-`` on both sides.
+
+    The token is cut first where the sum above the margin has long been at its lowest, as no stretch goes over that, so
+    the work grows with the token and not with its square.
+    """
+    total = np.concatenate([[0.0], np.cumsum(steps)])
+    letters = np.concatenate([[0], np.cumsum(_codes(text[lo:hi]) < 52)])
+    above = total - margin * np.arange(hi - lo)
+    near = np.concatenate([[0], np.cumsum(above > np.minimum.accumulate(above))])
+    at = np.arange(hi - lo)
+    close = near[np.minimum(at + SHORTEST, hi - lo)] > near[np.maximum(at - SHORTEST, 0)]
+    edges = np.flatnonzero(np.diff(close, prepend=False, append=False))
+    cuts = np.array([m.start() for m in re.finditer("[/=_-]", text[lo:hi])], np.int64)
+    out, left = [], list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    while left:
+        a0, b0 = left.pop()
+        if b0 - a0 < SHORTEST:
+            continue
+        part = above[a0:b0]
+        least = np.minimum.accumulate(part[: len(part) - SHORTEST + 1])
+        e = int((part[SHORTEST - 1 :] - least).argmax())
+        a, b = a0 + int(part[: e + 1].argmin()), a0 + e + SHORTEST
+        if total[b - 1] - total[a] < EVIDENCE:
+            continue
+        i, j = np.searchsorted(cuts, a), np.searchsorted(cuts, b)
+        a, b = int(cuts[i - 1]) + 1 if i else 0, int(cuts[j]) if j < len(cuts) else hi - lo
+        if letters[b] > letters[a]:
+            out.append((lo + a, lo + b))
+        left += [(a0, a), (b, b0)]
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if joined and a < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    return joined
 
 
 Span = tuple[int, int, str]
@@ -151,24 +177,49 @@ def ordered(spans: Iterable[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def merged(spans: Iterable[Span]) -> list[tuple[int, int]]:
+    """What spans, sorted by start, cover together."""
+    out: list[list[int]] = []
+    for start, end, _ in spans:
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return [(a, b) for a, b in out]
+
+
 def random_spans(text: str, base: list[Span], judge: Judge, margin: float) -> list[Span]:
-    """What the models add: candidates, or stretches of them, without what base spans cover."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        token, at = m[0], m.start()
-        if not re.search("[A-Za-z]", token):
-            continue
-        covered = sorted((a, b) for a, b, _ in base if a < m.end() and at < b)
-        if not covered and re.search("[0-9]", token) and judge.score(token) >= margin:
-            out.append((at, m.end(), "random"))
-            continue
-        for start, end in judge.stretches(token, margin):
-            start, end = at + start, at + end
-            for a, b in [*covered, (end, end)]:
+    """What the models add: candidates, or stretches of them, without what base spans cover. Every candidate with a letter
+    is weighed; all are at once, and only those that might hold a stretch one by one."""
+    codes = _codes(text)
+    inside = codes < len(ALPHABET)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    long = ends - starts >= SHORTEST
+    starts, ends = starts[long], ends[long]
+    if not len(starts):
+        return []
+    steps = judge.steps(codes)
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    total, most, letters, digits = sums(steps), sums(np.maximum(steps, 0)), sums(codes < 52), sums((codes >= 52) & (codes < 62))
+    covered = merged(base)
+    cover = np.array(covered, np.int64).reshape(-1, 2)
+    first = np.searchsorted(cover[:, 1], starts, side="right")
+    last = np.searchsorted(cover[:, 0], ends)
+    letter, digit = letters[ends] > letters[starts], digits[ends] > digits[starts]
+    mean = (total[ends - 1] - total[starts]) / (ends - 1 - starts)
+    whole = letter & digit & (first >= last) & (mean >= margin)
+    some = letter & ~whole & (most[ends - 1] - most[starts] >= EVIDENCE)
+    out = [(a, b, "random") for a, b in zip(starts[whole].tolist(), ends[whole].tolist())]
+    for k in np.flatnonzero(some).tolist():
+        lo, hi = int(starts[k]), int(ends[k])
+        for start, end in stretches(text, lo, hi, steps[lo : hi - 1], margin):
+            i, j = np.searchsorted(cover[:, 1], start, side="right"), np.searchsorted(cover[:, 0], end)
+            for a, b in [*covered[i:j], (end, end)]:
                 if start < min(a, end) and re.search("[A-Za-z0-9]", text[start : min(a, end)]):
                     out.append((start, min(a, end), "random"))
                 start = max(start, b)
-    return out
+    return sorted(out)
 
 
 def may_hold(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -180,7 +231,7 @@ def may_hold(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     flag = np.zeros(n, bool)
     cut = np.flatnonzero(np.diff(_CANDIDATE[raw], prepend=False, append=False))
     starts, ends = cut[::2], cut[1::2]
-    long = ends - starts >= 16
+    long = ends - starts >= SHORTEST
     starts, ends = starts[long], ends[long]
     # A run may go on over the end of a row into the next; all rows that it touches are looked at.
     for i, j in zip(row(starts), row(ends - 1)):
@@ -245,13 +296,7 @@ def scan_secrets(
 def replaced(text: str, spans: list[Span], by: str) -> str:
     """text with its spans, sorted by start, replaced; spans that overlap become one."""
     out, at = [], 0
-    merged: list[list[int]] = []
-    for start, end, _ in spans:
-        if merged and start < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
-    for start, end in merged:
+    for start, end in merged(spans):
         out += [text[at:start], by]
         at = end
     return "".join([*out, text[at:]])

@@ -82,3 +82,48 @@ def test_keys_beside_ordinary_characters():
         assert len(X.replaced(text, X.ordered([*base, *X.random_spans(text, base, judge, X.MARGIN)]), "")) == 0
     names = [s for s, y in X.labelled_samples(2000, seed=11) if not y] + ["das_Einheitsverarbeitung", "internationalization", "https/example/documents/library"]
     assert sum(bool(X.random_spans(s, [], judge, X.MARGIN)) for s in names) <= len(names) // 200
+
+
+# Identifiers and words as they occur in texts and programs; none was made by the rule that makes the samples.
+ORDINARY = """getElementsByTagNameNS internationalization application/vnd.ms-excel X-Forwarded-For-Original com/example/project/service/impl/AbstractBeanFactory
+/usr/local/share/ca-certificates test_should_return_404_when_missing 2024-01-01T00-00-00 HTTP_X_REQUESTED_WITH org/apache/commons/lang3/StringUtils
+node_modules/dist/production-build antidisestablishmentarianism Donaudampfschifffahrtsgesellschaft Rindfleischetikettierungsueberwachungs
+ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789abcdef aaaaaaaaaaaaaaaaaaaaaaaa =================a xxxxxxxxxxxxxxxxxxxx
+MAX_RETRY_COUNT_PER_HOST_V2 x86_64-unknown-linux-gnu python3-site-packages/numpy/core src/main/java/com/acme/HttpClientV2Impl pneumonoultramicroscopicsilicovolcanoconiosis
+customer-support-ticket-2023-10-12 invoice_2024_000123_final release-candidate-12-build-4821 img_20230405_123456_HDR user/profile/settings/privacy
+SELECT_FROM_WHERE_GROUP_BY backward-compatibility-layer sha256WithRSAEncryption TLS_AES_256_GCM_SHA384 UTF-8-encoded-string-value StringBufferInputStreamReader
+btn-primary-outline-lg-disabled col-md-offset-3-col-sm-12 https//www-example-com/articles/2021/05/11/how-to-write-good-code Geschwindigkeitsbegrenzung anticonstitutionnellement""".split()
+
+
+def test_recall_and_precision_by_kind():
+    import random
+    import string
+    import uuid
+
+    judge, r = X.Judge(X.labelled_samples()), random.Random(99)
+    of = lambda alphabet, k: lambda: "".join(r.choices(alphabet, k=k))
+    kinds = {
+        "letters": of(string.ascii_letters, 24), "small letters": of(string.ascii_lowercase, 24), "capitals": of(string.ascii_uppercase, 32), "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128))),
+        "base 62": of(string.ascii_letters + string.digits, 20), "base 64": of(string.ascii_letters + string.digits + "+/", 40), "base 36": of(string.ascii_lowercase + string.digits, 16), "short hex": of("0123456789abcdef", 20),
+    }
+    for name, make in kinds.items():
+        texts = [f"some text before {make()} and after" for _ in range(300)]
+        found = [bool(X.random_spans(t, X.base_spans(t), judge, X.MARGIN)) for t in texts]
+        assert sum(found) >= 285, name
+    wrong = [w for w in ORDINARY if X.random_spans(f"the {w} is", [], judge, X.MARGIN)]
+    assert len(wrong) <= 1, wrong
+
+
+def test_long_texts_take_time_in_proportion():
+    import random
+    import time
+
+    judge, r = X.Judge(X.labelled_samples()), random.Random(5)
+    parts = [f'key {"".join(r.choices(X.ALPHABET[:62], k=24))} token="{"".join(r.choices(X.ALPHABET[:62], k=24))}" /path/to/some/file_{i}' for i in range(4000)]
+    one_token = "/".join(f"configuration/settings/{''.join(r.choices(X.ALPHABET[:62], k=24))}/ordinary/path/of/names/and/more" for _ in range(4000))
+        unbroken = "".join("configurationsettingsordinarypathofnamesandmore" + "".join(r.choices(X.ALPHABET[:62], k=24)) for _ in range(120_000))
+    for text, least in (("\n".join(parts) * 24, 24 * 8000), (one_token * 24, 24 * 3900), (unbroken, 1)):
+        began = time.perf_counter()
+        base = X.base_spans(text)
+        assert len(text) > 7_000_000 and len(base) + len(X.random_spans(text, base, judge, X.MARGIN)) >= least
+        assert time.perf_counter() - began < 60
