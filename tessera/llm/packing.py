@@ -13,6 +13,7 @@ import re
 import struct
 import unicodedata
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,13 +47,30 @@ def _little(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _rules_part_at_spaces(path: str) -> bool:
+    """Whether a tokenizers file's own rules keep words apart: its normaliser composes, makes white space one space and
+    letters small, none of which looks past a space, and every piece that its pre-tokenizer's pattern can match is
+    without white space, the rest being removed; letters that stand together are one piece."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    normal = [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " "
+    pattern = split.get("pattern", {}).get("Regex", "\\s").split("|")
+    parts = all(re.fullmatch(r"'[a-z]+", p) or p in ("[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+") for p in pattern) and "[\\p{L}]+" in pattern
+    return normal and parts and split.get("behavior") == "Removed" and split.get("invert") is True and not spec.get("post_processor")
+
+
 class Words(dict):
     """Token ids of a text by a tokenizers file, word by word.
 
     The normaliser of such a file maps white space to one space and the pre-tokenizer never lets a token reach over
     it, so words between white space encode by themselves; each distinct word goes to the library once as long as the
-    bounded memory lasts. Where that can't be shown (``apart``) or a text has a character that Python and the library
-    may treat unlike, the library encodes the whole text.
+    bounded memory lasts. That follows from the rules that the file states (``_rules_part_at_spaces``); a few probe texts
+    check on top that the library keeps to them (``apart``, ``letters``). Otherwise, or where a text has a character that
+    Python and the library may treat unlike, the library encodes the whole text.
     """
 
     MEMORY, LONGEST = 800_000, 48
@@ -62,8 +80,8 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["The  quick", "brown\n\tfox's", "123 abc!?", "Ünïcode text <|endoftext|> x", "a b 　c"]
-        self.apart = all(self.whole(t) == b"".join(self.whole(w) for w in t.split()) for t in probe)
+        probe = _rules_part_at_spaces(path) and ["The  quick", "brown\n\tfox's", "123 abc!?", "Ünïcode text <|endoftext|> x", "a b 　c"]
+        self.apart = bool(probe) and all(self.whole(t) == b"".join(self.whole(w) for w in t.split()) for t in probe)
         stems = ["able", "unquestionably", "über", "straße", "日本語", "ciónadoes", "x", "éé"]
         self.letters = self.apart and all(self._merged(w) == self.whole(w) for w in stems)
 
@@ -193,105 +211,124 @@ class Search:
     """Local search over the underfull bins of a packing.
 
     The score is the sum of squared fills. Moving d tokens from a bin filled f to one filled g adds 2d(g - f) + 2d^2,
-    so whatever makes the receiving bin at least as full as the giving one was raises it. Each step takes the receiving
-    bin with the least gap still open and looks for what closes it best: a move of one piece, an exchange of one for
-    one, or of two for one. Every step raises the score, so the search ends.
+    so whatever makes the receiving bin fuller than the giving one was raises it. Each step takes a receiving bin and
+    looks for what closes its gap best: a move of one piece, an exchange of one for one, or of two for one; of bins that
+    could give the same, the emptiest does. Passes over all open bins, the fullest first, go on until one changes
+    nothing. Every step raises the score, so the search ends.
+
+    Pieces of one size are alike. For each size, and for each sum of two pieces of a bin, a heap has the open bins that
+    hold it by their fills, and the bits of an integer tell which sizes and sums there are; both are kept up to date bin
+    by bin, so ties cost nothing.
     """
 
+    ONE, TWO = 0, 1
+
     def __init__(self, sizes: list[int], bins: list[list[int]], room: int):
-        self.sizes, self.room = sizes, room
+        self.room, self.sizes = room, sizes
         self.full = [b for b in bins if sum(sizes[i] for i in b) == room]
-        self.open = [b for b in bins if sum(sizes[i] for i in b) != room]
-        self.fill = [sum(sizes[i] for i in b) for b in self.open]
-        self.items = sorted((sizes[i], i) for b in self.open for i in b)
-        self.home = {i: k for k, b in enumerate(self.open) for i in b}
-
-    def _pick(self, least: int, most: int, gain_from: int, k: int) -> int | None:
-        """The longest piece of least to most tokens outside bin k whose leaving raises the score.
+        left = [b for b in bins if sum(sizes[i] for i in b) != room]
+        self.bins: list[dict[int, list[int]]] = [{} for _ in left]
+        for held, b in zip(self.bins, left):
+            for i in b:
+                held.setdefault(sizes[i], []).append(i)
+        self.fill = [sum(sizes[i] for i in b) for b in left]
+        self.stamp, self.keys = [0] * len(left), [(set(), set()) for _ in left]
+        self.heaps: list[list[list]] = [[[] for _ in range(room + 1)] for _ in range(2)]
+        self.count, self.there = [[0] * (room + 1) for _ in range(2)], [0, 0]
+        for k in range(len(left)):
+            self._note(k)
+
+    def _note(self, k: int) -> None:
+        """Bring the heaps up to date with bin k; a full or empty one is in none."""
+        held, fill = self.bins[k], self.fill[k]
+        open_ = 0 < fill < self.room
+        own = sorted(held) if open_ else []
+        pairs = {a + b for i, a in enumerate(own) for b in own[i + (len(held[a]) < 2) :] if a + b <= self.room}
+        self.stamp[k] += 1
+        for kind, now in ((self.ONE, set(own)), (self.TWO, pairs)):
+            count, before = self.count[kind], self.keys[k][kind]
+            for s in before - now:
+                count[s] -= 1
+                if not count[s]:
+                    self.there[kind] &= ~(1 << s)
+            for s in now - before:
+                count[s] += 1
+                self.there[kind] |= 1 << s
+            for s in now:
+                heappush(self.heaps[kind][s], (fill, k, self.stamp[k]))
+        self.keys[k] = (set(own), pairs)
+
+    def _giver(self, kind: int, size: int, k: int) -> int | None:
+        """The emptiest bin but k that holds this size or sum."""
+        heap, mine = self.heaps[kind][size], None
+        while heap:
+            _, j, stamp = heap[0]
+            if stamp != self.stamp[j]:
+                heappop(heap)
+            elif j == k:
+                mine = heappop(heap)
+            else:
+                break
+        found = heap[0][1] if heap else None
+        if mine:
+            heappush(heap, mine)
+        return found
 
-        gain_from: what bin k holds already without what it gives away; the giving bin must hold less than bin k will.
-        """
-        at = bisect_left(self.items, (most + 1,)) - 1
-        while at >= 0 and self.items[at][0] >= least:
-            size, i = self.items[at]
-            j = self.home[i]
-            if j != k and self.fill[j] < gain_from + size:
-                return i
-            at -= 1
+    def _find(self, kind: int, least: int, most: int, rest: int, k: int) -> tuple[int, int] | None:
+        """(size, bin): the largest of least to most that a bin may give; rest: what bin k holds besides."""
+        there = self.there[kind] & ((2 << min(most, self.room)) - 1)
+        while there.bit_length() > least:
+            size = there.bit_length() - 1
+            j = self._giver(kind, size, k)
+            if j is not None and self.fill[j] < rest + size:
+                return size, j
+            there ^= 1 << size
         return None
 
-    def _shift(self, i: int, to: int) -> None:
-        j = self.home[i]
-        self.open[j].remove(i)
-        self.open[to].append(i)
-        self.fill[j] -= self.sizes[i]
-        self.fill[to] += self.sizes[i]
-        self.home[i] = to
+    def _shift(self, size: int, a: int, b: int) -> None:
+        i = self.bins[a][size].pop()
+        if not self.bins[a][size]:
+            del self.bins[a][size]
+        self.bins[b].setdefault(size, []).append(i)
+        self.fill[a] -= size
+        self.fill[b] += size
 
     def _improve(self, k: int) -> bool:
-        sizes, gap = self.sizes, self.room - self.fill[k]
-        best: tuple[int, list[int], int | None] = (0, [], None)  # tokens gained, pieces in, piece out
-        i = self._pick(1, gap, self.fill[k], k)
-        if i is not None:
-            best = (sizes[i], [i], None)
-        for out in sorted(set(self.open[k]), key=lambda x: sizes[x]):
-            if best[0] == gap:
-                break
-            rest, most = self.fill[k] - sizes[out], sizes[out] + gap
-            i = self._pick(sizes[out] + best[0] + 1, most, rest, k)
-            if i is not None:
-                best = (sizes[i] - sizes[out], [i], out)
-            if best[0] < gap:
-                two = self._two(sizes[out] + best[0] + 1, most, rest, k)
-                if two is not None:
-                    best = (sum(sizes[x] for x in two) - sizes[out], two, out)
-        gained, into, out = best
-        if not gained:
+        gap = self.room - self.fill[k]
+        gained, best = 0, None  # tokens; (sizes in, giving bin, size out)
+        found = self._find(self.ONE, 1, gap, self.fill[k], k)
+        if found:
+            gained, best = found[0], ([found[0]], found[1], 0)
+        for out in sorted(self.bins[k]):
+            for kind in (self.ONE, self.TWO):
+                found = self._find(kind, out + gained + 1, out + gap, self.fill[k] - out, k) if gained < gap else None
+                if found:
+                    size, j = found
+                    held, into = self.bins[j], [size]
+                    if kind == self.TWO:
+                        first = next(a for a in held if size - a in held and (2 * a != size or len(held[a]) > 1))
+                        into = [first, size - first]
+                    gained, best = size - out, (into, j, out)
+        if best is None:
             return False
-        giver = self.home[into[0]]
-        for i in into:
-            self._shift(i, k)
-        if out is not None:
-            self._shift(out, giver)
+        into, j, out = best
+        for size in into:
+            self._shift(size, j, k)
+        if out:
+            self._shift(out, k, j)
+        self._note(j)
+        self._note(k)
         return True
 
-    def _two(self, least: int, most: int, rest: int, k: int) -> list[int] | None:
-        """Two pieces of one other bin of least to most tokens together whose exchange for one raises the score."""
-        best, found = least - 1, None
-        for j, b in enumerate(self.open):
-            if j == k or len(b) < 2:
-                continue
-            ordered = sorted(b, key=lambda x: self.sizes[x])
-            lo, hi = 0, len(ordered) - 1
-            while lo < hi:
-                both = self.sizes[ordered[lo]] + self.sizes[ordered[hi]]
-                if both > most:
-                    hi -= 1
-                else:
-                    if both > best and self.fill[j] < rest + both:
-                        best, found = both, [ordered[lo], ordered[hi]]
-                    lo += 1
-            if best == most:
-                break
-        return found
-
     def run(self) -> list[list[int]]:
-        stuck: set[int] = set()
-        # Kept as a list of bins by rising gap; a bin that changes comes back in its new place.
-        waiting = sorted((self.room - f, k) for k, f in enumerate(self.fill))
-        while waiting:
-            gap, k = waiting.pop(0)
-            if gap != self.room - self.fill[k] or not gap or not self.open[k]:
-                continue
-            before = list(self.fill)
-            if self._improve(k):
-                for j, f in enumerate(self.fill):
-                    if f != before[j] and 0 < f < self.room:
-                        insort(waiting, (self.room - f, j))
-                        stuck.discard(j)
-            else:
-                stuck.add(k)
-        return self.full + [b for b in self.open if b]
+        least = -(-sum(self.fill) // self.room)
+        changed = True
+        while changed and sum(f > 0 for f in self.fill) > least:
+            changed = False
+            for k in sorted(range(len(self.fill)), key=lambda k: (-self.fill[k], k)):
+                while 0 < self.fill[k] < self.room and self._improve(k):
+                    changed = True
+        return self.full + [[i for held in b.values() for i in held] for b, f in zip(self.bins, self.fill) if f]
 
 
 def pack(sizes: list[int], room: int) -> list[list[int]]:

@@ -1,11 +1,13 @@
+import random
 import struct
+import time
 import zlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.packing import Words, best_fit, bins_needed, pack, pack_sequences
+from tessera.llm.packing import Search, Words, best_fit, bins_needed, pack, pack_sequences
 
 from .common import awkward, empty
 
@@ -28,6 +30,67 @@ def test_search_empties_a_bin():
     assert sum(sizes) == 30 and len(pack(sizes, 10)) == 3
 
 
+def fewest(sizes, room):
+    """The least number of bins, by trying every place for every piece."""
+    best = [len(sizes)]
+
+    def place(i, fills):
+        if len(fills) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(fills)
+            return
+        for k in range(len(fills)):
+            if fills[k] + sizes[i] <= room and fills[k] not in fills[:k]:
+                place(i + 1, fills[:k] + [fills[k] + sizes[i]] + fills[k + 1 :])
+        place(i + 1, [*fills, sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_pack_against_all_packings():
+    r, hit = random.Random(4), 0
+    for _ in range(300):
+        sizes = [r.randint(1, r.choice([12, 20])) for _ in range(r.randint(1, 11))]
+        found, least = len(pack(sizes, 20)), fewest(sizes, 20)
+        assert least <= found <= least + 1
+        hit += found == least
+    assert hit >= 297
+
+
+@pytest.mark.parametrize("low,high", [(600, 800), (700, 700), (500, 500), (683, 683), (200, 900), (1, 2048), (1, 60)])
+def test_ties_are_packed_fast(low, high):
+    r = random.Random(2)
+    sizes = [r.randint(low, high) for _ in range(4096)]
+    began = time.perf_counter()
+    bins = pack(sizes, 2048)
+    assert time.perf_counter() - began < 3 and sorted(i for b in bins for i in b) == list(range(4096))
+    assert all(sum(sizes[i] for i in b) <= 2048 for b in bins) and len(bins) <= len(best_fit(sizes, 2048))
+
+
+def test_search_ends_where_nothing_is_left_to_do():
+    r = random.Random(7)
+    for _ in range(60):
+        sizes = [r.randint(1, 30) for _ in range(60)]
+        s = Search(sizes, best_fit(sizes, 41), 41)
+        bins = s.run()
+        if len(bins) > bins_needed(sum(sizes), 41):
+            fill = [sum(sizes[i] for i in b) for b in bins]
+            for a, b in ((a, b) for a in range(len(bins)) for b in range(len(bins)) if a != b and 41 not in (fill[a], fill[b])):
+                for i in bins[a]:
+                    for out in [0, *(sizes[j] for j in bins[b])]:
+                        d = sizes[i] - out
+                        assert not (0 < d <= 41 - fill[b] and fill[a] < fill[b] + d)
+
+
+def test_long_text():
+    w = Words(FILE)
+    text = " ".join(f"Word{i % 977} und\tÜber. don't" for i in range(60_000))
+    assert len(text) > 1_000_000 and w.all_ids([text])[0] == w.whole(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["Able", "able.", "..", ",", "Ünd", "İx", "Σ", "é", "'s", "don't", "12", "<|endoftext|>", " ", "\n", "\x1c", "\x85", "日本", "ﬁ", "ß", "_", "K"]), max_size=10).map("".join))
 def test_words_like_the_library(text):
