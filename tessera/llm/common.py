@@ -78,6 +78,40 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def sorted_groups(batches, columns: int, most: int):
+    """Groups of equal values in the first column of a sorted stream: (arrays, starts, ends, large) again and again.
+
+    starts and ends are of whole groups of up to ``most`` rows. large are ranges of parts of larger groups, given out as
+    they come, so no more than ``most`` rows and a batch are held.
+    """
+    rest, over = None, None
+    for b in then_none(batches):
+        now = None if b is None else [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if now is not None and not len(now[0]):
+            continue
+        if now is None and rest is None:
+            return
+        if rest is not None:
+            now = rest if now is None else [np.concatenate(x) for x in zip(rest, now)]
+        key = now[0]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(starts[1:], len(key))
+        big = ends - starts > most
+        big[0] |= over is not None and key[0] == over
+        whole = np.ones(len(starts), bool)
+        whole[-1] = b is None
+        yield now, starts[whole & ~big], ends[whole & ~big], list(zip(starts[big].tolist(), ends[big].tolist()))
+        if b is None:
+            return
+        over = key[-1] if big[-1] else None
+        rest = None if big[-1] else [x[starts[-1] :] for x in now]
+
+
+def then_none(batches):
+    yield from batches
+    yield None
+
+
 def with_column(keep, column: str) -> tuple[list[str], int]:
     """The columns to hand to a worker so that it has keep, in order, and column, and where that one stands."""
     names = list(keep) + ([column] if column not in keep else [])

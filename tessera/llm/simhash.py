@@ -16,9 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, row_blocks, runs, stored, text_bytes, with_column, word_hashes, words_of
+from .common import then_none, map_arrow, mix, row_blocks, runs, sorted_groups, stored, text_bytes, with_column, word_hashes, words_of
 from .components import components
-from .packing import one_group_at_a_time
 
 THRESHOLD = 3
 _U = np.uint64
@@ -103,46 +102,71 @@ def anchors(fp: np.ndarray, length: int = 31) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
-#: Members of an anchor from which the other half's bytes part them first, and comparisons at once.
-MANY, BLOCK = 2048, 1 << 22
+#: Members of an anchor from which the other half's bytes part them first.
+MANY = 2048
 
 
-def links_at(fp: np.ndarray, home: np.ndarray, threshold: int, shift: int | None) -> list[tuple[int, int]]:
-    """Links between the fingerprints at one anchor that keep together what is linked there: a forest, not all pairs.
+def forest(n: int, near) -> list[tuple[int, int]]:
+    """Links among n members that keep together what is linked, each a pair that near, which gives the members that one
+    links with, has told.
 
-    shift: where the other half starts. Of many members only those are compared that agree in one of its four bytes,
-    which two that differ in at most 3 bits do.
+    Members outside the largest component are asked until none is left there unasked, so all pairs across components
+    have been looked at, and a group that hangs together is settled by few of its members.
     """
-    label = np.arange(len(fp))
-    out: list[tuple[int, int]] = []
-
-    def compare(members: np.ndarray) -> None:
-        own = members[home[members]]
-        step = max(1, BLOCK // max(1, len(members)))
-        for a in range(0, len(own), step):
-            near = np.bitwise_count(fp[own[a : a + step], None] ^ fp[members][None, :]) <= threshold
-            for i in np.flatnonzero(near.sum(axis=1) > 1):
-                met = members[near[i]]
-                roots = np.unique(label[met])
-                if len(roots) > 1:
-                    out.extend((int(fp[roots[0]]), int(fp[r])) for r in roots[1:])
-                    label[np.isin(label, roots)] = roots[0]
-
-    if len(fp) <= MANY or shift is None or threshold > 3:
-        compare(np.arange(len(fp)))
-        return out
-    for k in range(4):
-        byte = (fp >> _U(shift + 8 * k)) & _U(255)
-        order = np.argsort(byte, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
-            if len(part) > 1 and home[part].any():
-                compare(part)
-    return out
+    label, asked, out = np.arange(n), np.zeros(n, bool), []
+    while True:
+        counts = np.bincount(label, minlength=n)
+        left = np.flatnonzero(~asked & (label != counts.argmax())) if asked.any() else np.arange(n)
+        if not len(left):
+            return out
+        # any pair across components has a member outside the largest one; that one was or will be asked
+        for i in left[:1].tolist() if n > 64 and len(left) == n else left.tolist():
+            asked[i] = True
+            met = near(i)
+            roots, first = np.unique(label[met], return_index=True)
+            other = roots != label[i]
+            if other.any():
+                out += [(i, int(x)) for x in met[first[other]]]
+                label[np.isin(label, roots)] = min(int(roots[0]), int(label[i]))
+
+
+def links_at(fp: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between fingerprints, enough of them to keep together what is linked there."""
+    pairs = forest(len(fp), lambda i: np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= threshold))
+    return [(int(fp[a]), int(fp[b])) for a, b in pairs]
+
+
+def _compared(batches, threshold: int, most: int):
+    """(u, v, again) of a stream (key, fp, home) sorted by key: links, and the rows of groups of more than ``most``, their
+    key and fingerprint as u and v, which have to be parted first."""
+    import pyarrow as pa
+
+    for now, starts, ends, large in sorted_groups(batches, 3, most):
+        fp, home = now[1].view(np.uint64), now[2].astype(bool)
+        homes = np.concatenate([[0], np.cumsum(home)])
+        use = (ends - starts > 1) & (homes[ends] > homes[starts])
+        starts, ends = starts[use], ends[use]
+        pairs = ends - starts == 2
+        a, b = fp[starts[pairs]], fp[starts[pairs] + 1]
+        near = np.bitwise_count(a ^ b) <= threshold
+        out = [np.stack([a[near], b[near]], 1)]
+        found = [x for s, e in zip(starts[~pairs].tolist(), ends[~pairs].tolist()) for x in links_at(fp[s:e], threshold)]
+        if found:
+            out.append(np.array(found, np.uint64))
+        link = np.concatenate(out).view(np.int64)
+        over = [np.zeros((0, 2), np.int64), *(np.stack([now[0][s:e], now[1][s:e]], 1) for s, e in large)]
+        both = np.concatenate([link, *over])
+        if len(both):
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(link))], ["u", "v", "again"])
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """fps (fp long, distinct) to (u, v): links of fingerprints that differ in at most threshold bits, enough of them
-    that their connected components are those of all links. threshold is 3 at most."""
+    that their connected components are those of all links. threshold is 3 at most.
+
+    An anchor of more than MANY members isn't held: its rows are dealt once more, by anchor and each of the other half's
+    four bytes, one of which two that differ in at most 3 bits share. What meets there is distinct and within 2 bits of
+    the anchor, and is settled by asking few of its members."""
     if threshold > 3:
         raise ValueError("the halves' anchors hold for 3 differing bits at most")
 
@@ -155,43 +179,16 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 rows, keys, homes = anchors(fp[k : k + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[k : k + 20_000][rows].view(np.int64)), pa.array(homes)], ["anchor", "fp", "home"])
 
-    def compared(batches):
-        import pyarrow as pa
-
-        rest = None
-        for b in _with_end(batches):
-            if b is not None:
-                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-                now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
-            elif rest is None:
-                return
-            else:
-                now = rest
-            key = now[0]
-            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
-            last = len(key) if b is None else starts[-1] if len(starts) else 0
-            rest = [x[last:] for x in now]
-            ends = np.append(starts[1:], len(key))
-            use = (ends <= last) & (ends - starts > 1)
-            starts, ends = starts[use], ends[use]
-            if len(starts):
-                any_home = np.logical_or.reduceat(now[2], np.stack([starts, ends], 1).ravel()[: 2 * len(starts) - (ends[-1] == len(key))])[::2]
-                starts, ends = starts[any_home], ends[any_home]
-            fp, home = now[1].view(np.uint64), now[2].astype(bool)
-            out = []
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                out += links_at(fp[s:e], home[s:e], threshold, 0 if int(key[s]) >> 31 else 32)
-            if out:
-                pair = np.array(out, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
-
+    many = MANY
+    first = lambda batches: _compared(batches, threshold, many)
+    second = lambda batches: _compared(batches, threshold, 1 << 62)
     spread = map_arrow(fps, copied, "anchor long, fp long, home boolean")
-    return map_arrow(spread.repartition("anchor").sortWithinPartitions("anchor", "fp"), compared, "u long, v long")
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
+    found = stored(map_arrow(spread.repartition("anchor").sortWithinPartitions("anchor", "fp"), first, "u long, v long, again boolean"))
+    # the anchor's tag says which half it is of; the bytes are those of the other one
+    keys = F.array(*[F.xxhash64("u", F.lit(k), F.expr(f"shiftrightunsigned(v, {8 * k} + case when shiftright(u, 31) = 0 then 32 else 0 end) & 255")) for k in range(4)])
+    parted = found.where("again").select(F.explode(keys).alias("anchor"), F.col("v").alias("fp"), F.lit(True).alias("home"))
+    more = map_arrow(parted.repartition("anchor").sortWithinPartitions("anchor", "fp"), second, "u long, v long, again boolean")
+    return found.where("not again").select("u", "v").unionByName(more.select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = 3, keep: Sequence[str] = ()) -> DataFrame:
@@ -296,41 +293,20 @@ def prefixes(column, common: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]
     return out
 
 
-def maybe_alike(size: np.ndarray, marks: np.ndarray, i, j) -> np.ndarray:
-    """Whether texts i and j may share OVER / UNDER of their shingles: never false for texts of fewer than LONG that do."""
-    a, b = size[i], size[j]
+def maybe_alike(size: np.ndarray, marks: np.ndarray, other_size: np.ndarray, other_marks: np.ndarray, i, j) -> np.ndarray:
+    """Whether texts i and, of the others, j may share OVER / UNDER of their shingles: never false for texts of fewer than
+    LONG that do."""
+    a, b = size[i], other_size[j]
     near = (UNDER * np.minimum(a, b) >= OVER * np.maximum(a, b))
-    differ = marks[i] ^ marks[j]
+    differ = marks[i] ^ other_marks[j]
     bits = np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
     agree = (differ >> 4 == 0).sum(axis=-1) + (differ & 15 == 0).sum(axis=-1)
     short, long = (a < LONG) & (b < LONG), (a >= LONG) & (b >= LONG)
     return near & np.where(short, bits * (UNDER + OVER) <= (a + b) * (UNDER - OVER), ~long | (agree >= LOOSE))
 
 
-def forest(n: int, near) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links and labels of the components of n members, near(i) telling which ones i links with.
-
-    Members outside the largest component are asked until none is left there unasked, so all pairs across components
-    have been looked at, and a group that hangs together is settled by few of its members.
-    """
-    label, asked, out = np.arange(n), np.zeros(n, bool), []
-    while True:
-        counts = np.bincount(label, minlength=n)
-        left = np.flatnonzero(~asked & (label != counts.argmax())) if asked.any() else np.arange(n)
-        if not len(left):
-            return out, label
-        # any pair across components has a member outside the largest one; that one was or will be asked
-        for i in left[:1].tolist() if n > 64 and len(left) == n else left.tolist():
-            asked[i] = True
-            roots = np.unique(np.append(label[near(i)], label[i]))
-            if len(roots) > 1:
-                out += [(int(roots[0]), int(r)) for r in roots[1:]]
-                label[np.isin(label, roots)] = roots[0]
-
-
-def bucket_links(nodes: DataFrame) -> DataFrame:
-    """nodes (node long, n int, marks binary, prefix binary; distinct sets) to (u, v): enough links between texts that
-    share a shingle of their prefixes and may be alike to keep them together."""
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(shingle, node): prefix shingles that several nodes have; those of one node alone can't link it."""
 
     def copied(batches):
         import pyarrow as pa
@@ -338,29 +314,54 @@ def bucket_links(nodes: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 2_000):
                 part = b.slice(k, 2_000)
-                held = part.column(3).to_pylist()
+                held = part.column(1).to_pylist()
                 take = pa.array(np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), *(part.column(i).take(take) for i in range(3))], ["shingle", "node", "n", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), part.column(0).take(take)], ["shingle", "node"])
+
+    def several(batches):
+        import pyarrow as pa
+
+        for now, starts, ends, large in sorted_groups(batches, 2, MANY):
+            use = ends - starts > 1
+            keep = np.zeros(len(now[0]) + 1, np.int64)
+            np.add.at(keep, starts[use], 1)
+            np.add.at(keep, ends[use], -1)
+            keep = np.cumsum(keep[:-1]) > 0
+            for s, e in large:
+                keep[s:e] = True
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in now], ["shingle", "node"])
+
+    spread = map_arrow(nodes.select("node", "prefix"), copied, "shingle long, node long")
+    return map_arrow(spread.repartition("shingle").sortWithinPartitions("shingle"), several, "shingle long, node long")
+
+
+def _marked(batches, columns: int):
+    """The batches with their last column, marks, as a matrix of bytes."""
+    for b in batches:
+        raw = np.frombuffer(b"".join(b.column(columns - 1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        yield [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(columns - 1)), raw]
+
+
+def bucket_pairs(rows: DataFrame) -> DataFrame:
+    """rows (shingle long, node long, n int, marks binary) to (u, v): pairs that share a shingle and may be alike, enough of
+    them to keep together what hangs together by such pairs; in buckets of up to FEW members all of them."""
 
     def compared(batches):
         import pyarrow as pa
 
         rest = None
-        for b in _with_end(batches):
-            if b is not None and not b.num_rows:
+        for now in then_none(_marked(batches, 4)):
+            if now is not None and not len(now[0]):
                 continue
-            if b is not None:
-                raw = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                now = [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)), raw]
-                now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
-            elif rest is None:
+            end = now is None
+            if rest is None and end:
                 return
-            else:
-                now = rest
+            if rest is not None:
+                now = rest if end else [np.concatenate(x) for x in zip(rest, now)]
             key = now[0]
-            new = np.append(True, key[1:] != key[:-1])
-            starts = np.flatnonzero(new)
-            last = len(key) if b is None else int(starts[-1])
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            last = len(key) if end else int(starts[-1])
             rest = [x[last:] for x in now]
             ends = np.append(starts[1:], len(key))
             starts, ends = starts[ends <= last], ends[ends <= last]
@@ -374,47 +375,77 @@ def bucket_links(nodes: DataFrame) -> DataFrame:
                 i = np.flatnonzero(np.arange(len(key)) + d < until)
                 for k in range(0, len(i), 1 << 18):
                     x = i[k : k + (1 << 18)]
-                    x = x[maybe_alike(size, marks, x, x + d)]
+                    x = x[maybe_alike(size, marks, size, marks, x, x + d)]
                     us.append(node[x])
                     vs.append(node[x + d])
             for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
                 sz, mk, own = size[s:e], marks[s:e], node[s:e]
-                for a, c in forest(e - s, lambda i: maybe_alike(sz, mk, i, slice(None)))[0]:
-                    us.append(own[[a]])
-                    vs.append(own[[c]])
-            u, v = np.concatenate(us), np.concatenate(vs)
-            pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            pair = pair[pair[:, 0] != pair[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
+                pairs = forest(e - s, lambda i: np.flatnonzero(maybe_alike(sz, mk, sz, mk, i, slice(None))))
+                us.append(own[[a for a, _ in pairs]] if pairs else us[0])
+                vs.append(own[[b for _, b in pairs]] if pairs else vs[0])
+            yield _pairs(np.concatenate(us), np.concatenate(vs))
 
-    spread = map_arrow(nodes.select("node", "n", "marks", "prefix"), copied, "shingle long, node long, n int, marks binary")
-    return map_arrow(spread.repartition("shingle").sortWithinPartitions("shingle", "node"), compared, "u long, v long")
+    return map_arrow(rows.repartition("shingle").sortWithinPartitions("shingle", "node"), compared, "u long, v long").distinct()
 
 
-def exact_roots(texts: list[str | None]) -> np.ndarray:
-    """Of texts: the least place in their component, links being OVER / UNDER shared shingles, counted exactly."""
+def _pairs(u: np.ndarray, v: np.ndarray):
     import pyarrow as pa
 
-    hashes, sizes = [], []
-    for _, _, h, rows in shingle_sets(pa.array(texts, pa.large_string())):
-        hashes.append(h)
-        sizes.append(np.diff(rows))
-    h, size = np.concatenate(hashes), np.concatenate(sizes)
-    rows = np.append(0, np.cumsum(size))
-    doc = np.repeat(np.arange(len(size)), size)
-    # postings: where each shingle of the group stands
-    order = np.argsort(h, kind="stable")
-    sorted_h, sorted_doc = h[order], doc[order]
+    pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+    pair = pair[pair[:, 0] != pair[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
 
-    def near(i: int) -> np.ndarray:
-        own = h[rows[i] : rows[i + 1]]
-        a, b = np.searchsorted(sorted_h, own), np.searchsorted(sorted_h, own, side="right")
-        n = b - a
-        met = sorted_doc[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        shared = np.bincount(met, minlength=len(size))
-        return np.flatnonzero(shared * (UNDER + OVER) >= OVER * (size + size[i]))
 
-    return forest(len(size), near)[1]
+def linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts (node, text) share OVER / UNDER of their shingles, counted exactly. Texts meet pair by
+    pair, never as groups."""
+
+    def judged(batches):
+        import pyarrow as pa
+
+        def sets(column):
+            return [h[a:b] for _, _, h, rows in shingle_sets(column) for a, b in zip(rows, rows[1:])]
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
+                good = []
+                for x, y in zip(sets(b.column(2)), sets(b.column(3))):
+                    shared = len(x) + len(y) - len(np.union1d(x, y))
+                    good.append(shared * (UNDER + OVER) >= OVER * (len(x) + len(y)))
+                keep = pa.array(good, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], ["u", "v"])
+
+    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    both = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    return map_arrow(both, judged, "u long, v long")
+
+
+def _left_over(rows: DataFrame, loose: DataFrame, tight: DataFrame) -> DataFrame:
+    """The pairs that ``bucket_pairs`` hasn't named although they may link: rows (shingle, node, n, marks), loose and tight
+    (node, root), the components of named and of linked pairs.
+
+    Where a loose component falls into several tight ones, nodes outside the largest tight one, which are few where copies
+    hang together, are looked up against all of the component in their buckets.
+    """
+    both = stored(loose.withColumnRenamed("root", "loose").join(tight.withColumnRenamed("root", "tight"), "node", "left").select("node", "loose", F.coalesce("tight", "node").alias("tight")))
+    sizes = both.groupBy("loose", "tight").count()
+    largest = sizes.groupBy("loose").agg(F.max_by("tight", F.struct("count", "tight")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    torn = both.join(largest, "loose").select("node", "tight", (F.col("tight") != F.col("main")).alias("minor"))
+    of = stored(rows.join(torn, "node").select("shingle", "node", "tight", "minor", "n", "marks"))
+    x = of.where("minor").select("shingle", F.col("node").alias("u"), F.col("tight").alias("tu"), F.col("n").alias("nu"), F.col("marks").alias("mu"))
+    y = of.select("shingle", F.col("node").alias("v"), F.col("tight").alias("tv"), F.col("n").alias("nv"), F.col("marks").alias("mv"))
+    met = x.join(y, "shingle").where((F.col("tu") != F.col("tv")) & (UNDER * F.least("nu", "nv") >= OVER * F.greatest("nu", "nv")))
+
+    def alike(batches):
+        for b in batches:
+            u, v, nu, nv = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            mu, mv = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (4, 5))
+            at = np.arange(len(u))
+            ok = maybe_alike(nu, mu, nv, mv, at, at) if len(u) else np.zeros(0, bool)
+            yield _pairs(u[ok], v[ok])
+
+    return map_arrow(met.select("u", "v", "nu", "nv", "mu", "mv"), alike, "u long, v long").distinct()
 
 
 def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -439,50 +470,43 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Near-duplicates share 0.8 or more (Jaccard) of their distinct five-word shingles, or are linked by texts that do.
     Texts of one shingle set are combined. Candidates share a shingle of their prefixes, as all pairs at 0.8 do, and pass
-    a comparison of sizes and marks that no such pair fails (those of LONG or more shingles once in 1e9). The texts of what
-    hangs together by candidates then meet once, and only exactly counted shingles link them.
+    a comparison of sizes and marks that no such pair fails (those of LONG or more shingles once in 1e9). Of them enough
+    pairs are compared exactly, text by text, to settle every group (``bucket_pairs``, ``_left_over``); no task holds the
+    texts of a group.
 
     Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
-    Null texts and those without words are one group. The rows are numbered and written to the shared folder with what
-    they are compared by; one join by number takes the rows that stay. The texts of one group of candidates, copies
-    combined, have to fit into one task's memory.
+    Null texts and those without words are one group. The rows are numbered and written to the shared folder; one join
+    by number takes the rows that stay. Of a shingle that very many prefixes share, a task holds 44 bytes a node.
     """
     number, plain = "_tessera_row", list(docs.columns)
     text, key = plain.index(text_col), f"c{plain.index(id_col)}"
     common = common_shingles(docs, text_col)
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain)], F.monotonically_increasing_id().alias(number))
+    base = stored(base)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            n, digest, marks, prefix = zip(*prefixes(b.column(text), common)) if b.num_rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (digest, marks, prefix))], [*b.schema.names, "n", "digest", "marks", "prefix"])
+            n, digest, marks, prefix = zip(*prefixes(b.column(2), common)) if b.num_rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (digest, marks, prefix))], [number, "id", "n", "digest", "marks", "prefix"])
 
-    kinds = ", ".join(f"{c} {t}" for c, t in base.dtypes)
-    base = stored(map_arrow(base, run, f"{kinds}, n int, digest binary, marks binary, prefix binary"))
-    first = F.min(F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.col(number).alias("c"))).alias("_first")
+    kind = dict(base.dtypes)[key]
+    sets = map_arrow(base.select(number, F.col(key).alias("id"), F.col(f"c{text}").alias("text")), run, f"{number} long, id {kind}, n int, digest binary, marks binary, prefix binary")
+    first = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col(number).alias("c"))).alias("_first")
     rest = [F.first(c).alias(c) for c in ("marks", "prefix")]
-    own = stored(base.groupBy("digest", "n").agg(first, *rest).withColumn("node", F.xxhash64("digest", "n")))
-    loose = components(bucket_links(own))
-    members = own.join(loose, "node").select("node", "root", F.col("_first.c").alias(number))
-    texts = base.select(number, F.col(f"c{text}").alias("text")).join(members, number).select("root", "node", "text")
-
-    def linked(batches):
-        import pyarrow as pa
-
-        def at(held):
-            t = pa.Table.from_batches(held)
-            node = t.column("node").to_numpy()
-            roots = node[exact_roots(t.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(roots)], ["node", "_root"])
-
-        yield from one_group_at_a_time(batches, "root", at)
-
-    parts = map_arrow(texts.repartition("root").sortWithinPartitions("root", "node"), linked, "node long, _root long")
-    roots = own.join(parts, "node", "left").select(F.coalesce("_root", "node").alias("_root"), "_first")
+    own = stored(sets.groupBy("digest", "n").agg(first, *rest).withColumn("node", F.monotonically_increasing_id()))
+    rows = stored(_shared(own).join(own.select("node", "n", "marks"), "node").select("shingle", "node", "n", "marks"))
+    pairs = stored(bucket_pairs(rows))
+    texts = base.select(number, F.col(f"c{text}").alias("text")).join(own.select("node", F.col("_first.c").alias(number)), number)
+    touched = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = stored(texts.join(touched, "node", "left_semi").select("node", "text"))
+    links = stored(linked_pairs(pairs, texts))
+    more = stored(linked_pairs(_left_over(rows, components(pairs), components(links)), texts))
+    parts = components(links.unionByName(more))
+    roots = own.select("node", "_first").join(parts, "node", "left").select(F.coalesce("root", "node").alias("_root"), "_first")
     stay = roots.groupBy("_root").agg(F.min("_first").alias("f")).select(F.col("f.c").alias(number))
-    return base.join(stay.hint("shuffle_hash"), number, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)])
+    return base.join(stay, number, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)])
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

@@ -60,10 +60,9 @@ def test_links(spark, monkeypatch, many):
             x ^= np.uint64(1) << np.uint64(bit)
         fps.append(int(x))
     fps = sorted(set(fps))
-    home = np.ones(len(fps), bool)
     monkeypatch.setattr(X, "MANY", many)
-    near = X.links_at(np.array(fps, np.uint64), home, 3, 0)
-    assert all(bin(a ^ b).count("1") <= 64 for a, b in near) and len(near) < len(fps)
+    near = X.links_at(np.array(fps, np.uint64), 3)
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in near) and len(near) < len(fps)
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
     root = {r.node: r.root for r in components(X.links(df)).collect()}
     label = groups(fps)
@@ -174,3 +173,22 @@ def test_only_texts_of_the_similarity_go(spark):
         texts += [" ".join(w), " ".join(w[:shared] + [f"other{seed}x{i}" for i in range(n - shared)])]
     want = remaining(texts)
     assert len(texts) * 0.75 < len(want) < len(texts) and kept(spark, texts) == want
+
+
+@pytest.mark.parametrize("few", [16, 2])
+def test_groups_at_the_edge_of_the_similarity(spark, monkeypatch, few):
+    """Many texts of one origin, some pairs above and some below 0.8, so candidates that fail must not part what links."""
+    monkeypatch.setattr(X, "FEW", few)
+    r, texts = random.Random(few), []
+    for origin in range(6):
+        w = [f"{x}{origin}" for x in prose(origin, 250)]
+        for i in range(40):
+            v = list(w)
+            for p in r.sample(range(250), r.randint(1, 7)):
+                v[p] = f"e{i}x{p}"
+            texts.append(" ".join(v[: r.randint(215, 250)]))
+    sets = [shingles(t) for t in texts]
+    near = [[9 * len(a & b) >= 4 * (len(a) + len(b)) for b in sets[:40]] for a in sets[:40]]
+    assert 0.1 < np.mean(near) < 0.9
+    want = remaining(texts)
+    assert 6 < len(want) < 200 and kept(spark, texts) == want
