@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import then_none, map_arrow, mix, row_blocks, runs, sorted_groups, stored, text_bytes, with_column, word_hashes, words_of
 from .components import components
+from .packing import one_group_at_a_time
 
 THRESHOLD = 3
 _U = np.uint64
@@ -227,6 +228,9 @@ PARITY, LONG, LOOSE = 256, 450, 33
 #: Texts that are looked at for common shingles, and in how many of them a shingle has to be. Buckets of so many members are
 #: compared all at once.
 SAMPLE, COMMON, FEW = 20_000, 20, 16
+#: Elements that are compared in one task, nodes that shares of larger groups have in common, and larger groups up to which
+#: their list is sent to every executor.
+TOGETHER, PIVOTS, FEW_LARGE = 250_000, 16, 50_000
 
 
 def shingle_sets(column):
@@ -396,56 +400,104 @@ def _pairs(u: np.ndarray, v: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
 
 
-def linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts (node, text) share OVER / UNDER of their shingles, counted exactly. Texts meet pair by
-    pair, never as groups."""
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(node, text) to (node, n, hashes): the distinct shingles of each text."""
 
-    def judged(batches):
+    def run(batches):
         import pyarrow as pa
 
-        def sets(column):
-            return [h[a:b] for _, _, h, rows in shingle_sets(column) for a, b in zip(rows, rows[1:])]
+        for b in batches:
+            for lo, hi, h, rows in shingle_sets(b.column(1)):
+                held = [h[s:e].tobytes() for s, e in zip(rows, rows[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(rows), pa.int64()), pa.array(held, pa.binary())], ["node", "n", "hashes"])
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                good = []
-                for x, y in zip(sets(b.column(2)), sets(b.column(3))):
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(shared * (UNDER + OVER) >= OVER * (len(x) + len(y)))
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], ["u", "v"])
+    return map_arrow(texts, run, "node long, n long, hashes binary")
 
-    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    both = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-    return map_arrow(both, judged, "u long, v long")
 
+def _postings(sets: list[np.ndarray]):
+    """near(i): the places of sets that share OVER / UNDER of their elements with set i, counted exactly."""
+    size = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    values, owner = every[order], np.repeat(np.arange(len(sets)), size)[order]
 
-def _left_over(rows: DataFrame, loose: DataFrame, tight: DataFrame) -> DataFrame:
-    """The pairs that ``bucket_pairs`` hasn't named although they may link: rows (shingle, node, n, marks), loose and tight
-    (node, root), the components of named and of linked pairs.
+    def near(i: int) -> np.ndarray:
+        a, b = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], side="right")
+        n = b - a
+        met = owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        shared = np.bincount(met, minlength=len(sets))
+        return np.flatnonzero(shared * (UNDER + OVER) >= OVER * (size + size[i]))
+
+    return near
 
-    Where a loose component falls into several tight ones, nodes outside the largest tight one, which are few where copies
-    hang together, are looked up against all of the component in their buckets.
-    """
-    both = stored(loose.withColumnRenamed("root", "loose").join(tight.withColumnRenamed("root", "tight"), "node", "left").select("node", "loose", F.coalesce("tight", "node").alias("tight")))
-    sizes = both.groupBy("loose", "tight").count()
-    largest = sizes.groupBy("loose").agg(F.max_by("tight", F.struct("count", "tight")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    torn = both.join(largest, "loose").select("node", "tight", (F.col("tight") != F.col("main")).alias("minor"))
-    of = stored(rows.join(torn, "node").select("shingle", "node", "tight", "minor", "n", "marks"))
-    x = of.where("minor").select("shingle", F.col("node").alias("u"), F.col("tight").alias("tu"), F.col("n").alias("nu"), F.col("marks").alias("mu"))
-    y = of.select("shingle", F.col("node").alias("v"), F.col("tight").alias("tv"), F.col("n").alias("nv"), F.col("marks").alias("mv"))
-    met = x.join(y, "shingle").where((F.col("tu") != F.col("tv")) & (UNDER * F.least("nu", "nv") >= OVER * F.greatest("nu", "nv")))
-
-    def alike(batches):
-        for b in batches:
-            u, v, nu, nv = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            mu, mv = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (4, 5))
-            at = np.arange(len(u))
-            ok = maybe_alike(nu, mu, nv, mv, at, at) if len(u) else np.zeros(0, bool)
-            yield _pairs(u[ok], v[ok])
 
-    return map_arrow(met.select("u", "v", "nu", "nv", "mu", "mv"), alike, "u long, v long").distinct()
+def exact_links(rows: DataFrame) -> DataFrame:
+    """rows (g long, node long, ask boolean, hashes binary) to (u, v): within each group g links between sets that share
+    OVER / UNDER of their elements, enough of them to keep together what is linked with one that is to be asked. Rows of
+    a group may repeat."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def at(held):
+            t = pa.Table.from_batches(held)
+            node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+            hashes, ask = t.column("hashes").to_pylist(), t.column("ask").to_numpy()
+            asked = set(np.unique(t.column("node").to_numpy()[ask]).tolist())
+            near = _postings([np.frombuffer(hashes[i], np.uint64) for i in first.tolist()])
+            if len(asked) == len(node):
+                links = forest(len(node), near)
+            else:
+                label = np.arange(len(node))
+                links = []
+                for i in (i for i in range(len(node)) if int(node[i]) in asked):
+                    met = near(i)
+                    roots, one = np.unique(label[met], return_index=True)
+                    links += [(i, int(x)) for x in met[one[roots != label[i]]]]
+                    label[np.isin(label, roots)] = min(int(roots[0]), int(label[i])) if len(roots) else label[i]
+            pair = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[pair[:, 0]]), pa.array(node[pair[:, 1]])], ["u", "v"])
+
+        yield from one_group_at_a_time(batches, "g", at)
+
+    return map_arrow(rows.repartition("g").sortWithinPartitions("g"), run, "u long, v long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) by exact links: pairs (u, v) hang together what may be linked; sets (node, n, hashes) are of all nodes on
+    pairs.
+
+    What hangs together is compared in one task where it has up to TOGETHER elements. Larger groups are dealt into shares
+    of that size, each compared by itself and with the PIVOTS first nodes of other shares, which join what hangs together
+    across shares. Nodes that don't belong to the largest part then are a query set that is looked up, in blocks, against
+    every share. So no task holds a group that isn't bounded, and no pairs but links leave one.
+    """
+    loose = stored(components(pairs).join(sets, "node").select("node", "root", "n", "hashes"))
+    total = loose.groupBy("root").agg(F.sum("n").alias("t")).where(F.col("t") > TOGETHER)
+    large = stored(total.select("root", F.ceil(F.col("t") / TOGETHER).alias("shares")))
+    n_large = large.count()
+    whole = lambda *more: F.xxhash64("root", *more).alias("g")
+    row = lambda df, *more: df.select(whole(*more), "node", F.lit(True).alias("ask"), "hashes")
+    if not n_large:
+        return components(exact_links(row(loose)))
+    large = F.broadcast(large) if n_large <= FEW_LARGE else large
+    small = loose.join(large, "root", "left_anti")
+    dealt = stored(loose.join(large, "root").withColumn("share", F.pmod(F.xxhash64("node"), "shares")))
+    firsts = dealt.where(F.col("share") < PIVOTS).groupBy("root", "share").agg(F.min("node").alias("node")).select("node")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")
+    pivots = dealt.join(firsts, "node", "left_semi").select("root", "node", "hashes", every)
+    links = stored(exact_links(row(small).unionByName(row(dealt, "share")).unionByName(row(pivots, "share"))))
+    tight = components(links).withColumnRenamed("root", "tight")
+    of = stored(dealt.select("node", "root", "n").join(tight, "node", "left").select("node", "root", "n", F.coalesce("tight", "node").alias("tight")))
+    main = of.groupBy("root", "tight").count().groupBy("root").agg(F.max_by("tight", F.struct("count", "tight")).alias("main"))
+    left = stored(of.join(main, "root").where("tight <> main").select("node", "root", "n"))
+    blocks = stored(left.groupBy("root").agg(F.ceil(F.sum("n") / TOGETHER).alias("blocks")))
+    asked = dealt.join(left.select("node"), "node", "left_semi").join(blocks, "root")
+    asked = asked.select("root", "node", "hashes", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").alias("block"), every)
+    against = dealt.join(blocks, "root").select("root", "node", "hashes", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    named = lambda df, ask: df.select(whole("share", "block"), "node", F.lit(ask).alias("ask"), "hashes")
+    more = exact_links(named(asked, True).unionByName(named(against, False)))
+    return components(links.unionByName(more))
 
 
 def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -470,9 +522,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Near-duplicates share 0.8 or more (Jaccard) of their distinct five-word shingles, or are linked by texts that do.
     Texts of one shingle set are combined. Candidates share a shingle of their prefixes, as all pairs at 0.8 do, and pass
-    a comparison of sizes and marks that no such pair fails (those of LONG or more shingles once in 1e9). Of them enough
-    pairs are compared exactly, text by text, to settle every group (``bucket_pairs``, ``_left_over``); no task holds the
-    texts of a group.
+    a comparison of sizes and marks that no such pair fails (those of LONG or more shingles once in 1e9). Of what hangs
+    together by candidates the shingle sets are compared exactly, in shares of bounded size (``verified``).
 
     Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
     Null texts and those without words are one group. The rows are numbered and written to the shared folder; one join
@@ -500,10 +551,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = stored(bucket_pairs(rows))
     texts = base.select(number, F.col(f"c{text}").alias("text")).join(own.select("node", F.col("_first.c").alias(number)), number)
     touched = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = stored(texts.join(touched, "node", "left_semi").select("node", "text"))
-    links = stored(linked_pairs(pairs, texts))
-    more = stored(linked_pairs(_left_over(rows, components(pairs), components(links)), texts))
-    parts = components(links.unionByName(more))
+    parts = verified(pairs, _hashed(texts.join(touched, "node", "left_semi").select("node", "text")))
     roots = own.select("node", "_first").join(parts, "node", "left").select(F.coalesce("root", "node").alias("_root"), "_first")
     stay = roots.groupBy("_root").agg(F.min("_first").alias("f")).select(F.col("f.c").alias(number))
     return base.join(stay, number, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)])
