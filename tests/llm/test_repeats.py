@@ -89,20 +89,72 @@ def suffixes_brute(t, depth):
     return pre, [0] + [same(a, b) for a, b in zip(pre, pre[1:])]
 
 
-@pytest.mark.parametrize(("block", "memory"), [(1 << 16, induced.IN_MEMORY), (5, 60), (5, 0)])
-def test_suffixes(monkeypatch, block, memory):
+def mapped(data, tmp_path):
+    (tmp_path / "text").write_bytes(data)
+    return np.memmap(tmp_path / "text", np.uint8, "r")
+
+
+@pytest.mark.parametrize("in_file", [False, True])
+@pytest.mark.parametrize(("block", "memory"), [(1 << 16, induced.IN_MEMORY), (5, 60), (5, 0), (7, 3000)])
+def test_suffixes(monkeypatch, tmp_path, block, memory, in_file):
     monkeypatch.setattr(induced, "BLOCK", block)
     r = random.Random(3)
-    for _ in range(250):
+    for k in range(150):
         t = bytes(r.choices(b"abc"[: r.randint(1, 3)], k=r.randint(1, 90))) * r.randint(1, 2)
+        if k % 5 == 0:
+            t = bytes(r.choices(b"abcd", k=600)) + t * 2
         depth = r.randint(1, 40)
-        found = list(induced.suffixes(np.frombuffer(t, np.uint8), depth, memory))
+        found = list(induced.suffixes(mapped(t, tmp_path) if in_file else np.frombuffer(t, np.uint8), depth, memory))
         at, shared = (np.concatenate([x[i] for x in found]).tolist() for i in (0, 1))
         assert sorted(at) == list(range(len(t)))
         pre, want = suffixes_brute(t, depth)
         assert [t[p : p + depth] for p in at] == pre and shared[1:] == want[1:]
 
 
+def prose(size):
+    r = random.Random(1)
+    words = [bytes(r.choices(b"abcdefgh", k=r.randint(1, 9))) for _ in range(3000)]
+    t = b" ".join(r.choices(words, k=size // 5))[:size]
+    return t[: -size // 40] + t[size // 8 : size // 8 + size // 40]
+
+
+def test_recursion_goes_deep(monkeypatch, tmp_path):
+    """4 MB of text in 1 MB of memory: the reduced text is sorted by recursion."""
+    monkeypatch.setattr(induced, "BLOCK", 1 << 12)
+    levels, plain = [], induced._induced
+    monkeypatch.setattr(induced, "_induced", lambda text, *a: levels.append(len(text)) or plain(text, *a))
+    t = prose(4 << 20)
+    order, last = [], None
+    for at, shared in induced.suffixes(mapped(t, tmp_path), 100, 1 << 20):
+        for x, y, s in ((last, at[0], shared[0]), (at[len(at) // 2 - 1], at[len(at) // 2], shared[len(at) // 2])) if len(at) > 1 else ():
+            if x is not None:
+                a, b = t[x : x + 100], t[y : y + 100]
+                assert a >= b and a[:s] == b[:s] and (s == 100 or a[s : s + 1] != b[s : s + 1])
+        last = at[-1]
+        order.append((np.array(at), np.array(shared)))
+    at, shared = (np.concatenate(x) for x in zip(*order))
+    assert len(levels) >= 2 and (np.sort(at) == np.arange(len(t))).all()
+    # windows of 100 bytes that stand twice, by brute force
+    seen, twice = set(), 0
+    for p in range(len(t) - 99):
+        k = hash(t[p : p + 100])
+        twice += k in seen
+        seen.add(k)
+    assert int((shared >= 100).sum()) == twice
+
+
+def test_recursion_stays_small(monkeypatch, tmp_path):
+    import tracemalloc
+
+    monkeypatch.setattr(induced, "BLOCK", 1 << 10)
+    text = mapped(prose(1 << 20), tmp_path)
+    tracemalloc.start()
+    n = sum(len(at) for at, _ in induced.suffixes(text, 100, 1 << 18))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text) and peak < 8 << 20
+
+
 def bytes_brute(rows, window):
     seen, out = {}, []
     for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda x: (x[0], x[1] or "")):
