@@ -3,9 +3,11 @@
 A shard must hold every place of a string that it is to find. So documents are parted by seeds: the seed of a window of
 100 bytes is the least hash of the 20-byte strings in it, and equal windows have equal seeds wherever they stand.
 Neighbouring windows of one seed make a stretch, and all stretches of a seed go to one shard. Stretches whose seed
-stands nowhere else can't repeat; equal stretches are combined before they are sent. What is left, stretches that share
-a seed and differ or hold it twice themselves, is written out, sorted with its common-prefix values (``induced``), and every window that shares 100
-bytes with an earlier one is marked.
+stands nowhere else can't repeat; equal stretches are combined before they are sent, told by 96-bit digests of their
+bytes. What is left, stretches that share a seed and differ or hold it twice themselves, is written out, sorted with its
+common-prefix values (``induced``), and every window that shares 100 bytes with an earlier one is marked. Stretches of a
+seed that very many have, as at the edges of a passage that stands in many documents, are parted once more by the second
+least hash of their windows, so they spread over shards. A shard of any size is worked on in files.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import digests, eights, map_arrow, mix, row_blocks, stored, text_bytes
-from .induced import suffixes
+from .induced import IN_MEMORY, Spool, suffixes
 
 GRAM = 20
 #: Windows in a stretch at most, bytes of a text worked on at once, and bytes of a shard from which the next one starts.
-STRETCH, SEGMENT, SHARD = 300, 1 << 18, 6_000_000
+STRETCH, SEGMENT, SHARD = 300, 1 << 18, 2_500_000
+#: Bytes of a shard up to which it is held in memory, stretches of a seed from which it is hot, and hot seeds up to which
+#: their list is sent to every executor.
+HELD, HOT, FEW_HOT = 16_000_000, 4096, 50_000
 _LEN_BITS = 20
 TWICE = 1 << (_LEN_BITS - 1)
 
@@ -148,32 +153,98 @@ def _settle(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.repartition("k").sortWithinPartitions("k", "s", "t", "d", "place"), run, "d long, place long, k long, examine boolean")
 
 
-def repeated_in(pieces: list[bytes], window: int) -> list[np.ndarray]:
-    """For each piece the starts of its windows that also stand earlier: in a piece before, or before in the same one."""
-    text = np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)
-    ends = np.cumsum([len(p) + 1 for p in pieces])
-    starts = ends - np.array([len(p) + 1 for p in pieces])
-    valid = np.zeros(len(text), bool)
-    for a, e in zip(starts.tolist(), ends.tolist()):
-        valid[a : max(a, e - window)] = True
-    marked = np.zeros(len(text), bool)
+def _once(b, tail):
+    """A sorted batch without rows equal to the one before, tail being the last of the batch before; and its own last one.
+    Rows of a table that share an id and the text give such rows, which count as one."""
+    import pyarrow as pa
+
+    if not b.num_rows:
+        return b, tail
+    k, d, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    same = np.append(tail is not None and tail[:3] == (k[0], d[0], place[0]), (k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (place[1:] == place[:-1]))
+    body = b.column(3)
+    for i in np.flatnonzero(same).tolist():
+        same[i] = body[i].as_py() == (body[i - 1].as_py() if i else tail[3])
+    last = (k[-1], d[-1], place[-1], body[len(k) - 1].as_py())
+    return (b.filter(pa.array(~same)) if same.any() else b), last
+
+
+class Shard:
+    """Stretches in the order in which their windows count as earlier: the bytes, each stretch followed by a byte that no
+    text has, with its document, place and end. Beyond HELD bytes they stay in unnamed files."""
+
+    def __init__(self):
+        self.text, self.d, self.place, self.end = Spool("u1"), Spool("<i8"), Spool("<i8"), Spool("<i8")
+
+    def add(self, d: np.ndarray, place: np.ndarray, data: np.ndarray, size: np.ndarray) -> None:
+        """Some stretches; data has their bytes one after the other."""
+        ends = np.cumsum(size + 1) - 1
+        text = np.full(len(data) + len(size), 255, np.uint8)
+        letters = np.ones(len(text), bool)
+        letters[ends] = False
+        text[letters] = data
+        self.end.add(ends + self.text.n)
+        self.text.add(text)
+        self.d.add(d)
+        self.place.add(place)
+
+    def parts(self) -> list[np.ndarray]:
+        small = self.text.n <= HELD
+        return [np.array(x.whole()) if small else x.whole() for x in (self.text, self.d, self.place, self.end)]
+
+
+def repeated(text: np.ndarray, end: np.ndarray, window: int, memory: int = IN_MEMORY) -> np.ndarray:
+    """For each byte of a shard's text, whether a window starts there that also starts earlier; in a file where text is."""
+    n = len(text)
+    if isinstance(text, np.memmap):
+        zeros = Spool("?")
+        for a in range(0, n, 1 << 20):
+            zeros.add(np.zeros(min(n - a, 1 << 20), bool))
+        marked = zeros.whole()
+    else:
+        marked = np.zeros(n, bool)
     rest = np.zeros(0, np.int64)  # of the group of equal windows that the last block ended in: its least place
-    for at, shared in suffixes(text, window):
+    for at, shared in suffixes(text, window, memory):
         new = shared < window
         if len(rest):
             at, new = np.concatenate([rest, at]), np.concatenate([[True], new])
         new[0] = True
-        at = np.where(valid[at], at, len(text))
-        first = np.flatnonzero(new)
-        least = np.minimum.reduceat(at, first)
-        group = np.cumsum(new) - 1
-        twice = (at > least[group]) & (at < len(text))
-        marked[at[twice]] = True
-        rest = least[-1:] if least[-1] < len(text) else np.zeros(0, np.int64)
-        if not len(rest):
-            # The group may go on with windows that count; nothing of it counts so far, and a place has to stand for it.
-            rest = np.array([len(text) - 1])
-    return [np.flatnonzero(marked[a:e]) for a, e in zip(starts.tolist(), ends.tolist())]
+        several = np.flatnonzero(~(new & np.append(new[1:], False)))  # the last one's group may go on
+        at, new = at[several], new[several]
+        if len(at):
+            j = np.searchsorted(end, at, side="right")
+            whole = (j < len(end)) & (at + window <= end[np.minimum(j, len(end) - 1)])
+            whole &= (j == 0) | (end[np.maximum(j, 1) - 1] != at)
+            at = np.where(whole, at, n)
+            first = np.flatnonzero(new)
+            least = np.minimum.reduceat(at, first)
+            twice = (at > least[np.cumsum(new) - 1]) & (at < n)
+            marked[at[twice]] = True
+            # The group may go on with windows that count; where nothing of it counts so far, a place has to stand for it.
+            rest = least[-1:] if least[-1] < n else np.array([n - 1])
+        else:
+            rest = np.zeros(0, np.int64)
+    return marked
+
+
+def repeated_in(pieces: list[bytes], window: int, memory: int = IN_MEMORY) -> list[np.ndarray]:
+    """For each piece the starts of its windows that also stand earlier: in a piece before, or before in the same one."""
+    shard, size = Shard(), np.array([len(p) for p in pieces])
+    shard.add(np.arange(len(size)), np.arange(len(size)), np.frombuffer(b"".join(pieces), np.uint8), size)
+    text, _, _, end = shard.parts()
+    marked = repeated(text, end, window, memory)
+    return [np.flatnonzero(marked[e - n : e]) for n, e in zip(size.tolist(), end.tolist())]
+
+
+def parted_again(piece: bytes, seed: int, window: int):
+    """(second seed, start, size) of the parts of a hot seed's stretch: the least hash of each window but the seed itself is
+    its second seed, which equal windows share too; neighbouring windows of one second seed stay together."""
+    grams = _grams(np.frombuffer(piece, np.uint8))
+    grams = np.where(grams.view(np.int64) == seed, np.uint64(2**64 - 1), grams)
+    least = np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1).min(axis=1)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    size = np.append(first[1:], len(least)) - first + window - 1
+    return zip(mix(least[first] ^ np.uint64(seed & (2**64 - 1))).view(np.int64).tolist(), first.tolist(), size.tolist())
 
 
 def repeated_ranges(docs: DataFrame, window: int = 100) -> DataFrame:
@@ -206,11 +277,13 @@ def repeated_ranges(docs: DataFrame, window: int = 100) -> DataFrame:
                 for x in wanted[i].as_py():
                     start, size = x["place"] >> _LEN_BITS, x["place"] & (TWICE - 1)
                     piece = data[start : start + size]
-                    if len(piece) == size:
+                    if len(piece) != size:
+                        continue
+                    for seed, a, n in parted_again(piece, x["k"], window) if x["hot"] else [(x["k"], 0, size)]:
                         d.append(number)
-                        k.append(x["k"])
-                        place.append(x["place"])
-                        body.append(piece)
+                        k.append(seed)
+                        place.append(((start + a) << _LEN_BITS) | n)
+                        body.append(piece[a : a + n])
                 if len(body) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], ["k", "d", "place", "body"])
                     d, k, place, body = [], [], [], []
@@ -220,36 +293,55 @@ def repeated_ranges(docs: DataFrame, window: int = 100) -> DataFrame:
     def searched(batches):
         import pyarrow as pa
 
-        def found(held):
-            held.sort(key=lambda x: (x[1], x[2]))
-            d, start, size = [], [], []
-            for (_, doc, place, _), marks in zip(held, repeated_in([x[3] for x in held], window)):
-                if len(marks):
-                    begins = np.flatnonzero(np.diff(marks, prepend=-2) != 1)
-                    ends = np.append(begins[1:], len(marks)) - 1
-                    for a, e in zip(marks[begins].tolist(), marks[ends].tolist()):
-                        d.append(doc)
-                        start.append((place >> _LEN_BITS) + a)
-                        size.append(e - a + window)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["d", "start", "size"])
-
-        held: list[tuple] = []
-        total = 0
+        def found(shard):
+            text, d, place, end = shard.parts()
+            marked = repeated(text, end, window)
+            edges, step = [], 1 << 20
+            for a in range(0, len(marked), step):  # windows end before separators, so marks never run across stretches
+                part = np.flatnonzero(marked[a : a + step]) + a
+                if len(part):
+                    edges.append(part)
+            if not edges:
+                return
+            at = np.concatenate(edges)
+            begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            ends = np.append(begins[1:], len(at)) - 1
+            for m in range(0, len(begins), 100_000):
+                a, e = at[begins[m : m + 100_000]], at[ends[m : m + 100_000]]
+                j = np.searchsorted(end, a, side="right")
+                start = np.where(j > 0, end[np.maximum(j, 1) - 1] + 1, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(d[j]), pa.array((place[j] >> _LEN_BITS) + a - start), pa.array(e - a + window)], ["d", "start", "size"])
+
+        shard, last, tail = Shard(), None, None
         for b in batches:
-            for x in zip(*(c.to_pylist() for c in b.columns)):
-                if total >= SHARD and x[0] != held[-1][0]:
-                    yield found(held)
-                    held, total = [], 0
-                held.append(x)
-                total += len(x[3]) + 1
-        if held:
-            yield found(held)
+            b, tail = _once(b, tail)
+            if not b.num_rows:
+                continue
+            k, d, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            body = b.column(3).cast(pa.large_binary())
+            _, offsets, data = body.buffers()
+            off = np.frombuffer(offsets, np.int64, len(body) + 1, body.offset * 8)
+            raw, cuts = np.frombuffer(data, np.uint8), [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            i = 0
+            for j, e in zip(cuts, cuts[1:]):  # a seed stays in one shard
+                if shard.text.n + off[j] - off[i] >= SHARD and (j > i or k[j] != last):
+                    if j > i:
+                        shard.add(d[i:j], place[i:j], raw[off[i] : off[j]], np.diff(off[i : j + 1]))
+                    yield from found(shard)
+                    shard, i = Shard(), j
+            shard.add(d[i:], place[i:], raw[off[i] : off[-1]], np.diff(off[i:]))
+            last = k[-1]
+        if shard.text.n:
+            yield from found(shard)
 
     settled = stored(_settle(map_arrow(docs.where(F.octet_length("text") >= window), parted, _SCHEMA)))
-    close = settled.where("examine").groupBy("d").agg(F.collect_list(F.struct("k", "place")).alias("wanted"))
+    look = settled.where("examine")
+    hot = stored(look.groupBy("k").count().where(F.col("count") > HOT).select("k", F.lit(True).alias("hot")))
+    look = look.join(F.broadcast(hot) if hot.count() <= FEW_HOT else hot, "k", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    close = look.groupBy("d").agg(F.collect_list(F.struct("k", "place", "hot")).alias("wanted"))
     texts = docs.join(close, "d").select("d", "text", "wanted")
     pieces = map_arrow(texts, written, "k long, d long, place long, body binary")
-    near = map_arrow(pieces.repartition("k").sortWithinPartitions("k"), searched, "d long, start long, size long")
+    near = map_arrow(pieces.repartition("k").sortWithinPartitions("k", "d", "place", "body"), searched, "d long, start long, size long")
     far = settled.where("not examine").select("d", F.shiftright("place", _LEN_BITS).alias("start"), F.col("place").bitwiseAND(TWICE - 1).alias("size"))
     return far.unionByName(near).groupBy("d").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
 

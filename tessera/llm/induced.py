@@ -278,17 +278,36 @@ def lms_of(text: np.ndarray) -> np.ndarray:
     return out.whole()
 
 
+class Text(np.ndarray):
+    """Bytes in memory with the eight bytes from each place on at hand (``eights``): the end counts as 0, what is behind as
+    0xFF."""
+
+    eights = None
+
+    @classmethod
+    def of(cls, raw: np.ndarray) -> Text:
+        padded = np.concatenate([raw, [0], np.full(8, 255)]).astype(np.uint8)
+        out = padded[: len(raw)].view(cls)
+        out.eights = np.ndarray((len(raw) + 1,), ">u8", padded, strides=(1,))
+        return out
+
+
 def _words(text: np.ndarray, at: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
     """Eight bytes from each place as one integer that sorts as they do; the end counts as 0, what is behind
     length as 0xFF."""
-    out = np.zeros(len(at), np.uint64)
-    padded = np.concatenate([text, [0], np.full(8, 255)]).astype(np.uint8)
-    place = np.minimum(at, len(text))
-    for j in range(8):
-        b = padded[place + j].astype(np.uint64)
-        if length is not None:
-            b[length <= j] = 255
-        out = (out << np.uint64(8)) | b
+    place, n = np.minimum(at, len(text)), len(text)
+    if (eights := getattr(text, "eights", None)) is not None:
+        out = eights[place].astype(np.uint64)
+    else:
+        out = np.zeros(len(at), np.uint64)
+        for j in range(8):
+            b = np.where(place + j < n, text[np.minimum(place + j, n - 1)], np.where(place + j == n, 0, 255))
+            out = (out << np.uint64(8)) | b.astype(np.uint64)
+    if length is not None:
+        short = np.flatnonzero(length < 8)
+        left = np.maximum(length[short], 0).astype(np.uint64)
+        rest = np.where(left > 0, np.uint64(2**64 - 1) >> (np.minimum(left, np.uint64(7)) * np.uint64(8)), np.uint64(2**64 - 1))
+        out[short] |= rest
     return out
 
 
@@ -298,16 +317,27 @@ def _dense(order: np.ndarray, differs: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _doubled(rank: np.ndarray, differs: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a text of ranks, as deep as its first ``depth`` characters, by doubling."""
-    n, step = len(rank), 1
-    while step < depth and not differs.all():
-        second = np.concatenate([rank[step:], np.zeros(min(step, n), np.int64)])[:n]
-        order = np.lexsort((second, rank))
-        r, s = rank[order], second[order]
-        differs[0] = True
-        differs[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
-        rank = _dense(order, differs)
+def _doubled(order: np.ndarray, differs: np.ndarray, depth: int) -> np.ndarray:
+    """The order of the suffixes of a text, as deep as its first ``depth`` characters, by doubling, from that by their first
+    character alone; differs tells where that changes. Only groups that aren't settled are sorted again."""
+    n, order = len(order), order.copy()
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(differs, place, 0))
+    alone = differs & np.append(differs[1:], True)
+    going, step = place[~alone], 1
+    while step < depth and len(going):
+        at = order[going]
+        behind = at + step
+        second = np.where(behind < n, rank[np.minimum(behind, n - 1)], -1)
+        first = rank[at]
+        by = np.lexsort((second, first))
+        at, first, second = at[by], first[by], second[by]
+        order[going] = at
+        new = np.ones(len(at), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        rank[at] = np.maximum.accumulate(np.where(new, going, 0))
+        going = going[~(new & np.append(new[1:], True))]
         step *= 2
     return order
 
@@ -325,11 +355,11 @@ def _sorted_lms(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
         r, w = rank[order], word[order]
         differs = np.ones(n, bool)
         differs[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-        rank = _dense(order, differs)
         j += 1
         if 8 * j >= min(depth, length.max()) or differs.all():
             break
-    return lms[_doubled(rank, differs, order, (depth + 1) // 2 + 1)]  # each substring goes on by two bytes at least
+        rank = _dense(order, differs)
+    return lms[_doubled(order, differs, (depth + 1) // 2 + 1)]  # each substring goes on by two bytes at least
 
 
 def _compared(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, cap: int) -> np.ndarray:
@@ -454,7 +484,7 @@ def _reduced_order(names: np.ndarray, distinct: int, depth: int, memory: int) ->
         text = np.array(names)
         order = np.argsort(text, kind="stable")
         differs = np.append(True, np.diff(text[order]) != 0)
-        order = _doubled(_dense(order, differs), differs, order, depth)
+        order = _doubled(order, differs, depth)
         near = np.append(0, _compared(text, order[:-1], order[1:], np.zeros(n - 1, np.int64), depth))
         for a, b in blocks(n):
             yield order[a:b], near[a:b]
@@ -636,7 +666,7 @@ def suffixes(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> Iterat
         raise ValueError("a depth of 1 to 254")
     if not len(text):
         return
-    text = text if isinstance(text, np.memmap) else np.ascontiguousarray(text, np.uint8)
+    text = text if isinstance(text, np.memmap) else Text.of(text)
     lms = lms_of(text)
     store = Store(in_memory)
     try:
