@@ -1,9 +1,11 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment over words.
-
-All n-grams of the test items are looked up in the whole corpus, and each that occurs is a seed. A document that holds a
-seed is aligned, around it, with the seed's item; the score of the best local alignment over the item's length tells
-verbatim copies (1), edited and paraphrased ones, and chance. Where no three words in a row are left, a score of a half
-still needs about half of the item's pairs of words, so documents that hold that many of them are aligned as well.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment over words.
+
+An alignment with m equal words and p penalties falls into p + 1 runs at most, so it holds m - p - 1 pairs of neighbouring
+words of the item or more. Where its score, m - p, has to reach a share of the item's words, that many of the item's pairs
+stand in the document; so at least one of the rest, and one more, does, whichever are left out. Left out are those that
+most documents of the corpus hold: the rare ones are the seeds. A document that holds a seed, and then enough of all of
+the item's pairs, is aligned around them; the score of the best local alignment over the item's length tells verbatim
+copies (1), edited and paraphrased ones, and chance. Nothing that scores enough is missed.
 """
 
 from __future__ import annotations
@@ -14,16 +16,16 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow, row_blocks, runs, text_bytes, with_column, word_hashes, words_of
+from .common import map_arrow, row_blocks, runs, ship, stored, text_bytes, with_column, word_hashes, words_of
 
-#: Words in a seed, neighbouring n-grams of which one is a seed (1: all), the least score, and what alignments count.
-GRAM, SPACING, LEAST = 3, 1, 0.5
+#: Words in a seed, words that an item must have, the least score, and what alignments count.
+GRAM, FEWEST, LEAST = 2, 3, 0.5
 MATCH, MISMATCH, GAP = 1, -1, -1
 #: Bytes of item text that are sent to every executor at once; more items are worked through in blocks of this size.
 ITEM_BYTES = 16_000_000
 
-_FOUND = "_tessera_found"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAPS = np.ones(256, bool)
@@ -67,34 +69,37 @@ class Lookup:
 
 @dataclass
 class Items:
-    """The test items of a block, as word hashes."""
+    """The test items of a block, as word hashes; at and hashes are of their pairs of words."""
 
     ids: list
     words: np.ndarray
     rows: np.ndarray
-    gram: int = GRAM
     at: np.ndarray = field(init=False)
     hashes: np.ndarray = field(init=False)
+    item: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.at, self.hashes = _grams(self.words, self.rows, self.gram)
+        self.at, self.hashes = _grams(self.words, self.rows, GRAM)
+        self.item = np.searchsorted(self.rows, self.at, side="right") - 1
 
     @classmethod
-    def of(cls, ids: list, texts: Sequence[str | None], gram: int = GRAM) -> Items:
+    def of(cls, ids: list, texts: Sequence[str | None]) -> Items:
         data = [(t or "").encode() for t in texts]
         raw = np.frombuffer(b"".join(data), np.uint8)
-        return cls(ids, *_words(raw, np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)), gram)
+        return cls(ids, *_words(raw, np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)))
+
+    def enough(self, least: float) -> np.ndarray:
+        """How many pairs of each item a document must hold for a score of ``least``; more than there are for short ones."""
+        size = np.diff(self.rows)
+        return np.where(size >= FEWEST, np.maximum(1, np.ceil(np.round(least * size, 9)).astype(np.int64) - 1), 1 << 40)
 
-    def seeds(self, counts: dict[int, int], spacing: int) -> np.ndarray:
-        """Places in ``at`` of the seeds: of each run of ``spacing`` the rarest n-gram that occurs, the first of equals."""
-        item = np.searchsorted(self.rows, self.at, side="right") - 1
-        block = (self.at - self.rows[item]) // spacing
-        seen = np.array([counts.get(int(h), 0) for h in self.hashes], np.int64)
-        order = np.lexsort((self.at, seen, block, item))
-        order = order[seen[order] > 0]
-        first = np.ones(len(order), bool)
-        first[1:] = (item[order][1:] != item[order][:-1]) | (block[order][1:] != block[order][:-1])
-        return order[first]
+    def seeds(self, counts: np.ndarray, least: float) -> np.ndarray:
+        """Which pairs are seeds; counts: in how many documents each stands. Of each item the rarest, as many as could be
+        without a match where others are left out, and one more."""
+        order = np.lexsort((self.at, counts, self.item))
+        place = np.arange(len(order)) - np.searchsorted(self.item[order], np.arange(len(self.rows)))[self.item[order]]
+        pairs = np.bincount(self.item, minlength=len(self.rows) - 1)
+        return np.sort(order[place < (pairs - self.enough(least) + 1)[self.item[order]]])
 
 
 def align(items: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
@@ -151,106 +156,122 @@ def places_to_align(hit: np.ndarray, offset: np.ndarray, doc: np.ndarray, item:
     return d[which], i[which], lo2, np.minimum(hi[which], lo2 + 4 * n[which])
 
 
-def _matches(docs: DataFrame, items: Items, chosen: np.ndarray, least: float, keep: list[str], text_col: str, item_kind: str) -> DataFrame:
-    """Per row of docs (the columns keep, the text, _found): the same, with this block's matches added to _found."""
+class Finder:
+    """Finds a block's items in texts."""
+
+    def __init__(self, items: Items, counts: np.ndarray, least: float):
+        self.items, self.least, self.enough = items, least, items.enough(least)
+        chosen = items.seeds(counts, least)
+        order = chosen[np.argsort(items.hashes[chosen], kind="stable")]
+        known, self.from_ = np.unique(items.hashes[order], return_index=True)
+        self.until, self.by_item = np.append(self.from_[1:], len(order)), items.item[order]
+        self.lookup = Lookup(known)
+        self.first = np.searchsorted(items.item, np.arange(len(items.rows)))
+
+    def candidates(self, hashes: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) where a seed of the item stands; doc: of each pair of words, the document."""
+        where, which = self.lookup.find(hashes)
+        n = self.until[which] - self.from_[which]
+        spread = np.repeat(self.from_[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        m = max(1, len(self.items.ids))
+        both = np.unique(np.repeat(doc[where], n) * m + self.by_item[spread])
+        return list(zip((both // m).tolist(), (both % m).tolist()))
+
+    def hits(self, hashes: np.ndarray, item: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Places in a document's pairs and offsets in the item of all pairs that they share; None if too few differ."""
+        own = self.items.hashes[self.first[item] : self.first[item + 1]]
+        order = np.argsort(own, kind="stable")
+        lo, hi = np.searchsorted(own[order], hashes), np.searchsorted(own[order], hashes, side="right")
+        at = np.flatnonzero(hi > lo)
+        n = hi[at] - lo[at]
+        offset = order[np.repeat(lo[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return (np.repeat(at, n), offset) if len(np.unique(offset)) >= self.enough[item] else None
+
+    def found(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
+        """(row, item, score) of some texts, each row and item once, with the greatest score."""
+        text, rows = _words(raw, offsets)
+        at, hashes = _grams(text, rows, GRAM)
+        doc = np.searchsorted(rows, at, side="right") - 1
+        start = np.searchsorted(doc, np.arange(len(rows)))
+        parts = []
+        for d, i in self.candidates(hashes, doc):
+            got = self.hits(hashes[start[d] : start[d + 1]], i)
+            if got is not None:
+                hit, offset = at[start[d] + got[0]], got[1]
+                parts.append((hit, offset, np.full(len(hit), d), np.full(len(hit), i)))
+        if not parts:
+            return []
+        hit, offset, doc, item = (np.concatenate(x) for x in zip(*parts))
+        words, item_rows = self.items.words, self.items.rows
+        size = np.diff(item_rows)
+        d, i, s, e = places_to_align(hit, offset, doc, item, size[item], rows)
+        best: dict[tuple[int, int], float] = {}
+        for k in range(0, len(d), 20_000):
+            part = slice(k, k + 20_000)
+            got = align([words[item_rows[x] : item_rows[x + 1]] for x in i[part]], [text[x:y] for x, y in zip(s[part], e[part])]) / size[i[part]]
+            for x in np.flatnonzero(got >= self.least):
+                key = (int(d[part][x]), int(i[part][x]))
+                best[key] = max(best.get(key, 0), float(got[x]))
+        return [(x, y, round(score, 6)) for (x, y), score in sorted(best.items())]
+
+
+def _matches(docs: DataFrame, finder, keep: list[str], text_col: str, item_kind, out: str) -> DataFrame:
+    """The columns keep of each row and out, an array of (item, score); finder is a broadcast ``Finder``."""
     names, place = with_column(keep, text_col)
-    seed_hash, seed_item = items.hashes[chosen], np.searchsorted(items.rows, items.at[chosen], side="right") - 1
-    seed_offset = items.at[chosen] - items.rows[seed_item]
-    order = np.argsort(seed_hash, kind="stable")
-    known, from_ = np.unique(seed_hash[order], return_index=True)
-    until = np.append(from_[1:], len(order))
-    by_item, by_offset = seed_item[order], seed_offset[order]
-    words, item_rows, gram, ids = items.words, items.rows, items.gram, items.ids
-    pairs = Items(ids, words, item_rows, 2)
-    pair_order = np.argsort(pairs.hashes, kind="stable")
-    pair_known, pair_from = np.unique(pairs.hashes[pair_order], return_index=True)
-    pair_until = np.append(pair_from[1:], len(pair_order))
-    pair_item = (np.searchsorted(item_rows, pairs.at, side="right") - 1)[pair_order]
-    pair_offset = pairs.at[pair_order] - item_rows[pair_item]
-    item_size = np.diff(item_rows)
-    # With runs of at most two equal words, M - P >= n / 2 (matches, penalties) leaves n / 2 - 1 pairs at least.
-    enough = np.where(item_size >= gram, np.maximum(1, -(-item_size // 2) - 1), 1 << 40)
-
-    def paired(text: np.ndarray, rows: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hits, items and offsets of pairs of words, where a document holds enough different ones of an item."""
-        at, hashes = _grams(text, rows, 2)
-        where, which = lookup.find(hashes)
-        n = pair_until[which] - pair_from[which]
-        spread = np.repeat(pair_from[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        hit = np.repeat(at[where], n)
-        doc, item = np.searchsorted(rows, hit, side="right") - 1, pair_item[spread]
-        pair, back = np.unique(doc * len(item_size) + item, return_inverse=True)
-        different = np.unique(back * len(pair_item) + spread) // max(1, len(pair_item))
-        use = (np.bincount(different, minlength=len(pair)) >= enough[pair % max(1, len(item_size))])[back]
-        return hit[use], item[use], pair_offset[spread][use]
+    arrow = to_arrow_type(item_kind)
 
     def run(batches):
         import pyarrow as pa
 
-        lookup, lookup2 = Lookup(known), Lookup(pair_known)
+        f = finder.value
+        kind = pa.list_(pa.struct([("item", arrow), ("score", pa.float64())]))
         for b in batches:
             raw, offsets = text_bytes(b.column(place))
-            found: list[list[dict]] = b.column(len(names)).to_pylist()
+            found: list[list[dict]] = [[] for _ in range(b.num_rows)]
             for lo, hi in row_blocks(offsets):
-                text, rows = _words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                at, hashes = _grams(text, rows, gram)
-                where, which = lookup.find(hashes)
-                n = until[which] - from_[which]
-                spread = np.repeat(from_[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hit, item, offset = np.repeat(at[where], n), by_item[spread], by_offset[spread]
-                hit, item, offset = (np.concatenate(x) for x in zip((hit, item, offset), paired(text, rows, lookup2)))
-                if not len(hit):
-                    continue
-                doc = np.searchsorted(rows, hit, side="right") - 1
-                d, i, s, e = places_to_align(hit, offset, doc, item, np.diff(item_rows)[item], rows)
-                scores = np.zeros(len(d))
-                for k in range(0, len(d), 20_000):
-                    part = slice(k, k + 20_000)
-                    got = align([words[item_rows[x] : item_rows[x + 1]] for x in i[part]], [text[x:y] for x, y in zip(s[part], e[part])])
-                    scores[part] = got / np.diff(item_rows)[i[part]]
-                best: dict[tuple[int, int], float] = {}
-                for x in np.flatnonzero(scores >= least):
-                    key = (int(d[x]), int(i[x]))
-                    best[key] = max(best.get(key, 0), float(scores[x]))
-                for (x, y), score in sorted(best.items()):
-                    found[lo + x].append({"item": ids[y], "score": round(score, 6)})
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.column(len(names)).type)], b.schema.names)
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return map_arrow(docs.select(*names, _FOUND), run, f"{kinds}{_FOUND} array<struct<item: {item_kind}, score: double>>")
-
-
-def _counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
-    """In how many documents each n-gram of the items stands; as many entries as the block has n-grams, at most."""
-    known, gram = np.unique(items.hashes), items.gram
+                for row, item, score in f.found(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
+                    found[lo + row].append({"item": f.items.ids[item], "score": score})
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, kind)], [*keep, out])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return map_arrow(docs.select(*names), run, f"{kinds}`{out}` array<struct<item: {item_kind.simpleString()}, score: double>>")
+
+
+def _counts(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
+    """In how many documents each pair of the items stands; as many numbers as the block has pairs."""
+    known, back = np.unique(items.hashes, return_inverse=True)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         import pyarrow as pa
 
-        lookup = Lookup(known)
-        total = np.zeros(len(known), np.int64)
+        lookup = Lookup(sent.value)
+        total = np.zeros(len(lookup.known), np.int64)
         for b in batches:
             raw, offsets = text_bytes(b.column(0))
             for lo, hi in row_blocks(offsets):
                 text, rows = _words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                at, hashes = _grams(text, rows, gram)
+                at, hashes = _grams(text, rows, GRAM)
                 where, which = lookup.find(hashes)
                 doc = np.searchsorted(rows, at[where], side="right") - 1
-                pairs = np.unique(doc * len(known) + which) % max(1, len(known))
-                total += np.bincount(pairs, minlength=len(known))
+                pairs = np.unique(doc * len(total) + which) % max(1, len(total))
+                total += np.bincount(pairs, minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
 
-    found = map_arrow(docs.select(F.col(text_col)), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {int(known[r["gram"]]): r["n"] for r in found.collect()}
+    out = np.zeros(len(known), np.int64)
+    for r in map_arrow(docs.select(F.col(text_col)), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        out[r["gram"]] = r["n"]
+    sent.unpersist()
+    return out[back]
 
 
 def _blocks(items: DataFrame, item_col: str, item_text: str) -> list[DataFrame]:
     """The items in parts that hold about ITEM_BYTES of text each; one part in most cases."""
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    n = -(-size // ITEM_BYTES)
+    n = max(1, -(-size // ITEM_BYTES))
     part = F.pmod(F.xxhash64(item_col, item_text), F.lit(n))
-    return [items.select(item_col, item_text).where(part == k) for k in range(n)] if n > 1 else [items.select(item_col, item_text)] * (n > 0)
+    return [items.select(item_col, item_text).where(part == k) for k in range(n)] if n > 1 else [items.select(item_col, item_text)]
 
 
 def find_contaminated(
@@ -260,28 +281,44 @@ def find_contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    gram: int = GRAM,
-    spacing: int = SPACING,
     least: float = LEAST,
     out: str = "found",
 ) -> DataFrame:
     """Per row of docs: the columns keep, and out, an array of (item, score), item being the id of a test item.
 
     score is the best local alignment's score over the item's words (1 for each equal word, less 1 for each that differs
-    or is missing), ``least`` or more. Items of fewer than ``gram`` words, and null or empty texts, match nothing. Items
-    that share an id are aligned each. Repeated rows are matched each.
+    or is missing), ``least`` or more. Items of fewer than FEWEST words, and null or empty texts, match nothing. Items
+    that share an id are aligned each. Repeated rows are matched each. Empty tables of either kind give no matches.
 
-    The corpus is read twice and never shuffled: once to count n-grams, once to seed and align. Items go to the
-    executors in blocks of bounded size; beyond one block, the corpus is read twice for each.
+    The corpus is read twice and never shuffled: once to count pairs of words, once to seed and align. Items go to the
+    executors in blocks of bounded size. With more than one block, the corpus is read twice for each; a block's matches
+    are written and the block is forgotten before the next one, and rows get theirs by their numbers in the end.
     """
-    keep, kind = list(keep), items.schema[item_col].dataType.simpleString()
-    now = docs.select(*with_column(keep, text_col)[0], F.array().cast(f"array<struct<item: {kind}, score: double>>").alias(_FOUND))
-    for block in _blocks(items, item_col, item_text):
+    keep, kind = list(keep), items.schema[item_col].dataType
+    sc = docs.sparkSession.sparkContext
+
+    def finder(block: DataFrame):
         rows = sorted(block.collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-        known = Items.of([r[0] for r in rows], [r[1] for r in rows], gram)
-        chosen = known.seeds(_counts(docs, known, text_col), spacing)
-        now = _matches(now, known, chosen, least, keep, text_col, kind)
-    return now.select(*keep, F.col(_FOUND).alias(out))
+        known = Items.of([r[0] for r in rows], [r[1] for r in rows])
+        ship(docs.sparkSession)
+        return sc.broadcast(Finder(known, _counts(docs, known, text_col), least))
+
+    parts = _blocks(items, item_col, item_text)
+    if len(parts) == 1:
+        return _matches(docs, finder(parts[0]), keep, text_col, kind, out)
+    number = "_tessera_row"
+    names, _ = with_column(keep, text_col)
+    base = stored(docs.select(*names).withColumn(number, F.monotonically_increasing_id()))
+    found = None
+    for block in parts:
+        f = finder(block)
+        one = _matches(base, f, [number], text_col, kind, "_f").where(F.size("_f") > 0)
+        one = stored(one.select(number, F.explode("_f").alias("_f")))
+        f.unpersist()
+        found = one if found is None else found.unionByName(one)
+    lists = found.groupBy(number).agg(F.array_sort(F.collect_list("_f")).alias(out))
+    nothing = F.array().cast(lists.schema[out].dataType)
+    return base.select(number, *keep).join(lists, number, "left").select(*keep, F.coalesce(F.col(out), nothing).alias(out))
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:

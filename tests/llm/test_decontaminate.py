@@ -52,6 +52,27 @@ def test_pairs(spark, monkeypatch):
     assert len(X._blocks(table, "item_id", "text")) > 2 and found() == want
 
 
+def test_ids_of_any_kind(spark):
+    docs = spark.createDataFrame([("a", "one two three four five"), (None, None)], "doc_id string, text string")
+    for kind, x in (("string", "i"), ("int", 7)):
+        got = X.contaminated_pairs(docs, spark.createDataFrame([(x, "one two three four")], f"item_id {kind}, text string")).collect()
+        assert [tuple(r) for r in got] == [("a", x, 1.0)]
+
+
+def test_every_alignment_that_scores_has_enough_pairs_and_a_seed():
+    r = random.Random(3)
+    for _ in range(300):
+        vocabulary = [f"v{i}" for i in range(r.choice([3, 8, 40]))]
+        item = r.choices(vocabulary, k=r.randint(3, 25))
+        text = [x for x in (y if r.random() > 0.25 else r.choice([None, "new"]) for y in item) if x]
+        text = r.choices(vocabulary, k=5) + text + r.choices(vocabulary, k=5)
+        known = X.Items.of([1], [" ".join(item)])
+        f = X.Finder(known, np.array([r.randint(0, 9) for _ in known.hashes]), X.LEAST)
+        raw = np.frombuffer(" ".join(text).encode(), np.uint8)
+        score = smith_waterman(words(" ".join(item)), words(" ".join(text))) / len(item)
+        assert f.found(raw, np.array([0, len(raw)])) == ([(0, 0, round(float(score), 6))] if score >= X.LEAST else [])
+
+
 def test_long_repetitive_text(spark):
     item = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, "w0 w1 w2 " * 4000 + item)], "doc_id long, text string")
