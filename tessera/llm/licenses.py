@@ -1,14 +1,14 @@
 """License scans in DataFrame functions alone: MinHash bands over overlapping word windows, then exact containment.
 
-A template of N words is looked for in windows of 2N words that start at every multiple of N, so that any passage of N
-words lies whole within one window. Template and window are sets of five-word shingles. Signatures of ``bands_for(...)``
-minima, one row a band, retrieve the templates of a window: a window that holds a whole template has a Jaccard
-similarity J of about (N - 4) / (2N - 4) with it, and misses all B bands with probability (1 - J)^B, which the number of
-bands keeps below MISS for the worst template and containment. What is retrieved is verified by the exact share of the
-template's shingles that the window holds.
-
-Windows that hold no shingle of any template of their size have similarity 0 with all of them; they are passed over
-before any signature is made.
+A template of N words is looked for in windows of 3N words that start at every multiple of N, so that any passage of up
+to 2N words, a copy with as much inserted as it has itself, lies whole within one window. Template and window are sets of
+five-word shingles. Signatures of ``bands_for(...)`` minima, one row a band, retrieve the templates of a window: a window
+that holds enough of a template has a Jaccard similarity J of about a quarter with it, and misses all B bands with
+probability (1 - J)^B, which the number of bands keeps below MISS for the worst template and containment. What is
+retrieved is verified by the exact share of the template's shingles that the window holds.
+
+Windows that hold no shingle of any template of their size have similarity 0 with all of them, so no band can retrieve
+anything there; a join of the shingles with those of the templates tells which windows are left to be signed.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-9
-#: Template bands up to which they are sent to every executor; beyond, Spark joins them as any table.
-BROADCAST_BANDS = 200_000
+#: Words in a window for each word of its template.
+WIDE = 3
+#: Rows of templates, their bands or the windows found up to which they are sent to every executor; beyond, Spark joins
+#: them as any table.
+FEW = 200_000
 
 # Notices as the licenses' publishers word them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -43,23 +48,41 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
         "so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software.",
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     (
-        "BSD-3-Clause",
+        # All of it stands in the license of three clauses too, which then is found besides, by the clause that it adds.
+        "BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer.",
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission.",
     ),
     (
         "GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
-        "that the above copyright notice and this permission notice appear in all copies.",
+        'that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR '
+        "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     ),
     (
         "MPL-2.0",
@@ -82,7 +105,7 @@ def bands_for(lengths: Sequence[int], containment: float = CONTAINMENT, miss: fl
     for n in lengths:
         own = n - SHINGLE + 1
         held = math.ceil(containment * own)
-        j = held / (2 * n - SHINGLE + 1 + own - held)
+        j = held / (WIDE * n - SHINGLE + 1 + own - held)
         need = max(need, math.ceil(math.log(miss) / math.log1p(-j)) if j < 1 else 1)
     return need
 
@@ -128,8 +151,10 @@ def scan_licenses(
     templates: (license, text) pairs, of five words at least; several may name one license. Null and empty texts match
     nothing. Rows that share an id, also a null id, count as one document. Other columns are ignored.
 
-    One pass hashes every shingle of every text and drops texts without any of a template. All else follows on the few
-    windows left; the one shuffle carries matches.
+    One pass hashes every shingle of every text and joins them with the templates' own, which tells the windows that can
+    hold anything; they are written to the shared folder. A second pass signs these windows of the texts that have any.
+    Templates and windows are broadcast behind a count of their rows, and joined by shuffles beyond FEW of them; the texts
+    are never sent more than once.
     """
     spark = docs.sparkSession
     lengths = {t: len(words_in(t)) for _, t in templates}
@@ -137,29 +162,25 @@ def scan_licenses(
         raise ValueError(f"a template needs {SHINGLE} words at least")
     n_bands = bands_for(sorted(set(lengths.values())), containment)
     table = _template_table(spark, templates, n_bands)
-    known = table.select("n", "t_shingles").collect()  # as large as the templates that were passed in
-    by_size: dict[int, set[int]] = {}
-    for r in known:
-        by_size.setdefault(r["n"], set()).update(r["t_shingles"])
-    seeds = sorted(set().union(*by_size.values()))
-
-    text = docs.select(F.col(id_col).alias("_id"), _once(_words(F.col(text_col)), _shingles).alias("s"))
-    known_at = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).isin(seeds))
-    some = text.where(F.size("s") > 0).withColumn("at", _once(F.col("s"), known_at)).where(F.size("at") > 0)
-    # Windows of each size around the shingles that its templates know.
-    sizes = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, sorted(known))).alias("seeds")) for n, known in sorted(by_size.items())])
-    sized = some.select("_id", "s", "at", F.explode_outer(sizes).alias("z")).select("_id", "s", "at", F.col("z.n").alias("n"), F.col("z.seeds").alias("seeds"))
-    hits = F.filter("at", lambda i: F.array_contains(F.col("seeds"), F.get(F.col("s"), i)))
-    windows_of = lambda i: F.filter(F.array(F.floor(i / F.col("n")), F.floor(i / F.col("n")) - 1), lambda k: (k >= 0) & (i + SHINGLE <= (k + 2) * F.col("n")))
-    starts = F.array_distinct(F.flatten(F.transform(hits, windows_of)))
-    windows = sized.select("_id", "s", "n", F.explode_outer(starts).alias("k")).where("k is not null")
-    windows = windows.select("_id", "n", (F.col("k") * F.col("n")).alias("first"), F.expr(f"slice(s, cast(k * n + 1 as int), 2 * n - {SHINGLE - 1})").alias("win"))
-    banded = windows.select("_id", "n", "first", "win", F.posexplode_outer(_bands(F.col("win"), n_bands)).alias("band", "least"))
+    few = lambda df, n: F.broadcast(df) if n <= FEW else df
+
+    own = table.select("n", F.explode_outer("t_shingles").alias("shingle")).distinct()
+    own = few(own, sum(lengths.values()))
+    each = docs.select(F.col(id_col).alias("_id"), F.posexplode(_once(_words(F.col(text_col)), _shingles)).alias("i", "shingle"))
+    starts = F.array(*[F.floor(F.col("i") / F.col("n")) - j for j in range(WIDE)])
+    inside = F.filter(starts, lambda k: (k >= 0) & (F.col("i") + SHINGLE <= (k + WIDE) * F.col("n")))
+    hits = each.join(own, "shingle").select("_id", "n", F.explode(inside).alias("k")).distinct()
+    at = stored(hits.groupBy("_id").agg(F.collect_list(F.struct("n", "k")).alias("at")).withColumnRenamed("_id", "_at"))
+
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(few(at, at.count()), F.expr("_id <=> _at"))
+    windows = texts.select("_id", _once(_words(F.col("_t")), _shingles).alias("s"), F.explode("at").alias("w")).select("_id", "s", "w.n", "w.k")
+    win = F.expr(f"slice(s, cast(k * n + 1 as int), cast({WIDE} * n - {SHINGLE - 1} as int))")
+    banded = windows.where(F.col("k") * F.col("n") < F.size("s")).select("_id", "n", (F.col("k") * F.col("n")).alias("first"), win.alias("win"))
+    banded = banded.select("_id", "n", "first", "win", F.posexplode_outer(_bands(F.col("win"), n_bands)).alias("band", "least"))
 
     keyed = table.select("license", "n", "t_shingles", F.posexplode_outer("t_bands").alias("band", "least"))
-    keyed = F.broadcast(keyed) if n_bands * len(templates) <= BROADCAST_BANDS else keyed
     share = F.size(F.array_intersect("win", "t_shingles")) / F.size("t_shingles")
-    found = banded.join(keyed, ["n", "band", "least"]).select("_id", "license", "first", F.round(share, 6).alias("share"), share.alias("exact"))
+    found = banded.join(few(keyed, n_bands * len(templates)), ["n", "band", "least"]).select("_id", "license", "first", F.round(share, 6).alias("share"), share.alias("exact"))
     found = found.where(F.col("exact") >= containment)
     return found.groupBy("_id", "license").agg(F.max("share").alias("containment"), F.min("first").cast("long").alias("first_word")).withColumnRenamed("_id", id_col)
 
@@ -175,11 +196,7 @@ tn AS (SELECT t.t_id, any_value(t.license) AS license, any_value(len(t.w)) AS n,
 d AS (SELECT doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
 ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS i, {shingles} AS sh FROM d WHERE len(w) >= 5),
 hit AS (SELECT ds.doc_id, ts.t_id, ds.i, ds.sh FROM ds JOIN ts USING (sh)),
-win AS (
-  SELECT doc_id, tn.t_id, i // n AS k, sh FROM hit JOIN tn USING (t_id)
-  UNION
-  SELECT doc_id, tn.t_id, i // n - 1 AS k, sh FROM hit JOIN tn USING (t_id) WHERE i // n >= 1 AND i + 5 <= (i // n + 1) * n
-),
+win AS (SELECT DISTINCT doc_id, t_id, i // n - j AS k, sh FROM hit JOIN tn USING (t_id), range(0, {WIDE}) AS r(j) WHERE i // n >= j AND i + 5 <= (i // n - j + {WIDE}) * n),
 share AS (SELECT doc_id, t_id, k, count(DISTINCT sh) AS held FROM win GROUP BY ALL)
 SELECT doc_id, license, max(round(CAST(held AS DOUBLE) / own, 6)) AS containment, min(CAST(k * n AS BIGINT)) AS first_word
 FROM share JOIN tn USING (t_id) WHERE CAST(held AS DOUBLE) / own >= {containment} GROUP BY doc_id, license

@@ -15,7 +15,7 @@ def brute(rows, containment=X.CONTAINMENT):
             b = X.words_in(body)
             own = {tuple(b[i : i + 5]) for i in range(len(b) - 4)}
             for k in range(0, len(w), len(b)):
-                part = w[k : k + 2 * len(b)]
+                part = w[k : k + X.WIDE * len(b)]
                 share = len(own & {tuple(part[i : i + 5]) for i in range(len(part) - 4)}) / len(own)
                 if share >= containment:
                     old = best.get((d, name), (0, k))
@@ -26,17 +26,20 @@ def brute(rows, containment=X.CONTAINMENT):
 def test_bands():
     n = X.bands_for([5, 7, 40])
     own, held = 1, 1
-    assert (1 - held / (2 * 5 - 4 + own - held)) ** n <= X.MISS
+    assert (1 - held / (X.WIDE * 5 - 4 + own - held)) ** n <= X.MISS
 
 
-def test_table(spark):
+def test_table(spark, monkeypatch):
     docs, rows = awkward(spark)
     mit, apache = X.TEMPLATES[5][1], X.TEMPLATES[4][1]
     edited = re.sub("merge", "combine", mit)
-    more = [(300, "intro " * 37 + mit.upper()), (301, edited), (302, "x " * 5 + X.TEMPLATES[0][1] + " and " + X.TEMPLATES[3][1]), (303, " ".join(apache.split()[:20])), (302, "again"), (304, X.TEMPLATES[2][1] * 3), (None, X.TEMPLATES[1][1])]
+    more = [(300, "intro " * 37 + mit.upper()), (301, edited), (302, "x " * 5 + X.TEMPLATES[0][1] + " and " + X.TEMPLATES[3][1]), (303, " ".join(apache.split()[:20])), (302, "again"), (304, X.TEMPLATES[2][1] * 3), (305, " ".join(mit.split()[:60] + ["inserted"] * 60 + mit.split()[60:])), (306, X.TEMPLATES[6][1]), (307, X.TEMPLATES[6][1] + " " + X.TEMPLATES[7][1]), (300, mit + " tail"), (None, X.TEMPLATES[1][1])]
     docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     got = {tuple(r) for r in X.scan_licenses(docs).collect()}
     assert got == brute(rows + more)
+    assert {(305, "MIT"), (306, "BSD-2-Clause"), (307, "BSD-2-Clause"), (307, "BSD-3-Clause")} <= {x[:2] for x in got} and (306, "BSD-3-Clause") not in {x[:2] for x in got}
+    monkeypatch.setattr(X, "FEW", 1)
+    assert {tuple(r) for r in X.scan_licenses(docs).collect()} == got
     assert {(300, "MIT"), (301, "MIT"), (302, "Apache-2.0"), (302, "CC-BY-NC-4.0"), (None, "MIT")} <= {x[:2] for x in got}
 
 
