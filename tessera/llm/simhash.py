@@ -400,18 +400,18 @@ def _pairs(u: np.ndarray, v: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
 
 
-def _hashed(texts: DataFrame) -> DataFrame:
-    """(node, text) to (node, n, hashes): the distinct shingles of each text."""
+def _hashed(texts: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns keep, of numbers, and hashes, the distinct shingles of each text."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for lo, hi, h, rows in shingle_sets(b.column(1)):
+            for lo, hi, h, rows in shingle_sets(b.column(len(keep))):
                 held = [h[s:e].tobytes() for s, e in zip(rows, rows[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(rows), pa.int64()), pa.array(held, pa.binary())], ["node", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.array(held, pa.binary())], [*keep, "hashes"])
 
-    return map_arrow(texts, run, "node long, n long, hashes binary")
+    return map_arrow(texts.select(*keep, "text"), run, ", ".join(f"{c} long" for c in keep) + ", hashes binary")
 
 
 def _postings(sets: list[np.ndarray]):
@@ -463,30 +463,33 @@ def exact_links(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.repartition("g").sortWithinPartitions("g"), run, "u long, v long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) by exact links: pairs (u, v) hang together what may be linked; sets (node, n, hashes) are of all nodes on
-    pairs.
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) by exact links: pairs (u, v) hang together what may be linked; nodes (node, n, number) have the number of
+    a row of texts (number, text) and of its shingles.
 
-    What hangs together is compared in one task where it has up to TOGETHER elements. Larger groups are dealt into shares
+    What hangs together is compared in one task where it has up to TOGETHER shingles. Larger groups are dealt into shares
     of that size, each compared by itself and with the PIVOTS first nodes of other shares, which join what hangs together
     across shares. Nodes that don't belong to the largest part then are a query set that is looked up, in blocks, against
-    every share. So no task holds a group that isn't bounded, and no pairs but links leave one.
+    every share. So no task holds a group that isn't bounded, and no pairs but links leave one. The texts are sent once.
     """
-    loose = stored(components(pairs).join(sets, "node").select("node", "root", "n", "hashes"))
+    loose = stored(components(pairs).join(nodes, "node").select("node", "root", "n", "number"))
     total = loose.groupBy("root").agg(F.sum("n").alias("t")).where(F.col("t") > TOGETHER)
     large = stored(total.select("root", F.ceil(F.col("t") / TOGETHER).alias("shares")))
     n_large = large.count()
     whole = lambda *more: F.xxhash64("root", *more).alias("g")
-    row = lambda df, *more: df.select(whole(*more), "node", F.lit(True).alias("ask"), "hashes")
+    row = lambda df: df.select(whole("share"), "node", F.lit(True).alias("ask"), "hashes")
+    dealt = loose.join(F.broadcast(large) if n_large <= FEW_LARGE else large, "root", "left") if n_large else loose.withColumn("shares", F.lit(1).cast("long"))
+    dealt = dealt.withColumn("shares", F.coalesce("shares", F.lit(1).cast("long"))).withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
+    keep = ["node", "root", "n", "shares", "share"]
+    sets = _hashed(texts.join(dealt, "number"), keep)
     if not n_large:
-        return components(exact_links(row(loose)))
-    large = F.broadcast(large) if n_large <= FEW_LARGE else large
-    small = loose.join(large, "root", "left_anti")
-    dealt = stored(loose.join(large, "root").withColumn("share", F.pmod(F.xxhash64("node"), "shares")))
+        return components(exact_links(row(sets)))
+    sets = stored(sets)
+    dealt = sets.where("shares > 1")
     firsts = dealt.where(F.col("share") < PIVOTS).groupBy("root", "share").agg(F.min("node").alias("node")).select("node")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")
     pivots = dealt.join(firsts, "node", "left_semi").select("root", "node", "hashes", every)
-    links = stored(exact_links(row(small).unionByName(row(dealt, "share")).unionByName(row(pivots, "share"))))
+    links = stored(exact_links(row(sets).unionByName(row(pivots))))
     tight = components(links).withColumnRenamed("root", "tight")
     of = stored(dealt.select("node", "root", "n").join(tight, "node", "left").select("node", "root", "n", F.coalesce("tight", "node").alias("tight")))
     main = of.groupBy("root", "tight").count().groupBy("root").agg(F.max_by("tight", F.struct("count", "tight")).alias("main"))
@@ -549,9 +552,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = stored(sets.groupBy("digest", "n").agg(first, *rest).withColumn("node", F.monotonically_increasing_id()))
     rows = stored(_shared(own).join(own.select("node", "n", "marks"), "node").select("shingle", "node", "n", "marks"))
     pairs = stored(bucket_pairs(rows))
-    texts = base.select(number, F.col(f"c{text}").alias("text")).join(own.select("node", F.col("_first.c").alias(number)), number)
-    touched = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    parts = verified(pairs, _hashed(texts.join(touched, "node", "left_semi").select("node", "text")))
+    nodes = own.select("node", F.col("n").cast("long").alias("n"), F.col("_first.c").alias("number"))
+    parts = verified(pairs, nodes, base.select(F.col(number).alias("number"), F.col(f"c{text}").alias("text")))
     roots = own.select("node", "_first").join(parts, "node", "left").select(F.coalesce("root", "node").alias("_root"), "_first")
     stay = roots.groupBy("_root").agg(F.min("_first").alias("f")).select(F.col("f.c").alias(number))
     return base.join(stay, number, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)])
