@@ -219,12 +219,12 @@ def _roots(fps: DataFrame, threshold: int) -> DataFrame:
 
 # ---------------------------------------------------------------- texts of a given similarity, exactly
 
-#: Words in a shingle, and half bytes of MinHash in the marks of long texts.
-SHINGLE, MINIMA = 5, 64
-#: Texts are near-duplicates from OVER / UNDER of their shingles on. Bits of a parity sketch; shingles from which a text has
-#: minima instead; how many of MINIMA must agree there: 52 do on average at 0.8, fewer than LOOSE once in 1e9.
+#: Words in a shingle, and half bytes of MinHash in the marks of a text.
+SHINGLE, MINIMA = 5, 128
+#: Texts are near-duplicates from OVER / UNDER of their shingles on. Bits of a parity sketch; shingles from which minima
+#: count besides; how many of MINIMA must agree then: 104 do on average at 0.8, fewer than LOOSE once in 1e9.
 OVER, UNDER = 4, 5
-PARITY, LONG, LOOSE = 256, 450, 33
+PARITY, LONG, LOOSE = 256, 360, 77
 #: Texts that are looked at for common shingles, and in how many of them a shingle has to be. Buckets of so many members are
 #: compared all at once.
 SAMPLE, COMMON, FEW = 20_000, 20, 16
@@ -258,18 +258,17 @@ def shingle_sets(column):
 
 
 def _marks(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """32 bytes of each text: of fewer than LONG shingles, whether an even or odd number of them falls to each of PARITY
-    bits, so two texts differ in no more bits than shingles; of others, MINIMA half bytes of MinHash."""
+    """Bytes of each text: whether an even or odd number of its shingles falls to each of PARITY bits, so two texts differ in
+    no more bits than shingles; and MINIMA half bytes, the least shingle of each part of their range, mixed."""
     n = len(size)
     odd = np.bincount(doc * PARITY + (h & _U(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
-    out = np.packbits(odd.reshape(n, PARITY).astype(np.uint8), axis=1)
-    of = np.flatnonzero(size[doc] >= LONG)
-    key = doc[of] * MINIMA + (h[of] >> _U(58)).astype(np.int64)
+    parity = np.packbits(odd.reshape(n, PARITY).astype(np.uint8), axis=1)
+    key = doc * MINIMA + (h >> _U(65 - MINIMA.bit_length())).astype(np.int64)
     first = np.flatnonzero(np.diff(key, prepend=-1))  # hashes rise in each text, so the first of a part is its least
     half = np.zeros(n * MINIMA, np.uint8)
-    half[key[first]] = (mix(h[of][first]) & _U(15)).astype(np.uint8)
+    half[key[first]] = (mix(h[first]) & _U(15)).astype(np.uint8)
     half = half.reshape(n, MINIMA)
-    return np.where((size >= LONG)[:, None], half[:, ::2] << 4 | half[:, 1::2], out)
+    return np.concatenate([parity, half[:, ::2] << 4 | half[:, 1::2]], axis=1)
 
 
 def prefixes(column, common: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
@@ -301,12 +300,12 @@ def maybe_alike(size: np.ndarray, marks: np.ndarray, other_size: np.ndarray, oth
     """Whether texts i and, of the others, j may share OVER / UNDER of their shingles: never false for texts of fewer than
     LONG that do."""
     a, b = size[i], other_size[j]
-    near = (UNDER * np.minimum(a, b) >= OVER * np.maximum(a, b))
+    near = UNDER * np.minimum(a, b) >= OVER * np.maximum(a, b)
     differ = marks[i] ^ other_marks[j]
-    bits = np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
-    agree = (differ >> 4 == 0).sum(axis=-1) + (differ & 15 == 0).sum(axis=-1)
-    short, long = (a < LONG) & (b < LONG), (a >= LONG) & (b >= LONG)
-    return near & np.where(short, bits * (UNDER + OVER) <= (a + b) * (UNDER - OVER), ~long | (agree >= LOOSE))
+    bits = np.bitwise_count(differ[..., : PARITY // 8]).sum(axis=-1, dtype=np.int64)
+    minima = differ[..., PARITY // 8 :]
+    agree = (minima >> 4 == 0).sum(axis=-1) + (minima & 15 == 0).sum(axis=-1)
+    return near & (bits * (UNDER + OVER) <= (a + b) * (UNDER - OVER)) & ((np.minimum(a, b) < LONG) | (agree >= LOOSE))
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -530,7 +529,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
     Null texts and those without words are one group. The rows are numbered and written to the shared folder; one join
-    by number takes the rows that stay. Of a shingle that very many prefixes share, a task holds 44 bytes a node.
+    by number takes the rows that stay. Of a shingle that very many prefixes share, a task holds 108 bytes a node.
     """
     number, plain = "_tessera_row", list(docs.columns)
     text, key = plain.index(text_col), f"c{plain.index(id_col)}"
