@@ -36,11 +36,15 @@ def channels_last(px: Column, h: Column, w: Column, c: int = 3) -> Column:
     return F.transform(F.sequence(F.lit(0), h * w * c - 1), lambda i: F.get(px, (i % c * h * w + F.floor(i / c)).cast("int")))
 
 
+def _once(value: Column, fn) -> Column:
+    """fn(value) with value worked out once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda x: x / total)
+    exps = lambda z: _once(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    shares = lambda e: _once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return _once(logits, lambda z: _once(exps(z), shares))
 
 
 def argmax(values: Column) -> Column:
@@ -173,6 +177,9 @@ def pixels_of(df: DataFrame, content: str, size: int, channels: int) -> DataFram
 def predict_files(spark: SparkSession, path: str, weights: Mapping[str, np.ndarray] | None, size: int, channels: int) -> DataFrame:
     """(path, predicted_label, probabilities, error) for the pictures of a folder, or one file."""
     found = spark.read.format("binaryFile").load(path).select("path", "content")
+    most = 16 * spark.sparkContext.defaultParallelism
+    if found.rdd.getNumPartitions() > most:  # many small files, one to a task
+        found = found.coalesce(most)
     ready = pixels_of(found, "content", size, channels).select("path", "px", F.col("error").alias("_e"))
     out = predict(ready, weights, (channels, size, size))
     return out.select("path", "predicted_label", "probabilities", F.coalesce("_e", "error").alias("error"))
