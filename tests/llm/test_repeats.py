@@ -147,12 +147,12 @@ def test_recursion_stays_small(monkeypatch, tmp_path):
     import tracemalloc
 
     monkeypatch.setattr(induced, "BLOCK", 1 << 10)
-    text = mapped(prose(1 << 20), tmp_path)
+    text = mapped(prose(1 << 19), tmp_path)
     tracemalloc.start()
-    n = sum(len(at) for at, _ in induced.suffixes(text, 100, 1 << 18))
+    n = sum(len(at) for at, _ in induced.suffixes(text, 100, 1 << 17))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert n == len(text) and peak < 12 << 20
+    assert n == len(text) and peak < 8 << 20
 
 
 def bytes_brute(rows, window):

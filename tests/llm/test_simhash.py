@@ -175,7 +175,7 @@ def test_only_texts_of_the_similarity_go(spark):
     assert len(texts) * 0.75 < len(want) < len(texts) and kept(spark, texts) == want
 
 
-@pytest.mark.parametrize(("few", "together"), [(16, X.TOGETHER), (2, 2500), (2, 600)])
+@pytest.mark.parametrize(("few", "together"), [(16, X.TOGETHER), (2, 900)])
 def test_groups_at_the_edge_of_the_similarity(spark, monkeypatch, few, together):
     """Many texts of one origin, some pairs above and some below 0.8, so candidates that fail must not part what links,
     also where a group is dealt into shares."""
