@@ -75,8 +75,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip_digest
+
+    return round_trip_digest(read(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op13_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
