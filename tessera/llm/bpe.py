@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, row_blocks, with_column
 
-#: Words of more symbols are merged rank by rank; characters of text that are cut into words at once.
-LONG, PIECE = 256, 1_000_000
+#: Words of more symbols are merged rank by rank; characters of text that are cut into words at once; words that a worker
+#: remembers between blocks, of eight characters each on average at most.
+LONG, PIECE, MEMORY = 256, 1_000_000, 300_000
 #: How a text falls into words before merging: a fixed value of this kind of tokenizer file ("use_regex").
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.int32(2**31 - 1)
@@ -53,6 +54,29 @@ def doubtful() -> re.Pattern:
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]" if ranges else "(?!)")
 
 
+class Known(dict):
+    """Numbers of the words met so far, and their ids; new words wait until they are merged together."""
+
+    def __init__(self, added: dict[str, int]):
+        super().__init__(zip(added, range(len(added))))
+        self.new: list[str] = []
+        self.size, self.ids = 0, np.array(list(added.values()), np.int32)
+        self.lengths = np.ones(len(added), np.int64)
+        self.starts = np.arange(len(added))
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        self.size += len(word)
+        return n
+
+    def add(self, ids: np.ndarray, off: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + off[:-1]])
+        self.lengths = np.concatenate([self.lengths, np.diff(off)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.new = []
+
+
 class Coder:
     """Encodes and decodes as the library does with a byte-level tokenizer file, added special strings included.
 
@@ -93,7 +117,7 @@ class Coder:
             raise ValueError("added tokens that take in their surroundings aren't supported")
         self.added = {t["content"]: t["id"] for t in added}
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
-        self.words = regex.compile(WORDS)
+        self.words, self.known = regex.compile(WORDS), Known(self.added)
         self.library = Tokenizer.from_file(path).pre_tokenizer
         # What each id stands for, in bytes.
         of_letter = {c: b for b, c in enumerate(letters)}
@@ -126,26 +150,20 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the n + 1 offsets of the texts there."""
-        index: dict[str, int] = {}
-        codes, ends = [], []
-        number = index.setdefault
+        if len(self.known) > MEMORY or self.known.size > 8 * MEMORY:
+            self.known = Known(self.added)
+        known = self.known
+        codes, ends, number = [], [], known.__getitem__
         for text in texts:
             for part in self.special.split(text) if self.special else [text]:
-                if part in self.added:
-                    codes.append(-1 - self.added[part])
-                else:
-                    codes += [number(w, len(index)) for w in self.cut(part)]
+                codes += [number(part)] if part in self.added else map(number, self.cut(part))
             ends.append(len(codes))
-        ids, off = self.merged([w.encode() for w in index])
+        if known.new:
+            known.add(*self.merged([w.encode() for w in known.new]))
         code = np.array(codes, np.int64)
-        off = np.append(off, off[-1] + 1) if len(off) else np.array([0, 1], np.int64)
-        ids = np.append(ids, np.int32(0))
-        of = np.where(code < 0, len(off) - 2, code)
-        n = off[of + 1] - off[of]
-        out = ids[spread(off[of], n)]
-        stops = np.concatenate([[0], np.cumsum(n)])
-        out[stops[:-1][code < 0]] = -1 - code[code < 0]
-        return out, stops[np.array([0, *ends], np.int64)]
+        n = known.lengths[code]
+        out = known.ids[spread(known.starts[code], n)]
+        return out, np.concatenate([[0], np.cumsum(n)])[np.array([0, *ends], np.int64)]
 
     # ------------------------------------------------------------ merging
 
@@ -195,7 +213,9 @@ class Coder:
             place = np.cumsum(stays) - 1
             at = place[at]
             sym, word, rank = sym[stays], word[stays], rank[stays]
-            again = np.union1d(at, at[at > 0] - 1)
+            touched = np.zeros(len(sym), bool)
+            touched[at] = touched[at[at > 0] - 1] = True
+            again = np.flatnonzero(touched)
             inner = again[again + 1 < len(sym)]
             inner = inner[word[inner] == word[inner + 1]]
             rank[again] = _NONE
