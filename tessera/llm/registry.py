@@ -75,6 +75,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(read(spark, sf_dir), least_docs=30, top=50)
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digest
 
@@ -82,11 +88,10 @@ def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op13_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op11_source_divergence, op13_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .licenses import oracle
-    from .substrings import ORACLE_SQL
+    from . import divergence, licenses, substrings
 
-    return {"op3_substring_dedup": ORACLE_SQL, "op7_license_scans": oracle()}
+    return {"op3_substring_dedup": substrings.ORACLE_SQL, "op7_license_scans": licenses.oracle(), "op11_source_divergence": divergence.ORACLE_SQL}
