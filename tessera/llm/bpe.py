@@ -23,9 +23,11 @@ from .common import map_arrow, row_blocks, with_column
 
 #: Words of more symbols are merged rank by rank; characters of text that are cut into words at once; words that a worker
 #: remembers between blocks, of eight characters each on average at most.
-LONG, PIECE, MEMORY = 256, 1_000_000, 300_000
+LONG, PIECE, MEMORY = 256, 1_000_000, 150_000
 #: How a text falls into words before merging: a fixed value of this kind of tokenizer file ("use_regex").
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text, or ids, that are worked on at once.
+BLOCK = 1_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -42,11 +44,14 @@ def doubtful() -> re.Pattern:
     """Characters of which the installed libraries' Unicode versions disagree whether they are letters or numbers."""
     import regex
 
-    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF)
-    said = {kind: set(regex.findall(rf"\p{{{kind}}}", every)) for kind in "LN"}
-    odd = [c for c in every if any((c in said[kind]) != (unicodedata.category(c)[0] == kind) for kind in "LN")]
+    patterns = {kind: regex.compile(rf"\p{{{kind}}}") for kind in "LN"}
+    odd: list[int] = []
+    for first in range(0, sys.maxunicode + 1, 4096):
+        some = "".join(chr(c) for c in range(first, first + 4096) if not 0xD800 <= c <= 0xDFFF)
+        said = {kind: set(p.findall(some)) for kind, p in patterns.items()}
+        odd += [ord(c) for c in some if any((c in said[kind]) != (unicodedata.category(c)[0] == kind) for kind in "LN")]
     ranges: list[list[int]] = []
-    for c in map(ord, odd):
+    for c in odd:
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
         else:
@@ -308,7 +313,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, keep: list[str], text_col: str
 
     tokenizer: path of a byte-level BPE file, present on every executor. Null texts count as empty and have no ids. Ids of
     special strings within texts are as the library's default gives them. Repeated rows are encoded each. A column of keep
-    that is named out is refused. There is no shuffle; a worker holds one Arrow batch and the words of some two megabytes of
+    that is named out is refused. There is no shuffle; a worker holds one Arrow batch and the words of a megabyte of
     text, or of one longer text.
     """
     if out in keep:
@@ -322,7 +327,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, keep: list[str], text_col: str
         c = coder(tokenizer)
         for b in batches:
             size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in row_blocks(np.concatenate([[0], np.cumsum(size)])):
+            for i, j in row_blocks(np.concatenate([[0], np.cumsum(size)]), BLOCK):
                 part = b.slice(i, j - i)
                 ids, off = c.encode([t or "" for t in part.column(at).to_pylist()])
                 if packed:
@@ -358,7 +363,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str, keep: list[str], ids_col: str
                 packed = ids.cast(pa.large_binary()).to_pylist()
                 off = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in packed])])
                 flat = np.frombuffer(b"".join(x or b"" for x in packed), "<u4").astype(np.int64)
-            for i, j in row_blocks(off):
+            for i, j in row_blocks(off, BLOCK):
                 made = pa.array(c.decode(flat[off[i] : off[j]], off[i : j + 1] - off[i]), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(keep))), made], [*keep, out])
 

@@ -81,6 +81,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read(spark, sf_dir), least_docs=30, top=50)
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tries import prefix_trie
+
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digest
 
@@ -88,10 +94,10 @@ def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op11_source_divergence, op13_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_secret_scans, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_license_scans, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op11_source_divergence, op12_conversation_prefix_trie, op13_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import divergence, licenses, substrings
+    from . import divergence, licenses, substrings, tries
 
-    return {"op3_substring_dedup": substrings.ORACLE_SQL, "op7_license_scans": licenses.oracle(), "op11_source_divergence": divergence.ORACLE_SQL}
+    return {"op3_substring_dedup": substrings.ORACLE_SQL, "op7_license_scans": licenses.oracle(), "op11_source_divergence": divergence.ORACLE_SQL, "op12_conversation_prefix_trie": tries.ORACLE_SQL}
