@@ -58,10 +58,11 @@ def log_metrics(metrics: DataFrame, new: DataFrame) -> DataFrame:
     return metrics.unionByName(new.select(*metrics.columns))
 
 
-def log_params(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """The runs with new parameters (run_id, key, value) in their maps. A parameter keeps its first value; that of an
-    unknown run is ignored."""
-    added = new.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_new"))
+def log_params(runs: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The runs with new parameters (run_id, key, value) in their maps. A parameter keeps its first value, also among the
+    new ones by their order; without an order, or at the same one, the least. That of an unknown run is ignored."""
+    first = new.groupBy("run_id", "key").agg(F.min_by("value", F.struct(*([order] if order else []), "value")).alias("value"))
+    added = first.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_new"))
     j = runs.join(added, "run_id", "left")
     nothing = F.create_map().cast("map<string,string>")
     old, extra = F.coalesce("params", nothing), F.coalesce("_new", nothing)
@@ -69,9 +70,13 @@ def log_params(runs: DataFrame, new: DataFrame) -> DataFrame:
     return j.withColumn("params", both).drop("_new").select(*runs.columns)
 
 
-def log_artifacts(artifacts: DataFrame, new: DataFrame) -> DataFrame:
-    """The table (run_id, path, content) with new files; one of the same run and path is replaced."""
-    return artifacts.join(new.select("run_id", "path"), ["run_id", "path"], "left_anti").select(*artifacts.columns).unionByName(new.select(*artifacts.columns))
+def log_artifacts(artifacts: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The table (run_id, path, content) with new files; one of the same run and path is replaced, and of several new ones
+    the last by order stays; without an order, or at the same one, the greatest."""
+    rest = [c for c in artifacts.columns if c not in ("run_id", "path")]
+    body = F.struct(*rest)
+    last = new.groupBy("run_id", "path").agg(F.max_by(body, F.struct(*([F.col(order).alias("_ord")] if order else []), body)).alias("_v")).select("run_id", "path", "_v.*")
+    return artifacts.join(last.select("run_id", "path"), ["run_id", "path"], "left_anti").select(*artifacts.columns).unionByName(last.select(*artifacts.columns))
 
 
 def running_best(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:

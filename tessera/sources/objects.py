@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OCTET_STREAM, iso_time, text_or_base64
+from .versioned import judged, lasting
 
 #: The largest object that is read or written; exactly this size is allowed.
 CAP = 50 * 1024 * 1024
@@ -41,19 +42,21 @@ def get_objects(objects: DataFrame, cap: int = CAP) -> DataFrame:
     return small.unionByName(large.select("key", none.alias("content"), kind.alias("content_type"), none.alias("encoding"), "etag", said.alias("error"), F.lit("OBJECT_TOO_LARGE").alias("code")))
 
 
-def put_objects(objects: DataFrame, new: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """(the table after the writes, a status row for each): new has key, content (text), content_type and if_match.
+def put_objects(objects: DataFrame, new: DataFrame, cap: int = CAP, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the table after the writes, a status row for each): new has key, content (text), content_type, if_match and, where
+    a key is written more than once, the order of the writes; without one they are taken by etag.
 
-    Pictures and octet streams are decoded from Base64. A write whose if_match isn't the present etag, or which is too
-    large, changes nothing. The etag is the content's MD5."""
-    binary = F.col("n.content_type").like("image/%") | (F.col("n.content_type") == OCTET_STREAM)
-    body = F.when(binary, F.unbase64("n.content")).otherwise(F.encode("n.content", "UTF-8"))
-    j = new.alias("n").join(objects.select("key", "etag").alias("o"), F.col("n.key") == F.col("o.key"), "left").select(F.col("n.key"), F.col("n.content_type"), body.alias("content"), F.col("n.if_match"), F.col("o.etag").alias("old"))
-    code = F.when(F.octet_length("content") > cap, "OBJECT_TOO_LARGE").when(F.col("if_match").isNotNull() & ~F.col("if_match").eqNullSafe(F.col("old")), "PRECONDITION_FAILED")
-    judged = j.withColumn("code", code)
-    good = judged.where("code is null").select("key", F.octet_length("content").cast("long").alias("size"), F.current_timestamp().alias("last_modified"), "content_type", F.md5("content").alias("etag"), "content")
+    Pictures and octet streams are decoded from Base64. Each write is judged by what those before it have left; one whose
+    if_match isn't the etag then, or which is too large, changes nothing. The etag is the content's MD5."""
+    binary = F.col("content_type").like("image/%") | (F.col("content_type") == OCTET_STREAM)
+    body = F.when(binary, F.unbase64("content")).otherwise(F.encode("content", "UTF-8"))
+    w = new.select("key", "content_type", body.alias("content"), "if_match", (F.col(order) if order else F.lit(0)).alias("ord"))
+    w = w.withColumns({"etag": F.md5("content"), "code": F.when(F.octet_length("content") > cap, "OBJECT_TOO_LARGE")})
+    said = judged(w.select("key", "ord", "if_match", "etag", "code"), objects)
+    good = lasting(w, said).select("key", F.octet_length("content").cast("long").alias("size"), F.current_timestamp().alias("last_modified"), "content_type", "etag", "content")
     after = objects.join(good.select("key"), "key", "left_anti").unionByName(good)
-    return after, judged.select("key", F.when(F.col("code").isNull(), "ok").otherwise("error").alias("status"), "code")
+    names = ["key", *([F.col("ord").alias(order)] if order else [])]
+    return after, said.select(*names, F.when(F.col("code").isNull(), "ok").otherwise("error").alias("status"), "code")
 
 
 def delete_objects(objects: DataFrame, keys: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import tessera.queries_files  # noqa: F401  registers its queries
+import tessera.queries_state  # noqa: F401
 from tessera.queries import QUERIES, SQL
 from tessera.session import TABLES
 
