@@ -174,12 +174,14 @@ def list_allowed_directories(box: Toolbox) -> DataFrame:
     return files.allowed_directories(box.spark, box.allowed)
 
 
-def _objects(box: Toolbox, bucket: str) -> DataFrame:
-    """A bucket's objects, contents unread until they are asked for; the key is the path below the bucket."""
-    at = box.bucket(bucket)
-    o = objects.scan_folder(box.spark, at)
-    key = F.regexp_replace(F.regexp_replace("key", "^file:/*", "/"), "^" + files.glob_regex(at + "/")[4:-2], "")
-    return o.withColumn("key", key).withColumn("content_type", files.mime_type(F.col("key"))).withColumn("etag", F.md5("content"))
+def _object(box: Toolbox, bucket: str, key: str) -> DataFrame:
+    """One object of a bucket, by its own path; the content is unread until it is asked for."""
+    at = box.bucket(bucket, key)
+    if not os.path.getsize(at):  # which the scan leaves out
+        o = box.spark.range(1).select(F.lit(key).alias("key"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("content"))
+    else:
+        o = objects.scan_folder(box.spark, at).withColumn("key", F.lit(key))
+    return o.withColumn("content_type", files.mime_type(F.col("key"))).withColumn("etag", F.md5("content"))
 
 
 @_tool
@@ -194,7 +196,7 @@ def list_buckets(box: Toolbox) -> DataFrame:
 @_tool
 def list_objects(box: Toolbox, bucket: str, prefix: str = "") -> DataFrame:
     """List the objects of a bucket whose keys have a prefix"""
-    return objects.list_objects(_objects(box, bucket), prefix)
+    return objects.list_folder(box.spark, box.bucket(bucket), prefix)
 
 
 @_tool
@@ -202,7 +204,7 @@ def get_object(box: Toolbox, bucket: str, key: str) -> DataFrame:
     """Read an object, as text or Base64"""
     if not os.path.isfile(box.bucket(bucket, key)):
         return box.spark.range(1).select(F.lit(f"no object {key}").alias("error"), F.lit("NoSuchKey").alias("code"))
-    return objects.get_objects(_objects(box, bucket).where(F.col("key") == key))
+    return objects.get_objects(_object(box, bucket, key))
 
 
 @_tool

@@ -103,3 +103,116 @@ def stage_transactions(spark, d):
     stage = F.when(F.col("version") == F.col("last"), "Production").when(F.col("current_stage") == "Production", "Archived").otherwise(F.col("current_stage"))
     t.transact(lambda now: now.withColumn("last", last).withColumn("current_stage", stage).drop("last"), expected=1)
     return t.read().select("name", "version", "current_stage")
+
+
+# ---------------------------------------------------------------- a feed of changes, and state over it
+
+# Each user is an object of configuration; an error deletes it, any other event sets it. Versions hold a fortieth of the events each.
+_CHANGES = """
+c AS (SELECT event_id * 40 // (SELECT max(event_id) + 1 FROM events) AS version, event_id AS ord, 'u' || user_id AS key, event_type = 'error' AS gone, props AS value FROM events)"""
+
+
+def _changes(spark, d):
+    e = table(spark, d, "events")
+    top = e.agg(F.max("event_id")).first()[0] + 1
+    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPSERT")
+    return e.select(F.expr(f"event_id * 40 div {top}").alias("version"), F.col("event_id").alias("ord"), op.alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"), "ts")
+
+
+@query(f"""WITH {_CHANGES}, s AS (SELECT key FROM c WHERE version <= 10 GROUP BY key HAVING NOT arg_max(gone, ord)),
+n AS (SELECT key, count(*) AS n FROM (SELECT key FROM c WHERE version > 10 UNION ALL SELECT key FROM s) GROUP BY key)
+SELECT key, n AS delivered, arg_max(value, ord) FILTER (NOT gone) AS last_set, (SELECT arg_max(x.gone, x.ord) FROM c x WHERE x.key = c.key) AS deleted FROM c JOIN n USING (key) WHERE version > 10 OR key IN (FROM s) GROUP BY key, n""")
+def change_feed(spark, d):
+    """The feed as it is delivered: a snapshot, then versions, the reader stopped in the middle and started again from its
+    offset. Rows are counted, so any that came twice or never would show."""
+    from .sources import changes
+
+    feed, out, check = scratch(spark), scratch(spark), scratch(spark)
+    c = _changes(spark, d).drop("ts")
+
+    def deliver():
+        changes.change_stream(spark, feed).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+    changes.publish(c.where("version <= 10"), feed)
+    changes.compact(spark, feed, 10)
+    changes.expire(feed, 10)
+    changes.publish(c.where("version between 11 and 25"), feed)
+    deliver()
+    changes.publish(c.where("version > 25"), feed)
+    deliver()
+    place = F.struct("version", "ord")
+    return spark.read.parquet(out).groupBy("key").agg(F.count("*").alias("delivered"), F.max_by("value", F.when(F.col("op") != "DELETE", place)).alias("last_set"), (F.max_by("op", place) == "DELETE").alias("deleted"))
+
+
+@query(f"WITH {_CHANGES} SELECT key, arg_max(value, ord) AS value FROM c GROUP BY key HAVING NOT arg_max(gone, ord)")
+def change_feed_table(spark, d):
+    """A table of versions kept in step with the feed; it is stopped while versions expire, so it starts over from a snapshot."""
+    from .sources import changes
+
+    feed, check = scratch(spark), scratch(spark)
+    c, target = _changes(spark, d).drop("ts"), VersionedTable.create(spark, scratch(spark), "key string, value string", "key", buckets=16)
+    changes.publish(c.where("version <= 10"), feed)
+    changes.follow(changes.change_stream(spark, feed), target, check, availableNow=True).awaitTermination()
+    changes.publish(c.where("version between 11 and 30"), feed)
+    changes.compact(spark, feed, 25)
+    changes.expire(feed, 20)
+    changes.publish(c.where("version > 30"), feed)
+    changes.follow(changes.change_stream(spark, feed), target, check, availableNow=True).awaitTermination()
+    return target.read()
+
+
+def _state(spark, d):
+    """The checkpoint of a stream of all changes in two runs: every third comes late, in the second, and some come again."""
+    from .streaming import state
+
+    source, out, check = scratch(spark), scratch(spark), scratch(spark)
+    c = _changes(spark, d)
+    schema = c.schema
+    for late in (False, True):
+        c.where(F.expr("ord % 3 = 1 or ord % 10 = 0") if late else F.expr("ord % 3 <> 1")).repartition(4).write.mode("append").parquet(source)
+        rows = state.last_values(spark.readStream.schema(schema).parquet(source), delay="60 days", keep=60 * 86_400_000)
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return check, out
+
+
+@query(f"WITH {_CHANGES} SELECT key, max(version)::BIGINT AS version, max(ord) AS ord, CASE WHEN NOT arg_max(gone, ord) THEN arg_max(value, ord) END AS value, arg_max(gone, ord) AS deleted FROM c GROUP BY key")
+def keyed_state(spark, d):
+    """The last value of each key, or its deletion, as the state store holds it after late and repeated changes."""
+    from .streaming import state
+
+    return state.state_of(spark, _state(spark, d)[0])
+
+
+@query(f"WITH {_CHANGES} SELECT key, CASE WHEN arg_max(gone, ord) THEN 'DELETE' ELSE 'UPSERT' END AS op, max(ord) AS ord FROM c GROUP BY key")
+def keyed_state_changes(spark, d):
+    """What comes out of that stream: the last row for each key tells its state."""
+    return spark.read.parquet(_state(spark, d)[1]).groupBy("key").agg(F.max_by("op", F.struct("version", "ord")).alias("op"), F.max("ord").alias("ord"))
+
+
+# ---------------------------------------------------------------- listings that keep to what is asked
+
+
+def _spread_files(spark, d):
+    """A folder of files by nation and segment, one for each of them, written by the executors."""
+    root = scratch(spark)
+    c = table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("n"), F.col("c_mktsegment").alias("s"), F.concat_ws(",", "c_custkey").alias("value"))
+    c.repartition("n", "s").write.partitionBy("n", "s").text(root)
+    return root
+
+
+@query("SELECT 'n=n1/s=' || c_mktsegment AS folder, CAST(sum(length(c_custkey::VARCHAR) + 1) AS BIGINT) AS bytes FROM customer WHERE c_nationkey = 1 GROUP BY 1")
+def list_by_prefix(spark, d):
+    """Objects under a prefix of a bucket, the walk kept to its subtree."""
+    o = objects.list_folder(spark, _spread_files(spark, d), "n=n1/")
+    kept = o.where(F.endswith("key", F.lit(".txt")) & ~F.contains("key", F.lit("/.")))
+    return kept.groupBy(F.regexp_extract("key", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.sum("size").alias("bytes"))
+
+
+@query("SELECT DISTINCT 's=' || c_mktsegment AS name, 'directory' AS type, CAST(1 AS INTEGER) AS depth FROM customer WHERE c_nationkey = 7 AND c_mktsegment <> 'BUILDING'")
+def walk_pushdown(spark, d):
+    """Filters on path, depth and name that end in the walk."""
+    from .sources import files
+
+    root = _spread_files(spark, d)
+    t = files.files(spark, root).where(F.startswith("path", F.lit(f"{root}/n=n7/")) & (F.col("depth") <= 1) & F.startswith("name", F.lit("s=")) & (F.col("name") != "s=BUILDING"))
+    return t.select("name", "type", "depth")

@@ -6,12 +6,12 @@ import os
 import re
 import shutil
 import stat
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from ..functions.scalars import MIME_TYPES, OCTET_STREAM, base64_plain, is_media, mime_type, permissions, within
 from ..operators.text import head_lines, tail_lines
@@ -26,6 +26,11 @@ class _Tree(InputPartition):
         self.path, self.depth, self.whole = path, depth, whole
 
 
+class _Entry(InputPartition):
+    def __init__(self, path: str, depth: int):
+        self.path, self.depth = path, depth
+
+
 def _excluded(name: str, patterns: Sequence[str]) -> bool:
     return any(p in name for p in patterns)
 
@@ -41,7 +46,11 @@ def _entry(path: str, depth: int) -> tuple | None:
 
 class _Reader(DataSourceReader):
     """The driver lists level by level until there are enough directories to share out; each of the last level is a
-    partition with all below it, those above are partitions of their own. Excluded names and depth prune the walk."""
+    partition with all below it, those above are partitions of their own. Excluded names and depth prune the walk.
+
+    Filters prune it too: a whole path opens one entry and lists nothing, a parent lists one directory, the start of a path
+    is walked from the last directory that it names, a greatest depth ends the walk, and entries whose name or path can't
+    match aren't looked at any further. Only filters that are met that way are taken from Spark."""
 
     ENOUGH, MOST_LISTED, ROWS = 64, 1024, 4096
 
@@ -49,6 +58,46 @@ class _Reader(DataSourceReader):
         self.root = os.path.abspath(options["path"])
         self.most = int(options.get("maxdepth", 1 << 30))
         self.patterns = [p for p in options.get("exclude", "").split("\n") if p]
+        self.names: set[str] | None = None
+        self.starts: list[str] = []
+        self.whole: list[str] = []
+        self.parents: list[str] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            column = getattr(f, "attribute", ("",))[0]
+            if isinstance(f, EqualTo | In) and column == "name":
+                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = asked if self.names is None else self.names & asked
+            elif isinstance(f, EqualTo) and column in ("path", "parent"):
+                (self.whole if column == "path" else self.parents).append(f.value)
+            elif isinstance(f, StringStartsWith) and column == "path":
+                self.starts.append(f.value)
+            elif isinstance(f, LessThan | LessThanOrEqual) and column == "depth":
+                self.most = min(self.most, f.value - isinstance(f, LessThan))
+            elif isinstance(f, EqualTo) and column == "depth":
+                self.most = min(self.most, f.value)
+                yield f  # what lies above is for Spark to leave out
+            else:
+                yield f
+
+    def _wanted(self, path: str, name: str) -> bool:
+        return (self.names is None or name in self.names) and all(path.startswith(s) for s in self.starts) and all(path == w for w in self.whole)
+
+    def _leads(self, path: str) -> bool:
+        """Whether anything wanted can lie below a directory."""
+        at = path + "/"
+        return all(at.startswith(s) or s.startswith(at) for s in self.starts) and all(w.startswith(at) for w in self.whole) and all((p + "/").startswith(at) for p in self.parents)
+
+    def _depth(self, path: str) -> int | None:
+        """The depth at which the walk would come upon a path; None where it never would."""
+        if os.path.normpath(path) != path or not path.startswith(self.root.rstrip("/") + "/"):
+            return None
+        parts = path[len(self.root.rstrip("/")) + 1 :].split("/")
+        above = [self.root.rstrip("/") + "/" + "/".join(parts[:i]) for i in range(1, len(parts))]
+        if len(parts) - 1 > self.most or any(_excluded(p, self.patterns) for p in parts) or any(os.path.islink(p) for p in above):
+            return None
+        return len(parts) - 1
 
     def _inside(self, path: str) -> list[os.DirEntry]:
         try:
@@ -57,26 +106,56 @@ class _Reader(DataSourceReader):
         except OSError:
             return []
 
+    def _begin(self) -> tuple[str, int] | None:
+        """The directory from which all that is wanted can be reached, and the depth of what it holds."""
+        at = [self.root]
+        at += [s.rpartition("/")[0] for s in self.starts] + self.parents
+        deepest = max(at, key=len)
+        if deepest == self.root or self.root.startswith(deepest.rstrip("/") + "/"):
+            return self.root, 0
+        depth = self._depth(deepest)
+        return None if depth is None or depth >= self.most or os.path.islink(deepest) else (deepest, depth + 1)
+
     def partitions(self) -> list[InputPartition]:
-        done, level, depth = [], [self.root], 0
+        nothing: list[InputPartition] = [_Entry("", 0)]
+        if self.whole:
+            depth = self._depth(self.whole[0])
+            return nothing if depth is None else [_Entry(self.whole[0], depth)]
+        begin = self._begin()
+        if begin is None or self.most < 0 or (self.names is not None and not self.names):
+            return nothing
+        if self.parents:
+            return [_Tree(*begin, False)] if begin[0] == self.parents[0] else nothing
+        done, level, depth = [], [begin[0]], begin[1]
         while level and depth < self.most and len(level) < self.ENOUGH and len(done) + len(level) <= self.MOST_LISTED:
             done += [_Tree(p, depth, False) for p in level]
-            level = [e.path for p in level for e in self._inside(p) if e.is_dir(follow_symlinks=False)]
+            level = [e.path for p in level for e in self._inside(p) if e.is_dir(follow_symlinks=False) and self._leads(e.path)]
             depth += 1
-        return done + [_Tree(p, depth, depth < self.most) for p in level]
-
-    def read(self, partition: _Tree):
-        pending, rows = [(partition.path, partition.depth)], []
-        kinds = pa.schema([(n, _ARROW[k]()) for n, k in (f.split() for f in FILES.split(", "))])
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
+        return done + [_Tree(p, depth, depth < self.most) for p in level] or nothing
+
+    def _rows(self, partition: InputPartition) -> Iterable[tuple]:
+        if isinstance(partition, _Entry):
+            path = partition.path
+            row = _entry(path, partition.depth) if path and self._wanted(path, os.path.basename(path)) and os.path.dirname(path) in (self.parents or [os.path.dirname(path)]) else None
+            if row is not None:
+                yield row
+            return
+        pending = [(partition.path, partition.depth)]
         while pending:
             path, depth = pending.pop()
             for e in self._inside(path):
-                row = _entry(e.path, depth)
+                row = _entry(e.path, depth) if self._wanted(e.path, e.name) and all(path == p for p in self.parents) else None
                 if row is not None:
-                    rows.append(row)
-                if partition.whole and depth < self.most and e.is_dir(follow_symlinks=False):
+                    yield row
+                if partition.whole and depth < self.most and e.is_dir(follow_symlinks=False) and self._leads(e.path):
                     pending.append((e.path, depth + 1))
+
+    def read(self, partition: InputPartition):
+        rows: list[tuple] = []
+        kinds = pa.schema([(n, _ARROW[k]()) for n, k in (f.split() for f in FILES.split(", "))])
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
+        for row in self._rows(partition):
+            rows.append(row)
             if len(rows) >= self.ROWS:
                 yield batch()
                 rows = []
@@ -101,6 +180,8 @@ class FilesSource(DataSource):
 
 
 def files(spark: SparkSession, path: str, max_depth: int | None = None, exclude: Sequence[str] = ()) -> DataFrame:
+    """The entries below path. Filters on path, parent, name and depth reach the walk (``_Reader``)."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FilesSource)
     r = spark.read.format("files").option("path", path).option("exclude", "\n".join(exclude))
     return (r.option("maxdepth", str(max_depth)) if max_depth is not None else r).load()
@@ -158,7 +239,7 @@ def search_files(spark: SparkSession, path: str, pattern: str, exclude: Sequence
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, type, size, created, modified, accessed, permissions) of one file or directory."""
+    """(path, name, type, size, created, modified, accessed, permissions) of one file or directory; nothing else is opened."""
     at = os.path.abspath(path)
     row = files(spark, os.path.dirname(at), 0).where(F.col("path") == at)
     return row.select("path", "name", "type", "size", "created", "modified", "accessed", permissions(F.col("mode")).alias("permissions"))

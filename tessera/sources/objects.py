@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OCTET_STREAM, iso_time, text_or_base64
+from .files import files
 from .versioned import judged, lasting
 
 #: The largest object that is read or written; exactly this size is allowed.
@@ -17,12 +20,22 @@ def list_objects(objects: DataFrame, prefix: str = "") -> DataFrame:
     return objects.where(F.startswith("key", F.lit(prefix))).select("key", "size", iso_time(F.col("last_modified")).alias("last_modified"))
 
 
-def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of a folder of a file system or store, contents left unread until they are asked for."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def scan_folder(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """Objects of a folder of a file system or store, contents left unread until they are asked for; with a prefix only the
+    directories that it names are listed. Spark's reader leaves out empty objects; ``list_folder`` has them."""
+    at, last = path.rstrip("/") + "/" + prefix, "" if not prefix or prefix.endswith("/") else "*"
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at.rstrip("/") + last if last or prefix else path)
     return b.select(F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
 
 
+def list_folder(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """(key, size, last_modified) of the objects of a mounted folder whose keys, their paths below it, have a prefix. The walk
+    begins at the last directory of the prefix and keeps to it; no content is opened."""
+    root = os.path.abspath(path).rstrip("/") + "/"
+    found = files(spark, path).where((F.col("type") == "file") & F.startswith("path", F.lit(root + prefix)))
+    return found.select(F.substr("path", F.lit(len(root) + 1)).alias("key"), "size", iso_time(F.timestamp_micros((F.col("modified") * 1e6).cast("long"))).alias("last_modified"))
+
+
 def list_buckets(objects: DataFrame) -> DataFrame:
     """(name, creation_date): first parts of the keys, with the earliest time below each."""
     return objects.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("name")).agg(iso_time(F.min("last_modified")).alias("creation_date"))
