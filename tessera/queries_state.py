@@ -216,3 +216,87 @@ def walk_pushdown(spark, d):
     root = _spread_files(spark, d)
     t = files.files(spark, root).where(F.startswith("path", F.lit(f"{root}/n=n7/")) & (F.col("depth") <= 1) & F.startswith("name", F.lit("s=")) & (F.col("name") != "s=BUILDING"))
     return t.select("name", "type", "depth")
+
+
+# ---------------------------------------------------------------- tools as functions of SQL, files by a sink with commit
+
+_LINES = "(SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)"
+
+
+@query(f"""
+SELECT doc_id, unnest(range(1, least(2, len(a)) + 1))::INTEGER AS line, unnest(a[1:2]) AS content, 'head' AS part FROM {_LINES}
+UNION ALL SELECT doc_id, unnest(range(greatest(1, len(a) - 1), len(a) + 1))::INTEGER, unnest(a[-2:]), 'tail' FROM {_LINES}""")
+def sql_text_lines(spark, d):
+    """A tool joined LATERAL to all documents: first and last lines."""
+    from .operators import table_functions
+    from .session import register
+
+    table_functions.register(spark)
+    register(spark, d, ["documents"])
+    return spark.sql("""
+    SELECT doc_id, t.line, t.content, 'head' AS part FROM documents, LATERAL text_lines(text, head => 2) t
+    UNION ALL SELECT doc_id, t.line, t.content, 'tail' FROM documents, LATERAL text_lines(text, tail => 2) t""")
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), u AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS b0 FROM l),
+s AS (SELECT doc_id, line, b0, replace(b0, 'on', 'ON') AS b1, replace(replace(b0, 'on', 'ON'), 'ON a', 'ON_A') AS b2 FROM u)
+SELECT doc_id, CAST(1 AS INTEGER) AS edit, CAST(line AS INTEGER) AS line, b0 AS before, b1 AS after FROM s WHERE contains(b0, 'on')
+UNION ALL SELECT doc_id, 2, CAST(line AS INTEGER), b1, b2 FROM s WHERE contains(b1, 'ON a')""")
+def sql_edit_text(spark, d):
+    """A dry run of edits as a tool joined LATERAL to all documents."""
+    from .operators import table_functions
+    from .session import register
+
+    table_functions.register(spark)
+    register(spark, d, ["documents"])
+    return spark.sql("""SELECT doc_id, e.* FROM documents, LATERAL edit_text(text, '[{"oldText": "on", "newText": "ON"}, {"oldText": "ON a", "newText": "ON_A"}]') e""")
+
+
+@query("""
+SELECT page_id, 'p' || page_id || '.html' AS name, strlen(html)::BIGINT AS size, string_split(html, chr(10))[1] AS first_line, CAST(NULL AS VARCHAR) AS error FROM pages WHERE page_id % 7 <> 0
+UNION ALL SELECT page_id, NULL, NULL, NULL, 'none' FROM pages WHERE page_id % 7 = 0""")
+def sql_file_tools(spark, d):
+    """Pages as files, and two tools joined LATERAL to the table of pages: what the files are and how they begin. A seventh
+    of them isn't there, which is an answer of its row."""
+    from .operators import table_functions
+    from .session import register
+    from .sources import sink
+
+    root = scratch(spark)
+    pages = table(spark, d, "pages")
+    name = F.concat(F.lit("d"), (F.col("page_id") % 16).cast("string"), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html"))
+    sink.write_objects(pages.where("page_id % 7 <> 0").select(name.alias("name"), "html"), root, content="html", distinct=True)
+    table_functions.register(spark, [root])
+    register(spark, d, ["pages"])
+    return spark.sql(f"""
+    WITH at AS (SELECT page_id, '{root}/d' || page_id % 16 || '/p' || page_id || '.html' AS path FROM pages)
+    SELECT page_id, i.name, i.size, t.content AS first_line, CASE WHEN i.error LIKE '%No such file%' AND t.error = i.error THEN 'none' ELSE i.error END AS error
+    FROM at, LATERAL get_file_info(path) i, LATERAL read_text_file(path, head => 1) t""")
+
+
+@query("SELECT 'd' || doc_id % 8 AS folder, doc_id || '.txt' AS name, 'file' AS type, strlen(text)::BIGINT AS size FROM documents WHERE doc_id % 3 = 0")
+def sql_list_directory(spark, d):
+    """Directories of documents, listed by a tool joined LATERAL to the table of their names."""
+    from .operators import table_functions
+    from .sources import sink
+
+    root = scratch(spark)
+    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    folder = F.concat(F.lit("d"), (F.col("doc_id") % 8).cast("string"))
+    sink.write_objects(docs.select(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text"), root, content="text", distinct=True)
+    table_functions.register(spark, [root])
+    docs.select(folder.alias("folder")).distinct().createOrReplaceTempView("tessera_folders")
+    return spark.sql(f"SELECT folder, l.* FROM tessera_folders, LATERAL list_directory('{root}/' || folder) l")
+
+
+@query("""
+SELECT 'part/' || (p_partkey % 50) || '.txt' AS key, strlen(max_by(p_name, p_partkey))::BIGINT AS size FROM part GROUP BY 1""")
+def sink_commit(spark, d):
+    """Files out of rows by a sink with commit: of many rows of one name the last by key is written."""
+    from .sources import files, sink
+
+    root = scratch(spark)
+    p = table(spark, d, "part").select(F.concat(F.lit("part/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".txt")).alias("name"), F.col("p_name").alias("content"), "p_partkey")
+    sink.write_objects(p, root, order="p_partkey")
+    return objects.list_folder(spark, root).select("key", "size")

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..functions.scalars import MIME_TYPES, OCTET_STREAM, base64_plain, is_media, mime_type, permissions, within
 from ..operators.text import head_lines, tail_lines
 from ..schemas import FILES
+from .sink import write_objects
 
 
 _ARROW = {"string": pa.string, "int": pa.int32, "long": pa.int64, "double": pa.float64, "boolean": pa.bool_}
@@ -289,21 +290,10 @@ def split_scan(df: DataFrame, split: str, column: str = "split", known: Sequence
     return df.where(F.col(column) == split)
 
 
-def write_images(df: DataFrame, folder: str, sample: str = "sample", content: str = "content") -> int:
-    """Write each row's picture to folder/<sample>.png, from the executors, and return how many; the folder must be one
-    that all executors mount."""
-
-    def run(batches):
-        import pandas as pd
-
-        os.makedirs(folder, exist_ok=True)
-        for b in batches:
-            for name, data in zip(b[sample], b[content]):
-                with open(os.path.join(folder, f"{name}.png"), "wb") as f:
-                    f.write(data)
-            yield pd.DataFrame({"n": [len(b)]})
-
-    return df.select(sample, content).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write_images(df: DataFrame, folder: str, sample: str = "sample", content: str = "content") -> None:
+    """Write each row's picture to folder/<sample>.png, from the executors, all or none (``sink.write_objects``). Samples are
+    distinct."""
+    write_objects(df.select(F.concat(F.col(sample), F.lit(".png")).alias("name"), F.col(content).alias("content")), folder, distinct=True)
 
 
 def write_labels(df: DataFrame, folder: str) -> None:
