@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import canonical_json, env_name_safe, short_hash
+from ..plans.scan import segmented_scan
 
 NAME = "^deploymentconfig-(.+)$"
 
@@ -27,14 +28,14 @@ def selected(configs: DataFrame, selector: str | None, labels: str = "labels") -
 
 
 def extracted(configs: DataFrame, name_pattern: str = NAME) -> DataFrame:
-    """Rows whose name matches, with namespace, model, api_key, env_name and problem ("bad JSON" or "missing")."""
-    body = F.col("deploymentConfig")
-    at = lambda p: F.get_json_object(body, p)
-    out = configs.where(F.col("name").rlike(name_pattern)).select(
-        "*", at("$.Namespace").alias("model_namespace"), at("$.Name").alias("model"), at("$.ExternalEndpoint.ApiKey").alias("api_key"), F.try_parse_json(body).isNull().alias("_bad")
-    )
-    problem = F.when(body.isNull(), "missing").when(F.col("_bad"), "bad JSON").when(F.coalesce(F.col("api_key"), F.lit("")) == "", "missing")
-    return out.withColumn("env_name", env_name_safe(F.concat("model_namespace", F.lit("_"), "model"))).withColumn("problem", problem).drop("_bad")
+    """Rows whose name matches, with namespace, model, api_key, env_name and problem ("bad JSON" or "missing"). A document is
+    parsed once; what isn't a plain value there counts as missing."""
+    doc = F.try_parse_json("deploymentConfig")
+    at = lambda p: F.try_variant_get("_doc", p, "string")
+    named = configs.where(F.col("name").rlike(name_pattern)).withColumn("_doc", doc)
+    out = named.withColumns({"model_namespace": at("$.Namespace"), "model": at("$.Name"), "api_key": at("$.ExternalEndpoint.ApiKey")})
+    problem = F.when(F.col("deploymentConfig").isNull(), "missing").when(F.col("_doc").isNull(), "bad JSON").when(F.coalesce(F.col("api_key"), F.lit("")) == "", "missing")
+    return out.withColumn("env_name", env_name_safe(F.concat("model_namespace", F.lit("_"), "model"))).withColumn("problem", problem).drop("_doc")
 
 
 def key_map(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -48,10 +49,14 @@ def keys_hash(keys: Column) -> Column:
     return short_hash(canonical_json(keys))
 
 
-def rollouts(df: DataFrame, by: str, order: list[str], content: Column) -> DataFrame:
-    """df with hash, previous and roll_out: whether the content's hash differs from the row before; the first rolls out."""
-    w = W.partitionBy(by).orderBy(*order)
-    out = df.withColumn("hash", short_hash(content)).withColumn("previous", F.lag("hash").over(w))
+def rollouts(df: DataFrame, by: str, order: list[str], content: Column, large: bool = False) -> DataFrame:
+    """df with hash, previous and roll_out: whether the content's hash differs from the row before; the first rolls out.
+    With large a group is spread over the tasks; otherwise it is one sorted partition."""
+    hashed = df.withColumn("hash", short_hash(content))
+    if large:
+        out = segmented_scan(hashed, [by], order, {"previous": ("last", F.col("hash"))})
+    else:
+        out = hashed.withColumn("previous", F.lag("hash").over(W.partitionBy(by).orderBy(*order)))
     return out.withColumn("roll_out", ~F.col("hash").eqNullSafe(F.col("previous")))
 
 

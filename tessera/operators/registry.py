@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.scan import segmented_scan
+
 
 def search_runs(runs: DataFrame, experiment_id: str, status: str | None = None, metric: str | None = None, top: int | None = None) -> DataFrame:
     """Runs of an experiment; with metric the best first, runs without it left out, ties by run_id; top is a top-k."""
@@ -79,10 +81,15 @@ def log_artifacts(artifacts: DataFrame, new: DataFrame, order: str | None = None
     return artifacts.join(last.select("run_id", "path"), ["run_id", "path"], "left_anti").select(*artifacts.columns).unionByName(last.select(*artifacts.columns))
 
 
-def running_best(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
-    """df with best_before (0.0 at the start, or the greatest value before) and is_best: strictly above it."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("best_before", F.greatest(F.lit(0.0), F.coalesce(F.max(value).over(w), F.lit(0.0)))).withColumn("is_best", F.col(value) > F.col("best_before"))
+def running_best(df: DataFrame, value: str, order: list[str], by: list[str], large: bool = False) -> DataFrame:
+    """df with best_before (0.0 at the start, or the greatest value before) and is_best: strictly above it. With large a
+    group is spread over the tasks; otherwise it is one sorted partition."""
+    if large:
+        seen = segmented_scan(df, by, order, {"best_before": ("max", F.col(value))})
+    else:
+        seen = df.withColumn("best_before", F.max(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)))
+    best = F.greatest(F.lit(0.0), F.coalesce(F.col("best_before"), F.lit(0.0)))
+    return seen.withColumn("best_before", best).withColumn("is_best", F.col(value) > F.col("best_before"))
 
 
 def best_by_key(df: DataFrame, by: list[str], value: str, step: str) -> DataFrame:

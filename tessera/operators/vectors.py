@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import png
+from ..plans.scan import segmented_scan
 from ..session import written
 
 
@@ -58,24 +59,28 @@ def cross_entropy(probabilities: Column, target: Column) -> Column:
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """df with the place, from 0, of each row in an order over the whole table: rows are dealt by ranges, sorted and
-    written, and each range starts after the rows of those before it. Only a count for each range reaches the driver."""
+    written, and each range starts after the rows of those before it. Only a count for each range reaches the driver, and
+    their sums go back as a table of as many rows."""
     at = F.struct(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
     dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
     counts, before, starts = {r[0]: r[1] for r in dealt.groupBy("_at.part").count().collect()}, 0, []
     for part in sorted(counts):
-        starts += [F.lit(part), F.lit(before).cast("long")]
+        starts.append((part, before))
         before += counts[part]
-    first = F.try_element_at(F.create_map(*starts), F.col("_at.part")) if starts else F.lit(0).cast("long")
-    return dealt.withColumn(out, first + F.col("_at.row")).drop("_at")
+    first = df.sparkSession.createDataFrame(starts, "_part int, _first long")
+    return dealt.join(F.broadcast(first), F.col("_at.part") == F.col("_part")).withColumn(out, F.col("_first") + F.col("_at.row")).drop("_at", "_part", "_first")
 
 
-def mean_of_batch_means(df: DataFrame, value: str, order: list[str], batch: int = 128, group: str | None = None) -> DataFrame:
+def mean_of_batch_means(df: DataFrame, value: str, order: list[str], batch: int = 128, group: str | None = None, large: bool = False) -> DataFrame:
     """(group,) n_batches, mean: the unweighted mean of the means of consecutive batches; the last may be smaller.
 
     Rows are numbered within the group, which is one sorted partition; without a group over the whole table, by ranges.
+    With large groups are spread over the tasks as well (``scan.segmented_scan``).
     """
     keys = [group] if group else []
-    if group:
+    if group and large:
+        placed = segmented_scan(df, [group], order, {"_place": ("count", None)})
+    elif group:
         placed = df.withColumn("_place", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)
     else:
         placed = numbered(df, order, "_place")

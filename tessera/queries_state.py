@@ -300,3 +300,43 @@ def sink_commit(spark, d):
     p = table(spark, d, "part").select(F.concat(F.lit("part/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".txt")).alias("name"), F.col("p_name").alias("content"), "p_partkey")
     sink.write_objects(p, root, order="p_partkey")
     return objects.list_folder(spark, root).select("key", "size")
+
+
+# ---------------------------------------------------------------- groups of any size
+
+
+@query("SELECT 'all' AS everything, count(*) AS n_batches, round(avg(m), 6) AS mean FROM (SELECT avg(value) AS m FROM (SELECT value, (row_number() OVER (ORDER BY ts, event_id) - 1) // 128 AS b FROM events) GROUP BY b)")
+def scan_means(spark, d):
+    """The mean of batch means of one group that holds all events."""
+    from .operators import vectors
+
+    m = vectors.mean_of_batch_means(table(spark, d, "events").withColumn("everything", F.lit("all")), "value", ["ts", "event_id"], 128, "everything", large=True)
+    return m.select("everything", "n_batches", F.round("mean", 6).alias("mean"))
+
+
+_BEST = "greatest(0.0, coalesce(max(value) OVER (PARTITION BY {0} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))"
+
+
+@query(f"SELECT event_id, {_BEST.format('1')} AS best_before, value > {_BEST.format('1')} AS is_best FROM events")
+def scan_best(spark, d):
+    """The running best of one group that holds all events."""
+    e = table(spark, d, "events").withColumn("everything", F.lit("all"))
+    return registry.running_best(e, "value", ["ts", "event_id"], ["everything"], large=True).select("event_id", "best_before", "is_best")
+
+
+@query("SELECT event_id, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) AS roll_out FROM events")
+def scan_changes(spark, d):
+    """Changes from row to row in two groups that hold all events between them."""
+    from .operators import keysync
+
+    e = table(spark, d, "events").withColumn("half", F.col("user_id") % 2)
+    return keysync.rollouts(e, "half", ["ts", "event_id"], F.col("event_type"), large=True).select("event_id", "roll_out")
+
+
+@query("SELECT event_id, row_number() OVER u - 1 AS before, round(coalesce(sum(value) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS spent FROM events WINDOW u AS (PARTITION BY event_type ORDER BY event_id)")
+def scan_sums(spark, d):
+    """Counts and sums of what came before, within a handful of large groups."""
+    from .plans.scan import segmented_scan
+
+    s = segmented_scan(table(spark, d, "events"), ["event_type"], ["event_id"], {"before": ("count", None), "spent": ("sum", F.col("value"))})
+    return s.select("event_id", "before", F.round(F.coalesce("spent", F.lit(0.0)), 4).alias("spent"))
