@@ -340,3 +340,79 @@ def scan_sums(spark, d):
 
     s = segmented_scan(table(spark, d, "events"), ["event_type"], ["event_id"], {"before": ("count", None), "spent": ("sum", F.col("value"))})
     return s.select("event_id", "before", F.round(F.coalesce("spent", F.lit(0.0)), 4).alias("spent"))
+
+
+# ---------------------------------------------------------------- streams that hold words, and streams joined
+
+_TALK = "(SELECT conv_id::VARCHAR AS key, string_split(string_agg(coalesce(text, ''), ' ' ORDER BY turn), ' ') AS w FROM conversations GROUP BY conv_id)"
+
+
+def _in_batches(spark, df, cut, run):
+    """A stream over a folder to which df is added batch by batch, by the number that cut gives each row; run starts it."""
+    source, out, check = scratch(spark), scratch(spark), scratch(spark)
+    for i in range(cut[1]):
+        df.where(cut[0] == i).repartition(2).write.mode("append").parquet(source)
+        rows = run(spark.readStream.schema(df.schema).parquet(source))
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def _talk_chunks(spark, d, cut):
+    from .streaming import chunks
+
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumns({"part": (F.row_number().over(w) - 1).cast("long"), "last": F.lead("turn").over(w).isNull()})
+    parts = c.select(F.col("conv_id").cast("string").alias("key"), "part", F.col("text").alias("body"), "last")
+    return _in_batches(spark, parts, cut, lambda s: chunks.stream_chunks(s, size=200, context=50))
+
+
+_CHUNKS = f"""
+WITH c AS (SELECT key, w, unnest(range(0, (len(w) - 1) // 200 + 1)) AS chunk FROM {_TALK})
+SELECT key, CAST(chunk AS INTEGER) AS chunk, CAST(len(w[greatest(1, chunk * 200 - 49):chunk * 200 + 200]) AS INTEGER) AS n_words, array_to_string(w[greatest(1, chunk * 200 - 49):chunk * 200 + 200], ' ') AS body FROM c"""
+
+
+@query(_CHUNKS)
+def stream_chunks(spark, d):
+    """Conversations as they are spoken: each batch brings the next turns, chunks come out when they are full."""
+    return _talk_chunks(spark, d, (F.least(F.floor(F.col("part") / 2), F.lit(2)), 3))
+
+
+@query(_CHUNKS)
+def stream_chunks_shuffled(spark, d):
+    """The same with turns that come ahead of those before them: the chunks don't depend on how the stream is cut."""
+    return _talk_chunks(spark, d, (F.pmod(F.xxhash64("key", "part"), F.lit(3)), 3))
+
+
+def _two_streams(spark, d, **how):
+    """Errors and purchases as two streams that come in three batches each, by time; the last rows pass both watermarks."""
+    from .streaming import joins as stream_joins
+
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    bounds = e.agg(F.min("ts"), F.max("ts")).first()
+    third = (bounds[1] - bounds[0]) / 3
+    sources, out, check = (scratch(spark), scratch(spark)), scratch(spark), scratch(spark)
+    late = [(None, -1, bounds[1].replace(year=bounds[1].year + 1), k) for k in ("error", "purchase")]
+    every = e.withColumn("batch", F.least(F.lit(2), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(bounds[0]).cast("timestamp"))) / (third.total_seconds() * 1e6)))).unionByName(spark.createDataFrame(late, e.schema).withColumn("batch", F.lit(3).cast("long")))
+    for batch in range(4):
+        streams = []
+        for source, kind, names in ((sources[0], "error", {"ts": "error_at"}), (sources[1], "purchase", {"event_id": "other_id", "ts": "bought_at"})):
+            side = every.where((F.col("batch") == batch) & (F.col("event_type") == kind)).drop("batch", "event_type").withColumnsRenamed(names)
+            side.coalesce(1).write.mode("append").parquet(source)
+            streams.append(spark.readStream.schema(side.schema).parquet(source))
+        rows = stream_joins.stream_interval_join(*streams, ("error_at", "bought_at"), delay="1 hour", **how).select("event_id", "other_id")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).where("event_id is not null")
+
+
+@query("SELECT a.event_id AS event_id, b.event_id AS other_id FROM events a JOIN events b ON a.event_type = 'error' AND b.event_type = 'purchase' AND epoch_us(b.ts) < epoch_us(a.ts) + 1800000000 AND epoch_us(a.ts) < epoch_us(b.ts) + 600000000")
+def stream_interval_join(spark, d):
+    """The errors and purchases of ``interval_join`` as two streams."""
+    return _two_streams(spark, d, before=600, after=1800)
+
+
+@query("""
+SELECT a.event_id AS event_id, b.event_id AS other_id FROM (FROM events WHERE event_type = 'error') a LEFT JOIN (FROM events WHERE event_type = 'purchase') b
+ON a.user_id = b.user_id AND epoch_us(b.ts) < epoch_us(a.ts) + 7200000000 AND epoch_us(a.ts) < epoch_us(b.ts) + 3600000000""")
+def stream_outer_join(spark, d):
+    """Errors with the purchases of their user around them; those without any come when none can come any more."""
+    return _two_streams(spark, d, before=3600, after=7200, on=["user_id"], how="left_outer")
