@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def interval_join(a: DataFrame, b: DataFrame, a_span: tuple[Column, Column], b_span: tuple[Column, Column], width: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows whose half-open spans [start, end) overlap, all columns of both, those of ``on`` equal and once.
@@ -24,3 +28,71 @@ def interval_join(a: DataFrame, b: DataFrame, a_span: tuple[Column, Column], b_s
     j = dealt(a, a_span, "a").join(dealt(b, b_span, "b"), [*on, "_cell"])
     first = F.floor(F.greatest("_a0", "_b0") / width)
     return j.where((F.col("_a0") < F.col("_b1")) & (F.col("_b0") < F.col("_a1")) & (F.col("_cell") == first)).drop("_cell", "_a0", "_a1", "_b0", "_b1")
+
+
+#: Leaves of the tree of cells, a power of two; rows of one node that are joined in one place; accuracy of the quantiles.
+LEAVES, HEAVY, ACCURACY = 1024, 20_000, 10_000
+
+
+def nodes_of(first: np.ndarray, last: np.ndarray, leaves: int) -> list[np.ndarray]:
+    """For each range of leaves (both ends in it) the nodes of a binary tree over all leaves that make it up, at most two a
+    level. A node is its level, from 0 for leaves, times 2^40, plus its place there."""
+    a, b = first.astype(np.int64), last.astype(np.int64) + 1
+    at, out = [], []
+    row = np.arange(len(a))
+    for level in range(leaves.bit_length()):
+        for hit, place in (((a < b) & (a % 2 == 1), a), ((a < b) & (b % 2 == 1), b - 1)):
+            at.append(row[hit])
+            out.append((np.int64(level) << 40) + place[hit])
+        a, b = (a + 1) >> 1, b >> 1
+    at, out = np.concatenate(at), np.concatenate(out)
+    order = np.argsort(at, kind="stable")
+    return np.split(out[order], np.searchsorted(at[order], np.arange(1, len(a))))
+
+
+def contained(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, leaves: int = LEAVES, heavy: int = HEAVY) -> DataFrame:
+    """Pairs of points and spans with start <= at < end, all columns of both, which must be of different names.
+
+    The cells come from the data: their bounds are quantiles of all points, starts and ends, so a cell holds about as many
+    points wherever they crowd. The cells are the leaves of a tree. A span becomes the few nodes that make it up, two a
+    level at most, however long it is; a point becomes its leaf and the nodes above it. So a pair meets in exactly one node,
+    in an equal-key join. Points of a node that has more than ``heavy`` of them are split by a hash and its spans copied to each part, so
+    no join key holds more, also where very many points are equal. Null and empty spans, null and NaN points match nothing."""
+    spark = points.sparkSession
+    p = written(points.where(F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double"))))
+    s = written(spans.where(F.col(start) < F.col(end)))
+    values = p.select(F.col(at).cast("double").alias("v")).unionByName(s.select(F.explode(F.array(F.col(start).cast("double"), F.col(end).cast("double"))).alias("v")))
+    found = values.agg(F.percentile_approx("v", [i / leaves for i in range(1, leaves)], ACCURACY)).first()[0] or []
+    bounds = np.unique(np.array(found, np.float64))
+    size = 1 << max(0, int(len(bounds)).bit_length())
+
+    @F.pandas_udf("long")
+    def leaf(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, v.to_numpy(np.float64), side="right"))
+
+    @F.pandas_udf("array<long>")
+    def made_up(a: pd.Series, b: pd.Series) -> pd.Series:
+        first, last = (np.searchsorted(bounds, x.to_numpy(np.float64), side="right") for x in (a, b))
+        return pd.Series(nodes_of(first, last, size))
+
+    up = F.transform(F.sequence(F.lit(0), F.lit(size.bit_length() - 1)), lambda k: F.call_function("shiftleft", k.cast("long"), F.lit(40)) + F.call_function("shiftright", F.col("_leaf"), k))
+    dealt = p.withColumn("_leaf", leaf(F.col(at).cast("double"))).withColumn("_node", F.explode(up)).drop("_leaf")
+    asked = s.withColumn("_node", F.explode(made_up(F.col(start).cast("double"), F.col(end).cast("double"))))
+    # Only nodes that a span has are of use; of those that hold many points the number of parts is noted.
+    parts = dealt.groupBy("_node").agg(F.ceil(F.count("*") / heavy).alias("_parts")).join(asked.select("_node").distinct(), "_node", "left_semi")
+    parts = written(parts)
+    # At most two numbers for each node of the tree, which has no more than twice the leaves.
+    dealt = dealt.join(F.broadcast(parts), "_node").withColumn("_part", F.pmod(F.xxhash64(at, F.monotonically_increasing_id()), F.col("_parts"))).drop("_parts")
+    asked = asked.join(F.broadcast(parts), "_node").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(asked, ["_node", "_part"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_node", "_part")
+
+
+def overlapping(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], leaves: int = LEAVES, heavy: int = HEAVY) -> DataFrame:
+    """Pairs of rows whose half-open spans overlap, without any guess of their length: b starts in a's span, or a starts in
+    b's and not where b does (``contained``). All columns of both, which must be of different names."""
+    (a0, a1), (b0, b1) = a_span, b_span
+    some_a, some_b = a.where(F.col(a0) < F.col(a1)), b.where(F.col(b0) < F.col(b1))
+    names = [*a.columns, *b.columns]
+    one = contained(some_b, some_a, b0, a0, a1, leaves, heavy).select(*names)
+    other = contained(some_a, some_b, a0, b0, b1, leaves, heavy).where(F.col(a0) > F.col(b0)).select(*names)
+    return one.unionByName(other)

@@ -416,3 +416,144 @@ ON a.user_id = b.user_id AND epoch_us(b.ts) < epoch_us(a.ts) + 7200000000 AND ep
 def stream_outer_join(spark, d):
     """Errors with the purchases of their user around them; those without any come when none can come any more."""
     return _two_streams(spark, d, before=3600, after=7200, on=["user_id"], how="left_outer")
+
+
+# ---------------------------------------------------------------- sketches
+
+_MONTH = "substr(CAST(ts AS VARCHAR), 1, 7)"
+
+
+def _by_day(spark, d):
+    from .session import written
+    from .operators import sketches
+
+    e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return written(sketches.sketched(e, ["day", "event_type"], "user_id", "value"))
+
+
+@query(f"SELECT {_MONTH} AS month, event_type, count(*) AS n, count(DISTINCT user_id) AS exact, true AS within FROM events GROUP BY ALL")
+def sketch_distinct(spark, d):
+    """Users by month out of sketches by day, within the error that the sketch states of the exact number."""
+    from .operators import sketches
+
+    month = F.substring("day", 1, 7).alias("month")
+    est = sketches.estimated(sketches.merged(_by_day(spark, d).select(month, "event_type", "n", "distinct_sketch", "value_sketch"), ["month", "event_type"]), [0.5])
+    exact = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.countDistinct("user_id").alias("exact"))
+    both = est.join(exact, ["month", "event_type"])
+    return both.select("month", "event_type", "n", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("exact"))).alias("within"))
+
+
+@query(f"SELECT {_MONTH} AS month, q, true AS within FROM events, (SELECT unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS q) GROUP BY ALL")
+def sketch_quantiles(spark, d):
+    """Quantiles by month out of sketches by day: the share of values below each lies within the stated error."""
+    from .operators import sketches
+
+    asked = [0.1, 0.5, 0.9, 0.99]
+    day = _by_day(spark, d).select(F.substring("day", 1, 7).alias("month"), "n", "distinct_sketch", "value_sketch")
+    est = sketches.estimated(sketches.merged(day, ["month"]), asked)
+    each = est.select("month", F.explode(F.arrays_zip(F.array(*map(F.lit, asked)).alias("q"), F.col("quantiles").alias("v"))).alias("e")).select("month", "e.q", "e.v")
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), "value")
+    rank = e.join(F.broadcast(each), "month").groupBy("month", "q").agg(F.avg((F.col("value") < F.col("v")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("v")).cast("double")).alias("upto"))
+    return rank.select("month", "q", ((F.col("below") <= F.col("q") + sketches.RANK_ERROR) & (F.col("upto") >= F.col("q") - sketches.RANK_ERROR)).alias("within"))
+
+
+@query(f"SELECT {_MONTH} AS month, user_id, count(*) AS exact, true AS within FROM events GROUP BY ALL")
+def sketch_frequencies(spark, d):
+    """How often each user comes in a month, looked up in count-min sketches by day merged by month."""
+    from .operators import sketches
+    from .session import written
+
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM").alias("month"), "user_id")
+    by_day = written(sketches.frequencies(e, ["day"], "user_id"))
+    by_month = sketches.merged_frequencies(by_day.withColumn("month", F.substring("day", 1, 7)), ["month"])
+    exact = e.groupBy("month", "user_id").agg(F.count("*").alias("exact")).withColumn("all", F.sum("exact").over(W.partitionBy("month")))
+    both = sketches.looked_up(by_month, exact, ["month"], "user_id").join(exact, ["month", "user_id"])
+    return both.select("month", "user_id", "exact", ((F.col("estimate") >= F.col("exact")) & (F.col("estimate") <= F.col("exact") + F.ceil(sketches.COUNT_ERROR * F.col("all")))).alias("within"))
+
+
+# ---------------------------------------------------------------- range joins without a guess
+
+
+def _unlike_spans(e):
+    """Sign-ups with spans of very unlike length: most of a minute, some of an hour, a few of half the time there is."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    length = F.when(F.col("event_id") % 50 == 0, 15 * 86_400).when(F.col("event_id") % 7 == 0, 3600).otherwise(60).cast("long") * 1_000_000
+    return e.where("event_type = 'signup'").select(F.col("event_id").alias("span_id"), t.alias("s0"), (t + length).alias("s1"))
+
+
+_SPANS = "(SELECT event_id AS span_id, epoch_us(ts) AS s0, epoch_us(ts) + CASE WHEN event_id % 50 = 0 THEN 15 * 86400 WHEN event_id % 7 = 0 THEN 3600 ELSE 60 END * 1000000::BIGINT AS s1 FROM events WHERE event_type = 'signup')"
+
+
+@query(f"SELECT span_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM {_SPANS} JOIN events ON epoch_us(ts) >= s0 AND epoch_us(ts) < s1 GROUP BY span_id")
+def range_join_points(spark, d):
+    """All events within spans of very unlike length, the cells taken from the data and heavy ones split."""
+    from .plans import joins
+
+    e = table(spark, d, "events")
+    p = e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return joins.contained(p, _unlike_spans(e), "at", "s0", "s1").groupBy("span_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query(f"SELECT a.span_id, count(*) AS n, sum(b.span_id)::BIGINT AS others FROM {_SPANS} a JOIN (SELECT event_id AS span_id, epoch_us(ts) AS s0, epoch_us(ts) + (event_id % 1000) * 1000000::BIGINT AS s1 FROM events WHERE event_type = 'error') b ON a.s0 < b.s1 AND b.s0 < a.s1 AND b.s0 < b.s1 GROUP BY a.span_id")
+def range_join_spans(spark, d):
+    """Spans of very unlike length that overlap others; empty ones overlap nothing."""
+    from .plans import joins
+
+    e = table(spark, d, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    other = e.where("event_type = 'error'").select(F.col("event_id").alias("other"), t.alias("o0"), (t + F.col("event_id") % 1000 * 1_000_000).alias("o1"))
+    return joins.overlapping(_unlike_spans(e), other, ("s0", "s1"), ("o0", "o1")).groupBy("span_id").agg(F.count("*").alias("n"), F.sum("other").alias("others"))
+
+
+# ---------------------------------------------------------------- nested documents
+
+_NESTED = """'{"props": ' || props || ', "who": {"id": ' || user_id || ', "tags": ["' || event_type || '", ' || (event_id % 3) || ', null]}, "ok": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}'"""
+
+
+def _nested(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).when(F.col("event_id") % 13 == 0, F.lit(None)).otherwise(F.expr(_NESTED)).alias("body"))
+
+
+_DOCS = f"(SELECT event_id, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN ({_NESTED})::JSON END AS j FROM events)"
+
+
+@query(f"""
+SELECT event_id, (j->'props'->>'k')::BIGINT AS k, j->'who'->'tags'->>0 AS tag, (j->>'ok')::BOOLEAN AS ok,
+  CASE WHEN event_id % 11 = 0 THEN 'bad JSON' WHEN event_id % 13 = 0 THEN 'missing' END AS problem FROM {_DOCS}""")
+def variant_fields(spark, d):
+    """Documents parsed once and read by several paths; broken and missing ones say so."""
+    from .operators import documents
+
+    v = documents.parsed(_nested(spark, d), "body")
+    return documents.fields(v, "doc", {"k": ("$.props.k", "bigint"), "tag": ("$.who.tags[0]", "string"), "ok": ("$.ok", "boolean")}).select("event_id", "k", "tag", "ok", "problem")
+
+
+@query(f"""
+SELECT event_id, path, kind, value FROM (
+  SELECT event_id, '$.props.k' AS path, 'BIGINT' AS kind, j->'props'->>'k' AS value FROM {_DOCS} UNION ALL SELECT event_id, '$.who.id', 'BIGINT', j->'who'->>'id' FROM {_DOCS}
+  UNION ALL SELECT event_id, '$.who.tags[' || i || ']', CASE i WHEN 0 THEN 'STRING' WHEN 1 THEN 'BIGINT' ELSE 'VOID' END, CASE WHEN i < 2 THEN j->'who'->'tags'->>i::INTEGER ELSE 'null' END FROM {_DOCS}, (SELECT unnest([0, 1, 2]) AS i)
+  UNION ALL SELECT event_id, '$.ok', 'BOOLEAN', j->>'ok' FROM {_DOCS}) WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""")
+def variant_leaves(spark, d):
+    """Every plain value of nested documents, with its path."""
+    from .operators import documents
+
+    return documents.leaves(documents.parsed(_nested(spark, d), "body").where("problem is null"), "doc", ["event_id"], depth=4)
+
+
+_NESTED_CALLS = """'TOOL_CALL: edit_file({"path": "/c/' || conv_id || '", "edits": [{"oldText": "a", "newText": "' || turn || '"}, {"oldText": "b", "newText": "x"}], "dry_run": true})'"""
+
+
+@query("""
+SELECT conv_id, turn, 'edit_file' AS name, '/c/' || conv_id AS path, pos::INTEGER AS edit, CASE pos WHEN 0 THEN 'a' ELSE 'b' END AS old_text, CASE pos WHEN 0 THEN turn::VARCHAR ELSE 'x' END AS new_text
+FROM conversations, (SELECT unnest([0, 1]) AS pos)""")
+def variant_arguments(spark, d):
+    """Tool calls with nested arguments: parsed once as VARIANT, their lists taken apart."""
+    from .operators import documents
+
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_NESTED_CALLS).alias("text"))
+    called = c.select("conv_id", "turn", F.regexp_extract("text", r"TOOL_CALL:\s*(\w+)\(", 1).alias("name"), F.regexp_extract("text", r"(?s)TOOL_CALL:\s*\w+\((\{.*\})\)", 1).alias("args"))
+    v = documents.fields(documents.parsed(called, "args"), "doc", {"path": ("$.path", "string"), "edits": ("$.edits", "variant")})
+    each = documents.members(v, "edits", ["conv_id", "turn", "name", "path"])
+    read = documents.fields(each, "value", {"old_text": ("$.oldText", "string"), "new_text": ("$.newText", "string")})
+    return read.select("conv_id", "turn", "name", "path", F.col("pos").alias("edit"), "old_text", "new_text")
