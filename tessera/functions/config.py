@@ -38,12 +38,13 @@ def render_env(config: DataFrame, templates: Mapping[str, str]) -> DataFrame:
 
 
 def env_lines(entries: DataFrame) -> DataFrame:
-    """KEY=VALUE lines in insertion order, as one sorted partition for a text sink."""
-    return entries.select("ord", F.concat_ws("=", "key", "value").alias("value")).repartition(1).sortWithinPartitions("ord").select("value")
+    """KEY=VALUE lines in insertion order: partitions are ranges of it, each sorted, for a text sink whose files are in the
+    order of their names."""
+    return entries.select("ord", F.concat_ws("=", "key", "value").alias("value")).repartitionByRange("ord").sortWithinPartitions("ord").select("value")
 
 
 def write_env(entries: DataFrame, path: str) -> None:
-    """A folder with one text file of KEY=VALUE lines, in the entries' order."""
+    """A folder with text files of KEY=VALUE lines, in the entries' order by file name and line."""
     env_lines(entries).write.mode("overwrite").text(path)
 
 

@@ -7,6 +7,7 @@ lie in the allowed directories. The store is a folder whose first level are buck
 from __future__ import annotations
 
 import inspect
+import json
 import os
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 from ..plans import sql
 from ..schemas import TOOLS
+from ..session import scratch
 from ..sources import files, objects
 
 _TOOLS: dict[str, Callable] = {}
+#: Rows of a table that go into one message.
+PAGE = 1000
 
 
 def _tool(f: Callable) -> Callable:
@@ -53,8 +57,6 @@ class Toolbox:
 
     def registry(self) -> DataFrame:
         """(name, description, schema, ord) of all tools, the schema of their arguments as JSON."""
-        import json
-
         kinds, rows = {"int": "integer", "bool": "boolean", "Sequence": "array"}, []
         for i, (name, f) in enumerate(_TOOLS.items()):
             args = list(inspect.signature(f).parameters.values())[1:]
@@ -69,6 +71,16 @@ class Toolbox:
             raise KeyError(f"{name} not found")
         return _TOOLS[name](self, **args)
 
+    def page(self, rows: DataFrame) -> str:
+        """A table as a JSON list, if it has PAGE rows at most. A larger one is written to the shared folder, and what comes is
+        an object of its first rows and the place where all of them are."""
+        some = [r[0] for r in rows.limit(PAGE + 1).select(F.to_json(F.struct("*"))).collect()]
+        if len(some) <= PAGE:
+            return f"[{','.join(some)}]"
+        at = scratch(self.spark)
+        rows.write.parquet(at)
+        return f'{{"rows":[{",".join(some[:PAGE])}],"all":{json.dumps(at)}}}'
+
     def run(self, calls: Sequence[tuple[str, Mapping[str, object]]]) -> DataFrame:
         """(pos, name, result) of the calls of one message, in order: the tool's rows as JSON, or what went wrong as text.
         The results are for a message, so they are made one call at a time."""
@@ -76,7 +88,7 @@ class Toolbox:
         for pos, (name, args) in enumerate(calls):
             try:
                 rows = self.call(name, args)
-                row = rows.select(F.struct("*").alias("r")).agg(F.to_json(F.collect_list("r")).alias("result")).first()[0]
+                row = self.page(rows)
             except KeyError as e:
                 row = str(e.args[0])
             except Exception as e:  # noqa: BLE001  a failing tool is an answer for the agent

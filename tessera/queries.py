@@ -174,9 +174,16 @@ def path_containment(spark, d):
     return table(spark, d, "pages").select("page_id", S.within(u, ["http:"]).alias("inside"), S.within(u, ["http"], prefix_only=True).alias("by_prefix"))
 
 
-@query("SELECT unnest(['/data', '/models']) AS path")
+@query("""
+SELECT a.path AS directory, count(*) AS n FROM (SELECT '/data/' || r_name AS path FROM region WHERE r_regionkey % 2 = 0) a
+JOIN customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey ON '/data/' || r_name = a.path GROUP BY a.path""")
 def allowed_directories(spark, d):
-    return files.allowed_directories(spark, ["/data", "/models"])
+    """The directories that are allowed, and how many of the customers' paths lie in each; others are left out."""
+    allowed = [r[0] for r in table(spark, d, "region").where("r_regionkey % 2 = 0").select(F.concat(F.lit("/data/"), "r_name")).collect()]
+    at = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    paths = files.allowed_only(at.select(F.concat_ws("/", F.lit("/data"), "r_name", "n_name", F.col("c_custkey").cast("string")).alias("p")), "p", allowed)
+    n = paths.groupBy(F.substring_index("p", "/", 3).alias("path")).agg(F.count("*").alias("n"))
+    return files.allowed_directories(spark, allowed).join(n, "path").select(F.col("path").alias("directory"), "n")
 
 
 @query("SELECT doc_id, 'train' AS split FROM documents WHERE doc_id % 10 < 8")
@@ -485,9 +492,13 @@ def route_next(spark, d):
 
 
 @query("""
-SELECT * FROM (VALUES ('read', 'read(' || chr(10) || '  path: string (required)' || chr(10) || '  head: unknown' || chr(10) || ')' || chr(10) || 'Description: Reads' || chr(10)), ('list', 'list: Lists' || chr(10))) AS t(name, text)""")
+SELECT 'tool' || p_partkey AS name, CASE WHEN p_size % 4 = 0 THEN 'tool' || p_partkey || ': ' || p_name || chr(10)
+  ELSE 'tool' || p_partkey || '(' || chr(10) || '  path: string (required)' || chr(10) || '  size: ' || CASE p_size % 4 WHEN 1 THEN 'integer' ELSE 'unknown' END || chr(10) || ')' || chr(10) || 'Description: ' || p_name || chr(10) END AS text FROM part""")
 def tool_schema_text(spark, d):
-    t = spark.sql("""SELECT * FROM VALUES ('read', 'Reads', '{"properties": {"path": {"type": "string"}, "head": {}}, "required": ["path"]}'), ('list', 'Lists', NULL) AS t(name, description, schema)""")
+    """A tool of each part: its arguments, types and whether they are required, as text; some have no schema."""
+    kind = F.when(F.col("p_size") % 4 == 1, '{"type": "integer"}').otherwise("{}")
+    schema = F.concat(F.lit('{"properties": {"path": {"type": "string"}, "size": '), kind, F.lit('}, "required": ["path"]}'))
+    t = table(spark, d, "part").select(F.concat(F.lit("tool"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_name").alias("description"), F.when(F.col("p_size") % 4 != 0, schema).alias("schema"))
     return agents.schema_text(t)
 
 

@@ -557,3 +557,85 @@ def variant_arguments(spark, d):
     each = documents.members(v, "edits", ["conv_id", "turn", "name", "path"])
     read = documents.fields(each, "value", {"old_text": ("$.oldText", "string"), "new_text": ("$.newText", "string")})
     return read.select("conv_id", "turn", "name", "path", F.col("pos").alias("edit"), "old_text", "new_text")
+
+
+# ---------------------------------------------------------------- pictures that are tensors, configuration, directories
+
+
+@query("""
+SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: CASE WHEN vec_id % 2 = 0 THEN (abs(v::DOUBLE) - 0.5) / 0.5 ELSE (floor(abs(v::DOUBLE) * 400) % 256 / 255 - 0.5) / 0.5 END)), 3) AS total FROM embeddings""")
+def tensor_variant(spark, d):
+    """Pictures of two kinds in one column: 8-bit values are scaled and normalised, tensors normalised only."""
+    from .operators import vectors
+
+    tensor = F.col("vec_id") % 2 == 0
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    px = F.when(tensor, v).otherwise(F.transform(v, lambda x: F.floor(x * 400) % 256 + F.lit(0.0)))
+    out = table(spark, d, "embeddings").select("vec_id", vectors.prepared(px, tensor).alias("p"))
+    return out.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query("SELECT r_regionkey::BIGINT AS key, 'https://chat.' || lower(r_name) || '.example/v1' AS url, '' AS token, count(*) AS members FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def config_file(spark, d):
+    """A nested configuration file made of the tables and read back; entries that are missing are empty."""
+    from .functions import config
+    from .sources import sink
+
+    root = scratch(spark)
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("members"))
+    entry = F.struct(F.col("r_regionkey").alias("key"), F.struct(F.concat(F.lit("chat."), F.lower("r_name"), F.lit(".example")).alias("host"), F.lit(None).cast("string").alias("token")).alias("model"), "members")
+    one = table(spark, d, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey")).agg(F.to_json(F.struct(F.collect_list(entry).alias("regions")), {"ignoreNullFields": "false"}).alias("content"))
+    sink.write_objects(one.withColumn("name", F.lit("config.json")), root)
+    read = config.load_config(spark, f"{root}/config.json").select(F.explode("regions").alias("r"))
+    rows = dict(config.render({"url": "https://{r.model.host}/v1", "token": "{r.model.token?}"}))
+    return read.select(F.col("r.key").alias("key"), rows["url"].alias("url"), rows["token"].alias("token"), F.col("r.members").alias("members"))
+
+
+_ENV = [
+    ("DOMAIN", "{p_name}", "p_name"),
+    ("TRACE_ENDPOINT", "https://trace.{p_name}", "'https://trace.' || p_name"),
+    ("TRACE_COLLECTOR", "http://collector.svc.local:4317", "'http://collector.svc.local:4317'"),
+    ("TRACE_KEY", "{p_none?}", "''"),
+    ("SPACE", "{p_brand}", "p_brand"),
+    ("RAILS_CONFIG", "{p_size}", "p_size::VARCHAR"),
+    ("RAILS_BASE", "https://rails.{p_name}/v1/rail", "'https://rails.' || p_name || '/v1/rail'"),
+    *[
+        (f"{which}_{key}", template.replace("{id}", at), sql.replace("{id}", at))
+        for which, at in (("MAIN", "p_type"), ("RAIL", "p_name"))
+        for key, template, sql in (
+            ("ENGINE", "engine", "'engine'"),
+            ("ID", "{{id}}", "{id}"),
+            ("URL", "{p_none?}", "''"),
+            ("TOKEN", "{p_none?}", "''"),
+            ("NAME", "{{id}|sanitize}", "regexp_replace({id}, '[^A-Za-z0-9]', '_', 'g')"),
+            ("DEPLOYMENT", "{p_brand|upper}_{{id}|sanitize|upper}", "upper(p_brand || '_' || regexp_replace({id}, '[^A-Za-z0-9]', '_', 'g'))"),
+        )
+    ],
+    ("PROXY_URL", "https://proxy.{p_name}/v1", "'https://proxy.' || p_name || '/v1'"),
+    ("DEPLOY_URL", "https://deploy.{p_name}/v1/deployment", "'https://deploy.' || p_name || '/v1/deployment'"),
+    ("TABLES_SERVER", "https://tables.{p_name}/mcp", "'https://tables.' || p_name || '/mcp'"),
+    ("FILES_SERVER", "https://files.{p_name}/mcp", "'https://files.' || p_name || '/mcp'"),
+    ("OBJECTS_SERVER", "https://objects.{p_name}/mcp", "'https://objects.' || p_name || '/mcp'"),
+]
+
+
+@query(f"SELECT p_partkey, unnest(range(0, {len(_ENV)}))::INTEGER AS ord, unnest([{', '.join(repr(k) for k, _, _ in _ENV)}]) AS key, unnest([{', '.join(s for _, _, s in _ENV)}]) AS value FROM part")
+def render_environment(spark, d):
+    """A whole environment of two dozen entries for each part: domains, optional entries, two models with cleaned names."""
+    from .functions import config
+
+    p = table(spark, d, "part").withColumn("p_none", F.lit(None).cast("string"))
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("key"), v.alias("value")) for i, (k, v) in enumerate(config.render({k: t for k, t, _ in _ENV}))])
+    return p.select("p_partkey", F.explode(rows).alias("e")).select("p_partkey", "e.*")
+
+
+@query("SELECT r_name || '/' || n_name AS path, 'directory' AS type FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'directory' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def create_directories(spark, d):
+    """Directories made by the executors, some of them asked for twice, and what is there then."""
+    from .sources import files
+
+    root = scratch(spark)
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", F.lit(root), "r_name", "n_name").alias("path"))
+    made = files.create_directories(n.unionByName(n), "path")
+    made.write.format("noop").mode("overwrite").save()
+    return files.directory_tree(spark, root, max_depth=3).select(F.substr("path", F.lit(len(root) + 2)).alias("path"), "type")

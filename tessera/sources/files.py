@@ -311,6 +311,22 @@ def create_directory(path: str) -> None:
     os.makedirs(path, exist_ok=True)
 
 
+def create_directories(df: DataFrame, path: str) -> DataFrame:
+    """(path, created) for each of the paths in a column: the executors make the directories and those above them; created is
+    false for one that was there or that another row made."""
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for p in b.column(0).to_pylist():
+                there = os.path.isdir(p)
+                os.makedirs(p, exist_ok=True)
+                made.append(not there)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.bool_())], ["path", "created"])
+
+    return df.select(F.col(path).alias("path")).where("path is not null").mapInArrow(run, "path string, created boolean")
+
+
 def move_file(source: str, destination: str) -> None:
     """Rename a file or directory, with the directories above the new place; a file that is there is replaced."""
     os.makedirs(os.path.dirname(os.path.abspath(destination)), exist_ok=True)

@@ -19,7 +19,7 @@ def snapshot_keys(configs: DataFrame, order: list[str], name_pattern: str = NAME
 def _rebuild(snapshot, target: str, version: int, order: list[str], name_pattern: str, selector: str | None) -> None:
     keys = snapshot_keys(snapshot(), order, name_pattern, selector)
     if not keys.isEmpty():
-        keys.coalesce(1).write.mode("overwrite").parquet(f"{target}/version={version:012d}")
+        keys.repartitionByRange("env_name").write.mode("overwrite").parquet(f"{target}/version={version:012d}")
 
 
 def sync_keys(
