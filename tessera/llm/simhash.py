@@ -228,6 +228,8 @@ PARITY, LONG, LOOSE = 256, 360, 77
 #: Texts that are looked at for common shingles, and in how many of them a shingle has to be. Buckets of so many members are
 #: compared all at once.
 SAMPLE, COMMON, FEW = 20_000, 20, 16
+#: Members of a large bucket that are asked before it is compared block by block.
+BLOCK = 64
 #: Elements that are compared in one task, nodes that shares of larger groups have in common, and larger groups up to which
 #: their list is sent to every executor.
 TOGETHER, PIVOTS, FEW_LARGE = 250_000, 16, 50_000
@@ -308,8 +310,27 @@ def maybe_alike(size: np.ndarray, marks: np.ndarray, other_size: np.ndarray, oth
     return near & (bits * (UNDER + OVER) <= (a + b) * (UNDER - OVER)) & ((np.minimum(a, b) < LONG) | (agree >= LOOSE))
 
 
+def needed(a, b):
+    """How many shingles sets of a and b of them have in common at OVER / UNDER."""
+    return -(-OVER * (a + b) // (OVER + UNDER))
+
+
+def may_meet(size: np.ndarray, place: np.ndarray, i, j) -> np.ndarray:
+    """Whether texts i and j may be alike and meet by a shingle at these places of theirs, counted from 0 in the order of
+    prefixes. Of two alike texts of a and b shingles the first a - needed + 1 of one and b - needed + 1 of the other share
+    one; so they meet by some shingle of which this is true, and texts that hang on a pattern's shingles alone don't."""
+    a, b = size[i], size[j]
+    least = needed(a, b)
+    return (place[i] <= a - least) & (place[j] <= b - least)
+
+
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(shingle, node): prefix shingles that several nodes have; those of one node alone can't link it."""
+    """(shingle, node, place) of nodes (node, n, prefix): prefix shingles by which nodes may meet.
+
+    A node may meet one that is no smaller by its first shingles only, a ninth of them; by the rest of its prefix it can only
+    be met, by smaller ones. A shingle's rows come sorted, those of the first kind in front, so one pass that holds the range of
+    their sizes tells which of the others can be met. A shingle that very many prefixes share, none of them in front, is
+    let go of as it streams by."""
 
     def copied(batches):
         import pyarrow as pa
@@ -317,26 +338,42 @@ def _shared(nodes: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 2_000):
                 part = b.slice(k, 2_000)
-                held = part.column(1).to_pylist()
-                take = pa.array(np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), part.column(0).take(take)], ["shingle", "node"])
+                held = part.column(2).to_pylist()
+                length = np.array([len(x) // 8 for x in held], np.int64)
+                row = np.repeat(np.arange(len(held)), length)
+                place = np.arange(len(row)) - (np.cumsum(length) - length)[row]
+                n = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                met = place > n - needed(n, n)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), part.column(0).take(take), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(met)], ["shingle", "node", "n", "place", "met"])
 
     def several(batches):
         import pyarrow as pa
 
-        for now, starts, ends, large in sorted_groups(batches, 2, MANY):
-            use = ends - starts > 1
-            keep = np.zeros(len(now[0]) + 1, np.int64)
-            np.add.at(keep, starts[use], 1)
-            np.add.at(keep, ends[use], -1)
-            keep = np.cumsum(keep[:-1]) > 0
+        least, most, of = 1 << 40, -1, None
+        for now, starts, ends, large in sorted_groups(batches, 5, MANY):
+            n, met = now[2].astype(np.int64), now[4].astype(bool)
+            keep = np.zeros(len(n), bool)
+            if len(starts):
+                low = np.minimum.reduceat(np.append(np.where(met, 1 << 40, n), 0), np.stack([starts, ends], 1).ravel())[::2]
+                high = np.maximum.reduceat(np.append(np.where(met, -1, n), 0), np.stack([starts, ends], 1).ravel())[::2]
+                size = ends - starts
+                use = (size > 1) & (high >= 0)
+                at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                low, high, use = (np.repeat(x, size) for x in (low, high, use))
+                keep[at] = use & (~met[at] | ((n[at] >= low) & (OVER * n[at] <= UNDER * high)))
             for s, e in large:
-                keep[s:e] = True
+                if now[0][s] != of:
+                    least, most, of = 1 << 40, -1, now[0][s]
+                front = n[s:e][~met[s:e]]
+                if len(front):
+                    least, most = min(least, int(front.min())), max(most, int(front.max()))
+                keep[s:e] = ~met[s:e] | ((n[s:e] >= least) & (OVER * n[s:e] <= UNDER * most))
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in now], ["shingle", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(now[i][keep]) for i in (0, 1, 3)], ["shingle", "node", "place"])
 
-    spread = map_arrow(nodes.select("node", "prefix"), copied, "shingle long, node long")
-    return map_arrow(spread.repartition("shingle").sortWithinPartitions("shingle"), several, "shingle long, node long")
+    spread = map_arrow(nodes.select("node", "n", "prefix"), copied, "shingle long, node long, n int, place int, met boolean")
+    return map_arrow(spread.repartition("shingle").sortWithinPartitions("shingle", "met"), several, "shingle long, node long, place int")
 
 
 def _marked(batches, columns: int):
@@ -346,49 +383,165 @@ def _marked(batches, columns: int):
         yield [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(columns - 1)), raw]
 
 
+def _meeting(size: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """The members of a bucket that may meet any other, in parts between which none may; sizes and places alone decide, so
+    however many members are alike in both, they are judged once."""
+    kind, of, count = np.unique(size << 32 | place, return_inverse=True, return_counts=True)
+    n, at = kind >> 32, kind & 0xFFFFFFFF
+    label, some = np.arange(len(kind)), np.zeros(len(kind), bool)
+    for i in range(len(kind)):
+        last = int(np.searchsorted(n, UNDER * n[i] // OVER, side="right"))
+        j = np.arange(i, last)
+        j = j[may_meet(n, at, i, j)]
+        if count[i] == 1:
+            j = j[j > i]
+        if len(j):
+            some[i] = some[j] = True
+            found = np.unique(label[np.append(j, i)])
+            label[np.isin(label, found)] = found[0]
+    part = np.where(some, label, -1)[of]
+    return [np.flatnonzero(part == x) for x in np.unique(part[part >= 0])]
+
+
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """rows (shingle long, node long, n int, marks binary) to (u, v): pairs that share a shingle and may be alike, enough of
-    them to keep together what hangs together by such pairs; in buckets of up to FEW members all of them."""
+    """rows (shingle long, node long, place int, n int, marks binary) to (u, v): pairs that meet by a shingle (``may_meet``) and
+    may be alike, enough of them to keep together what hangs together by such pairs; in buckets of up to FEW members all
+    of them.
 
-    def compared(batches):
-        import pyarrow as pa
+    Larger buckets are first parted by what may meet at all. Parts of more than MANY members, in which asking BLOCK of them
+    hasn't left few, are compared block by block in a second stage, so a task compares MANY members with MANY others."""
 
-        rest = None
-        for now in then_none(_marked(batches, 4)):
+    def closed(batches):
+        """Whole buckets: the pieces of one that goes on are put together once, when it ends."""
+        open_: list[list[np.ndarray]] = []
+        for now in then_none(_marked(batches, 5)):
             if now is not None and not len(now[0]):
                 continue
-            end = now is None
-            if rest is None and end:
+            if now is None:
+                if open_:
+                    yield [np.concatenate(x) for x in zip(*open_)]
                 return
-            if rest is not None:
-                now = rest if end else [np.concatenate(x) for x in zip(rest, now)]
-            key = now[0]
+            last = int(np.flatnonzero(np.append(True, now[0][1:] != now[0][:-1]))[-1])
+            if open_ and now[0][0] != open_[0][0][0]:
+                yield [np.concatenate(x) for x in zip(*open_)]
+                open_ = []
+            if last or not open_:
+                if last:
+                    whole = [x[:last] for x in now]
+                    yield [np.concatenate(x) for x in zip(*open_, whole)] if open_ else whole
+                open_ = [[x[last:] for x in now]]
+            else:
+                open_.append(now)
+
+    def compared(batches):
+        import pyarrow as pa
+
+        for key, node, place, size, marks in closed(batches):
+            size, place = size.astype(np.int64), place.astype(np.int64)
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            last = len(key) if end else int(starts[-1])
-            rest = [x[last:] for x in now]
             ends = np.append(starts[1:], len(key))
-            starts, ends = starts[ends <= last], ends[ends <= last]
-            _, node, size, marks = now
-            size = size.astype(np.int64)
             few = ends - starts <= FEW
-            until = np.zeros(len(key), np.int64)  # of members of small buckets: where the bucket ends
-            until[:last] = np.repeat(np.where(few, ends, 0), ends - starts)
+            until = np.repeat(np.where(few, ends, 0), ends - starts)  # of members of small buckets: where the bucket ends
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, FEW):
                 i = np.flatnonzero(np.arange(len(key)) + d < until)
                 for k in range(0, len(i), 1 << 18):
                     x = i[k : k + (1 << 18)]
+                    x = x[may_meet(size, place, x, x + d)]
                     x = x[maybe_alike(size, marks, size, marks, x, x + d)]
                     us.append(node[x])
                     vs.append(node[x + d])
+            again: list[np.ndarray] = []
             for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
-                sz, mk, own = size[s:e], marks[s:e], node[s:e]
-                pairs = forest(e - s, lambda i: np.flatnonzero(maybe_alike(sz, mk, sz, mk, i, slice(None))))
-                us.append(own[[a for a, _ in pairs]] if pairs else us[0])
-                vs.append(own[[b for _, b in pairs]] if pairs else vs[0])
+                for part in _meeting(size[s:e], place[s:e]):
+                    at = s + part
+                    pairs, left = _hanging(size[at], place[at], marks[at], MANY, BLOCK)
+                    us.append(node[at[pairs[:, 0]]])
+                    vs.append(node[at[pairs[:, 1]]])
+                    if len(left):
+                        ask = np.zeros(len(at), bool)
+                        ask[left] = True
+                        again += _blocks(int(key[s]) ^ int(part[0]) * 0x9E3779B9, at, ask, MANY)
+            pair = _pairs(np.concatenate(us), np.concatenate(vs))
+            yield pa.RecordBatch.from_arrays([*pair.columns, *(pa.nulls(pair.num_rows, t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()))], _AGAIN)
+            for block, at, ask in again:
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[at]), pa.nulls(n, pa.int64()), pa.array(np.full(n, block)), pa.array(ask), pa.array(place[at].astype(np.int32)), pa.array(size[at].astype(np.int32)), pa.array([m.tobytes() for m in marks[at]], pa.binary())],
+                    _AGAIN,
+                )
+
+    def blocks(batches):
+        def at(held):
+            import pyarrow as pa
+
+            t = pa.Table.from_batches(held)
+            node, ask, place, size = (t.column(c).to_numpy() for c in ("u", "ask", "place", "n"))
+            marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
+            size, place, ask = size.astype(np.int64), place.astype(np.int64), ask.astype(bool)
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            label = np.arange(len(node))
+            for i in np.flatnonzero(ask).tolist():
+                met = _near(size, place, marks, i)
+                roots, first = np.unique(label[met], return_index=True)
+                other = roots != label[i]
+                vs.append(node[met[first[other]]])
+                us.append(np.full(len(vs[-1]), node[i]))
+                if other.any():
+                    label[np.isin(label, roots)] = min(int(roots[0]), int(label[i]))
             yield _pairs(np.concatenate(us), np.concatenate(vs))
 
-    return map_arrow(rows.repartition("shingle").sortWithinPartitions("shingle", "node"), compared, "u long, v long").distinct()
+        yield from one_group_at_a_time(batches, "block", at)
+
+    found = stored(map_arrow(rows.repartition("shingle").sortWithinPartitions("shingle", "node"), compared, "u long, v long, block long, ask boolean, place int, n int, marks binary"))
+    more = found.where("block is not null").select("block", "u", "ask", "place", "n", "marks")
+    more = map_arrow(more.repartition("block").sortWithinPartitions("block"), blocks, "u long, v long")
+    return found.where("block is null").select("u", "v").unionByName(more).distinct()
+
+
+_AGAIN = ["u", "v", "block", "ask", "place", "n", "marks"]
+
+
+def _near(size: np.ndarray, place: np.ndarray, marks: np.ndarray, i: int) -> np.ndarray:
+    """The members that member i meets and may be like."""
+    met = np.flatnonzero(may_meet(size, place, i, slice(None)))
+    return met[maybe_alike(size, marks, size, marks, i, met)]
+
+
+def _hanging(size: np.ndarray, place: np.ndarray, marks: np.ndarray, many: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(links, left) of a part of a bucket: links keep together what hangs together but for what the members left, none if
+    the part has up to many, would still add, which as many as first have been asked for."""
+    n = len(size)
+    if n <= many:
+        return np.array(forest(n, lambda i: _near(size, place, marks, i)), np.int64).reshape(-1, 2), np.zeros(0, np.int64)
+    label, asked, links = np.arange(n), np.zeros(n, bool), []
+    for _ in range(first):
+        counts = np.bincount(label, minlength=n)
+        main = counts.argmax() if asked.any() else -1
+        left = np.flatnonzero(~asked & (label != main))
+        if not len(left):
+            break
+        i = int(left[len(left) // 2])
+        asked[i] = True
+        met = _near(size, place, marks, i)
+        roots, first = np.unique(label[met], return_index=True)
+        other = roots != label[i]
+        links += [(i, int(x)) for x in met[first[other]]]
+        if other.any():
+            label[np.isin(label, roots)] = min(int(roots[0]), int(label[i]))
+    return np.array(links, np.int64).reshape(-1, 2), np.flatnonzero(~asked & (label != np.bincount(label, minlength=n).argmax()))
+
+
+def _blocks(salt: int, at: np.ndarray, ask: np.ndarray, many: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, members, which of them are asked): every member to be asked meets every other member once."""
+    asked, out = np.flatnonzero(ask), []
+    for i in range(0, len(asked), many):
+        for j in range(0, len(at), many):
+            mine = asked[i : i + many]
+            others = np.setdiff1d(np.arange(j, min(j + many, len(at))), mine)
+            both = np.concatenate([mine, others])
+            out.append(((salt + i * 1_000_003 + j) & 0x7FFFFFFFFFFFFFFF, at[both], np.arange(len(both)) < len(mine)))
+    return out
 
 
 def _pairs(u: np.ndarray, v: np.ndarray):
@@ -529,7 +682,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
     Null texts and those without words are one group. The rows are numbered and written to the shared folder; one join
-    by number takes the rows that stay. Of a shingle that very many prefixes share, a task holds 108 bytes a node.
+    by number takes the rows that stay. Of a shingle by which very many texts meet, a task holds 112 bytes a node.
     """
     number, plain = "_tessera_row", list(docs.columns)
     text, key = plain.index(text_col), f"c{plain.index(id_col)}"
@@ -549,7 +702,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col(number).alias("c"))).alias("_first")
     rest = [F.first(c).alias(c) for c in ("marks", "prefix")]
     own = stored(sets.groupBy("digest", "n").agg(first, *rest).withColumn("node", F.monotonically_increasing_id()))
-    rows = stored(_shared(own).join(own.select("node", "n", "marks"), "node").select("shingle", "node", "n", "marks"))
+    rows = stored(_shared(own).join(own.select("node", "n", "marks"), "node").select("shingle", "node", "place", "n", "marks"))
     pairs = stored(bucket_pairs(rows))
     nodes = own.select("node", F.col("n").cast("long").alias("n"), F.col("_first.c").alias("number"))
     parts = verified(pairs, nodes, base.select(F.col(number).alias("number"), F.col(f"c{text}").alias("text")))

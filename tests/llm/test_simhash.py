@@ -195,3 +195,39 @@ def test_groups_at_the_edge_of_the_similarity(spark, monkeypatch, few, together)
     assert 0.05 < np.mean(near) < 0.9
     want = remaining(texts)
     assert 6 < len(want) < 200 and kept(spark, texts) == want
+
+
+def test_texts_meet_by_some_shingle_of_the_front():
+    """The rule of who meets loses no pair: over sets of any sizes at and above 0.8."""
+    r = np.random.default_rng(4)
+    for _ in range(3000):
+        a = int(r.integers(1, 60))
+        common = int(r.integers(0, a + 1))
+        b = common + int(r.integers(0, 30))
+        if not b or 9 * common < 4 * (a + b):
+            continue
+        order = r.permutation(a + b - common)
+        x, y = np.sort(order[:a]), np.sort(np.concatenate([order[:common], order[a:]]))
+        shared = np.intersect1d(x, y)
+        i, j = np.searchsorted(x, shared), np.searchsorted(y, shared)
+        meets = [X.may_meet(np.array([a, b]), np.array([p, q]), 0, 1) for p, q in zip(i.tolist(), j.tolist())]
+        assert any(meets)
+
+
+@pytest.mark.parametrize("many", [2048, 20])
+def test_a_hot_shingle_of_texts_that_are_not_alike(spark, monkeypatch, many):
+    """Messages of one pattern, of several lengths, so all prefixes hold a shingle of the pattern; and a large bucket of texts
+    of which some are alike, compared block by block."""
+    monkeypatch.setattr(X, "MANY", many)
+    monkeypatch.setattr(X, "BLOCK", 3)
+    r = random.Random(7)
+    words = [f"{x}{i}" for i, x in enumerate(prose(3, 60))]
+    texts = [f"your order has been shipped and will arrive at the door a{i:03d}x" for i in range(400)]
+    texts += [f"your order has been shipped and will arrive at the door b{i}x c{i}y" for i in range(100)]
+    for i in range(300):  # a common middle, a ninth or more of each text its own
+        v = words[: r.choice([40, 45, 50])]
+        for p in r.sample(range(len(v)), r.choice([0, 1, 1, 2])):
+            v[p] = f"z{i}y{p}"
+        texts.append(" ".join(v))
+    r.shuffle(texts)
+    assert kept(spark, texts) == remaining(texts)
