@@ -28,6 +28,8 @@ WIDE = 3
 #: Rows of templates, their bands or the windows found up to which they are sent to every executor; beyond, Spark joins
 #: them as any table.
 FEW = 200_000
+#: Shingles of a text that are handled together when its windows are signed.
+PIECE = 2048
 
 # Notices as the licenses' publishers word them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -153,8 +155,9 @@ def scan_licenses(
 
     One pass hashes every shingle of every text and joins them with the templates' own, which tells the windows that can
     hold anything; they are written to the shared folder. A second pass signs these windows of the texts that have any.
-    Templates and windows are broadcast behind a count of their rows, and joined by shuffles beyond FEW of them; the texts
-    are never sent more than once.
+    Templates and windows are broadcast behind a count of their rows or windows, and joined by shuffles beyond FEW of them;
+    the texts are never sent more than once. A text is cut into pieces once, and a window takes its shingles from its piece, so
+    the work is linear in a text's length however many licenses it names.
     """
     spark = docs.sparkSession
     lengths = {t: len(words_in(t)) for _, t in templates}
@@ -170,13 +173,20 @@ def scan_licenses(
     starts = F.array(*[F.floor(F.col("i") / F.col("n")) - j for j in range(WIDE)])
     inside = F.filter(starts, lambda k: (k >= 0) & (F.col("i") + SHINGLE <= (k + WIDE) * F.col("n")))
     hits = each.join(own, "shingle").select("_id", "n", F.explode(inside).alias("k")).distinct()
-    at = stored(hits.groupBy("_id").agg(F.collect_list(F.struct("n", "k")).alias("at")).withColumnRenamed("_id", "_at"))
-
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(few(at, at.count()), F.expr("_id <=> _at"))
-    windows = texts.select("_id", _once(_words(F.col("_t")), _shingles).alias("s"), F.explode("at").alias("w")).select("_id", "s", "w.n", "w.k")
-    win = F.expr(f"slice(s, cast(k * n + 1 as int), cast({WIDE} * n - {SHINGLE - 1} as int))")
-    banded = windows.where(F.col("k") * F.col("n") < F.size("s")).select("_id", "n", (F.col("k") * F.col("n")).alias("first"), win.alias("win"))
-    banded = banded.select("_id", "n", "first", "win", F.posexplode_outer(_bands(F.col("win"), n_bands)).alias("band", "least"))
+    # Texts are cut into pieces of PIECE shingles and as many more as a window that begins there can hold, once.
+    widest = WIDE * max(lengths.values())
+    at = stored(hits.withColumn("piece", F.floor(F.col("k") * F.col("n") / PIECE)).groupBy("_id", "piece").agg(F.collect_list(F.struct("n", "k")).alias("at")).withColumnsRenamed({"_id": "_at", "piece": "_piece"}))
+    n_at, ids = at.agg(F.sum(F.size("at"))).first()[0] or 0, at.select("_at").distinct()
+
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(few(ids, n_at), F.expr("_id <=> _at")).drop("_at")
+    count = lambda s: F.sequence(F.lit(0), F.floor(F.greatest(F.size(s) - 1, F.lit(0)) / PIECE).cast("int"))
+    cut = F.posexplode(_once(_once(_words(F.col("_t")), _shingles), lambda s: F.transform(count(s), lambda j: F.slice(s, j * PIECE + 1, F.lit(PIECE + widest)))))
+    pieces = texts.select("_id", cut.alias("piece", "s")).join(few(at, n_at), F.expr("_id <=> _at AND piece = _piece"))
+    first = lambda w: w["k"] * w["n"]
+    within = F.filter("at", lambda w: first(w) - F.col("piece") * PIECE < F.size("s"))
+    made = F.transform(within, lambda w: F.struct(w["n"].alias("n"), first(w).alias("first"), F.slice("s", (first(w) - F.col("piece") * PIECE + 1).cast("int"), (WIDE * w["n"] - (SHINGLE - 1)).cast("int")).alias("win")))
+    windows = pieces.select("_id", F.explode(made).alias("w")).select("_id", "w.n", "w.first", "w.win")
+    banded = windows.select("_id", "n", "first", "win", F.posexplode_outer(_bands(F.col("win"), n_bands)).alias("band", "least"))
 
     keyed = table.select("license", "n", "t_shingles", F.posexplode_outer("t_bands").alias("band", "least"))
     share = F.size(F.array_intersect("win", "t_shingles")) / F.size("t_shingles")

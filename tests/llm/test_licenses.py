@@ -43,6 +43,14 @@ def test_table(spark, monkeypatch):
     assert {(300, "MIT"), (301, "MIT"), (302, "Apache-2.0"), (302, "CC-BY-NC-4.0"), (None, "MIT")} <= {x[:2] for x in got}
 
 
+def test_one_text_of_many_licenses(spark, monkeypatch):
+    """Windows that begin in any piece of a text, and across the ends of pieces; time grows with the text."""
+    monkeypatch.setattr(X, "PIECE", 64)
+    body = " ".join(f"{' '.join(f'w{i}x{j}' for j in range(i % 40))} {X.TEMPLATES[i % len(X.TEMPLATES)][1]}" for i in range(60))
+    rows = [(1, body), (2, " ".join(["filler"] * 500)), (1, "the same id: " + X.TEMPLATES[3][1])]
+    assert {tuple(r) for r in X.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
 def test_native_plan(spark):
     plan = X.scan_licenses(awkward(spark)[0])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
