@@ -8,6 +8,8 @@ pairs of groups are differences of vectors. Ids keep the UTF-8 order, which sett
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,7 +206,11 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, per_
     ship(spark)
     made = dealt.groupBy("lang", "chunk", "a", "b").applyInArrow(lambda t: compare_chunk(t, top, per_block), "lang string, source string, part string, item string, value long")
     value = made.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    ranked = value.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
+    # Every chunk gives its best terms, so the best of all are found in two steps: first of some of the chunks' terms.
+    heats = max(1, math.isqrt(max(1, int(total or 0) // each)))
+    best = Window.partitionBy("lang", "source", "part", F.pmod(F.xxhash64("item"), F.lit(heats))).orderBy(F.desc("value"), "item")
+    some = value.withColumn("rank", F.row_number().over(best)).where((F.col("part") == "pair") | (F.col("rank") <= top))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
     return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
 
 
