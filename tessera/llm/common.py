@@ -60,16 +60,23 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext.__dict__.setdefault("_tessera_stored", []).append(path)
+    stored_paths(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written in this application; frames built on it can't be used any more."""
+def stored_paths(spark: SparkSession) -> list[str]:
+    """What ``stored`` has written in this application and nobody has deleted, the latest last."""
+    return spark.sparkContext.__dict__.setdefault("_tessera_stored", [])
+
+
+def drop_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete what ``stored`` has written in this application, or some of it; frames built on it can't be used any more."""
     jvm, sc = spark._jvm, spark.sparkContext
-    for path in sc.__dict__.pop("_tessera_stored", []):
+    every = stored_paths(spark)
+    for path in list(every if paths is None else paths):
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        every.remove(path)
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:

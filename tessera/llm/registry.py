@@ -34,9 +34,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import secret_digest
+    from .secrets import labelled_samples, ordinary_words, secret_digest
 
-    return secret_digest(read(spark, sf_dir))
+    docs = read(spark, sf_dir)
+    return secret_digest(docs, labelled_samples() + ordinary_words(docs, read(spark, sf_dir, "labels")))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,24 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     return out
 
 
+#: Labelled texts whose words are ordinary samples, and words of them, at most.
+TEXTS, FROM_TEXTS = 400, 2000
+
+
+def ordinary_words(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, words: int = FROM_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """Labelled strings, all of them 0, from the corpus itself: words of five or more ASCII letters out of texts that labels
+    mark as good, so that what its languages look like isn't taken for random. Up to ``texts`` of these and ``words``
+    occurrences of words, both by a hash, the same again for the same tables; only those reach the driver. Without good labels
+    there are none. Words of more than 64 letters are no samples."""
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("i")).where("i is not null").distinct()
+    ids = [r[0] for r in good.orderBy(F.xxhash64("i"), "i").limit(texts).collect()]
+    if not ids:
+        return []
+    some = docs.where(F.col(f"`{id_col}`").isin(ids)).select(F.col(f"`{id_col}`").alias("i"), F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"(?<![A-Za-z])[A-Za-z]{5,64}(?![A-Za-z])"), F.lit(0)).alias("w"))
+    each = some.select("i", F.posexplode("w").alias("k", "word"))
+    return [(r.word, 0) for r in each.orderBy(F.xxhash64("i", "k"), "i", "k", "word").limit(words).collect()]
+
+
 class Markov:
     """Log probabilities of each character after the one before, add-one smoothed."""
 
@@ -302,7 +320,7 @@ def replaced(text: str, spans: list[Span], by: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def secret_digest(docs: DataFrame) -> DataFrame:
+def secret_digest(docs: DataFrame, samples: Sequence[tuple[str, int]] | None = None) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random; see ``scan_secrets``.
 
     A list of spans is written kind:start:end, comma-joined; base_sha256 is over the base spans only.
@@ -310,7 +328,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     of = lambda name: F.filter("found", lambda s: s["kind"] == name)
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     n = lambda name: F.size(of(name)).cast("long").alias(f"n_{name}")
-    return scan_secrets(docs).select(
+    return scan_secrets(docs, samples).select(
         "doc_id",
         n("assign"),
         n("access"),

@@ -203,6 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints are copied to anchors, only a forest of links leaves an anchor, and components are joins.
     """
     keep = [c for c in keep if c != id_col]
+    if clash := {"fp", "component_id"} & {id_col, *keep}:
+        raise ValueError(f"{clash} are columns of the result")
     base = stored(fingerprints(docs, [id_col, *keep], text_col, words))
     own = stored(base.groupBy("fp").agg(F.min(id_col).alias("_least")))
     by = own.join(_roots(own.select("fp"), threshold), "fp")

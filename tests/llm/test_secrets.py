@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -127,3 +129,56 @@ def test_long_texts_take_time_in_proportion():
         base = X.base_spans(text)
         assert len(text) > 7_000_000 and len(base) + len(X.random_spans(text, base, judge, X.MARGIN)) >= least
         assert time.perf_counter() - began < 60
+
+
+#: Ordinary words of several languages, none of them among the samples.
+FOREIGN = (
+    "Geschwindigkeitsbegrenzung Donaudampfschifffahrtsgesellschaft Staatsangehoerigkeit anticonstitutionnellement electroencefalografista hottentottententententoonstelling "
+    "nieprawdopodobienstwo Przedsiebiorstwo-Produkcyjno przeciwdzialanie-bezrobociu srpskohrvatski-bosanski tietokoneohjelma lentokonesuihkuturbiinimoottori desenvolvimento-sustentavel "
+    "responsabilidades internationalization linux-gnu/libstdc++ kubernetes-dashboard megszentsegtelenithetetlensegeskedeseitekert samochodowy_kierowca"
+).split()
+
+
+def test_precision_with_words_of_labelled_texts(spark):
+    """What the corpus' own good texts look like isn't random, nor are ordinary words of other languages; random strings are."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    words = X.ordinary_words(docs, labels)
+    assert 500 < len(words) <= X.FROM_TEXTS and words == X.ordinary_words(docs, labels)
+    judge = X.Judge(X.labelled_samples() + words)
+    added = [t[a:b] for t in (r.text or "" for r in docs.select("text").collect()) for a, b, _ in X.random_spans(t, X.base_spans(t), judge, X.MARGIN)]
+    assert added == []
+    assert sum(bool(X.random_spans(w, [], judge, X.MARGIN)) for w in FOREIGN) <= 1
+    r = random.Random(8)
+    for alphabet, n in ((X.ALPHABET[26:52], 24), (X.ALPHABET[:26], 32), (X.ALPHABET[:62], 20), (X.ALPHABET[26:62], 16), (X.ALPHABET[:64], 40)):
+        found = sum(bool(X.random_spans("".join(r.choices(alphabet, k=n)), [], judge, X.MARGIN)) for _ in range(300))
+        assert found >= 0.95 * 300
+    assert X.ordinary_words(docs, labels.where("false")) == [] and X.ordinary_words(docs.where("false"), labels) == []
+
+
+def test_stretches_like_brute_force():
+    """The best stretch by its definition: of all stretches long enough the greatest sum above the margin, if its evidence reaches."""
+    judge = X.Judge(X.labelled_samples())
+    r = random.Random(12)
+    seen = 0
+    for _ in range(150):
+        parts = [r.choice(X.WORDS) if r.random() < 0.6 else "".join(r.choices(X.ALPHABET[:62], k=r.randint(8, 26))) for _ in range(r.randint(1, 5))]
+        text = "".join(parts)
+        if len(text) < X.SHORTEST:
+            continue
+        steps = judge.steps(X._codes(text))
+        total = np.concatenate([[0.0], np.cumsum(steps)])
+        every = [(float(total[b - 1] - total[a]) - X.MARGIN * (b - 1 - a), a, b) for a in range(len(text)) for b in range(a + X.SHORTEST, len(text) + 1)]
+        best = max(every)
+        got = X.stretches(text, 0, len(text), steps, X.MARGIN)
+        reaches = total[best[2] - 1] - total[best[1]] >= X.EVIDENCE
+        if reaches and any(c.isalpha() for c in text[best[1] : best[2]]):
+            seen += 1
+            assert any(a <= best[1] and best[2] <= b for a, b in got)
+        for a, b in got:
+            assert b - a >= X.SHORTEST
+    assert seen > 20
