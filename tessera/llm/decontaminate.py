@@ -2,9 +2,9 @@
 
 An alignment with m equal words and p penalties falls into p + 1 runs at most, so it holds m - p - 1 pairs of neighbouring
 words of the item or more. Where its score, m - p, has to reach a share of the item's words, that many of the item's pairs
-stand in the document; so at least one of the rest, and one more, does, whichever are left out. Left out are those that
-most documents of the corpus hold: the rare ones are the seeds. A document that holds a seed, and then enough of all of
-the item's pairs, is aligned around them; the score of the best local alignment over the item's length tells verbatim
+stand in the document; so of the rest some few do, whichever are left out. Left out are those that most documents of the
+corpus hold: the rare ones are the seeds. A document that holds those few, and then enough of all of the item's pairs, is
+aligned around them; the score of the best local alignment over the item's length tells verbatim
 copies (1), edited and paraphrased ones, and chance. Nothing that scores enough is missed.
 """
 
@@ -23,6 +23,8 @@ from .common import map_arrow, row_blocks, runs, ship, stored, text_bytes, with_
 #: Words in a seed, words that an item must have, the least score, and what alignments count.
 GRAM, FEWEST, LEAST = 2, 3, 0.5
 MATCH, MISMATCH, GAP = 1, -1, -1
+#: Seeds of an item that a document must hold before it is looked at, if so many pairs of the item must be there at all.
+MORE = 4
 #: Bytes of item text that are sent to every executor at once; more items are worked through in blocks of this size.
 ITEM_BYTES = 16_000_000
 
@@ -93,13 +95,15 @@ class Items:
         size = np.diff(self.rows)
         return np.where(size >= FEWEST, np.maximum(1, np.ceil(np.round(least * size, 9)).astype(np.int64) - 1), 1 << 40)
 
-    def seeds(self, counts: np.ndarray, least: float) -> np.ndarray:
-        """Which pairs are seeds; counts: in how many documents each stands. Of each item the rarest, as many as could be
-        without a match where others are left out, and one more."""
+    def seeds(self, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are seeds, and how many different ones of each item a document must hold; counts: in how many
+        documents each stands. Of each item the rarest, as many as could be without a match where others are left out, and MORE
+        besides, so that MORE of them must be there."""
         order = np.lexsort((self.at, counts, self.item))
         place = np.arange(len(order)) - np.searchsorted(self.item[order], np.arange(len(self.rows)))[self.item[order]]
-        pairs = np.bincount(self.item, minlength=len(self.rows) - 1)
-        return np.sort(order[place < (pairs - self.enough(least) + 1)[self.item[order]]])
+        pairs, enough = np.bincount(self.item, minlength=len(self.rows) - 1), self.enough(least)
+        must = np.clip(enough, 1, MORE)
+        return np.sort(order[place < (pairs - enough + must)[self.item[order]]]), must
 
 
 def align(items: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
@@ -161,7 +165,7 @@ class Finder:
 
     def __init__(self, items: Items, counts: np.ndarray, least: float):
         self.items, self.least, self.enough = items, least, items.enough(least)
-        chosen = items.seeds(counts, least)
+        chosen, self.must = items.seeds(counts, least)
         order = chosen[np.argsort(items.hashes[chosen], kind="stable")]
         known, self.from_ = np.unique(items.hashes[order], return_index=True)
         self.until, self.by_item = np.append(self.from_[1:], len(order)), items.item[order]
@@ -169,12 +173,15 @@ class Finder:
         self.first = np.searchsorted(items.item, np.arange(len(items.rows)))
 
     def candidates(self, hashes: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
-        """(document, item) where a seed of the item stands; doc: of each pair of words, the document."""
+        """(document, item) where as many different seeds of the item stand as must; doc: of each pair of words, the document.
+        Seeds are counted for all at once, so a document and an item that share a common pair or two go no further."""
         where, which = self.lookup.find(hashes)
         n = self.until[which] - self.from_[which]
-        spread = np.repeat(self.from_[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        m = max(1, len(self.items.ids))
-        both = np.unique(np.repeat(doc[where], n) * m + self.by_item[spread])
+        seed = np.repeat(self.from_[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        s, m = max(1, len(self.by_item)), max(1, len(self.items.ids))
+        once = np.unique(np.repeat(doc[where], n) * s + seed)
+        both, held = np.unique(once // s * m + self.by_item[once % s], return_counts=True)
+        both = both[held >= self.must[both % m]]
         return list(zip((both // m).tolist(), (both % m).tolist()))
 
     def hits(self, hashes: np.ndarray, item: int) -> tuple[np.ndarray, np.ndarray] | None:
