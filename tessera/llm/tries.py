@@ -254,13 +254,11 @@ def prefix_nodes(paths: DataFrame, largest: int = LARGEST) -> DataFrame:
     nodes = nodes.select(*NODE)
     if not rows:
         return nodes
-    bare = seqs.where("turns = 0").agg(F.first("ends_sha256").alias("ends"))
-    sums = tops.where("split = ''").agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-    root = sums.withColumn("one", F.lit(1)).join(bare.withColumn("one", F.lit(1)), "one")
-    root = root.select(
-        F.lit(root_least).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(convs).cast("long").alias("n_convs"),
-        F.col("children").alias("n_children"), F.coalesce("leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved", F.lit(0)).alias("saved_tokens"), F.coalesce("ends", F.lit(NOTHING)).alias("ends_sha256"),
-    )
+    # The root sums up its children; a conversation without turns ends there.
+    children = tops.where("split = ''").select(F.lit(1).alias("child"), "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends"))
+    bare = seqs.where("turns = 0").select(F.lit(0).alias("child"), F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), F.col("ends_sha256").alias("ends"))
+    sums = children.unionByName(bare).agg(F.sum("child").alias("n_children"), F.greatest(F.lit(1), F.sum("n_leaves")).alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"), F.coalesce(F.max("ends"), F.lit(NOTHING)).alias("ends_sha256"))
+    root = sums.withColumns({"conv_id": F.lit(root_least).cast("long"), "depth": F.lit(0).cast("long"), "parent_conv_id": F.lit(None).cast("long"), "n_convs": F.lit(convs).cast("long")}).select(*NODE)
     return nodes.unionByName(root)
 
 
