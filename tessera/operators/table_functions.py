@@ -17,6 +17,8 @@ from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 KINDS = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType()}
+# Fixed value: what a tool answers where a path is outside the directories.
+DENIED = "Access denied: {} is outside allowed directories"
 NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -112,7 +114,7 @@ class EditText:
 def _inside(path: str, allowed: Sequence[str]) -> str:
     at = os.path.realpath(path)
     if not any(at == a or at.startswith(a.rstrip("/") + "/") for a in allowed):
-        raise PermissionError(f"Access denied: {path} is outside allowed directories")
+        raise PermissionError(DENIED.format(path))
     return at
 
 

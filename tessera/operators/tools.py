@@ -21,6 +21,9 @@ from ..session import scratch
 from ..sources import files, objects
 
 _TOOLS: dict[str, Callable] = {}
+# What the tools answer.
+WROTE, MADE, MOVED = "Successfully wrote to {}", "Successfully created directory {}", "Successfully moved {} to {}"
+DENIED, DENIED_OBJECT = "Access denied: {} is outside allowed directories", "Access denied: {}/{}"
 #: Rows of a table that go into one message.
 PAGE = 1000
 
@@ -40,7 +43,7 @@ class Toolbox:
         """The resolved path; one outside the allowed directories is an error."""
         at = os.path.realpath(asked)
         if not any(at == a or at.startswith(a.rstrip("/") + "/") for a in self.allowed):
-            raise PermissionError(f"Access denied: {asked} is outside allowed directories")
+            raise PermissionError(DENIED.format(asked))
         return at
 
     def bucket(self, name: str, key: str = "") -> str:
@@ -49,7 +52,7 @@ class Toolbox:
         root = os.path.realpath(self.store)
         at = os.path.realpath(os.path.join(root, name, key))
         if not at.startswith(root + "/"):
-            raise PermissionError(f"Access denied: {name}/{key}")
+            raise PermissionError(DENIED_OBJECT.format(name, key))
         return at
 
     def said(self, text: str) -> DataFrame:
@@ -127,7 +130,7 @@ def read_multiple_files(box: Toolbox, paths: Sequence[str]) -> DataFrame:
 def write_file(box: Toolbox, path: str, content: str) -> DataFrame:
     """Create or overwrite a file"""
     files.write_file(box.path(path), content)
-    return box.said(f"Successfully wrote to {path}")
+    return box.said(WROTE.format(path))
 
 
 @_tool
@@ -140,7 +143,7 @@ def edit_file(box: Toolbox, path: str, edits: Sequence[Mapping[str, str]], dry_r
 def create_directory(box: Toolbox, path: str) -> DataFrame:
     """Create a directory and those above it"""
     files.create_directory(box.path(path))
-    return box.said(f"Successfully created directory {path}")
+    return box.said(MADE.format(path))
 
 
 @_tool
@@ -165,7 +168,7 @@ def directory_tree(box: Toolbox, path: str, exclude_patterns: Sequence[str] = ()
 def move_file(box: Toolbox, source: str, destination: str) -> DataFrame:
     """Move or rename a file or directory"""
     files.move_file(box.path(source), box.path(destination))
-    return box.said(f"Successfully moved {source} to {destination}")
+    return box.said(MOVED.format(source, destination))
 
 
 @_tool
