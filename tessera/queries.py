@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,7 +13,7 @@ from .functions import config as C
 from .functions import scalars as S
 from .operators import agents, keysync, registry, text, vectors
 from .plans import federated, sql
-from .session import register, table
+from .session import register, ship, table
 from .sources import files, objects
 from .streaming.keysync import tumbling
 
@@ -21,10 +22,15 @@ SQL: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
-    """Register a query by its function's name."""
+    """Register a query by its function's name; the workers get this package before it runs."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, d):
+            ship(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if oracle:
             SQL[f.__name__] = oracle
         return f

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,23 @@ def session(app: str = "tessera", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run: it is zipped once for each application and
+    handed to Spark, which serves it to every executor. What Spark starts beside the driver, as for streams, finds it by path."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root.parent) not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([str(root.parent), *filter(None, paths)])
+    if getattr(sc, "_tessera_shipped", None) == os.getpid():
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tessera-"), f"{root.name}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(target)
+    sc._tessera_shipped = os.getpid()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
