@@ -90,16 +90,19 @@ TEXTS, FROM_TEXTS = 400, 2000
 
 def ordinary_words(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, words: int = FROM_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """Labelled strings, all of them 0, from the corpus itself: words of five or more ASCII letters out of texts that labels
-    mark as good, so that what its languages look like isn't taken for random. Up to ``texts`` of these and ``words``
-    occurrences of words, both by a hash, the same again for the same tables; only those reach the driver. Without good labels
-    there are none. Words of more than 64 letters are no samples."""
+    mark as good, so that what its languages look like isn't taken for random. Up to ``texts`` of these, and an even share of
+    ``words`` of each, both by a hash, the same again for the same tables; only those words reach the driver. Without good
+    labels there are none. Words of more than 64 letters are no samples."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("i")).where("i is not null").distinct()
     ids = [r[0] for r in good.orderBy(F.xxhash64("i"), "i").limit(texts).collect()]
     if not ids:
         return []
-    some = docs.where(F.col(f"`{id_col}`").isin(ids)).select(F.col(f"`{id_col}`").alias("i"), F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"(?<![A-Za-z])[A-Za-z]{5,64}(?![A-Za-z])"), F.lit(0)).alias("w"))
-    each = some.select("i", F.posexplode("w").alias("k", "word"))
-    return [(r.word, 0) for r in each.orderBy(F.xxhash64("i", "k"), "i", "k", "word").limit(words).collect()]
+    found = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"(?<![A-Za-z])[A-Za-z]{5,64}(?![A-Za-z])"), F.lit(0))
+    each = F.transform(found, lambda w, k: F.struct(F.xxhash64("i", k).alias("h"), w.alias("w")))
+    some = docs.where(F.col(f"`{id_col}`").isin(ids)).withColumn("i", F.col(f"`{id_col}`")).select("i", F.slice(F.sort_array(each), 1, max(1, words // len(ids))).alias("some"))
+    # Rows that share an id are one text here, whichever comes first by its words.
+    rows = some.groupBy("i").agg(F.min("some.w").alias("w")).collect()
+    return [(w, 0) for r in sorted(rows) for w in r.w or ()]
 
 
 class Markov:
