@@ -122,3 +122,17 @@ def test_documents(spark):
     read = documents.fields(v, "doc", {"b": ("$.a.b[0]", "int"), "c": ("$.a.b[1].c", "int")}).collect()
     assert [(r.b, r.c) for r in read][:2] == [(1, None), (None, None)]
     assert {(r.i, r.key, r.pos) for r in documents.members(v.where("i in (0, 1)"), "doc", ["i"]).collect()} == {(0, "a", 0), (0, "e", 1), (1, None, 0), (1, None, 1)}
+
+
+def test_no_sketch_for_each_user(spark, tmp_path):
+    import re
+
+    from tessera.queries import QUERIES
+
+    rows = [(i % 3, "ab"[i % 2], None if i % 7 == 0 else i) for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["sql_approximate"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("a", True), ("b", True)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("functions")[0] for line in plan.splitlines() if "approx_count_distinct" in line and "keys=" in line]
+    assert keys and not any(re.search(r"user_id", k) for k in keys)
