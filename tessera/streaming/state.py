@@ -16,8 +16,11 @@ CHANGED = "key string, version bigint, ord bigint, op string, value string"
 
 def use_state_store(spark: SparkSession) -> None:
     """State with timers needs the RocksDB store; this sets it for the session's later streams. Its files are uploaded to
-    the checkpoint with each batch, so state outlives executors."""
+    the checkpoint with each batch, so state outlives executors: what a batch has changed, and all of it now and then. A
+    join keeps one store a partition, not four."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
 
 
 class LastValue(StatefulProcessor):
