@@ -190,3 +190,31 @@ def test_no_sketch_for_each_user(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     keys = [line.split("functions")[0] for line in plan.splitlines() if "approx_count_distinct" in line and "keys=" in line]
     assert keys and not any(re.search(r"user_id", k) for k in keys)
+
+
+@pytest.mark.parametrize("on", [[], ["k"]])
+def test_streams_joined_by_time(spark, tmp_path, monkeypatch, on):
+    """In batches, rows held by the few, against plain Python; rows of state are packs and a join has one store a partition."""
+    import datetime
+
+    from tessera.streaming import joins as stream_joins
+
+    monkeypatch.setattr(stream_joins, "PACK", 40)
+    monkeypatch.setattr(stream_joins, "PAIRS", 7)
+    r, day = random.Random(9), datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    a, b = ([(i, day + datetime.timedelta(seconds=r.choice([50, r.randint(0, 900)])), i % 3) for i in range(300)] for _ in range(2))
+    at = {x: str(tmp_path / x) for x in ("a", "b", "out", "check")}
+    for part in range(2):
+        streams = []
+        for name, rows, names in (("a", a, "i long, at timestamp, k int"), ("b", b, "j long, bt timestamp, k int")):
+            spark.createDataFrame(rows[part::2], names).coalesce(1).write.mode("append").parquet(at[name])
+            streams.append(spark.readStream.schema(names).parquet(at[name]))
+        pairs = stream_joins.stream_interval_join(*streams, ("at", "bt"), before=20, after=60, on=on).select("i", "at", "j", "bt")
+        q = pairs.writeStream.format("parquet").option("path", at["out"]).option("checkpointLocation", at["check"]).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = [(x.i, x.j) for x in spark.read.parquet(at["out"]).collect()]
+    near = lambda x, y: datetime.timedelta(seconds=-20) < y - x < datetime.timedelta(seconds=60)
+    assert sorted(got) == sorted((i, j) for i, x, k in a for j, y, m in b if near(x, y) and (not on or k == m))
+    most = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    assert on or most < 400
+    assert not list((tmp_path / "check" / "state" / "0" / "0").glob("*keyToNumValues*"))
