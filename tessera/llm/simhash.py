@@ -275,8 +275,18 @@ def _marks(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.concatenate([parity, half[:, ::2] << 4 | half[:, 1::2]], axis=1)
 
 
-def prefixes(column, common: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
-    """Of each text: the number of its shingles, a digest of the set, its marks, and the hashes of its prefix.
+def set_fingerprints(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The SimHash of each set of shingles, as a signed long: a bit is 1 if it is set in over half of the hashes."""
+    out, there = np.zeros(len(rows) - 1, np.int64), np.flatnonzero(np.diff(rows))
+    if len(there):
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, rows[:-1][there], axis=0, dtype=np.int32)
+        out[there] = np.packbits(counts * 2 > np.diff(rows)[there, None], axis=1, bitorder="little").view(np.int64).ravel()
+    return out
+
+
+def prefixes(column, common: np.ndarray) -> list[tuple[int, int, bytes, bytes, bytes]]:
+    """Of each text: the number of its shingles, their SimHash, a digest of the set, its marks, and the hashes of its prefix.
 
     In the order of rarity first, common shingles last, then by hash, the prefix is all but the last OVER / UNDER of the
     shingles, and one more. Of two sets that share so much of the larger one, the prefixes share a shingle.
@@ -285,7 +295,7 @@ def prefixes(column, common: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]
     for lo, hi, h, rows in shingle_sets(column):
         size = np.diff(rows)
         doc = np.repeat(np.arange(hi - lo), size)
-        marks = _marks(h, doc, size)
+        marks, fps = _marks(h, doc, size), set_fingerprints(h, rows)
         digest = np.zeros((hi - lo, 2), np.uint64)
         there = np.flatnonzero(size)
         if len(there):
@@ -296,7 +306,7 @@ def prefixes(column, common: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]
             often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
         h = h[np.lexsort((h, often, doc))]
         length = np.where(size > 0, size - -(-OVER * size // UNDER) + 1, 0)
-        out += [(int(n), digest[i].tobytes(), marks[i].tobytes(), h[a : a + k].tobytes()) for i, (n, a, k) in enumerate(zip(size, rows, length))]
+        out += [(int(n), int(fps[i]), digest[i].tobytes(), marks[i].tobytes(), h[a : a + k].tobytes()) for i, (n, a, k) in enumerate(zip(size, rows, length))]
     return out
 
 
@@ -674,12 +684,23 @@ def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found.orderBy(F.desc("count"), "h").limit(200_000).collect()], np.int64).view(np.uint64))
 
 
+def fingerprint_pairs(own: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """own (node, fp) to (u, v), u < v: nodes that hang together by fingerprints of at most threshold differing bits, each
+    fingerprint standing for its least node."""
+    least = stored(own.groupBy("fp").agg(F.min("node").alias("least")))
+    same = own.join(least, "fp").where("node <> least").select("least", F.col("node").alias("other"))
+    of = lambda c, out: least.select(F.col("fp").alias(c), F.col("least").alias(out))
+    near = links(least.select("fp"), threshold).join(of("u", "least"), "u").join(of("v", "other"), "v").select("least", "other")
+    return same.unionByName(near).select(F.least("least", "other").alias("u"), F.greatest("least", "other").alias("v"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least id, the first of equal ones.
 
     Near-duplicates share 0.8 or more (Jaccard) of their distinct five-word shingles, or are linked by texts that do.
-    Texts of one shingle set are combined. Candidates share a shingle of their prefixes, as all pairs at 0.8 do, and pass
-    a comparison of sizes and marks that no such pair fails (those of LONG or more shingles once in 1e9). Of what hangs
+    Texts of one shingle set are combined. Candidates are, first, sets whose SimHash fingerprints link as those of operator 8
+    do (``fingerprint_pairs``). Pairs at 0.8 often differ in more bits than the covering code reaches; so, second, those
+    that share a shingle of their prefixes, as all pairs at 0.8 do, and pass a comparison of sizes and marks that no such pair fails (those of LONG or more shingles once in 1e9). Of what hangs
     together by candidates the shingle sets are compared exactly, in shares of bounded size (``verified``).
 
     Columns stay as they are. Rows with a null id come after all others, so one stays only where its group has no id.
@@ -696,16 +717,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
 
         for b in batches:
-            n, digest, marks, prefix = zip(*prefixes(b.column(2), common)) if b.num_rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (digest, marks, prefix))], [number, "id", "n", "digest", "marks", "prefix"])
+            n, fp, digest, marks, prefix = zip(*prefixes(b.column(2), common)) if b.num_rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, marks, prefix))], [number, "id", "n", "fp", "digest", "marks", "prefix"])
 
     kind = dict(base.dtypes)[key]
-    sets = map_arrow(base.select(number, F.col(key).alias("id"), F.col(f"c{text}").alias("text")), run, f"{number} long, id {kind}, n int, digest binary, marks binary, prefix binary")
+    sets = map_arrow(base.select(number, F.col(key).alias("id"), F.col(f"c{text}").alias("text")), run, f"{number} long, id {kind}, n int, fp long, digest binary, marks binary, prefix binary")
     first = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col(number).alias("c"))).alias("_first")
-    rest = [F.first(c).alias(c) for c in ("marks", "prefix")]
+    rest = [F.first(c).alias(c) for c in ("fp", "marks", "prefix")]
     own = stored(sets.groupBy("digest", "n").agg(first, *rest).withColumn("node", F.monotonically_increasing_id()))
     rows = stored(_shared(own).join(own.select("node", "n", "marks"), "node").select("shingle", "node", "place", "n", "marks"))
-    pairs = stored(bucket_pairs(rows))
+    pairs = stored(fingerprint_pairs(own).unionByName(bucket_pairs(rows)).distinct())
     nodes = own.select("node", F.col("n").cast("long").alias("n"), F.col("_first.c").alias("number"))
     parts = verified(pairs, nodes, base.select(F.col(number).alias("number"), F.col(f"c{text}").alias("text")))
     roots = own.select("node", "_first").join(parts, "node", "left").select(F.coalesce("root", "node").alias("_root"), "_first")

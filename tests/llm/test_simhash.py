@@ -231,3 +231,13 @@ def test_a_hot_shingle_of_texts_that_are_not_alike(spark, monkeypatch, many):
         texts.append(" ".join(v))
     r.shuffle(texts)
     assert kept(spark, texts) == remaining(texts)
+
+
+def test_near_duplicates_meet_by_fingerprints(spark, monkeypatch):
+    """The pipeline's stage finds what fingerprints link through the covering code, also without the other candidates."""
+    none = lambda rows: rows.sparkSession.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(X, "bucket_pairs", none)
+    words = [f"w{i * 7919 % 10007}" for i in range(1500)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1]), None, " ", "w1 w2", "w1 w3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in X.drop_near_duplicates(docs).collect()) == [0, 2, 3, 5, 6]
