@@ -80,9 +80,30 @@ def drop_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with this package shipped to the workers."""
+    """mapInArrow with this package shipped to the workers, which give back the memory of a task when it ends: they wait for
+    others, beside an executor's heap."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Hand memory that this process has freed back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def sorted_groups(batches, columns: int, most: int):
